@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "lexical")
+AREAS = ("catalog", "lexical", "chunk")
 
 
 def load_all() -> None:
