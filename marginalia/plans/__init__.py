@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "lexical", "chunk")
+AREAS = ("catalog", "lexical", "chunk", "fulltext")
 
 
 def load_all() -> None:
