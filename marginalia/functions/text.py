@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,8 +115,6 @@ def java_pattern(pattern: str) -> str | None:
 
 
 def _python_search(pattern: str):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def search(texts: pd.Series) -> pd.Series:
         compiled = re.compile(pattern, re.IGNORECASE)

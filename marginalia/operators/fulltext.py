@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import let
-from marginalia.functions.terms import WORD, with_terms, words
+from marginalia.functions.terms import WORD, fold, with_terms, words
+from marginalia.sources.layout import spread_by
 
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 K1, B = 1.2, 0.75
@@ -70,11 +71,13 @@ def _terms(spark: SparkSession, spellings: tuple[str, ...]) -> dict[str, str]:
 # -- index -------------------------------------------------------------------
 
 
-def build_postings(nodes: DataFrame) -> DataFrame:
+def build_postings(nodes: DataFrame, initials: str | None = None) -> DataFrame:
     """``term, node_id, length, title_at, body_at`` from ``id, title, body``.
 
     Rows are spread by node once; both aggregations below group within a node and add no exchange.
-    Spellings are grouped before their terms are derived, so each is stemmed once per node.
+    Spellings are grouped before their terms are derived, so each is stemmed once per node. With
+    ``initials`` only words that begin with one of these letters are kept: no suffix rule touches the
+    first letter of a word.
     """
 
     def placed(text: str, column: int) -> Column:
@@ -82,9 +85,11 @@ def build_postings(nodes: DataFrame) -> DataFrame:
             words(F.col(text)), lambda w, i: F.struct(F.lit(column).alias("column"), i.alias("at"), w.alias("word"))
         )
 
-    rows = nodes.select("id", "title", "body").repartition("id")
+    rows = spread_by(nodes.select("id", "title", "body"), "id")
     rows = rows.select(F.col("id").alias("node_id"), F.concat(placed("title", TITLE), placed("body", BODY)).alias("found"))
     rows = rows.select("node_id", F.size("found").alias("length"), F.inline("found"))
+    if initials is not None:
+        rows = rows.where(fold(F.substring("word", 1, 1)).isin(*initials))
 
     def positions(column: int) -> Column:
         return F.collect_list(F.when(F.col("column") == column, F.col("at")))
@@ -99,6 +104,12 @@ def build_postings(nodes: DataFrame) -> DataFrame:
     return with_terms(spelled, "word").groupBy("node_id", "length", "term").agg(merged("title_at"), merged("body_at"))
 
 
+def postings_for(nodes: DataFrame, query: str) -> DataFrame:
+    """Postings of the words that can match a query, for a search without a stored index."""
+    phrases = parse_query(nodes.sparkSession, query)
+    return build_postings(nodes, "".join(sorted({t[0] for p in phrases for t in p.terms})) or " ")
+
+
 def build_stats(nodes: DataFrame) -> DataFrame:
     """One row: number of notes and their mean length in words."""
     length = F.size(words(F.col("title"))) + F.size(words(F.col("body")))
@@ -173,14 +184,14 @@ def _frequencies(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
 def search(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     """``node_id, score`` of the notes that hold every word or phrase of the query.
 
-    The document frequencies come from the same shuffled frequencies as the scores. Their table has
-    one row per phrase of the query, which bounds the broadcast.
+    The table of document frequencies has one row per phrase of the query, which bounds the broadcast.
     """
     spark = postings.sparkSession
     phrases = parse_query(spark, query)
     if not phrases:
         return spark.createDataFrame([], "node_id string, score double")
-    found = _frequencies(postings, phrases)
+    # Spread by note: one exchange serves the document frequencies and the scores.
+    found = _frequencies(postings, phrases).repartition("node_id")
     notes = stats.select("notes").scalar()
     mean = stats.select("mean_length").scalar()
     raw_idf = F.log((notes - F.col("hits") + 0.5) / (F.col("hits") + 0.5))
@@ -211,7 +222,7 @@ def with_excerpts(hits: DataFrame, nodes: DataFrame, query: str, limit: int) ->
     phrases = parse_query(spark, query)
     page = F.broadcast(hits.limit(limit))
     texts = nodes.select(F.col("id").alias("node_id"), "title", "body").join(page, "node_id")
-    local = build_postings(texts.select(F.col("node_id").alias("id"), "title", "body"))
+    local = postings_for(texts.select(F.col("node_id").alias("id"), "title", "body"), query)
     spans = (
         _occurrences(local, phrases)
         .where(F.col("column") == BODY)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "lexical", "chunk", "fulltext")
+AREAS = ("catalog", "lexical", "chunk", "fulltext", "vector")
 
 
 def load_all() -> None:

@@ -91,7 +91,7 @@ def _nodes(spark, sf_dir):
 
 def _scores(spark, sf_dir, text):
     nodes = _nodes(spark, sf_dir)
-    rows = ft.search(ft.build_postings(nodes), ft.build_stats(nodes), text)
+    rows = ft.search(ft.postings_for(nodes, text), ft.build_stats(nodes), text)
     return rows.select("node_id", F.round("score", 6).alias("score"))
 
 
@@ -129,5 +129,5 @@ def bm25_prefix(spark, sf_dir):
 @query()
 def fulltext_page(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    found = ft.search(ft.build_postings(nodes), ft.build_stats(nodes), "eres things ing")
+    found = ft.search(ft.postings_for(nodes, "eres things ing"), ft.build_stats(nodes), "eres things ing")
     return ft.with_excerpts(ft.top(found, 20), nodes, "eres things ing", 20)
