@@ -190,12 +190,12 @@ def search(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     phrases = parse_query(spark, query)
     if not phrases:
         return spark.createDataFrame([], "node_id string, score double")
-    # Spread by note: one exchange serves the document frequencies and the scores.
+    # Spread by note, and counted by f so that no column is pruned: one exchange serves the document frequencies and the scores.
     found = _frequencies(postings, phrases).repartition("node_id")
     notes = stats.select("notes").scalar()
     mean = stats.select("mean_length").scalar()
     raw_idf = F.log((notes - F.col("hits") + 0.5) / (F.col("hits") + 0.5))
-    idf = found.groupBy("phrase").agg(F.count("*").alias("hits")).select(
+    idf = found.groupBy("phrase").agg(F.count("f").alias("hits")).select(
         "phrase", F.when(raw_idf > 0, raw_idf).otherwise(F.lit(LEAST_IDF)).alias("idf")
     )
     f = F.col("f")
