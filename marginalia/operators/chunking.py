@@ -14,7 +14,7 @@ from marginalia.functions import ids
 from marginalia.functions.exprs import SPACE, count_newlines, let, strip
 
 # Private-use characters around the number of a protected block.
-OPEN, CLOSE = "", ""
+OPEN, CLOSE = "\ue000", "\ue001"
 
 # What counts as front matter, protected block, heading, paragraph and sentence end.
 FRONT_MATTER = rf"(?sU)\A---\n.*?\n---{SPACE}*\n?"

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 SPLIT_BYTES = 128 * 1024 * 1024
+# Beyond this a size is a placeholder for "unknown", not an estimate.
+UNKNOWN_BYTES = 1 << 60
 
 
-def input_bytes(rows: DataFrame) -> int:
-    """Estimated size of everything a plan reads; a join's own estimate would be a product."""
+def input_bytes(rows: DataFrame) -> int | None:
+    """Estimated size of everything a plan reads, if known; a join's own estimate would be a product."""
     leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < UNKNOWN_BYTES else None
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -20,7 +23,8 @@ def spread(rows: DataFrame) -> DataFrame:
     is parallel already and the rows stay where they are.
     """
     slots = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(slots) if input_bytes(rows) < slots * SPLIT_BYTES else rows
+    size = input_bytes(rows)
+    return rows.repartition(slots) if size is not None and size < slots * SPLIT_BYTES else rows
 
 
 def spread_by(rows: DataFrame, key: str) -> DataFrame:
@@ -31,4 +35,4 @@ def spread_by(rows: DataFrame, key: str) -> DataFrame:
     """
     spark = rows.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(least, -(-input_bytes(rows) // SPLIT_BYTES)), key)
+    return rows.repartition(max(least, -(-(input_bytes(rows) or 0) // SPLIT_BYTES)), key)
