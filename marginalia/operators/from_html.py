@@ -56,12 +56,21 @@ _REWRITES = [
 ]
 
 
-def _prepared(html: Column) -> Column:
-    for pattern, replacement in _REWRITES:
+# Without any of these words only a bold line can need rewriting.
+_KEYWORDS = r"(?i)font-size|<font|<strike|menlo|courier|monospace|language-|checked|<object"
+_BOLD_LINE = _REWRITES[2]
+
+
+def _rewritten(html: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
         html = F.regexp_replace(html, pattern, replacement)
     return html
 
 
+def _prepared(html: Column) -> Column:
+    return F.when(F.rlike(html, F.lit(_KEYWORDS)), _rewritten(html, _REWRITES)).otherwise(_rewritten(html, [_BOLD_LINE]))
+
+
 def _tokens(rows: DataFrame, key: str, html: str) -> DataFrame:
     text = _prepared(F.coalesce(F.col(html), F.lit("")))
     # The empty token at the end keeps a row for a document without any.
