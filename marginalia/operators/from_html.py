@@ -160,6 +160,7 @@ def _fragment() -> Column:
 def _wrapped(text: Column, marks: tuple[str, str], sign: str) -> Column:
     """Turn a marked span into Markdown, with the white space outside the signs."""
     start, stop = marks
+    text = F.regexp_replace(text, rf"(?<={start})[ {_BREAK}]*{_BREAK}|{_BREAK}[ {_BREAK}]*(?={stop})", "")
     text = F.regexp_replace(text, rf"{start}(\s*){stop}", "$1")
     return F.regexp_replace(text, rf"{start}(\s*)([^{start}{stop}]*?)(\s*){stop}", f"$1{sign}$2{sign}$3")
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "lexical", "chunk", "fulltext", "vector")
+AREAS = ("catalog", "lexical", "text", "chunk", "fulltext", "vector", "index")
 
 
 def load_all() -> None:
