@@ -176,8 +176,7 @@ def _table_html(lines: Column) -> Column:
     return let(_cells(F.get(lines, F.lit(0))), built)
 
 
-def _block_html(kind: Column, lines: Column, items: Column) -> Column:
-    text = F.array_join(lines, "\n")
+def _block_html(kind: Column, lines: Column, text: Column, items: Column) -> Column:
     level = F.length(F.regexp_extract(text, HEADING, 1))
     title = inline(F.regexp_extract(text, HEADING, 2))
     sized = F.concat(F.lit("h"), level.cast("string"))
@@ -221,12 +220,14 @@ def markdown_to_html(rows: DataFrame, key: str, markdown: str) -> DataFrame:
         "entry",
         F.coalesce("depth", F.lit(0)).alias("depth"),
         F.col("ordered"),
-        inline(F.array_join("lines", "\n")).alias("text"),
+        F.when(F.col("kind") == "item", inline(F.array_join("lines", "\n"))).alias("text"),
         "lines",
     )
     blocks = entries.groupBy("doc", "block", "kind").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    blocks = blocks.withColumn("html", F.when(F.col("kind") == "blank", "").otherwise(
-        _block_html(F.col("kind"), F.flatten(F.transform("items", lambda i: i["lines"])), F.col("items"))))
+    blocks = blocks.withColumn("lines", F.flatten(F.transform("items", lambda i: i["lines"])))
+    blocks = blocks.withColumn("text", F.array_join("lines", "\n"))
+    block = _block_html(F.col("kind"), F.col("lines"), F.col("text"), F.col("items"))
+    blocks = blocks.withColumn("html", F.when(F.col("kind") == "blank", "").otherwise(block))
     whole = blocks.groupBy("doc").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "kind", "html"))), lambda b: b["html"]), "\n").alias("html")
     )

@@ -16,6 +16,7 @@ from marginalia.operators import fulltext, lexical, mutations, overlays, retriev
 from marginalia.operators.embedding import Embedder, create_embedder, embed_query
 from marginalia.operators.indexing import Index
 from marginalia.operators.rendering import FORMATS, render_bodies
+from marginalia.session import settled
 
 MAX_LIST, MAX_SEARCH, MAX_PREVIEW, MAX_BATCH, MAX_BODIES, RECENT = 500, 100, 2000, 20, 5, 50
 # Fixed value: what stands for the body of a locked note.
@@ -255,8 +256,10 @@ class NotesEngine:
         return self.spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], f"request_no bigint, {columns}")
 
     def _apply(self, change: mutations.Change) -> list[dict]:
-        self.notes = change.table
-        return [r.asDict() for r in change.outcomes.orderBy("request_no").drop("request_no").collect()]
+        outcomes = [r.asDict() for r in change.outcomes.orderBy("request_no").drop("request_no").collect()]
+        # The next edit starts from a written table; otherwise every edit would repeat those before it.
+        self.notes = settled(change.table)
+        return outcomes
 
     def _folder_pk(self, folder_path: str | None) -> int:
         if not folder_path:
@@ -294,13 +297,15 @@ class NotesEngine:
         return self._apply(change)
 
     def create_folder(self, name: str, parent_folder_path: str | None = None) -> dict:
-        self.folders, pk = mutations.create_folder(self.folders, self.folder_frame(), name, parent_folder_path)
+        folders, pk = mutations.create_folder(self.folders, self.folder_frame(), name, parent_folder_path)
+        self.folders = settled(folders)
         return {"id": f"f{pk}", "action": "created", "error": None}
 
     def rename_folder(self, folder_id: str, new_name: str) -> dict:
-        self.folders = mutations.rename_folder(self.folders, self.folder_frame(), folder_id, new_name)
+        self.folders = settled(mutations.rename_folder(self.folders, self.folder_frame(), folder_id, new_name))
         return {"id": folder_id, "action": "renamed", "error": None}
 
     def delete_folder(self, folder_id: str, **options) -> dict:
-        self.folders, self.notes = mutations.delete_folder(self.folders, self.notes, self.folder_frame(), folder_id, **options)
+        folders, notes = mutations.delete_folder(self.folders, self.notes, self.folder_frame(), folder_id, **options)
+        self.folders, self.notes = settled(folders), settled(notes)
         return {"id": folder_id, "action": "deleted", "error": None}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import html as H
 from marginalia.functions import wire
+from marginalia.functions.exprs import let
 from marginalia.operators import from_html, rendering, to_html
 from marginalia.plans import corpus
 from marginalia.plans.registry import query
@@ -134,7 +135,8 @@ def _varint(n: Column) -> Column:
 
 
 def _field(tag: str, payload: Column) -> Column:
-    return F.concat(F.unhex(F.lit(tag)), _varint(F.octet_length(payload)), payload)
+    size = lambda p: let(F.octet_length(p), _varint)
+    return let(payload, lambda p: F.concat(F.unhex(F.lit(tag)), size(p), p))
 
 
 @query("""

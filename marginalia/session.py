@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -35,3 +35,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
     return root.rstrip("/")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, free of the plan that made them."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(rows.sparkSession))
+    return rows.checkpoint()
