@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import let
 from marginalia.functions.terms import WORD, fold, with_terms, words
-from marginalia.sources.layout import spread_by
+from marginalia.sources.layout import spread, spread_by
 
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 K1, B = 1.2, 0.75
@@ -71,23 +71,31 @@ def _terms(spark: SparkSession, spellings: tuple[str, ...]) -> dict[str, str]:
 # -- index -------------------------------------------------------------------
 
 
+def _words(nodes: DataFrame) -> DataFrame:
+    """``node_id, length, column, at, word`` of every word; rows are spread by node once."""
+
+    rows = spread_by(nodes.select("id", "title", "body"), "id")
+    rows = rows.select(F.col("id").alias("node_id"), words(F.col("title")).alias("_t"), words(F.col("body")).alias("_b"))
+    rows = rows.withColumn("_titled", F.size("_t")).withColumn("_all", F.concat("_t", "_b"))
+    rows = rows.select("node_id", F.size("_all").alias("length"), "_titled", F.posexplode("_all").alias("_at", "word"))
+    titled = F.col("_at") < F.col("_titled")
+    return rows.select(
+        "node_id",
+        "length",
+        F.when(titled, TITLE).otherwise(BODY).alias("column"),
+        F.when(titled, F.col("_at")).otherwise(F.col("_at") - F.col("_titled")).alias("at"),
+        "word",
+    )
+
+
 def build_postings(nodes: DataFrame, initials: str | None = None) -> DataFrame:
     """``term, node_id, length, title_at, body_at`` from ``id, title, body``.
 
-    Rows are spread by node once; both aggregations below group within a node and add no exchange.
-    Spellings are grouped before their terms are derived, so each is stemmed once per node. With
-    ``initials`` only words that begin with one of these letters are kept: no suffix rule touches the
-    first letter of a word.
+    Both aggregations group within a node and add no exchange. Spellings are grouped before their
+    terms are derived, so each is stemmed once per node. With ``initials`` only words that begin with
+    one of these letters are kept: no suffix rule touches the first letter of a word.
     """
-
-    def placed(text: str, column: int) -> Column:
-        return F.transform(
-            words(F.col(text)), lambda w, i: F.struct(F.lit(column).alias("column"), i.alias("at"), w.alias("word"))
-        )
-
-    rows = spread_by(nodes.select("id", "title", "body"), "id")
-    rows = rows.select(F.col("id").alias("node_id"), F.concat(placed("title", TITLE), placed("body", BODY)).alias("found"))
-    rows = rows.select("node_id", F.size("found").alias("length"), F.inline("found"))
+    rows = _words(nodes)
     if initials is not None:
         rows = rows.where(fold(F.substring("word", 1, 1)).isin(*initials))
 
@@ -105,15 +113,23 @@ def build_postings(nodes: DataFrame, initials: str | None = None) -> DataFrame:
 
 
 def postings_for(nodes: DataFrame, query: str) -> DataFrame:
-    """Postings of the words that can match a query, for a search without a stored index."""
+    """Postings of the words that can match a query, for a search without a stored index.
+
+    A query of single words needs no positions, so its postings hold counts, ``title_n, body_n``.
+    """
     phrases = parse_query(nodes.sparkSession, query)
-    return build_postings(nodes, "".join(sorted({t[0] for p in phrases for t in p.terms})) or " ")
+    initials = "".join(sorted({t[0] for p in phrases for t in p.terms})) or " "
+    if any(len(p.terms) > 1 for p in phrases):
+        return build_postings(nodes, initials)
+    rows = _words(nodes).where(fold(F.substring("word", 1, 1)).isin(*initials))
+    counts = [F.count(F.when(F.col("column") == c, 1)).alias(n) for c, n in ((TITLE, "title_n"), (BODY, "body_n"))]
+    return with_terms(rows.groupBy("node_id", "length", "word").agg(*counts), "word")
 
 
 def build_stats(nodes: DataFrame) -> DataFrame:
     """One row: number of notes and their mean length in words."""
     length = F.size(words(F.col("title"))) + F.size(words(F.col("body")))
-    return nodes.agg(F.count("*").alias("notes"), F.avg(length).alias("mean_length"))
+    return spread(nodes.select("title", "body")).agg(F.count("*").alias("notes"), F.avg(length).alias("mean_length"))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -171,9 +187,11 @@ def _frequencies(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
     weight = {TITLE: TITLE_WEIGHT, BODY: BODY_WEIGHT}
     if all(len(p.terms) == 1 for p in phrases):
         # Single words need counts only, not positions.
+        counted = "title_n" in postings.columns
+        in_title, in_body = (F.col("title_n"), F.col("body_n")) if counted else (F.size("title_at"), F.size("body_at"))
         rows = postings.where(_wanted(phrases)).select(
             "node_id", "length",
-            (F.size("title_at") * weight[TITLE] + F.size("body_at") * weight[BODY]).alias("part"),
+            (in_title * weight[TITLE] + in_body * weight[BODY]).alias("part"),
             F.inline(_slots(phrases)),
         )
         return rows.groupBy("node_id", "length", "phrase").agg(F.sum("part").alias("f"))
@@ -190,12 +208,14 @@ def search(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     phrases = parse_query(spark, query)
     if not phrases:
         return spark.createDataFrame([], "node_id string, score double")
-    # Spread by note, and counted by f so that no column is pruned: one exchange serves the document frequencies and the scores.
-    found = _frequencies(postings, phrases).repartition("node_id")
+    # One shuffle of the matches serves both the document frequencies and the scores. It is kept and
+    # shared because its keys differ from any grouping below, and because both sides read every column.
+    found = _frequencies(postings, phrases).repartition("phrase", "node_id")
+    hits = F.sum(F.when(F.col("f") + F.col("length") > 0, 1)).alias("hits")
     notes = stats.select("notes").scalar()
     mean = stats.select("mean_length").scalar()
     raw_idf = F.log((notes - F.col("hits") + 0.5) / (F.col("hits") + 0.5))
-    idf = found.groupBy("phrase").agg(F.count("f").alias("hits")).select(
+    idf = found.groupBy("phrase").agg(hits).select(
         "phrase", F.when(raw_idf > 0, raw_idf).otherwise(F.lit(LEAST_IDF)).alias("idf")
     )
     f = F.col("f")
@@ -222,7 +242,7 @@ def with_excerpts(hits: DataFrame, nodes: DataFrame, query: str, limit: int) ->
     phrases = parse_query(spark, query)
     page = F.broadcast(hits.limit(limit))
     texts = nodes.select(F.col("id").alias("node_id"), "title", "body").join(page, "node_id")
-    local = postings_for(texts.select(F.col("node_id").alias("id"), "title", "body"), query)
+    local = build_postings(texts.select(F.col("node_id").alias("id"), "title", "body"))
     spans = (
         _occurrences(local, phrases)
         .where(F.col("column") == BODY)
