@@ -226,8 +226,13 @@ def search(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     return scored.where(F.col("present") == len(phrases)).select("node_id", "score")
 
 
+def best_first() -> list[Column]:
+    """Order of hits. Copies of a note score alike but for the order of a sum, so the last digits do not count."""
+    return [F.round("score", 12).desc(), F.col("node_id")]
+
+
 def top(scored: DataFrame, limit: int) -> DataFrame:
-    return scored.orderBy(F.col("score").desc(), F.col("node_id")).limit(limit)
+    return scored.orderBy(*best_first()).limit(limit)
 
 
 # -- excerpts ----------------------------------------------------------------

@@ -118,5 +118,5 @@ def hybrid(
     pool = max(limit * OVERFETCH, LEAST_POOL)
     near = held(semantic(chunks, vector, pool, unique="chunks").select("rank", "id", "node_id", "score"))
     found = held(fulltext.top(fulltext.search(postings, stats, query), pool))
-    words = ranked(found, F.col("score").desc(), F.col("node_id"))
+    words = ranked(found, *fulltext.best_first())
     return hybrid_lists(near, words, limit, unique)

@@ -79,7 +79,7 @@ _LEXICAL = _bm25_sql("SELECT id, length, term AS phrase, col FROM tokens WHERE t
 _LISTS = f"""
 {_DIST}, lexical AS ({_LEXICAL.replace('round(', '(').replace('), 6) AS score', ')) AS score')}),
 near AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM dist ORDER BY distance, id LIMIT 80),
-words AS (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM lexical ORDER BY score DESC, node_id LIMIT 80),
+words AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, node_id) AS rank FROM lexical ORDER BY round(score, 12) DESC, node_id LIMIT 80),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY rank) AS n FROM near) WHERE n = 1)"""
 _FUSED = """
 fused AS (
