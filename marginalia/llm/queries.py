@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.bpe import encode_decode
 from marginalia.llm.pii import BASE_KINDS as PII_KINDS
 from marginalia.llm.pii import pii_spans
 from marginalia.llm.quality import judged, statistics_table
@@ -35,6 +36,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_digests(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 @query("""
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
