@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import encode_decode
+from marginalia.llm.neardup import class_ids
 from marginalia.llm.pii import BASE_KINDS as PII_KINDS
 from marginalia.llm.pii import pii_spans
 from marginalia.llm.quality import judged, statistics_table
@@ -111,6 +112,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in counts], "base_failed", "kept", "rule")
 
 
+@query()
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ids(table(spark, sf_dir, "documents"))
+
+
 def _number(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
