@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import encode_decode
+from marginalia.llm.linededup import line_dedup
+from marginalia.llm.mixing import mixed
 from marginalia.llm.neardup import class_ids
 from marginalia.llm.pii import BASE_KINDS as PII_KINDS
 from marginalia.llm.pii import pii_spans
@@ -72,6 +74,15 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"),
+        F.array_join("_removed", ",").alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 #: Host, path and verdict of the rules that the URL query applies.
 URL_RULES = (
     ("com", "/", "allow"),
@@ -117,6 +128,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_ids(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+        F.round("_probability", 9).alias("probability"), F.col("_kept").alias("kept"),
+    )
+
+
 def _number(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
