@@ -17,6 +17,7 @@ from marginalia.llm.quality import judged, statistics_table
 from marginalia.llm.secrets import BASE_KINDS as SECRET_KINDS
 from marginalia.llm.secrets import secret_spans
 from marginalia.llm.spans import digest_text
+from marginalia.llm.suffixes import remove_repeats
 from marginalia.llm.topk import top_k
 from marginalia.llm.urls import judge_urls
 
@@ -137,6 +138,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def _number(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
