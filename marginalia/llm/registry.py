@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from marginalia.llm import queries
+import corpus_pipeline
 from marginalia.llm.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries"]
+QUERIES = {**QUERIES, "pipeline": corpus_pipeline.run}
+ORACLES = {**ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
