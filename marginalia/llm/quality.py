@@ -60,16 +60,19 @@ def _repeat_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - GRAM),
-        lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, F.lit(GRAM))).alias("h"), i.alias("i")),
-    )
-    found = let(F.sort_array(windows), lambda ordered: let(spots(ordered), covered))
-    return F.when(F.size(words) >= GRAM, found).otherwise(F.lit(0).cast("long"))
+    def repeated(hashes: Column) -> Column:
+        # Few texts hold a repeated window, and a set of hashes tells; only those are sorted.
+        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        found = let(F.sort_array(placed), lambda ordered: let(spots(ordered), covered))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), found).otherwise(F.lit(0).cast("long"))
+
+    hashes = F.transform(
+        F.sequence(F.lit(1), F.size(words) - GRAM + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(GRAM))))
+    return F.when(F.size(words) >= GRAM, let(hashes, repeated)).otherwise(F.lit(0).cast("long"))
 
 
 def _statistics(text: Column) -> Column:
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.translate(line, BLANKS, "") != "")
 
     def build(pair: Column) -> Column:
