@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +36,31 @@ def numbered(rows: DataFrame, label: str, column: str = "_row") -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shielded(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under column names of our own, which no internal name resembles, and the new name of each column."""
+    names = {c: f"given_{i}" for i, c in enumerate(rows.columns)}
+    return rows.toDF(*names.values()), names
+
+
+def unshielded(rows: DataFrame, names: dict[str, str], extra: dict[str, Column]) -> DataFrame:
+    """The columns under their given names, then ``extra``; a given column that has the name of an extra one gives way."""
+    given = [F.col(inner).alias(c) for c, inner in names.items() if c not in extra]
+    return rows.select(*given, *[e.alias(c) for c, e in extra.items()])
+
+
+#: Bytes of text that a task handles at a time.
+SLICE = 4 << 20
+
+
+def slices(sizes: Iterable[int]) -> Iterator[slice]:
+    """Runs of rows of about ``SLICE`` bytes in all."""
+    first = total = n = 0
+    for n, size in enumerate(sizes, 1):  # noqa: B007
+        total += size
+        if total >= SLICE:
+            yield slice(first, n)
+            first, total = n, 0
+    if n > first:
+        yield slice(first, n)

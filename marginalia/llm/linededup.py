@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import numbered, written
+from marginalia.llm.common import numbered, shielded, unshielded, written
 
 #: A run ends after a line if the rolling hash over the last ``SPAN`` lines is divisible by ``EVERY``.
 SPAN, EVERY, LEAST = 1, 2, 2
@@ -118,16 +118,18 @@ def _strip(text_col: str):
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, ``text_col`` without later copies of runs, with _row, _lines and _removed (line numbers from 0).
+    """The rows of ``docs``, ``text_col`` without later copies of runs, with n_lines and removed (line numbers from 0).
 
     Lines are split at ``\\n``; runs of blank lines only are no runs. The first copy is the one with the smallest id, then
     the earliest row; null ids come last. Copies inside one text count. A null text stays null and has no lines; an empty one
     has one. A text of which everything goes becomes empty. Repeated rows are copies of each other. All other columns stay,
-    whatever their names. An empty table gives an empty result.
+    but for those that have the names of the results. An empty table gives an empty result.
     """
-    held = numbered(docs, "lines")
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
-    keyed = held.where(F.col(f"`{text_col}`").contains("\n")).select("_row", own.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    inner, names = shielded(docs)
+    held = numbered(inner, "lines")
+    text_col, id_col = names[text_col], names[id_col]
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    keyed = held.where(F.col(text_col).contains("\n")).select("_row", own.alias("id"), F.col(text_col).alias("text"))
     runs = written(keyed.mapInArrow(_run_rows, "_row long, id long, idx int, run binary"), "runs")
     firsts = written(
         runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("id", "_row", "idx")).alias("first")).where("n > 1")
@@ -143,6 +145,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     copies = later.join(bodies, "run").groupBy("_row").agg(F.collect_list(F.struct("idx", "body")).alias("later"))
     joined = packed.join(copies.hint("merge"), "_row", "left")
     out = [T.StructField(c, held.schema[c].dataType) for c in joined.columns if c != "later"]
-    return joined.mapInArrow(
+    done = joined.mapInArrow(
         _strip(text_col),
         T.StructType([*out, T.StructField("_lines", T.LongType()), T.StructField("_removed", T.ArrayType(T.IntegerType()))]))
+    return unshielded(done, names, {"n_lines": F.col("_lines"), "removed": F.col("_removed")})

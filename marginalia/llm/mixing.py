@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import written
+from marginalia.llm.common import shielded, unshielded, written
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = ""
@@ -56,10 +56,10 @@ def rake(
             sums = held.groupBy(F.col(d).alias("value")).agg(mass.alias("mass"))
             total = held.agg(mass.alias("all"))
             scale = sums.join(total).join(targets[d], "value", "left").select(
-                "value", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("mass") / F.col("all")).alias("share"))
+                "value", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce(F.try_divide("mass", "all"), F.lit(0.0)).alias("share"))
             scale = scale.select(
                 F.col("value").alias(d), F.abs(F.col("share") - F.col("target")).alias(f"off_{d}"),
-                F.when(F.col("share") > 0, F.col("target") / F.col("share")).otherwise(1.0).alias("by"))
+                F.coalesce(F.try_divide("target", "share"), F.lit(1.0)).alias("by"))
             held = held.join(scale, d).withColumn("factor", F.col("factor") * F.col("by")).drop("by")
             off = F.col(f"off_{d}") if off is None else F.greatest(off, F.col(f"off_{d}"))
         held = written(held.withColumn("off", off).drop(*[f"off_{d}" for d in targets]), "raked")
@@ -80,29 +80,34 @@ def mixed(
     seed: int = 7,
     power: float = 0.7,
 ) -> DataFrame:
-    """The rows of ``docs`` with _topic, _tokens, _probability and _kept.
+    """The rows of ``docs`` with topic, tokens, probability and drawn.
 
-    ``docs`` has source and lang. Null values of a dimension are one value of their own, the empty string. The draw compares a hash of the
-    key, the text and ``seed`` with the probability, so repeated rows share one fate and a retry draws the same. Documents
-    without words weigh nothing and get the probability of their cell. Without ``targets``, each dimension is flattened by
-    ``power``. An empty table gives an empty result.
+    ``docs`` has source and lang. Null values of a dimension are one value of their own, the empty string. The draw compares
+    a hash of the key, the text and ``seed`` with the probability, so repeated rows share one fate and a retry draws the
+    same. Documents without words weigh nothing and get the probability of their cell. Without ``targets``, each dimension
+    is flattened by ``power``. All columns stay, but for those that have the names of the results; a given column "topic"
+    can be passed as ``topic``. An empty table gives an empty result.
     """
-    text = F.col(f"`{text_col}`")
-    marked = docs.withColumns({
-        "_source": F.coalesce(F.col("source"), F.lit(NONE)), "_lang": F.coalesce(F.col("lang"), F.lit(NONE)),
-        "_topic": F.coalesce(topic if topic is not None else topic_bucket(text), F.lit(NONE)), "_tokens": count_words(text),
+    label = topic if topic is not None else topic_bucket(F.col(f"`{text_col}`"))
+    inner, names = shielded(docs.withColumn("given topic", label))
+    text = F.col(names[text_col])
+    marked = inner.withColumns({
+        "_source": F.coalesce(F.col(names["source"]).cast("string"), F.lit(NONE)),
+        "_lang": F.coalesce(F.col(names["lang"]).cast("string"), F.lit(NONE)),
+        "_topic": F.coalesce(F.col(names.pop("given topic")).cast("string"), F.lit(NONE)), "_tokens": count_words(text),
     })
-    names = {d: f"_{d}" for d in DIMENSIONS}
+    inside = {d: f"_{d}" for d in DIMENSIONS}
     cells = written(
-        marked.groupBy(*[F.col(c).alias(d) for d, c in names.items()]).agg(F.sum("_tokens").alias("tokens")), "cells")
+        marked.groupBy(*[F.col(c).alias(d) for d, c in inside.items()]).agg(F.sum("_tokens").alias("tokens")), "cells")
     wanted = targets or {d: written(flattened(cells, d, power), "targets") for d in DIMENSIONS}
     raked, _ = rake(cells, wanted)
     largest = raked.agg(F.max("factor").alias("largest"))
     chances = written(
         raked.join(largest).select(
-            *[F.col(d).alias(c) for d, c in names.items()],
-            F.when(F.col("largest") > 0, F.col("factor") / F.col("largest")).otherwise(0.0).alias("_probability")),
+            *[F.col(d).alias(c) for d, c in inside.items()],
+            F.coalesce(F.try_divide("factor", "largest"), F.lit(0.0)).alias("_probability")),
         "chances")
-    draw = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key_cols], text, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    drawn = marked.join(chances, list(names.values()))
-    return drawn.withColumn("_kept", draw < F.col("_probability")).drop("_source", "_lang")
+    draw = F.pmod(F.xxhash64(*[F.col(names[k]) for k in key_cols], text, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    return unshielded(marked.join(chances, list(inside.values())), names, {
+        "topic": F.col("_topic"), "tokens": F.col("_tokens"), "probability": F.col("_probability"),
+        "drawn": draw < F.col("_probability")})

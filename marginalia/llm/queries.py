@@ -79,8 +79,8 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
-        "doc_id", F.col("_lines").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"),
-        F.array_join("_removed", ",").alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
 
 
@@ -133,8 +133,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
-        F.round("_probability", 9).alias("probability"), F.col("_kept").alias("kept"),
+        "doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"),
+        F.round("probability", 9).alias("probability"), F.col("drawn").alias("kept"),
     )
 
 
