@@ -12,22 +12,22 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.llm.common import written
+from marginalia.llm.common import slices, written
 
 #: A border falls where the top ``BITS`` bits of the rolling hash over ``SPAN`` bytes are zero, ``LEAST`` bytes apart.
 SPAN, BITS, LEAST = 32, 10, 256
 #: Cores below this many bytes are not worth a row.
 SMALL = 64
-#: Bytes of text handled at a time.
-SLICE = 1 << 20
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 13, 32]] = True
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -78,18 +78,6 @@ def cores_of(texts: list[bytes]) -> list[list[tuple[int, int]]]:
     return found
 
 
-def _slices(sizes: Iterable[int]) -> Iterator[slice]:
-    """Runs of rows of about ``SLICE`` bytes in all."""
-    first = total = n = 0
-    for n, size in enumerate(sizes, 1):  # noqa: B007
-        total += size
-        if total >= SLICE:
-            yield slice(first, n)
-            first, total = n, 0
-    if n > first:
-        yield slice(first, n)
-
-
 def _digest(core: bytes) -> bytes:
     return hashlib.blake2b(core, digest_size=16).digest()
 
@@ -97,7 +85,7 @@ def _digest(core: bytes) -> bytes:
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys, texts = b["key"].to_pylist(), [t.as_buffer() for t in b["text"].cast(pa.binary())]
-        for s in _slices(map(len, texts)):
+        for s in slices(map(len, texts)):
             part = [t.to_pybytes() for t in texts[s]]
             rows = [
                 (key, i, _digest(text[x:y]))
@@ -122,19 +110,83 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [unpack(t) for t in column.to_pylist()]
 
 
-def _ids(tokenizer, pieces: list[bytes]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+class Encoder:
+    """Encodes many pieces at once: each distinct word of a batch is given to the tokenizer once.
+
+    Words are what stands between ASCII white space; a blank is also put between an ASCII letter and a mark behind it, where
+    the tokenizer splits anyway. Pieces with the beginning of a special token are encoded as they are.
+    """
+
+    JOINED = 500
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+        if self.tokenizer.decoder is not None:
+            raise ValueError("the tokens of a text must be decoded one by one and joined by blanks")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        words = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.ends = np.array([w.endswith("</w>") for w in words])
+        self.vocabulary = pa.array(words, pa.string())
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of letters, many in one call: each is one unit of the tokenizer, whose last token has the word end."""
+        out: list[list[int]] = []
+        for i in range(0, len(words), self.JOINED):
+            part = words[i : i + self.JOINED]
+            ids = self._plain([" ".join(part)])[0]
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            # Every word has an end at least, so that equal numbers mean one each.
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                out += [ids[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
+            else:
+                out += self._plain(part)
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece."""
+        own = [i for i, p in enumerate(pieces) if b"<|" in p]
+        texts = pa.array([b"" if b"<|" in p else p for p in pieces], pa.binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2"))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        letters = pc.utf8_is_alpha(coded.dictionary).to_pylist()
+        found: list[list[int]] = [[]] * len(words)
+        for group, how in ((True, self._letters), (False, self._plain)):
+            at = [i for i, alpha in enumerate(letters) if alpha is group and words[i]]
+            for i, ids in zip(at, how([words[i] for i in at]), strict=True):
+                found[i] = ids
+        sizes = np.array([len(f) for f in found], dtype=np.int64)
+        flat = np.fromiter((i for f in found for i in f), dtype="<u4", count=int(sizes.sum()))
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[index]
+        ends = np.append(0, np.cumsum(counts))
+        source = np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], counts) + np.arange(ends[-1])
+        ids = flat[source]
+        bounds = ends[split.offsets.to_numpy()]
+        out = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i, e in zip(own, self._plain([pieces[i].decode() for i in own]), strict=True):
+            out[i] = np.array(e, dtype="<u4")
+        return out
+
+    def decode(self, ids: list[np.ndarray]) -> pa.Array:
+        """The tokens of each list of ids, joined by blanks."""
+        offsets = np.append(0, np.cumsum([len(i) for i in ids]))
+        tokens = self.vocabulary.take(pa.array(np.concatenate([np.array([], "<u4"), *ids])))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
 
 
 def _encode_shared(path: str):
     """Rows of packed texts with the chunks that each is to encode for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
+        encoder = None
         seen: set[bytes] = set()
         for b in batches:
-            tokenizer = tokenizer or _tokenizer(path)
-            for s in _slices(8 * len(t) for t in b["text"].to_pylist()):
+            encoder = encoder or Encoder(path)
+            for s in slices(3 * len(t) for t in b["text"].to_pylist()):
                 part = b.slice(s.start, s.stop - s.start)
                 texts = _unpacked(part["text"])
                 chunks, pieces = [], []
@@ -147,7 +199,7 @@ def _encode_shared(path: str):
                         chunks.append(one["chunk"])
                         pieces.append(text[x:y])
                     seen.add(key)
-                ids = [zstandard.compress(np.array(i, dtype="<u4").tobytes(), 3) for i in _ids(tokenizer, pieces)]
+                ids = [zstandard.compress(i.tobytes(), 3) for i in encoder.encode(pieces)]
                 yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "ids"])
 
     return run
@@ -156,10 +208,10 @@ def _encode_shared(path: str):
 def _assemble(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        tokenizer = None
+        encoder = None
         for b in batches:
-            tokenizer = tokenizer or _tokenizer(path)
-            for s in _slices(4 * len(t) for t in b["text"].to_pylist()):
+            encoder = encoder or Encoder(path)
+            for s in slices(3 * len(t) for t in b["text"].to_pylist()):
                 part = b.slice(s.start, s.stop - s.start)
                 texts = _unpacked(part["text"])
                 plans, pieces = [], []
@@ -178,19 +230,14 @@ def _assemble(path: str):
                         plan.append(len(pieces))
                         pieces.append(text[at:])
                     plans.append(plan)
-                fresh = _ids(tokenizer, pieces)
-                packed, decoded, counts = [], [], []
-                for plan in plans:
-                    ids = np.concatenate([
-                        np.array([], dtype="<u4"),
-                        *[np.array(fresh[p], dtype="<u4") if isinstance(p, int) else np.frombuffer(unpack(p), "<u4")
-                          for p in plan]])
-                    counts.append(len(ids))
-                    packed.append(ids.tobytes())
-                    decoded.append(tokenizer.decode(ids.tolist(), skip_special_tokens=False))
+                fresh = encoder.encode(pieces)
+                ids = [
+                    np.concatenate([np.array([], "<u4"), *[
+                        fresh[p] if isinstance(p, int) else np.frombuffer(unpack(p), "<u4") for p in plan]])
+                    for plan in plans]
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())],
-                    ["id", "n_tokens", "ids", "decoded"])
+                    [part["id"], pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()),
+                     encoder.decode(ids)], ["id", "n_tokens", "ids", "decoded"])
 
     return run
 
@@ -212,10 +259,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     chunks = written(keyed.select("key", "text").mapInArrow(_chunk_rows, "key binary, idx int, chunk binary"), "chunks")
     shared = chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("key", "idx")).alias("first")).where("n > 1")
     owners = shared.groupBy("first.key").agg(F.collect_list(F.struct(F.col("first.idx").alias("idx"), "chunk")).alias("own"))
-    packed = keyed.mapInArrow(_packed_rows, f"id {id_type}, key binary, text binary")
+    # A key that cannot be null needs no filter before a join, so that both joins below share one exchange of the texts.
+    packed = keyed.mapInArrow(_packed_rows, T.StructType([
+        T.StructField("id", keyed.schema["id"].dataType), T.StructField("key", T.BinaryType(), False),
+        T.StructField("text", T.BinaryType())]))
 
-    encoded = packed.join(owners, "key").mapInArrow(_encode_shared(tokenizer), "chunk binary, ids binary")
+    encoded = packed.join(owners.hint("merge"), "key").mapInArrow(_encode_shared(tokenizer), "chunk binary, ids binary")
     known = chunks.join(encoded, "chunk").groupBy("key").agg(F.collect_list(F.struct("idx", "ids")).alias("known"))
-    result = packed.join(known, "key", "left").select("id", "text", "known").mapInArrow(
+    result = packed.join(known.hint("merge"), "key", "left").select("id", "text", "known").mapInArrow(
         _assemble(tokenizer), f"id {id_type}, n_tokens long, ids binary, decoded string")
     return result.withColumnRenamed("id", id_col)
