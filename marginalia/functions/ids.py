@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from marginalia.config import CHARS_PER_TOKEN
 
 CORE_DATA_EPOCH = 978307200
-MAX_OFFSET = 1_000_000_000
 DEFAULT_TOKENS = 512
 MIN_TOKENS = 256
 
@@ -86,7 +85,7 @@ def decode_cursor(cursor: str | None) -> int:
         offset = int(base64.urlsafe_b64decode(cursor.encode()).decode())
     except (binascii.Error, UnicodeError, ValueError):
         raise ValueError(f"invalid cursor: {cursor!r}") from None
-    if not 0 <= offset <= MAX_OFFSET:
+    if offset < 0:
         raise ValueError(f"invalid cursor: {cursor!r}")
     return offset
 
@@ -102,8 +101,9 @@ def index_time(seconds: Column) -> Column:
 
 
 def display_time(ts: Column) -> Column:
-    """Minute precision, blank for the Unix epoch and for null."""
-    shown = F.date_format(ts, "yyyy-MM-dd HH:mm")
+    """Minute precision in UTC whatever the session's zone, blank for the Unix epoch and for null."""
+    moved = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp").cast("timestamp_ntz"))
+    shown = F.date_format(moved, "yyyy-MM-dd HH:mm")
     return F.when(ts.isNull() | (F.unix_timestamp(ts) == 0), "").otherwise(shown)
 
 

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from marginalia import schema
 from marginalia.functions import ids
-
-MAX_DEPTH = 4096
+from marginalia.session import settled
 
 
 # -- folders -----------------------------------------------------------------
 
 
-def _not_marked() -> Column:
+def not_marked() -> Column:
     return ~F.coalesce(F.col("marked"), F.lit(False))
 
 
@@ -32,7 +31,7 @@ def _deletes(changes: DataFrame, entity: int) -> DataFrame:
 
 def live_folders(folders: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """Named, unmarked folders; a logged delete counts only without a server record."""
-    live = folders.where(F.col("name").isNotNull() & _not_marked())
+    live = folders.where(F.col("name").isNotNull() & not_marked())
     if changes is None:
         return live
     confirmed = F.coalesce(F.col("has_server_record"), F.lit(False))
@@ -53,7 +52,7 @@ def visible_folders(folders: DataFrame, changes: DataFrame | None = None) -> Dat
 
 
 def ghost_folders(folders: DataFrame) -> DataFrame:
-    return folders.where(F.col("name").isNotNull() & _not_marked() & _is_ghost())
+    return folders.where(F.col("name").isNotNull() & not_marked() & _is_ghost())
 
 
 def trash_folders(folders: DataFrame) -> DataFrame:
@@ -69,27 +68,38 @@ def folder_is_shared(folders: DataFrame) -> DataFrame:
     return folders.where(F.coalesce(F.col("shared"), F.lit(False)))
 
 
-def folder_paths(folders: DataFrame) -> DataFrame:
-    """``pk, path, depth`` of every folder that hangs from a root.
+def climbed(tree: DataFrame, with_path: bool = False) -> DataFrame:
+    """``pk, top, depth`` (and ``path``) of every folder of ``pk, parent_pk, name`` that hangs from a root.
 
-    A folder whose parent is not among ``folders`` is a root. The recursion walks down one level per
-    step, so members of a parent cycle are never reached; see :func:`cyclic_folders`.
+    A folder whose parent is not in ``tree`` is a root. Each step joins a folder's stretch of ancestors to the stretch of its
+    topmost one, so that the number of joins is the logarithm of the depth, whatever it is, and the source is read once. What has
+    no root after as many steps as the number of folders allows is on or below a cycle and left out.
     """
-    tree = folders.select("pk", "name", "parent_pk")
-    parents = tree.select(F.col("pk").alias("known"))
-    edges = tree.join(parents, F.col("parent_pk") == F.col("known"), "left")
-    return folders.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(pk, path, depth) MAX RECURSION LEVEL {MAX_DEPTH} AS (
-            SELECT pk, name, 0 FROM {{edges}} WHERE known IS NULL
-            UNION ALL
-            SELECT e.pk, concat(w.path, '/', e.name), w.depth + 1
-            FROM {{edges}} e JOIN walk w ON e.known = w.pk
-        )
-        SELECT pk, path, depth FROM walk
-        """,
-        edges=edges,
-    )
+    tree = settled(tree.select("pk", "parent_pk", "name"))
+    known = tree.select(F.col("pk").alias("_known"))
+    start = tree.join(known, F.col("parent_pk") == F.col("_known"), "left")
+    stretch = settled(start.select("pk", F.col("_known").alias("up"), F.col("pk").alias("top"), F.lit(0).alias("depth"), F.col("name").alias("path")))
+    steps = max(1, stretch.count()).bit_length() + 1
+    if with_path:
+        # Paths are only built where they end, as those within a cycle would double in length at each step.
+        stretch = settled(stretch.join(climbed(tree).select("pk"), "pk", "left_semi"))
+    while steps and stretch.where(F.col("up").isNotNull()).limit(1).count():
+        above = stretch.select(
+            F.col("pk").alias("_pk"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        rows = stretch.join(above, F.col("up") == F.col("_pk"), "left")
+        stretch = settled(rows.select(
+            "pk", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"),
+            (F.col("depth") + F.coalesce(F.col("_depth") + 1, F.lit(0))).alias("depth"),
+            (F.concat_ws("/", "_path", "path") if with_path else F.lit("")).alias("path"),
+        ))
+        steps -= 1
+    rooted = stretch.where(F.col("up").isNull())
+    return rooted.select("pk", "top", "depth", *(["path"] if with_path else []))
+
+
+def folder_paths(folders: DataFrame) -> DataFrame:
+    """``pk, path, depth`` of every folder that hangs from a root; see :func:`cyclic_folders` for the others."""
+    return climbed(folders, with_path=True).select("pk", "path", "depth")
 
 
 def cyclic_folders(folders: DataFrame, paths: DataFrame) -> DataFrame:
@@ -100,7 +110,7 @@ def cyclic_folders(folders: DataFrame, paths: DataFrame) -> DataFrame:
 def note_counts(notes: DataFrame) -> DataFrame:
     """Unmarked notes directly in each folder."""
     return (
-        notes.where(F.col("title").isNotNull() & _not_marked())
+        notes.where(F.col("title").isNotNull() & not_marked())
         .groupBy("folder_pk")
         .agg(F.count("*").alias("note_count"))
     )
@@ -172,7 +182,7 @@ def share_role(shared: Column, zone_owner: Column) -> Column:
 def live_notes(notes: DataFrame, folders: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """Titled, unmarked notes in a live folder; a note without a folder is not live."""
     homes = live_folders(folders, changes).select(F.col("pk").alias("folder_pk"))
-    titled = notes.where(F.col("title").isNotNull() & _not_marked())
+    titled = notes.where(F.col("title").isNotNull() & not_marked())
     return titled.join(homes, "folder_pk", "left_semi")
 
 
@@ -203,10 +213,14 @@ def select_notes(
     ``scope`` is a frame of folder keys; an explicit scope reaches into the trash without
     ``include_trash``.
     """
-    rows = live_notes(within(notes, after, before), folders, changes)
+    # All that depends on the folder is settled among folders first, which leaves one join for the notes.
+    homes = live_folders(folders, changes).select("pk")
     if scope is not None:
-        return rows.join(scope.select(F.col("pk").alias("folder_pk")), "folder_pk", "left_semi")
-    return rows if include_trash else without_trash(rows, folders)
+        homes = homes.join(scope.select("pk"), "pk", "left_semi")
+    elif not include_trash:
+        homes = homes.join(trash_folders(folders), "pk", "left_anti")
+    titled = within(notes, after, before).where(F.col("title").isNotNull() & not_marked())
+    return titled.join(homes.withColumnRenamed("pk", "folder_pk"), "folder_pk", "left_semi")
 
 
 def with_path(notes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -231,7 +245,7 @@ def attachment_counts(attachments: DataFrame) -> DataFrame:
 
 def note_states(notes: DataFrame, pks: DataFrame, include_marked: bool = False) -> DataFrame:
     """State of the given notes; marked rows are hidden unless asked for."""
-    rows = notes if include_marked else notes.where(_not_marked())
+    rows = notes if include_marked else notes.where(not_marked())
     return rows.where(F.col("title").isNotNull()).join(pks.select("pk"), "pk", "left_semi").select(
         "pk", "id", "title", "folder_pk", "modified", "marked", "pinned", "locked", "shared",
         share_role(F.col("shared"), F.col("zone_owner")).alias("share_role"),
@@ -242,9 +256,14 @@ def index_source(
     notes: DataFrame, folders: DataFrame, changes: DataFrame | None = None, include_all: bool = False
 ) -> DataFrame:
     """Input of the indexer: node key, leaf folder name, whole seconds, body hidden when locked."""
-    rows = notes if include_all else without_trash(live_notes(notes, folders, changes), folders)
-    leaf = folders.select(F.col("pk").alias("folder_pk"), F.col("name").alias("folder"))
-    return rows.where(F.col("id").isNotNull()).join(leaf, "folder_pk", "left").select(
+    leaf = folders.select("pk", F.col("name").alias("folder"))
+    if include_all:
+        rows = notes.join(leaf.withColumnRenamed("pk", "folder_pk"), "folder_pk", "left")
+    else:
+        homes = live_folders(folders, changes).select("pk").join(trash_folders(folders), "pk", "left_anti").join(leaf, "pk")
+        titled = notes.where(F.col("title").isNotNull() & not_marked())
+        rows = titled.join(homes.withColumnRenamed("pk", "folder_pk"), "folder_pk")
+    return rows.where(F.col("id").isNotNull()).select(
         "id",
         F.col("pk").alias("z_pk"),
         "title",

@@ -231,8 +231,8 @@ def best_first() -> list[Column]:
     return [F.round("score", 12).desc(), F.col("node_id")]
 
 
-def top(scored: DataFrame, limit: int) -> DataFrame:
-    return scored.orderBy(*best_first()).limit(limit)
+def top(scored: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    return scored.orderBy(*best_first()).offset(offset).limit(limit)
 
 
 # -- excerpts ----------------------------------------------------------------

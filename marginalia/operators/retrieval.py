@@ -11,8 +11,6 @@ from marginalia.functions.vectors import cosine_similarity, l2_distance
 from marginalia.operators import fulltext
 
 RRF_K = 60
-OVERFETCH = 4
-LEAST_POOL = 20
 EXCERPT_CHARS = 200
 NOTE_ONLY = "_note_only::"
 UNIQUE = ("notes", "chunks")
@@ -24,10 +22,27 @@ def distances(chunks: DataFrame, vector: Sequence[float], embedding: str = "embe
     return rows.withColumn("distance", l2_distance(F.col(embedding), vector)).withColumn("score", 1 - F.col("distance"))
 
 
-def knn(chunks: DataFrame, vector: Sequence[float], limit: int) -> DataFrame:
-    """The ``limit`` nearest chunks with their true cosine; ties go to the lower id."""
-    near = distances(chunks, vector).orderBy("distance", "id").limit(limit)
-    return near.withColumn("cosine", cosine_similarity(F.col("embedding"), vector)).drop("embedding")
+def _page_of(chunks: DataFrame, near: DataFrame, vector: Sequence[float]) -> DataFrame:
+    """The stored columns of the few chunks in ``near`` (id, distance, score), and their true cosine."""
+    rows = chunks.join(near.select("id", "distance", "score"), "id")
+    return rows.withColumn("cosine", cosine_similarity(F.col("embedding"), vector)).drop("embedding")
+
+
+def knn(chunks: DataFrame, vector: Sequence[float], limit: int, offset: int = 0) -> DataFrame:
+    """The ``limit`` nearest chunks with their true cosine; ties go to the lower id.
+
+    Only ids and vectors are read to find them; the other columns follow for the page alone.
+    """
+    slim = distances(chunks.select("id", "embedding"), vector).drop("embedding")
+    near = slim.orderBy("distance", "id").offset(offset).limit(limit)
+    return _page_of(chunks, near, vector)
+
+
+def nearest_notes(chunks: DataFrame, vector: Sequence[float], limit: int, offset: int = 0) -> DataFrame:
+    """The ``limit`` nearest notes, each with its nearest chunk, among all chunks."""
+    slim = distances(chunks.select("id", "node_id", "embedding"), vector).drop("embedding")
+    best = slim.groupBy("node_id").agg(F.min(F.struct("distance", "id", "score")).alias("best")).select("best.*")
+    return _page_of(chunks, best.orderBy("distance", "id").offset(offset).limit(limit), vector)
 
 
 def held(page: DataFrame) -> DataFrame:
@@ -51,13 +66,11 @@ def _checked(unique: str) -> None:
         raise ValueError(f"invalid unique: {unique!r}. Supported: 'notes', 'chunks'.")
 
 
-def semantic(chunks: DataFrame, vector: Sequence[float], limit: int, unique: str = "notes") -> DataFrame:
-    """Nearest chunks, or the nearest notes among four times as many chunks."""
+def semantic(chunks: DataFrame, vector: Sequence[float], limit: int, unique: str = "notes", offset: int = 0) -> DataFrame:
+    """The nearest chunks, or the nearest notes by their nearest chunk; ``rank`` counts from 1 on every page."""
     _checked(unique)
-    pool = limit * OVERFETCH if unique == "notes" else limit
-    hits = ranked(knn(chunks, vector, pool), F.col("distance"), F.col("id"))
-    if unique == "notes":
-        hits = ranked(best_per_note(hits), F.col("rank")).where(F.col("rank") <= limit)
+    found = (nearest_notes if unique == "notes" else knn)(chunks, vector, limit, offset)
+    hits = ranked(found, F.col("distance"), F.col("id"))
     return hits.withColumn("excerpt", F.substring("content", 1, EXCERPT_CHARS))
 
 
@@ -73,10 +86,12 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     )
 
 
-def hybrid_lists(semantic_hits: DataFrame, lexical_hits: DataFrame, limit: int, unique: str = "notes") -> DataFrame:
+def hybrid_lists(
+    semantic_hits: DataFrame, lexical_hits: DataFrame, limit: int, unique: str = "notes", offset: int = 0
+) -> DataFrame:
     """Fuse ranked chunks (``rank, id, node_id, score``) with ranked notes (``rank, node_id, score``).
 
-    Both inputs are cut to the over-fetch of the query, a few hundred rows at most.
+    Both inputs are cut to the depth of the fusion; ``rank`` of the result is its place on the fused list.
     """
     _checked(unique)
     best = best_per_note(semantic_hits)
@@ -100,7 +115,8 @@ def hybrid_lists(semantic_hits: DataFrame, lexical_hits: DataFrame, limit: int,
     )
     scores = best.select("node_id", F.col("score").alias("semantic_score"))
     lexical = lexical_hits.select("node_id", F.col("score").alias("lexical_score"))
-    page = fused.orderBy(F.col("score").desc(), "first.list_no", "first.rank").limit(limit)
+    order = [F.col("score").desc(), F.col("first.list_no"), F.col("first.rank")]
+    page = ranked(fused.orderBy(*order).offset(offset).limit(limit), *order)
     stamped = page.join(scores, "node_id", "left").join(lexical, "node_id", "left")
     return stamped.drop("key", "first")
 
@@ -113,10 +129,16 @@ def hybrid(
     query: str,
     limit: int,
     unique: str = "notes",
+    depth: int | None = None,
+    offset: int = 0,
 ) -> DataFrame:
-    """Semantic and full-text results fused by rank, with the score of either source per note."""
-    pool = max(limit * OVERFETCH, LEAST_POOL)
-    near = held(semantic(chunks, vector, pool, unique="chunks").select("rank", "id", "node_id", "score"))
-    found = held(fulltext.top(fulltext.search(postings, stats, query), pool))
+    """Semantic and full-text results fused by rank, with the score of either source per note.
+
+    ``depth`` is the number of places of each list that take part: notes of both lists, or chunks of the semantic one with
+    ``unique="chunks"``. By default it is four times what is asked for, 20 at least; a deeper fusion may change the order.
+    """
+    depth = max(4 * (offset + limit), 20) if depth is None else depth
+    near = held(semantic(chunks, vector, depth, unique).select("rank", "id", "node_id", "score"))
+    found = held(fulltext.top(fulltext.search(postings, stats, query), depth))
     words = ranked(found, *fulltext.best_first())
-    return hybrid_lists(near, words, limit, unique)
+    return hybrid_lists(near, words, limit, unique, offset)

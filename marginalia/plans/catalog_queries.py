@@ -153,10 +153,10 @@ def attachment_counts(spark, sf_dir):
 
 @query(f"""
 WITH {NOTES} SELECT n.pk, title, locked, pinned FROM notes n
-WHERE pk IN (SELECT user_id FROM events WHERE event_type = 'purchase')
+WHERE pk IN (SELECT user_id FROM events)
 """)
 def note_states(spark, sf_dir):
-    asked = corpus.table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("pk"))
+    asked = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("pk"))
     return cat.note_states(corpus.notes(spark, sf_dir), asked).select("pk", "title", "locked", "pinned")
 
 

@@ -21,7 +21,7 @@ def path_key(path: Column) -> Column:
 
 
 def title_of(text: Column) -> Column:
-    return F.substring(F.substring_index(text, "\n", 1), 1, 60)
+    return F.substring_index(text, "\n", 1)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

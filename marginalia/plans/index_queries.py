@@ -111,12 +111,17 @@ def index_nodes(spark, sf_dir):
 # -- overlays ------------------------------------------------------------------
 
 _NOON = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
+# The clock stands at the last event.
 _EVENTS = """
-ev AS (SELECT *, ts + INTERVAL 6 HOUR AS deadline FROM events WHERE ts <= TIMESTAMP '2024-01-01 12:00:00')"""
+ev AS (SELECT *, ts + INTERVAL 6 HOUR AS deadline, max(ts) OVER () AS now FROM events)"""
+
+
+def _clock(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
 
 
 def _overlays(spark, sf_dir):
-    events = corpus.table(spark, sf_dir, "events").where(F.col("ts") <= F.lit(_NOON))
+    events = corpus.table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", ov.REMOVED).when(F.col("event_type") == "view", ov.COUNT)
     rows = events.select(
         kind.otherwise(ov.RENAMED).alias("kind"), F.col("user_id").alias("key"),
@@ -128,15 +133,15 @@ def _overlays(spark, sf_dir):
 @query(f"""WITH {_EVENTS}
 SELECT CASE event_type WHEN 'error' THEN 'removed' WHEN 'view' THEN 'count' ELSE 'renamed' END AS kind, user_id AS key,
   CAST(CAST(floor(arg_max(value, deadline)) AS BIGINT) AS VARCHAR) AS value
-FROM ev WHERE deadline > TIMESTAMP '2024-01-01 12:00:00' GROUP BY 1, 2""")
+FROM ev WHERE deadline > now GROUP BY 1, 2""")
 def overlay_active(spark, sf_dir):
-    return ov.active(_overlays(spark, sf_dir), _NOON).drop("deadline")
+    return ov.active(_overlays(spark, sf_dir), _clock(spark, sf_dir)).drop("deadline")
 
 
 @query(f"""WITH {_EVENTS} SELECT user_id AS key, CAST(sum(floor(value)) AS BIGINT) AS delta FROM ev WHERE event_type = 'view'
-GROUP BY 1 HAVING max(deadline) > TIMESTAMP '2024-01-01 12:00:00'""")
+GROUP BY 1 HAVING max(deadline) > max(now)""")
 def overlay_counts(spark, sf_dir):
-    return ov.count_deltas(_overlays(spark, sf_dir), _NOON)
+    return ov.count_deltas(_overlays(spark, sf_dir), _clock(spark, sf_dir))
 
 
 @query("""
@@ -162,7 +167,7 @@ def overlay_renames(spark, sf_dir):
 # Requests drawn from the events: notes by number, some malformed and some unknown.
 _REQUESTS = f"""{NOTES}, req AS (
   SELECT event_id AS request_no, CASE WHEN event_type = 'view' THEN 'f' ELSE 'p' END || (user_id * 3) AS note_id,
-    user_id * 3 AS pk, event_type = 'view' AS bad, event_type || ' ' || event_id AS new_title FROM events WHERE event_type <> 'click'
+    user_id * 3 AS pk, event_type = 'view' AS bad, event_type || ' ' || event_id AS new_title FROM events
 ), judged AS (
   SELECT r.*, CASE WHEN bad THEN 'not a note id: ''' || note_id || '''' WHEN n.pk IS NULL THEN 'note not found: ''' || note_id || ''''
     WHEN n.locked THEN 'refusing to {{verb}} locked note ''' || note_id || ''' — unlock it first'
@@ -172,7 +177,7 @@ _REQUESTS = f"""{NOTES}, req AS (
 
 
 def _requests(spark, sf_dir):
-    events = corpus.table(spark, sf_dir, "events").where("event_type <> 'click'")
+    events = corpus.table(spark, sf_dir, "events")
     letter = F.when(F.col("event_type") == "view", "f").otherwise("p")
     return events.select(
         F.col("event_id").alias("request_no"),

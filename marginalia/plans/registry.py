@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # Common table expressions shared by the SQL side.
 NOTES = """
 notes AS (
-  SELECT doc_id AS pk, 'doc-' || doc_id AS id, substr(split_part(text, chr(10), 1), 1, 60) AS title,
+  SELECT doc_id AS pk, 'doc-' || doc_id AS id, split_part(text, chr(10), 1) AS title,
          lang || '/' || source AS folder_path, 1704067200 + doc_id * 3600 AS modified,
          coalesce(quality, 0) = 1 AS pinned, coalesce(toxic, 0) = 1 AS locked, text AS body,
          source = 'src19' AS in_trash

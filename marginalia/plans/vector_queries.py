@@ -17,15 +17,18 @@ dist AS (
     list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {_PROBE})) AS distance,
     list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {_PROBE})) AS cosine
   FROM embeddings
-)"""
+), shown AS (SELECT *, substr(coalesce(text, ''), 1, 200) AS excerpt FROM dist LEFT JOIN documents ON doc_id = vec_id // 3)"""
 
 
 def _chunks(spark, sf_dir):
-    """Each vector as a chunk; three neighbours in the table belong to one note."""
+    """Each vector as a chunk; three neighbours in the table belong to one note, whose text they show."""
+    texts = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
     note = F.concat(F.lit("doc-"), F.floor(F.col("vec_id") / 3).cast("string"))
     number = F.lpad(F.col("vec_id").cast("string"), 9, "0")
-    return corpus.table(spark, sf_dir, "embeddings").select(
-        F.concat_ws("#", note, number).alias("id"), note.alias("node_id"), F.lit("").alias("content"), "embedding"
+    vectors = corpus.table(spark, sf_dir, "embeddings").withColumn("doc_id", F.floor(F.col("vec_id") / 3))
+    return vectors.join(texts, "doc_id", "left").select(
+        F.concat_ws("#", note, number).alias("id"), note.alias("node_id"),
+        F.coalesce("text", F.lit("")).alias("content"), "embedding",
     )
 
 
@@ -40,25 +43,25 @@ def vector_distances(spark, sf_dir):
     return rows.select("id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_DIST} SELECT id, round(distance, 6) AS distance, round(cosine, 6) AS cosine
-FROM dist ORDER BY dist.distance, id LIMIT 20""")
+@query(f"""WITH {_DIST} SELECT id, round(distance, 6) AS distance, round(cosine, 6) AS cosine,
+  coalesce(text, '') AS content FROM shown ORDER BY shown.distance, id LIMIT 20""")
 def knn_l2(spark, sf_dir):
     rows = rt.knn(_chunks(spark, sf_dir), _probe(spark, sf_dir), 20)
-    return rows.select("id", F.round("distance", 6).alias("distance"), F.round("cosine", 6).alias("cosine"))
+    return rows.select("id", F.round("distance", 6).alias("distance"), F.round("cosine", 6).alias("cosine"), "content")
 
 
-@query(f"""WITH {_DIST}, near AS (SELECT * FROM dist ORDER BY distance, id LIMIT 100),
-one AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY distance, id) AS n FROM near)
-SELECT node_id, id, round(1 - distance, 6) AS score FROM one WHERE n = 1 ORDER BY distance, id LIMIT 25""")
+@query(f"""WITH {_DIST},
+one AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY distance, id) AS n FROM shown)
+SELECT node_id, id, round(1 - distance, 6) AS score, excerpt FROM one WHERE n = 1 ORDER BY distance, id LIMIT 25""")
 def semantic_notes(spark, sf_dir):
     rows = rt.semantic(_chunks(spark, sf_dir), _probe(spark, sf_dir), 25)
-    return rows.select("node_id", "id", F.round("score", 6).alias("score"))
+    return rows.select("node_id", "id", F.round("score", 6).alias("score"), "excerpt")
 
 
-@query(f"WITH {_DIST} SELECT node_id, id, round(1 - distance, 6) AS score FROM dist ORDER BY distance, id LIMIT 25")
+@query(f"WITH {_DIST} SELECT node_id, id, round(1 - distance, 6) AS score, excerpt FROM shown ORDER BY distance, id LIMIT 25")
 def semantic_chunks(spark, sf_dir):
     rows = rt.semantic(_chunks(spark, sf_dir), _probe(spark, sf_dir), 25, unique="chunks")
-    return rows.select("node_id", "id", F.round("score", 6).alias("score"))
+    return rows.select("node_id", "id", F.round("score", 6).alias("score"), "excerpt")
 
 
 @query("""
@@ -78,7 +81,8 @@ _WORDS = "eres things ing"
 _LEXICAL = _bm25_sql("SELECT id, length, term AS phrase, col FROM tokens WHERE term IN ('er', 'thing', 'ing')", 3)
 _LISTS = f"""
 {_DIST}, lexical AS ({_LEXICAL.replace('round(', '(').replace('), 6) AS score', ')) AS score')}),
-near AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM dist ORDER BY distance, id LIMIT 80),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY distance, id) AS n FROM dist),
+near AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM NEAREST ORDER BY distance, id LIMIT 80),
 words AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, node_id) AS rank FROM lexical ORDER BY round(score, 12) DESC, node_id LIMIT 80),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY rank) AS n FROM near) WHERE n = 1)"""
 _FUSED = """
@@ -101,7 +105,7 @@ def _hybrid(spark, sf_dir, unique):
     return rows.select("node_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("score", "semantic_score", "lexical_score")])
 
 
-@query(f"""WITH {_LISTS}, mentions AS (
+@query(f"""WITH {_LISTS.replace('NEAREST', 'firsts WHERE n = 1')}, mentions AS (
   SELECT 0 AS list_no, row_number() OVER (ORDER BY rank) AS rank, node_id AS key, node_id, id AS chunk_id FROM best
   UNION ALL SELECT 1, rank, node_id, node_id, NULL FROM words
 ), {_FUSED}""")
@@ -109,7 +113,7 @@ def hybrid_notes(spark, sf_dir):
     return _hybrid(spark, sf_dir, "notes")
 
 
-@query(f"""WITH {_LISTS}, mentions AS (
+@query(f"""WITH {_LISTS.replace('NEAREST', 'dist')}, mentions AS (
   SELECT 0 AS list_no, rank, id AS key, node_id, id AS chunk_id FROM near
   UNION ALL
   SELECT 1, w.rank, coalesce(b.id, '_note_only::' || w.node_id), w.node_id, b.id

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -10,8 +12,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A folder tree may hold more than the default million rows per recursion.
-    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 
@@ -30,10 +30,12 @@ def build_session(
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, as named by the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for intermediate tables, as named by the cluster; a folder of our own only in a local session without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
+        root = tempfile.mkdtemp(prefix="marginalia-")
     return root.rstrip("/")
 
 
