@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import as_col, collapse_spaces, let
@@ -111,7 +112,12 @@ def java_pattern(pattern: str) -> str | None:
     # Java group names take no underscore.
     named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
     named = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", named)
-    return "(?iudU)" + named
+    named = "(?iudU)" + named
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(named)
+    except Py4JJavaError:
+        return None
+    return named
 
 
 def _python_search(pattern: str):

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from marginalia.config import EngineConfig, resolve_preset
 
 RESULT = "struct<vector:array<float>,reason:string,error:string>"
-MAX_ERROR = 500
+#: Texts that go to a model or an endpoint at a time.
+BATCH = 32
 
 
 class EmbedderDead(RuntimeError):
@@ -131,63 +132,94 @@ class OllamaEmbedder:
         raise AssertionError("unreachable")
 
     def open(self):
-        def one(text: str):
-            if len(text) // 4 + 1 > 2 * self.context:
-                return TooLong(f"text exceeds twice the context of {self.context} tokens")
+        def ask(texts: list[str]) -> list:
             try:
                 try:
-                    vector = self._post("/api/embed", {"model": self.model, "input": text})["embeddings"][0]
+                    return self._post("/api/embed", {"model": self.model, "input": texts})["embeddings"]
                 except urllib.error.HTTPError as exc:
                     if exc.code != 404:
                         raise
-                    vector = self._post("/api/embeddings", {"model": self.model, "prompt": text})["embedding"]
+                    # An older endpoint takes one text at a time.
+                    return [self._post("/api/embeddings", {"model": self.model, "prompt": t})["embedding"] for t in texts]
             except Exception as exc:
                 raise EmbedderDead(f"embedding endpoint failed: {exc}") from exc
-            return _unit(np.asarray(vector, dtype=np.float64))
 
-        return lambda texts: [one(t) for t in texts]
+        def embed(texts: list[str]) -> list:
+            out: list = [TooLong(f"text exceeds twice the context of {self.context} tokens") if len(t) // 4 + 1 > 2 * self.context else None for t in texts]
+            at = [i for i, known in enumerate(out) if known is None]
+            if at:
+                for i, vector in zip(at, ask([texts[i] for i in at]), strict=True):
+                    out[i] = _unit(np.asarray(vector, dtype=np.float64))
+            return out
+
+        return embed
 
 
 def create_embedder(config: EngineConfig, location: str | None = None) -> Embedder:
-    """Provider named by the settings; ``location`` is the model folder or the endpoint."""
+    """Provider named by the settings; ``location`` is the model folder or the endpoint. There is none by default."""
     if config.provider == "onnx":
         return OnnxEmbedder(location or resolve_preset(config.model)[0], config.dim)
     if config.provider == "ollama":
         return OllamaEmbedder(location or "http://localhost:11434", config.model, config.dim)
-    return HashedEmbedder(config.dim)
+    if config.provider == "hashed":
+        return HashedEmbedder(config.dim)
+    raise ValueError("no embedding provider is configured: onnx or ollama (hashed gives vectors without meaning, for tests)")
 
 
 def _outcome(result) -> dict:
     if isinstance(result, TooLong):
-        return {"vector": None, "reason": "too-long", "error": str(result)[:MAX_ERROR]}
+        return {"vector": None, "reason": "too-long", "error": str(result)}
     if isinstance(result, Exception):
-        return {"vector": None, "reason": "embed-error", "error": str(result)[:MAX_ERROR]}
+        return {"vector": None, "reason": "embed-error", "error": str(result)}
     return {"vector": result, "reason": None, "error": None}
 
 
+def _checked(results: list, dim: int) -> list:
+    """A vector of another width than the index holds stops the pass."""
+    for r in results:
+        if r is not None and not isinstance(r, Exception) and len(r) != dim:
+            raise EmbedderDead(f"the provider gave {len(r)} dimensions instead of {dim}")
+    return results
+
+
+def _in_slices(model, values: list[str], dim: int) -> list:
+    """Results in the order of ``values``; texts of like length go together, ``BATCH`` at a time."""
+    out: list = [None] * len(values)
+    order = sorted(range(len(values)), key=lambda i: len(values[i]))
+    for start in range(0, len(order), BATCH):
+        part = order[start : start + BATCH]
+        try:
+            results = _checked(model([values[i] for i in part]), dim)
+        except EmbedderDead:
+            raise
+        except Exception:
+            # One bad text spoils a batch; try the texts one by one.
+            results = []
+            for i in part:
+                try:
+                    results.extend(_checked(model([values[i]]), dim))
+                except EmbedderDead:
+                    raise
+                except Exception as exc:
+                    results.append(exc)
+        for i, result in zip(part, results, strict=True):
+            out[i] = result
+    return out
+
+
 def embed(texts: Column, embedder: Embedder) -> Column:
-    """Vector, or reason and error. A dead provider fails the job, so no half pass is published."""
+    """Vector, or reason and error; all null for a null text. A dead provider fails the job, so no half pass is published."""
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = embedder.open()
         for batch in batches:
-            values = batch.fillna("").tolist()
-            try:
-                results = model(values)
-            except EmbedderDead:
-                raise
-            except Exception:
-                # One bad text spoils a batch; try the texts one by one.
-                results = []
-                for value in values:
-                    try:
-                        results.extend(model([value]))
-                    except EmbedderDead:
-                        raise
-                    except Exception as exc:
-                        results.append(exc)
-            yield pd.DataFrame([_outcome(r) for r in results], columns=["vector", "reason", "error"])
+            values = batch.tolist()
+            asked = [i for i, v in enumerate(values) if isinstance(v, str)]
+            out = [{"vector": None, "reason": None, "error": None}] * len(values)
+            for i, result in zip(asked, _in_slices(model, [values[i] for i in asked], embedder.dim), strict=True):
+                out[i] = _outcome(result)
+            yield pd.DataFrame(out, columns=["vector", "reason", "error"])
 
     return run(texts)
 

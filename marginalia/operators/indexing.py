@@ -19,7 +19,6 @@ from marginalia.sources.snapshots import Snapshots
 
 # Fixed value: what the failure table says about a locked note.
 LOCKED_ERROR = "note is password-protected; body inaccessible"
-MAX_FAILURES = 20
 STATS = (
     "indexed", "skipped", "deleted", "chunks_embedded", "chunks_skipped", "chunks_failed",
 )
@@ -86,14 +85,14 @@ def tombstones(previous_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def embed_chunks(diffed: DataFrame, embedder: Embedder) -> DataFrame:
-    """Vectors for new and changed chunks; kept chunks never reach the provider."""
-    kept = diffed.where("state = 'kept'").withColumn("reason", F.lit(None).cast("string"))
-    kept = kept.withColumn("error", F.lit(None).cast("string"))
-    dirty = diffed.where("state <> 'kept'")
-    dirty = dirty.withColumn("_r", embed(embedding_text(F.col("heading"), F.col("content")), embedder))
-    dirty = dirty.withColumn("embedding", F.col("_r.vector"))
-    dirty = dirty.withColumn("reason", F.col("_r.reason")).withColumn("error", F.col("_r.error")).drop("_r")
-    return kept.unionByName(dirty)
+    """Vectors for new and changed chunks; of kept chunks the provider sees a null and does nothing."""
+    wanted = F.when(F.col("state") != "kept", embedding_text(F.col("heading"), F.col("content")))
+    rows = diffed.withColumn("_r", embed(wanted, embedder))
+    kept = F.col("state") == "kept"
+    return rows.withColumns({
+        "embedding": F.when(kept, F.col("embedding")).otherwise(F.col("_r.vector")),
+        "reason": F.when(~kept, F.col("_r.reason")), "error": F.when(~kept, F.col("_r.error")),
+    }).drop("_r")
 
 
 def failures(attempts: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
@@ -140,31 +139,36 @@ def pass_stats(attempts: DataFrame, stale: DataFrame, nodes: DataFrame, gone: Da
 
 @dataclass
 class Index:
-    """An index stored as snapshots under ``root``."""
+    """An index stored as snapshots under ``root``; with ``version``, that one only."""
 
     spark: SparkSession
     root: str
+    version: int | None = None
 
     def __post_init__(self):
         self.store = Snapshots(self.spark, self.root)
 
+    def pinned(self) -> Index:
+        """The index as it stands now: all its tables are of one version, whatever is published meanwhile."""
+        return Index(self.spark, self.root, self.store.current())
+
     def nodes(self) -> DataFrame:
-        return self.store.read("nodes", schema.NODES)
+        return self.store.read("nodes", schema.NODES, self.version)
 
     def chunks(self) -> DataFrame:
-        return self.store.read("chunks", schema.CHUNKS)
+        return self.store.read("chunks", schema.CHUNKS, self.version)
 
     def failed(self) -> DataFrame:
-        return self.store.read("failed_chunks", schema.FAILED)
+        return self.store.read("failed_chunks", schema.FAILED, self.version)
 
     def postings(self) -> DataFrame:
-        return self.store.read("postings")
+        return self.store.read("postings", version=self.version)
 
     def stats(self) -> DataFrame:
-        return self.store.read("corpus")
+        return self.store.read("corpus", version=self.version)
 
     def metadata(self) -> dict[str, str]:
-        rows = self.store.read("metadata", schema.METADATA)
+        rows = self.store.read("metadata", schema.METADATA, self.version)
         latest = rows.groupBy("key").agg(F.max_by("value", "updated_at").alias("value"))
         return {r["key"]: r["value"] for r in latest.collect()}
 
@@ -175,7 +179,7 @@ class Index:
         pass tries them again.
         """
         now = int(time.time())
-        version = (self.store.current() or 0) + 1
+        version = self.store.begin()
         known = self.metadata()
         self._check_width(known, embedder)
         previous, old_nodes = self.chunks(), self.nodes()
@@ -195,7 +199,8 @@ class Index:
 
         stale = stale_chunks(previous.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi"), attempts)
         counters = pass_stats(attempts, stale, nodes, gone).first().asDict()
-        counters["failures"] = self._some_failures(attempts)
+        # All of them, with whole messages, as a table.
+        counters["failures"] = attempts.where(F.col("reason").isNotNull()).select(F.col("id").alias("chunk_id"), "reason", "error")
         self.store.publish(version)
         return counters
 
@@ -222,19 +227,13 @@ class Index:
         self.store.write(ordered, version, "postings")
         self.store.write(fulltext.build_stats(nodes), version, "corpus")
 
-    @staticmethod
-    def _some_failures(attempts: DataFrame) -> list[dict]:
-        """A sample for the caller; the failure table holds them all."""
-        rows = attempts.where(F.col("reason").isNotNull()).orderBy("id").limit(MAX_FAILURES)
-        shown = rows.select(F.col("id").alias("chunk_id"), "reason", F.substring("error", 1, 200).alias("error"))
-        return [r.asDict() for r in shown.collect()]
-
     def status(self) -> dict:
+        here = self.pinned()
         counts = {
             name: frame.count()
-            for name, frame in (("nodes", self.nodes()), ("chunks", self.chunks()), ("failed_chunks", self.failed()))
+            for name, frame in (("nodes", here.nodes()), ("chunks", here.chunks()), ("failed_chunks", here.failed()))
         }
-        known = self.metadata()
+        known = here.metadata()
         return {
             **counts,
             "last_indexed_at": int(known["indexed_at"]) if "indexed_at" in known else None,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import html as H
@@ -17,7 +17,7 @@ _EMPTY_HEADING = r"\A\s*#+[^\S\n]*\n\s*"
 
 def _checked(fmt: str) -> None:
     if fmt not in FORMATS:
-        raise ValueError(f"invalid format: {fmt!r}")
+        raise ValueError(f"unknown format {fmt!r}; one of {', '.join(FORMATS)}")
 
 
 def render_bodies(rows: DataFrame, key: str, html: str, fmt: str = "markdown", decoded: DataFrame | None = None) -> DataFrame:
@@ -35,6 +35,13 @@ def render_bodies(rows: DataFrame, key: str, html: str, fmt: str = "markdown", d
     return shown.select(key, F.col("markdown").alias("body"))
 
 
+def plain_html(text: Column) -> Column:
+    """Text as one escaped block with its line ends; nothing for none."""
+    escaped = F.replace(F.replace(H.escape(text), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+    wrapped = F.concat(F.lit("<div>"), F.replace(escaped, F.lit("\n"), F.lit("<br>")), F.lit("</div>"))
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(wrapped)
+
+
 def parse_bodies(rows: DataFrame, key: str, body: str, fmt: str = "markdown") -> DataFrame:
     """``key, html`` to store for bodies given in a format."""
     _checked(fmt)
@@ -42,9 +49,7 @@ def parse_bodies(rows: DataFrame, key: str, body: str, fmt: str = "markdown") ->
         return markdown_to_html(rows, key, body)
     if fmt == "html":
         return rows.select(key, H.sanitize(F.col(body)).alias("html"))
-    escaped = F.replace(F.replace(H.escape(F.col(body)), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
-    wrapped = F.concat(F.lit("<div>"), F.replace(escaped, F.lit("\n"), F.lit("<br>")), F.lit("</div>"))
-    return rows.select(key, F.when(F.coalesce(F.col(body), F.lit("")) == "", "").otherwise(wrapped).alias("html"))
+    return rows.select(key, plain_html(F.col(body)).alias("html"))
 
 
 def apply_style_runs(documents: DataFrame, decoded: DataFrame, key: str) -> DataFrame:

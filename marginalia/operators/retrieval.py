@@ -25,7 +25,8 @@ def distances(chunks: DataFrame, vector: Sequence[float], embedding: str = "embe
 def _page_of(chunks: DataFrame, near: DataFrame, vector: Sequence[float]) -> DataFrame:
     """The stored columns of the few chunks in ``near`` (id, distance, score), and their true cosine."""
     rows = chunks.join(near.select("id", "distance", "score"), "id")
-    return rows.withColumn("cosine", cosine_similarity(F.col("embedding"), vector)).drop("embedding")
+    shown = rows.withColumn("cosine", cosine_similarity(F.col("embedding"), vector)).drop("embedding")
+    return shown.orderBy("distance", "id")
 
 
 def knn(chunks: DataFrame, vector: Sequence[float], limit: int, offset: int = 0) -> DataFrame:

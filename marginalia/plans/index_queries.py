@@ -169,9 +169,8 @@ _REQUESTS = f"""{NOTES}, req AS (
   SELECT event_id AS request_no, CASE WHEN event_type = 'view' THEN 'f' ELSE 'p' END || (user_id * 3) AS note_id,
     user_id * 3 AS pk, event_type = 'view' AS bad, event_type || ' ' || event_id AS new_title FROM events
 ), judged AS (
-  SELECT r.*, CASE WHEN bad THEN 'not a note id: ''' || note_id || '''' WHEN n.pk IS NULL THEN 'note not found: ''' || note_id || ''''
-    WHEN n.locked THEN 'refusing to {{verb}} locked note ''' || note_id || ''' — unlock it first'
-    WHEN n.in_trash THEN 'refusing to {{verb}} note ''' || note_id || ''' — it is in the trash. Restore it first.' END AS error
+  SELECT r.*, CASE WHEN bad THEN 'not-a-note: ' || note_id WHEN n.pk IS NULL THEN 'unknown-note: ' || note_id
+    WHEN n.locked THEN 'locked: ' || note_id WHEN n.in_trash THEN 'in-trash: ' || note_id END AS error
   FROM req r LEFT JOIN notes n ON n.pk = r.pk
 )"""
 
@@ -190,13 +189,13 @@ def _edit(spark, sf_dir, change, *rest):
     return change(corpus.notes(spark, sf_dir), corpus.folders(spark, sf_dir), _requests(spark, sf_dir), *rest, F.lit(_NOON))
 
 
-@query(f"""WITH {_REQUESTS.format(verb='rename')} SELECT request_no, note_id AS id,
+@query(f"""WITH {_REQUESTS} SELECT request_no, note_id AS id,
   CASE WHEN error IS NULL THEN 'renamed' ELSE 'skipped' END AS action, error FROM judged""")
 def rename_outcomes(spark, sf_dir):
     return _edit(spark, sf_dir, mu.rename_notes).outcomes
 
 
-@query(f"""WITH {_REQUESTS.format(verb='rename')}, won AS (
+@query(f"""WITH {_REQUESTS}, won AS (
   SELECT pk, arg_max(new_title, request_no) AS new_title FROM judged WHERE error IS NULL GROUP BY 1)
 SELECT n.pk, coalesce(w.new_title, n.title) AS title, w.pk IS NOT NULL AS touched FROM notes n LEFT JOIN won w ON n.pk = w.pk""")
 def rename_merge(spark, sf_dir):
@@ -204,14 +203,14 @@ def rename_merge(spark, sf_dir):
     return table.select("pk", "title", (F.col("modified") == F.lit(_NOON)).alias("touched"))
 
 
-@query(f"""WITH {_REQUESTS.format(verb='move')}, won AS (SELECT DISTINCT pk FROM judged WHERE error IS NULL)
+@query(f"""WITH {_REQUESTS}, won AS (SELECT DISTINCT pk FROM judged WHERE error IS NULL)
 SELECT n.pk, w.pk IS NOT NULL AS moved FROM notes n LEFT JOIN won w ON n.pk = w.pk""")
 def move_merge(spark, sf_dir):
     table = _edit(spark, sf_dir, mu.move_notes, 12345).table
     return table.select("pk", (F.col("folder_pk") == 12345).alias("moved"))
 
 
-@query(f"""WITH {_REQUESTS.format(verb='delete')}, won AS (SELECT DISTINCT pk FROM judged WHERE error IS NULL)
+@query(f"""WITH {_REQUESTS}, won AS (SELECT DISTINCT pk FROM judged WHERE error IS NULL)
 SELECT n.pk, w.pk IS NOT NULL AS deleted FROM notes n LEFT JOIN won w ON n.pk = w.pk""")
 def delete_merge(spark, sf_dir):
     folders = corpus.folders(spark, sf_dir)
@@ -222,6 +221,78 @@ def delete_merge(spark, sf_dir):
     return rows.select("pk", (F.coalesce("in_trash", F.lit(False)) & (F.col("folder_pk") != F.col("old"))).alias("deleted"))
 
 
+def _bodies(spark, sf_dir):
+    return _requests(spark, sf_dir).withColumnRenamed("new_title", "body")
+
+
+@query(f"""WITH {_REQUESTS} SELECT request_no, note_id AS id,
+  CASE WHEN error IS NULL THEN 'updated' ELSE 'skipped' END AS action, error FROM judged""")
+def update_outcomes(spark, sf_dir):
+    notes, folders = corpus.notes(spark, sf_dir), corpus.folders(spark, sf_dir)
+    return mu.update_notes(notes, folders, _bodies(spark, sf_dir), F.lit(_NOON), fmt="text").outcomes
+
+
+_WON = f"{_REQUESTS}, won AS (SELECT pk, arg_max(new_title, request_no) AS body FROM judged WHERE error IS NULL GROUP BY 1)"
+
+
+@query(f"""WITH {_WON} SELECT n.pk, coalesce(w.body, n.title) AS title, md5(coalesce(w.body, n.body)) AS body
+FROM notes n LEFT JOIN won w ON n.pk = w.pk""")
+def update_merge(spark, sf_dir):
+    notes, folders = corpus.notes(spark, sf_dir), corpus.folders(spark, sf_dir)
+    table = mu.update_notes(notes, folders, _bodies(spark, sf_dir), F.lit(_NOON), fmt="text").table
+    return table.select("pk", "title", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query(f"""WITH {_WON} SELECT n.pk, n.title, md5(CASE WHEN w.pk IS NULL THEN n.body ELSE concat_ws(chr(10), nullif(n.body, ''), w.body) END) AS body
+FROM notes n LEFT JOIN won w ON n.pk = w.pk""")
+def append_merge(spark, sf_dir):
+    notes, folders = corpus.notes(spark, sf_dir), corpus.folders(spark, sf_dir)
+    table = mu.update_notes(notes, folders, _bodies(spark, sf_dir), F.lit(_NOON), append=True, fmt="text").table
+    return table.select("pk", "title", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query(f"""WITH {NOTES}, top AS (SELECT max(pk) AS top FROM notes)
+SELECT pk, title, md5(body) AS body FROM notes
+UNION ALL SELECT top + event_id + 1, event_type, md5('value ' || event_id) FROM events, top""")
+def create_merge(spark, sf_dir):
+    requests = corpus.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_no"), F.col("event_type").alias("title"),
+        F.concat_ws(" ", F.lit("value"), F.col("event_id").cast("string")).alias("body"))
+    table = mu.create_notes(corpus.notes(spark, sf_dir), requests, 12345, F.lit(_NOON), fmt="text").table
+    return table.select("pk", "title", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query("""WITH top AS (SELECT max(s_suppkey) + 1000001 AS pk FROM supplier)
+SELECT s_suppkey + 1000000 AS pk, s_name AS name, s_nationkey + 1000 AS parent_pk FROM supplier
+UNION ALL SELECT n_nationkey + 1000, n_name, n_regionkey + 1 FROM nation
+UNION ALL SELECT r_regionkey + 1, r_name, NULL FROM region
+UNION ALL SELECT pk, 'Fresh', (SELECT CAST(r_regionkey + 1 AS BIGINT) FROM region WHERE r_name = 'ASIA') FROM top""")
+def folder_create(spark, sf_dir):
+    folders = corpus.world_folders(spark, sf_dir)
+    made, _ = mu.create_folder(folders, cat.list_folders(folders), "Fresh", "asia")
+    return made.select("pk", "name", F.col("parent_pk").cast("bigint").alias("parent_pk"))
+
+
+@query("""SELECT CAST(r_regionkey + 1 AS BIGINT) AS pk, CASE WHEN r_regionkey = 2 THEN 'East' ELSE r_name END AS name FROM region
+UNION ALL SELECT n_nationkey + 1000, n_name FROM nation UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier""")
+def folder_rename(spark, sf_dir):
+    folders = corpus.world_folders(spark, sf_dir)
+    return mu.rename_folder(folders, cat.list_folders(folders), "f3", "East").select("pk", "name")
+
+
+@query("""
+WITH gone AS (SELECT CAST(3 AS BIGINT) AS pk UNION ALL SELECT n_nationkey + 1000 FROM nation WHERE n_regionkey = 2
+  UNION ALL SELECT s_suppkey + 1000000 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2)
+SELECT l_orderkey * 10 + l_linenumber AS pk, CASE WHEN g.pk IS NULL THEN l_suppkey + 1000000 END AS folder_pk
+FROM lineitem LEFT JOIN gone g ON g.pk = l_suppkey + 1000000
+""")
+def folder_delete(spark, sf_dir):
+    """A region goes with all below it; without a trash folder its notes are left without a folder."""
+    folders = corpus.world_folders(spark, sf_dir).withColumn("shared", F.lit(False))
+    _, notes = mu.delete_folder(folders, corpus.world_notes(spark, sf_dir), cat.list_folders(folders), "f3", recursive=True)
+    return notes.select("pk", "folder_pk")
+
+
 @query("""
 WITH RECURSIVE tree AS (
   SELECT CAST(r_regionkey + 1 AS BIGINT) AS pk, CAST(NULL AS BIGINT) AS parent_pk FROM region

@@ -73,8 +73,9 @@ def normalise(entities: DataFrame, bodies: DataFrame | None = None, changes: Dat
     readable = F.when(~F.col("locked"), F.col("blob"))
     noted = noted.withColumn("body", F.when(~F.col("locked"), wire.body_text(readable))).drop("_data")
 
-    account = first_filled(e, ACCOUNT_KEYS)
-    folders = e.where(F.col("ZTITLE2").isNotNull()).select(
+    filed = e.where(F.col("ZTITLE2").isNotNull())
+    account = first_filled(filed, ACCOUNT_KEYS)
+    folders = filed.select(
         F.col("Z_PK").alias("pk"),
         F.col("ZIDENTIFIER").alias("id"),
         F.col("ZTITLE2").alias("name"),

@@ -3,33 +3,65 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "version bigint, created_at bigint"
+MANIFEST = "version bigint, created_at bigint, folder string"
+
+
+class PassOvertaken(RuntimeError):
+    """Another pass has published since this one began; its tables stay, this one's are not used."""
 
 
 class Snapshots:
-    """Parquet tables under ``root/v=<n>``; readers see the last version in the manifest.
+    """Parquet tables under ``root/<folder of a version>``; readers see the last version in the manifest.
 
-    Nothing that is being read is ever overwritten, and a pass that dies leaves no manifest row, so
-    its folder is simply ignored. There is one writer at a time.
+    Every pass writes to a folder with a name of its own, so that nothing is ever overwritten: neither what is being read nor
+    what another writer makes. A pass that dies leaves no manifest row, so its folder is ignored.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._begun: dict[int, str] = {}
 
-    def current(self) -> int | None:
+    def _last(self) -> tuple[int, str] | None:
+        """Version and folder of the last manifest row. Only a missing manifest means that there is none."""
         try:
-            rows = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest")
-            return rows.agg(F.max("version")).first()[0]
-        except AnalysisException:
-            return None
+            rows = self.spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{self.root}/manifest")
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        # The row with the highest version; of two, the earlier one was first to publish.
+        row = rows.agg(F.max_by(F.struct("version", "folder"), F.struct("version", -F.col("created_at"), "folder")).alias("last")).first()[0]
+        if row is None or row["version"] is None:
+            raise ValueError(f"the manifest under {self.root} holds no version")
+        return row["version"], row["folder"]
+
+    def current(self) -> int | None:
+        last = self._last()
+        return last[0] if last else None
+
+    def begin(self) -> int:
+        """Number of a new version, with a folder that nobody else writes to."""
+        version = (self.current() or 0) + 1
+        self._begun[version] = f"v={version}-{uuid.uuid4().hex[:12]}"
+        return version
+
+    def _folder(self, version: int) -> str:
+        if version in self._begun:
+            return self._begun[version]
+        last = self._last()
+        if last and last[0] == version:
+            return last[1]
+        rows = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest").where(F.col("version") == version)
+        return rows.orderBy("created_at").first()["folder"]
 
     def path(self, version: int, table: str) -> str:
-        return f"{self.root}/v={version}/{table}"
+        return f"{self.root}/{self._folder(version)}/{table}"
 
     def read(self, table: str, schema: str | None = None, version: int | None = None) -> DataFrame:
         """Table of a version, the current one by default; empty before the first pass."""
@@ -42,10 +74,12 @@ class Snapshots:
         return reader.parquet(self.path(version, table))
 
     def write(self, rows: DataFrame, version: int, table: str) -> DataFrame:
-        """Write one table of an unpublished version and read it back."""
-        rows.write.mode("overwrite").parquet(self.path(version, table))
+        """Write one table of a version that was begun here and read it back."""
+        rows.write.parquet(self.path(version, table))
         return self.spark.read.parquet(self.path(version, table))
 
     def publish(self, version: int) -> None:
-        row = self.spark.createDataFrame([(version, int(time.time()))], MANIFEST)
+        if (self.current() or 0) >= version:
+            raise PassOvertaken(f"version {version} has been published by another pass")
+        row = self.spark.createDataFrame([(version, int(time.time() * 1000), self._begun[version])], MANIFEST)
         row.coalesce(1).write.mode("append").json(f"{self.root}/manifest")

@@ -26,7 +26,8 @@ def _update(ttl_ms: int):
                     fresh = at < deadline
                     if kind == COUNT and fresh:
                         value = str(int(value or 0) + int(row.value))
-                    else:
+                    elif at + ttl_ms >= deadline:
+                        # The deadline tells when the value was set; a late, older row does not replace it.
                         value = row.value
                     deadline = max(deadline, at + ttl_ms)
             if deadline <= state.getCurrentWatermarkMs():

@@ -20,11 +20,13 @@ from marginalia.operators import catalog as cat
 from marginalia.operators import fulltext as ft
 from marginalia.operators import overlays as ov
 from marginalia.operators import retrieval as rt
+from marginalia.operators import mutations
 from marginalia.operators.embedding import EmbedderDead, HashedEmbedder, embed, embed_query
 from marginalia.operators.indexing import DimensionMismatch, Index
 from marginalia.plans.api import LOCKED_BODY, NotesEngine
 from marginalia.sources import notestore, sqlite_store
 from marginalia.streaming.feed import change_feed, watch
+from marginalia.sources.snapshots import PassOvertaken, Snapshots
 from marginalia.streaming.overlay_state import live_overlays
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -63,7 +65,7 @@ def engine(spark, tmp_path):
     return NotesEngine(
         spark, spark.createDataFrame(NOTES, schema.NOTES), spark.createDataFrame(FOLDERS, schema.FOLDERS),
         attachments=spark.createDataFrame([(2,), (2,)], "note_pk bigint"),
-        config=EngineConfig(index_root=str(tmp_path / "index"), dim=32, chunker=ChunkerConfig(200, 4, 5)),
+        config=EngineConfig(index_root=str(tmp_path / "index"), chunker=ChunkerConfig(200, 4, 5)), embedder=HashedEmbedder(32),
         clock=lambda: NOW,
     )
 
@@ -109,7 +111,7 @@ def test_scopes_and_ranges(engine):
     assert [n["id"] for n in engine.list_notes("Bin").results] == ["p4"]
     assert [n["id"] for n in engine.list_notes(modified_after="2024-01-04", modified_before="2024-01-05").results] == ["p1", "p2"]
     for bad in ("nope", "/"):
-        with pytest.raises(ValueError, match="folder not found"):
+        with pytest.raises(ValueError, match="unknown folder"):
             engine.list_notes(bad)
     assert [n["id"] for n in engine.recent(2)] == ["p1", "p2"]
 
@@ -142,8 +144,10 @@ def test_get_note(engine):
     assert [b.get("action") for b in batch] == [None, "skipped", "skipped"]
     with pytest.raises(ValueError):
         engine.get_note("p999")
-    with pytest.raises(ValueError, match="too many"):
-        engine.get_note(["p1"] * 21)
+    assert len(engine.get_note(["p1"] * 30)) == 30
+    assert engine.get_note("p1", format="html")["body"].startswith("<div>The budget")
+    with pytest.raises(ValueError, match="unknown format"):
+        engine.get_note("p1", format="pdf")
 
 
 # -- full text ---------------------------------------------------------------------
@@ -257,7 +261,7 @@ def test_index_passes(spark, tmp_path):
             (3, "Three", "locked words", True), (4, "Four", "a bad body", False), (5, "Five", "y" * 59, False)]
     first = index.reindex(source(spark, rows), embedder, config)
     assert (first["indexed"], first["skipped"], first["chunks_failed"], first["chunks_skipped"]) == (4, 1, 1, 0)
-    assert first["failures"] == [{"chunk_id": "n4#0", "reason": "embed-error", "error": "bad text"}]
+    assert [tuple(r) for r in first["failures"].collect()] == [("n4#0", "embed-error", "bad text")]
     chunks = {r["id"]: r for r in index.chunks().collect()}
     assert chunks["n2#0"]["content"] == "Two\nfolder: Work" and "n4#0" not in chunks and "n3#0" not in chunks
     assert {r["reason"] for r in index.failed().collect()} == {"locked", "embed-error"}
@@ -303,7 +307,7 @@ def test_engine_semantic(engine):
     fused = engine.hybrid_search("spring budget", limit=3)
     assert {"N-1", "N-2"} <= {r["id"] for r in fused.results}
     assert engine.hybrid_search("spring", unique="chunks").results
-    words = engine.fulltext_search("budget")
+    words = engine.fulltext_search("budget").results
     assert words[0]["node_id"] == "N-1" and ">>>budget<<<" in words[0]["excerpt"]
     assert engine.semantic_search(" ").total_estimate == 0
     assert len(embed_query(engine.embedder, "q")) == 32
@@ -436,15 +440,15 @@ def test_note_edits(spark, engine):
 
 def test_folder_edits(engine):
     assert engine.create_folder("Deep", "Work/Plans")["action"] == "created"
-    for args, match in ((("a/b",), "cannot contain"), (("work",), "already exists"), (("x", "Bin"), "trash"), (("x", "none"), "not found"), ((" ",), "non-empty")):
+    for args, match in ((("a/b",), "slash"), (("work",), "taken"), (("x", "Bin"), "trash"), (("x", "none"), "unknown"), ((" ",), "blank")):
         with pytest.raises(ValueError, match=match):
             engine.create_folder(*args)
     engine.rename_folder("f2", "Job")
     assert "Job/Plans/Deep" in {f["path"] for f in engine.list_folders()}
-    for fid, match in (("f4", "trash"), ("f1", "default"), ("f10", "shared"), ("f2", "contains 2"), ("f77", "not found"), ("p1", "not a folder")):
+    for fid, match in (("f4", "trash"), ("f1", "default"), ("f10", "shared"), ("f2", "holds 2"), ("f77", "unknown"), ("p1", "not-a-folder")):
         with pytest.raises(ValueError, match=match):
             engine.delete_folder(fid)
-    with pytest.raises(ValueError, match="child"):
+    with pytest.raises(ValueError, match="subfolders"):
         engine.delete_folder("f2", allow_non_empty=True)
     engine.delete_folder("f2", recursive=True, note_disposition="preserve")
     assert not {"Job", "Plans", "Deep"} & {f["name"] for f in engine.list_folders()}
@@ -455,3 +459,96 @@ def test_orphaned_subfolders_become_roots(engine):
     engine.delete_folder("f2", allow_non_empty=True, allow_orphaned_subfolders=True)
     assert "Plans" in {f["path"] for f in engine.list_folders()}
     assert {"p1", "p3", "p4"} == {n["id"] for n in engine.list_notes("Bin").results}
+
+
+# -- answers that must be whole --------------------------------------------------------
+
+
+def test_deep_and_cyclic_folders(spark):
+    rows = [folder(i, f"F{i}", parent=i - 1 if i > 1 else None) for i in range(1, 41)]
+    rows += [folder(50, "A", parent=51), folder(51, "B", parent=50), folder(52, "C", parent=51)]
+    folders = spark.createDataFrame(rows, schema.FOLDERS)
+    paths = {r["pk"]: (r["path"], r["depth"]) for r in cat.folder_paths(folders).collect()}
+    assert len(paths) == 40 and paths[40] == ("/".join(f"F{i}" for i in range(1, 41)), 39)
+    assert {(r["pk"], r["depth"]) for r in mutations.subtree(folders, 3).collect()} == {(i, i - 3) for i in range(3, 41)}
+    assert {(r["pk"], r["depth"]) for r in mutations.subtree(folders, 50).collect()} == {(50, 0), (51, 1), (52, 2)}
+
+
+def test_nearest_notes_beside_a_note_of_many_chunks(spark):
+    rows = [(f"big#{i}", "big", "x", [1.0, i / 1000]) for i in range(50)] + [(f"n{i}#0", f"n{i}", "x", [1.0, 1.0 + i]) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "id string, node_id string, content string, embedding array<float>")
+    found = rt.semantic(chunks, [1.0, 0.0], 10).orderBy("rank").collect()
+    assert [r["node_id"] for r in found] == ["big", *[f"n{i}" for i in range(9)]]
+    second = rt.semantic(chunks, [1.0, 0.0], 10, offset=10).orderBy("rank").collect()
+    assert [r["node_id"] for r in second] == [f"n{i}" for i in range(9, 19)]
+
+
+def test_search_pages(engine):
+    engine.reindex_semantic()
+    for ask in (lambda **k: engine.semantic_search("spring", limit=1, **k), lambda **k: engine.fulltext_search("spring", limit=1, **k),
+                lambda **k: engine.hybrid_search("spring", limit=1, depth=50, **k)):
+        seen, cursor = [], None
+        while True:
+            page = ask(cursor=cursor)
+            seen += [r.get("id", r.get("node_id")) for r in page.results]
+            cursor = page.next_cursor
+            if cursor is None:
+                break
+        assert len(seen) == len(set(seen)) >= 2
+    with pytest.raises(ValueError, match="limit"):
+        engine.semantic_search("spring", limit=0)
+
+
+def test_null_flags_and_missing_default(spark, engine):
+    engine.notes = engine.notes.withColumn("marked", F.when(F.col("pk") != 1, F.col("marked")))
+    assert engine.get_note("p1")["id"] == "p1"
+    engine.folders = engine.folders.where(~F.col("id").startswith("DefaultFolder-"))
+    with pytest.raises(ValueError, match="default folder"):
+        engine.create_notes([("x", "y")])
+
+
+def test_no_provider_by_default(engine):
+    bare = NotesEngine(engine.spark, engine.notes, engine.folders, config=engine.config)
+    with pytest.raises(ValueError, match="provider"):
+        bare.semantic_search("x")
+
+
+def test_provider_batches_and_width(spark):
+    @dataclass(frozen=True)
+    class Sized(HashedEmbedder):
+        def open(self):
+            inner = super().open()
+            return lambda texts: [v[: self.dim // 2] for v in inner(texts)] if any("narrow" in t for t in texts) else (
+                inner(texts) if len(texts) <= 32 else [RuntimeError("too many at once")] * len(texts))
+
+    texts = spark.createDataFrame([("t" * i,) for i in range(1, 101)] + [(None,)], "t string").coalesce(1)
+    rows = texts.select("t", embed(F.col("t"), Sized(8)).alias("r")).collect()
+    assert all((r["r"]["vector"] is None) == (r["t"] is None) and r["r"]["reason"] is None for r in rows)
+    with pytest.raises(Exception, match="dimensions"):
+        spark.createDataFrame([("narrow",)], "t string").select(embed(F.col("t"), Sized(8))).collect()
+
+
+def test_manifest_is_never_taken_for_empty(spark, tmp_path):
+    root = str(tmp_path / "s")
+    first, other = Snapshots(spark, root), Snapshots(spark, root)
+    assert first.current() is None
+    one, two = first.begin(), other.begin()
+    for store, version in ((first, one), (other, two)):
+        store.write(spark.range(version), version, "t")
+    first.publish(one)
+    with pytest.raises(PassOvertaken):
+        other.publish(two)
+    assert Snapshots(spark, root).read("t").count() == 1
+    with open(f"{root}/manifest/part-broken.json", "w") as torn:
+        torn.write('{"version": 7, "crea')
+    with pytest.raises(Exception):
+        Snapshots(spark, root).current()
+
+
+def test_owner_column_is_sought_among_folders(spark):
+    rows = [(1, 15, None, "Top", 1, None), (2, 12, "Note", None, None, 5)]
+    columns = "Z_PK bigint, Z_ENT int, ZTITLE1 string, ZTITLE2 string, ZACCOUNT4 bigint, ZACCOUNT8 bigint"
+    wide = spark.createDataFrame(rows, columns).withColumns({
+        c: F.lit(None).cast(k) for c, k in (("ZIDENTIFIER", "string"), ("ZFOLDER", "bigint"), ("ZPARENT", "bigint"), ("ZNOTEDATA", "bigint"),
+                                            ("ZMODIFICATIONDATE1", "double"), ("ZNAME", "string"))})
+    assert notestore.normalise(wide).folders.first()["account_pk"] == 1
