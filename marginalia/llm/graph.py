@@ -1,8 +1,8 @@
-"""Connected components of a written edge table."""
+"""Connected components of an edge table by contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import written
@@ -11,22 +11,34 @@ from marginalia.llm.common import written
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (smallest node of its component) for every node of the edges.
 
-    Each round gives a node the smallest label among its own and its neighbours', then the label of that label, so that long
-    chains take few rounds. Rounds end when nothing changes. Labels are written each round; joins are on two written
-    tables, which lets adaptive execution split the rows of a node that has very many edges.
+    In each round a node moves to the first among itself and its neighbours, and the edges are drawn anew between the places
+    moved to; edges within a place are gone, equal ones are one. The order is that of the nodes at first, which contracts
+    stars at once, and a new random one in each later round, so that long chains shrink by a share as well. Rounds end when no edge is left.
+    All joins are between written tables, which lets adaptive execution split the rows of a node with very many edges.
     """
-    plain = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both = written(plain.union(plain.select("y", "x")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("root")), "labels")
-    while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("root").alias("low"))
-        own = labels.join(near, labels.node == near.x).select(
-            "node", F.least("root", "low").alias("root"), F.col("root").alias("old"))
-        step = written(own, "near")
-        up = step.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        after = written(
-            step.join(up, step.root == up.up).select("node", F.least("root", "top").alias("root"), "old"), "labels")
-        moved = after.where("root <> old").limit(1).count()
-        labels = after.select("node", "root")
-        if not moved:
-            return labels
+    left = written(
+        edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct(), "edges")
+    moves: list[DataFrame] = []
+    while left.limit(1).count():
+
+        def place(node: Column, turn: int = len(moves)) -> Column:
+            order = node if turn == 0 else F.xxhash64(node, F.lit(turn))
+            return F.struct(order.alias("order"), node.alias("node"))
+
+        ends = left.select("x", "y").union(left.select("y", "x"))
+        low = written(
+            ends.groupBy(F.col("x").alias("node")).agg(F.min(place(F.col("y"))).alias("near"))
+            .select("node", F.least("near", place(F.col("node")))["node"].alias("to")), "moves")
+        moves.append(low)
+        first = left.join(low.toDF("x", "to_x"), "x").select("to_x", "y")
+        both = first.join(low.toDF("y", "to_y"), "y").select(F.least("to_x", "to_y").alias("x"), F.greatest("to_x", "to_y").alias("y"))
+        left = written(both.where("x <> y").distinct(), "edges")
+    if not moves:
+        return left.select(F.col("x").alias("node"), F.col("y").alias("root"))
+    # From the last round back: the place of a node's place.
+    known = moves[-1].toDF("node", "root")
+    for move in reversed(moves[:-1]):
+        known = written(
+            move.join(known.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root")), "places")
+    least = written(known.groupBy("root").agg(F.min(F.least("node", "root")).alias("least")), "roots")
+    return written(known.join(least, "root").select("node", F.col("least").alias("root")), "components")

@@ -12,62 +12,80 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from marginalia.llm.common import numbered, parallelism, written
+from marginalia.llm.common import numbered, parallelism, shielded, slices, unshielded, written
 from marginalia.llm.graph import components
 
 GRAM = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 3
 COUNTERS = 1 << 18
-#: A shingle weighs from 1 (in every document) to 1 + ``RARE`` (in one), times its count in the text.
-RARE = 0.25
+#: A shingle weighs from 1 (in every document) to 1 + ``RARE`` (in one), times its count in the text. The range is kept small: in a
+#: large group of near copies the shared shingles are common and the edits rare, and a steeper weight would part them.
+RARE = 0.05
 #: Documents and bytes of text that one task compares.
 PART_DOCS, PART_BYTES = 600, 8 << 20
-WORD = re.compile(r"\w+")
+#: Members of a family in parts that meet all others, in the first round.
+PIVOTS = 8
+#: What stands between words.
+BETWEEN = r"[^\pL\pM\pN_]+"
 
 _rng = np.random.default_rng(20240608)
-_SIZE = 1 << 16
-_R = _rng.gamma(2.0, 1.0, _SIZE)
-_LOG_C = np.log(_rng.gamma(2.0, 1.0, _SIZE))
-_BETA = _rng.random(_SIZE)
+_PLACES = 14
+_r = _rng.gamma(2.0, 1.0, 1 << _PLACES)
+_beta = _rng.random(1 << _PLACES)
+_log_c = np.log(_rng.gamma(2.0, 1.0, 1 << _PLACES))
+#: For each place, the parts of a consistent weighted sample that do not depend on the weight: 1 / r, beta, r, and
+#: ln c - r + r beta. A shingle finds its places by multiplication with the odd numbers of ``_TURN``.
+_DRAWS = np.stack([1 / _r, _beta, _r, _log_c - _r + _r * _beta], axis=1).astype(np.float32)
 _TURN = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(words: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit hashes of the runs of ``gram`` words, and their counts; a shorter text is one run."""
-    if not words:
-        return np.array([], np.uint64), np.array([], np.int64)
-    known: dict[str, int] = {}
-    for w in words:
-        if w not in known:
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-    h = np.array([known[w] for w in words], dtype=np.uint64)
-    n = min(gram, len(h))
-    run = np.zeros(len(h) - n + 1, dtype=np.uint64)
-    for i in range(n):
+def _runs(h: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of each run of ``gram`` word hashes."""
+    run = np.zeros(len(h) - gram + 1, dtype=np.uint64)
+    for i in range(gram):
         run = _mixed(run * np.uint64(3) + h[i : i + len(run)] + np.uint64(i + 1))
-    return np.unique(run, return_counts=True)
+    return run
+
+
+def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bytes]]:
+    """For each text, the sorted distinct 64-bit hashes of its shingles, their counts, and a digest of its words."""
+    lower = pc.utf8_lower(pa.array(texts, pa.large_string()))
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(lower, BETWEEN, " ")))
+    coded = split.values.dictionary_encode()
+    names = [xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    empty = xxhash.xxh64_intdigest(b"")
+    h = np.array(names, dtype=np.uint64)[coded.indices.to_numpy(zero_copy_only=False)]
+    all_runs = _runs(h, GRAM) if len(h) >= GRAM else h
+    out = []
+    bounds = split.offsets.to_numpy()
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = h[x:y]
+        if y - x == 0 or (y - x == 1 and int(own[0]) == empty):
+            out.append((np.array([], np.uint64), np.array([], np.int64), b""))
+            continue
+        runs = all_runs[x : y - GRAM + 1] if y - x >= GRAM else _runs(own, y - x)
+        out.append((*np.unique(runs, return_counts=True), hashlib.blake2b(own.tobytes(), digest_size=16).digest()))
+    return out
 
 
 def _weights(hashes: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -77,14 +95,27 @@ def _weights(hashes: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.nd
 
 def _sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """One 64-bit code for each consistent weighted sample: the shingle drawn and its level."""
-    log_w = np.log(weights)
+    log_w = np.log(weights).astype(np.float32)
+    at = (hashes[None, :] * _TURN[:, None]) >> np.uint64(64 - _PLACES)
+    draws = _DRAWS[at.astype(np.int32)]
+    level = np.floor(log_w * draws[:, :, 0] + draws[:, :, 1])
+    # Of equal values the smallest hash is drawn, as the hashes are sorted.
+    best = np.argmin(draws[:, :, 3] - draws[:, :, 2] * level, axis=1)
+    return hashes[best] ^ _mixed(level[np.arange(len(_TURN)), best].astype(np.int64).astype(np.uint64))
+
+
+def _draw(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``_sample`` for texts of any length: the best of each block, then the best of those."""
+    block = 4096
+    if len(hashes) <= block:
+        return _sample(hashes, weights)
+    log_w = np.log(weights).astype(np.float32)
     out = np.empty(len(_TURN), dtype=np.uint64)
     for k, turn in enumerate(_TURN):
-        at = ((hashes * turn) >> np.uint64(48)).astype(np.int64)
-        r, beta = _R[at], _BETA[at]
-        level = np.floor(log_w / r + beta)
-        best = int(np.argmin(_LOG_C[at] - r * (level - beta) - r))
-        out[k] = hashes[best] ^ _mixed(np.uint64([int(level[best]) & 0xFFFF_FFFF]))[0]
+        draws = _DRAWS[((hashes * turn) >> np.uint64(64 - _PLACES)).astype(np.int32)]
+        level = np.floor(log_w * draws[:, 0] + draws[:, 1])
+        best = int(np.argmin(draws[:, 3] - draws[:, 2] * level))
+        out[k] = hashes[best] ^ _mixed(level[best : best + 1].astype(np.int64).astype(np.uint64))[0]
     return out
 
 
@@ -104,11 +135,13 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = np.zeros(COUNTERS, dtype=np.int64), 0
         for b in batches:
-            for text in b["text"]:
-                hashes, _ = shingles(words_of(text.as_py()))
-                seen += len(hashes) > 0
+            texts = b["text"].to_pylist()
+            for s in slices(map(len, texts)):
+                found = [hashes for hashes, _, _ in shingles(texts[s])]
+                seen += sum(len(hashes) > 0 for hashes in found)
                 # Two shingles of one text seldom share a counter; the few that do count twice.
-                held += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                at = (np.concatenate(found) & np.uint64(COUNTERS - 1)).astype(np.int64)
+                held += np.bincount(at, minlength=COUNTERS)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(held[at], seen))], ["at", "n"])
@@ -127,19 +160,18 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
 def _signatures(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, keys, sizes, bands = [], [], [], []
-            for row, text in zip(b["_row"].to_pylist(), b["text"], strict=True):
-                words = words_of(text.as_py())
-                if not words:
-                    continue
-                hashes, counts = shingles(words)
-                rows.append(row)
-                keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest())
-                sizes.append(len(words))
-                bands.append(_bands(_sample(hashes, _weights(hashes, counts, table))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["_row", "key", "size", "bands"])
+            texts, numbers = b["text"].to_pylist(), b["_row"].to_pylist()
+            for s in slices(map(len, texts)):
+                rows, keys, sizes, bands = [], [], [], []
+                for row, text, (hashes, counts, key) in zip(numbers[s], texts[s], shingles(texts[s]), strict=True):
+                    if len(hashes):
+                        rows.append(row)
+                        keys.append(key)
+                        sizes.append(len(text))
+                        bands.append(_bands(_draw(hashes, _weights(hashes, counts, table))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
+                     pa.array(bands, pa.list_(pa.int64()))], ["_row", "key", "size", "bands"])
 
     return run
 
@@ -150,10 +182,15 @@ class Family:
     def __init__(self, table: np.ndarray, similar: float) -> None:
         self.table, self.similar = table, similar
 
-    def load(self, packed: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-        hashes, counts = shingles(words_of(zstandard.decompress(packed).decode("utf-8", "replace")))
-        weights = _weights(hashes, counts, self.table)
-        return hashes, weights, float(weights.sum())
+    def load(self, packed: Iterable[bytes]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Shingles, weights and total weight of each text."""
+        texts = [zstandard.decompress(p).decode() for p in packed]
+        out = []
+        for s in slices(map(len, texts)):
+            for hashes, counts, _ in shingles(texts[s]):
+                weights = _weights(hashes, counts, self.table)
+                out.append((hashes, weights, float(weights.sum())))
+        return out
 
     def alike(self, a: tuple, b: tuple) -> bool:
         if min(a[2], b[2]) < self.similar * max(a[2], b[2]):
@@ -190,17 +227,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(i, pa.field("text", pa.binary()), pa.array([pack(t.as_buffer()) for t in b["text"].cast(pa.binary())]))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR
-) -> DataFrame:
-    """The rows of ``docs`` with _row, class_row (the smallest _row of the class) and links (verified links of the row's text).
+def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """_row, class_row (the smallest _row of the class) and links of each row of the written table ``texts`` that has words.
 
-    Words are runs of letters, digits and underscores in lower case, shingles are five words, a shorter text is one shingle.
-    Rows with equal words are always in one class. A null text or one without words is a class of its own. Repeated rows
-    fall into one class; ids may repeat or be null. All columns stay. An empty table gives an empty result.
+    ``texts`` has _row and text, neither of them null.
     """
-    held = numbered(docs, "docs")
-    texts = held.select("_row", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     table = document_frequencies(texts)
     signed = written(
         texts.mapInArrow(_signatures(table), "_row long, key binary, size long, bands array<long>"), "signatures")
@@ -217,8 +248,8 @@ def near_duplicates(
     # Size of each family decides into how many parts it is dealt; a part is compared within one task.
     sized = written(families.join(nodes.select("node", "size"), "node"), "members")
     parts = written(
-        sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("words")).select(
-            "root", F.ceil(F.greatest(F.col("n") / PART_DOCS, F.col("words") * 8 / PART_BYTES)).cast("int").alias("parts")),
+        sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).select(
+            "root", F.ceil(F.greatest(F.col("n") / PART_DOCS, F.col("chars") / PART_BYTES)).cast("int").alias("parts")),
         "parts")
     dealt = sized.join(parts, "root").select(
         "node", "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
@@ -231,14 +262,19 @@ def near_duplicates(
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
         nodes_here = group["node"].tolist()
-        found = family.links([family.load(t) for t in group["text"]])
+        found = family.links(family.load(group["text"]))
         return pd.DataFrame({"a": [nodes_here[i] for i, _ in found], "b": [nodes_here[j] for _, j in found]}, dtype="int64")
 
-    links = written(members.groupBy("root", "part").applyInPandas(compare, "a long, b long"), "links")
+    # Comparing costs more than the bytes tell, hence a number of tasks of our own.
+    spread_out = members.repartition(4 * parallelism(texts.sparkSession), "root", "part")
+    links = written(spread_out.groupBy("root", "part").applyInPandas(compare, "a long, b long"), "links")
 
-    # Families in parts: the best-linked member of each component meets all members outside its component.
+    # Families in parts: the best-linked members of the largest components meet all members outside their component. Few
+    # do at first, which mostly leaves one component; twice as many in each later round, until each component has had its
+    # turn. A round costs a comparison for each member and pivot, so that a family is never compared with itself.
     large = members.where("parts > 1")
     tried: DataFrame | None = None
+    pivots_now = PIVOTS
     more = bool(large.limit(1).count())
     while more:
         labels = components(links)
@@ -247,53 +283,73 @@ def near_duplicates(
             large.select("node", F.col("root").alias("family"), "part").join(labels, "node", "left")
             .select("node", "family", "part", F.coalesce("root", "node").alias("class")), "now")
         ranked = now.join(degree, "node").groupBy("family", "class").agg(
-            F.max(F.struct("n", (-F.col("node")).alias("back"))).alias("top"))
-        pivots = ranked.select("family", "class", (-F.col("top.back")).alias("pivot"))
+            F.count("*").alias("members"), F.max(F.struct("n", (-F.col("node")).alias("back"))).alias("top"))
+        heads = ranked.select("family", "class", "members", (-F.col("top.back")).alias("pivot"))
         if tried is not None:
-            pivots = pivots.join(tried, "pivot", "left_anti")
-        pivots = written(pivots, "pivots")
-        tried = pivots.select("pivot") if tried is None else written(tried.union(pivots.select("pivot")), "tried")
-        heads = pivots.join(large.select(F.col("node").alias("pivot"), F.col("text").alias("p_text")), "pivot").select(
-            "family", F.col("class").alias("p_class"), "pivot", "p_text")
-        # A block of pivots goes to each part of the family; the parts stay as they were dealt.
-        spread = heads.join(now.select("family", "part").distinct(), "family").select(
-            "family", "part", "pivot", "p_class", "p_text")
+            heads = heads.join(tried, "pivot", "left_anti")
+        largest = Window.partitionBy("family").orderBy(F.desc("members"), "pivot")
+        pivots = written(heads.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= pivots_now), "pivots")
+        if not pivots.limit(1).count():
+            break
+        tried = written(pivots.select("pivot") if tried is None else tried.union(pivots.select("pivot")), "tried")
+        texts_of = large.select(F.col("node").alias("pivot"), F.col("text").alias("p_text"))
+        spread = pivots.select("family", F.col("class").alias("p_class"), "pivot").join(texts_of, "pivot").join(
+            parts.select(F.col("root").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "family"
+        ).select("family", "part", "pivot", "p_class", "p_text").toDF("to_family", "to_part", "pivot", "p_class", "p_text")
         outside = large.select("node", "text").join(now, "node").select("family", "part", "node", "class", "text")
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            heads_here = [(p, c, family.load(t)) for p, c, t in zip(right["pivot"], right["p_class"], right["p_text"], strict=True)]
+            heads_here = list(zip(right["pivot"], right["p_class"], family.load(right["p_text"]), strict=True))
             out = []
-            for node, cls, text in zip(left["node"], left["class"], left["text"], strict=True):
-                own = family.load(text)
-                out += [(node, p) for p, c, head in heads_here if c != cls and family.alike(own, head)]
+            for node, cls, own in zip(left["node"], left["class"], family.load(left["text"]), strict=True):
+                known = {cls}
+                for p, c, head in heads_here:
+                    if c not in known and family.alike(own, head):
+                        known.add(c)
+                        out.append((node, p))
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         found = written(
-            outside.groupBy("family", "part").cogroup(spread.groupBy("family", "part")).applyInPandas(meet, "a long, b long"),
+            outside.groupBy("family", "part").cogroup(spread.groupBy("to_family", "to_part")).applyInPandas(meet, "a long, b long"),
             "found")
-        more = bool(found.limit(1).count())
-        if more:
-            links = written(links.union(found), "links")
+        links = written(links.union(found), "links")
+        pivots_now *= 2
 
     labels = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     classes = written(
         nodes.select("key", "node").join(labels, "node", "left").join(counts, "node", "left").select(
             "key", F.coalesce("root", "node").alias("class_row"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    of_row = written(signed.select("_row", "key").join(classes, "key").select("_row", "class_row", "links"), "rows")
-    return held.join(of_row, "_row", "left").withColumns({
-        "class_row": F.coalesce("class_row", "_row"), "links": F.coalesce("links", F.lit(0)).cast("long")})
+    return written(signed.select("_row", "key").join(classes, "key").select("_row", "class_row", "links"), "rows")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` with row, class_row (the smallest row of the class) and links.
+
+    Rows are numbered in the order of the table. links counts the links that were verified to put the row's text in its class. Words are runs of
+    letters, digits and underscores in lower case, shingles are five words, a shorter text is one shingle. Rows with equal
+    words are always in one class. A null text or one without words is a class of its own. Repeated rows fall into one
+    class. All columns stay, but for those that have the names of the results. An empty table gives an empty result.
+    """
+    inner, names = shielded(docs)
+    held = numbered(inner, "docs")
+    found = classes_of(held.select("_row", F.coalesce(F.col(names[text_col]), F.lit("")).alias("text")), similar)
+    return unshielded(held.join(found, "_row", "left"), names, {
+        "row": F.col("_row"), "class_row": F.coalesce("class_row", "_row"), "links": F.coalesce("links", F.lit(0)).cast("long")})
 
 
 def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row per document: its id, class_id (the id of the first row of its class), and its number of verified links."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, similar).select(
-        "_row", F.col(id_col).alias("id"), "class_row", "links")
-    found = written(found, "classified")
-    names = written(found.where("_row = class_row").select(F.col("_row").alias("class_row"), F.col("id").alias("class_id")), "names")
+    """One row per document: its id, class_id (the id of the first row of its class) and links. Ids may repeat or be null."""
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = written(near_duplicates(slim, "text", similar).drop("text"), "classified")
+    names = written(found.where("row = class_row").select("class_row", F.col("id").alias("class_id")), "names")
     return found.join(names, "class_row").select(F.col("id").alias(id_col), "class_id", "links")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The first row of each class, with the columns of ``docs``."""
-    return near_duplicates(docs, id_col, text_col, similar).where("_row = class_row").select(docs.columns)
+    inner, names = shielded(docs)
+    held = numbered(inner, "docs")
+    found = classes_of(held.select("_row", F.coalesce(F.col(names[text_col]), F.lit("")).alias("text")), similar)
+    later = found.where("_row <> class_row").select("_row")
+    return unshielded(held.join(later, "_row", "left_anti"), names, {})
