@@ -54,7 +54,7 @@ def test_cursor_round_trip(offset):
     assert ids.decode_cursor(ids.encode_cursor(offset)) == offset
 
 
-@pytest.mark.parametrize("bad", ["!!", "LTE=", "MTAwMDAwMDAwMDE="])
+@pytest.mark.parametrize("bad", ["!!", "LTE=", "eDE="])
 def test_cursor_refuses(bad):
     with pytest.raises(ValueError):
         ids.decode_cursor(bad)
