@@ -9,15 +9,18 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: combining marks, counted from U+0300, that stay inside a word and are dropped.
-_MARK_BITS = 0x08029FDF | (0x000361F8 << 32)
-MARKS = "".join(chr(0x300 + i) for i in range(50) if _MARK_BITS >> i & 1)
+# Code points of the combining marks that stay inside a word and are dropped.
+MARKS = "".join(map(chr, (
+    0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C,
+    0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330,
+    0x331,
+)))
 
 WORD = rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{MARKS}]*"
 
 
 @cache
-def _accents() -> tuple[str, str]:
+def accents() -> tuple[str, str]:
     """Letters that decompose into one letter and one mark, and those letters."""
     pairs = []
     for code in range(0xC0, 0x1F00):
@@ -35,7 +38,7 @@ def words(text: Column) -> Column:
 
 def fold(word: Column) -> Column:
     """Drop accents; pure ASCII passes through."""
-    accented, plain = _accents()
+    accented, plain = accents()
     return F.when(F.rlike(word, F.lit(r"[^\x00-\x7F]")), F.translate(word, accented + MARKS, plain)).otherwise(word)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import let
-from marginalia.functions.terms import WORD, fold, with_terms, words
+from marginalia.functions.terms import WORD, accents, fold, with_terms, words
 from marginalia.sources.layout import spread, spread_by
 
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
@@ -121,7 +121,18 @@ def postings_for(nodes: DataFrame, query: str) -> DataFrame:
     initials = "".join(sorted({t[0] for p in phrases for t in p.terms})) or " "
     if any(len(p.terms) > 1 for p in phrases):
         return build_postings(nodes, initials)
-    rows = _words(nodes).where(fold(F.substring("word", 1, 1)).isin(*initials))
+    # Words are dropped within the row, and what is shuffled are counts by note and word.
+    accented = "".join(a for a, b in zip(*accents(), strict=True) if b in initials)
+    begins = F.lit(f"^[{re.escape(initials + accented)}]")
+
+    def fitting(text: str, column: int) -> Column:
+        kept = F.filter(F.col(text), lambda w: F.rlike(w, begins))
+        return F.transform(kept, lambda w: F.struct(F.lit(column).alias("column"), w.alias("word")))
+
+    rows = spread(nodes.select("id", "title", "body")).select(
+        F.col("id").alias("node_id"), words(F.col("title")).alias("_t"), words(F.col("body")).alias("_b"))
+    rows = rows.select(
+        "node_id", (F.size("_t") + F.size("_b")).alias("length"), F.inline(F.concat(fitting("_t", TITLE), fitting("_b", BODY))))
     counts = [F.count(F.when(F.col("column") == c, 1)).alias(n) for c, n in ((TITLE, "title_n"), (BODY, "body_n"))]
     return with_terms(rows.groupBy("node_id", "length", "word").agg(*counts), "word")
 
@@ -174,7 +185,7 @@ def _occurrences(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
 
     rows = rows.select(
         "node_id", "length", "phrase", "step", F.inline(F.concat(starts("title_at", TITLE), starts("body_at", BODY)))
-    )
+    ).repartition("node_id")
     if all(len(p.terms) == 1 for p in phrases):
         return rows.drop("step")
     wanted = F.element_at(F.array(*[F.lit(len(p.terms)) for p in phrases]), F.col("phrase") + 1)
@@ -193,7 +204,7 @@ def _frequencies(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
             "node_id", "length",
             (in_title * weight[TITLE] + in_body * weight[BODY]).alias("part"),
             F.inline(_slots(phrases)),
-        )
+        ).repartition("node_id")
         return rows.groupBy("node_id", "length", "phrase").agg(F.sum("part").alias("f"))
     value = F.when(F.col("column") == TITLE, weight[TITLE]).otherwise(weight[BODY])
     return _occurrences(postings, phrases).groupBy("node_id", "length", "phrase").agg(F.sum(value).alias("f"))
@@ -208,9 +219,8 @@ def search(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     phrases = parse_query(spark, query)
     if not phrases:
         return spark.createDataFrame([], "node_id string, score double")
-    # One shuffle of the matches serves both the document frequencies and the scores. It is kept and
-    # shared because its keys differ from any grouping below, and because both sides read every column.
-    found = _frequencies(postings, phrases).repartition("phrase", "node_id")
+    # One shuffle of the matches, by note, serves their grouping, the document frequencies and the scores.
+    found = _frequencies(postings, phrases)
     hits = F.sum(F.when(F.col("f") + F.col("length") > 0, 1)).alias("hits")
     notes = stats.select("notes").scalar()
     mean = stats.select("mean_length").scalar()

@@ -74,6 +74,21 @@ def diff_chunks(current: DataFrame, previous: DataFrame) -> DataFrame:
     return rows.withColumn("embedding", F.when(F.col("state") == "kept", F.col("embedding"))).drop("_old")
 
 
+def unchanged_nodes(nodes: DataFrame, previous: DataFrame, failed: DataFrame) -> DataFrame:
+    """Keys of nodes whose text, title and lock are as before and of which no chunk failed: their chunks stand."""
+    before = previous.select("id", F.col("title").alias("_title"), F.col("content_hash").alias("_hash"), F.col("locked").alias("_locked"))
+    same = (F.col("_hash") == F.col("content_hash")) & (F.col("_title") == F.col("title")) & (F.col("_locked") == F.col("locked"))
+    hits = nodes.select("id", "title", "content_hash", "locked").join(before, "id").where(same).select("id")
+    return hits.join(failed.select(F.col("node_id").alias("id")), "id", "left_anti")
+
+
+def carried_chunks(previous: DataFrame, same: DataFrame) -> DataFrame:
+    """Stored chunks of unchanged nodes as attempts that need nothing."""
+    rows = previous.join(same.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
+    nothing = F.lit(None).cast("string")
+    return rows.withColumns({"state": F.lit("kept"), "reason": nothing, "error": nothing})
+
+
 def stale_chunks(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Stored chunks whose position no longer exists."""
     return previous.join(current.select("id"), "id", "left_anti")
@@ -186,15 +201,21 @@ class Index:
         reusable = previous if known.get("embedder") in (None, embedder.identity) else previous.where(F.lit(False))
 
         nodes = self.store.write(to_nodes(spread(source)), version, "nodes")
-        diffed = diff_chunks(to_chunks(nodes, config), reusable)
+        same = unchanged_nodes(nodes, old_nodes, self.failed()) if known.get("chunker") == repr(config) else nodes.limit(0).select("id")
+        same = self.store.write(same, version, "unchanged")
+        kept = carried_chunks(reusable, same)
+        # A provider that changed leaves nothing to carry, so all notes are chunked again.
+        dirty = nodes if known.get("embedder") not in (None, embedder.identity) else nodes.join(same, "id", "left_anti")
+        diffed = diff_chunks(to_chunks(dirty, config), reusable)
         # Every later table reads the stored attempts, so each chunk is embedded once.
-        attempts = self.store.write(embed_chunks(diffed, embedder), version, "attempts")
+        attempts = self.store.write(embed_chunks(diffed, embedder).unionByName(kept), version, "attempts")
         gone = tombstones(old_nodes, nodes)
         self.store.write(_stored(attempts), version, "chunks")
         lingering = self.failed().join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti")
         self.store.write(failures(attempts, nodes, now).unionByName(lingering), version, "failed_chunks")
         self._write_fulltext(nodes, old_nodes, version)
-        settings = [("embedder", embedder.identity), ("dim", str(embedder.dim)), ("indexed_at", str(now))]
+        settings = [
+            ("embedder", embedder.identity), ("dim", str(embedder.dim)), ("indexed_at", str(now)), ("chunker", repr(config))]
         self.store.write(self.spark.createDataFrame([(k, v, now) for k, v in settings], schema.METADATA), version, "metadata")
 
         stale = stale_chunks(previous.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi"), attempts)

@@ -16,7 +16,7 @@ from marginalia.operators import fulltext, lexical, mutations, overlays, retriev
 from marginalia.operators.embedding import Embedder, create_embedder, embed_query
 from marginalia.operators.indexing import Index
 from marginalia.operators.rendering import FORMATS, plain_html, render_bodies
-from marginalia.session import settled
+from marginalia.session import stored
 from marginalia.sources.notestore import decoded_bodies
 
 RECENT = 50
@@ -60,6 +60,9 @@ class NotesEngine:
     config: EngineConfig = field(default_factory=EngineConfig)
     embedder: Embedder | None = None
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)
+    _base: DataFrame | None = field(default=None, init=False, repr=False)
+    _edits: DataFrame | None = field(default=None, init=False, repr=False)
+    _merged: DataFrame | None = field(default=None, init=False, repr=False)
 
     def _provider(self) -> Embedder:
         """The given embedder or the configured one; there is none by default."""
@@ -271,10 +274,25 @@ class NotesEngine:
             raise ValueError("nothing to do: the batch has no items")
         return self.spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], f"request_no bigint, {columns}")
 
+    def _keep(self, changed: DataFrame) -> None:
+        """Add changed notes to the table of edits; the notes are the base with these rows in place.
+
+        Only the edits are written, whatever the size of the base. :meth:`folded` makes a new base of both.
+        """
+        if self.notes is not self._merged:
+            self._base, self._edits = self.notes, None
+        edits = changed if self._edits is None else mutations.overlaid(self._edits, changed)
+        self._edits = stored(edits, "edits")
+        self.notes = self._merged = mutations.overlaid(self._base, self._edits)
+
+    def folded(self, path: str) -> None:
+        """Write base and edits to ``path`` as one table, which is the base from now on."""
+        self.notes.write.parquet(path)
+        self.notes = self.spark.read.schema(self.notes.schema).parquet(path)
+
     def _apply(self, change: mutations.Change) -> list[dict]:
         outcomes = [r.asDict() for r in change.outcomes.orderBy("request_no").drop("request_no").collect()]
-        # The next edit starts from a written table; otherwise every edit would repeat those before it.
-        self.notes = settled(change.table)
+        self._keep(change.changed)
         return outcomes
 
     def _folder_pk(self, folder_path: str | None) -> int:
@@ -317,16 +335,17 @@ class NotesEngine:
 
     def create_folder(self, name: str, parent_folder_path: str | None = None) -> dict:
         folders, pk = mutations.create_folder(self.folders, self.folder_frame(), name, parent_folder_path)
-        self.folders = settled(folders)
+        self.folders = stored(folders, "folders")
         return {"id": f"f{pk}", "action": "created", "error": None}
 
     def rename_folder(self, folder_id: str, new_name: str) -> dict:
-        self.folders = settled(mutations.rename_folder(self.folders, self.folder_frame(), folder_id, new_name))
+        self.folders = stored(mutations.rename_folder(self.folders, self.folder_frame(), folder_id, new_name), "folders")
         return {"id": folder_id, "action": "renamed", "error": None}
 
     def delete_folder(self, folder_id: str, **options) -> dict:
         if self.overlay is not None:
             options.setdefault("count_changes", overlays.count_deltas(self.overlay, self.clock()))
-        folders, notes = mutations.delete_folder(self.folders, self.notes, self.folder_frame(), folder_id, **options)
-        self.folders, self.notes = settled(folders), settled(notes)
+        folders, _, moved = mutations.delete_folder(self.folders, self.notes, self.folder_frame(), folder_id, **options)
+        self._keep(moved)
+        self.folders = stored(folders, "folders")
         return {"id": folder_id, "action": "deleted", "error": None}

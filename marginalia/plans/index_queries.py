@@ -289,7 +289,7 @@ FROM lineitem LEFT JOIN gone g ON g.pk = l_suppkey + 1000000
 def folder_delete(spark, sf_dir):
     """A region goes with all below it; without a trash folder its notes are left without a folder."""
     folders = corpus.world_folders(spark, sf_dir).withColumn("shared", F.lit(False))
-    _, notes = mu.delete_folder(folders, corpus.world_notes(spark, sf_dir), cat.list_folders(folders), "f3", recursive=True)
+    _, notes, _ = mu.delete_folder(folders, corpus.world_notes(spark, sf_dir), cat.list_folders(folders), "f3", recursive=True)
     return notes.select("pk", "folder_pk")
 
 

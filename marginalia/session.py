@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +34,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by the cluster; a folder of our own only in a local session without one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
         root = tempfile.mkdtemp(prefix="marginalia-")
     return root.rstrip("/")
@@ -45,3 +46,10 @@ def settled(rows: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(rows.sparkSession))
     return rows.checkpoint()
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The rows as a Parquet table in the checkpoint folder: columns can be pruned, filters pushed, and the size is known."""
+    path = f"{checkpoint_root(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
