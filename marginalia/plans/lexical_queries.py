@@ -141,8 +141,13 @@ SELECT 'p' || pk AS id, title, folder_path AS folder, {SHOWN_TIME} AS modified,
 FROM snips
 """)
 def search_page(spark, sf_dir):
+    return found_page(spark, sf_dir, 10)
+
+
+def found_page(spark, sf_dir, offset):
+    """A page of hits from ``offset`` on, with snippets."""
     hits = lex.match_notes(_searchable(spark, sf_dir), "TheAnd")
-    rows = lex.with_snippets(cat.page(hits, lex.ranking(), 10, 10))
+    rows = lex.with_snippets(cat.page(hits, lex.ranking(), 10, offset))
     paths = cat.folder_paths(cat.visible_folders(corpus.folders(spark, sf_dir)))
     return cat.with_path(rows, paths).select(
         ids.short_id(F.col("pk")).alias("id"), "title", "folder",

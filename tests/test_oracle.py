@@ -32,4 +32,5 @@ def test_runs(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns[0] == "id"
+    rows = entry.entry(spark)
+    assert rows.columns[0] == "id" and rows.count() > 0
