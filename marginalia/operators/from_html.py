@@ -26,7 +26,7 @@ _CODE_TAGS = ("code", "kbd", "samp")
 _LINE_BREAKERS = H.BLOCK_TAGS + ("li", "tr", "thead", "tbody", "tfoot", "title", "body", "html", "head", "caption")
 UNKNOWN_ATTACHMENT = "![attachment](attachment:unknown)"
 
-# How the source marks headings, code, checklists and attachments. Order matters.
+# How the source marks headings and code. Order matters.
 _REWRITES = [
     (r"(?is)<b>([^<]*)<span\b[^>]*font-size:\s*24p[xt][^>]*>([^<]*)</span>[^<]*</b>", "<h1>$2</h1>"),
     (r"(?is)<b>([^<]*)<span\b[^>]*font-size:\s*18p[xt][^>]*>([^<]*)</span>[^<]*</b>", "<h2>$2</h2>"),
@@ -44,20 +44,13 @@ _REWRITES = [
         r"(?is)<h([1-3])>([^<]*)</h\1>\s*<strike>\s*<h\1>([^<]*)</h\1>\s*</strike>\s*<h\1>([^<]*)</h\1>",
         "<h$1>$2<strike>$3</strike>$4</h$1>",
     ),
-    (r"""(?is)<(div|p)(\s[^>]*style=["'][^"']*(?:Menlo|Courier|monospace)[^"']*["'][^>]*)>(.*?)</\1>""", "<pre>$3</pre>"),
-    (r"""(?is)<pre[^>]*>\s*<code\s+class=["']language-([^"']+)["'][^>]*>""", '<pre lang="$1"><code>'),
-    (r"""(?is)<li\s+class=["']checked["']>""", "<li>[x] "),
-    (r"""(?is)<li\s+class=["']unchecked["']>""", "<li>[ ] "),
-    (
-        r"""(?is)<object\b[^>]*\bid=["']([^"']+)["'][^>]*/?>(?:</object>)?""",
-        '<img src="attachment:$1" alt="attachment">',
-    ),
-    (r"(?is)<object\b[^>]*/?>(?:</object>)?", '<img src="attachment:unknown" alt="attachment">'),
 ]
 
 
 # Without any of these words only a bold line can need rewriting.
-_KEYWORDS = r"(?i)font-size|<font|<strike|menlo|courier|monospace|language-|checked|<object"
+_KEYWORDS = r"(?i)font-size|<font|<strike"
+# Typefaces whose blocks are code.
+_CODE_FACES = ("menlo", "courier", "monospace")
 _BOLD_LINE = _REWRITES[2]
 
 
@@ -71,10 +64,34 @@ def _prepared(html: Column) -> Column:
     return F.when(F.rlike(html, F.lit(_KEYWORDS)), _rewritten(html, _REWRITES)).otherwise(_rewritten(html, [_BOLD_LINE]))
 
 
+def _in_code_face(token: Column) -> Column:
+    """Whether a token opens a block that is set in a typeface for code."""
+    style = F.lower(F.coalesce(H.attribute(token, "style"), F.lit("")))
+    faced = F.exists(F.array(*[F.lit(f) for f in _CODE_FACES]), lambda f: F.contains(style, f))
+    return ~token.startswith("</") & H.tag_name(token).isin("div", "p") & faced
+
+
+def _code_blocks(found: Column) -> Column:
+    """Blocks in a typeface for code become preformatted, each up to the first end of a block of its name."""
+
+    def step(acc: Column, token: Column) -> Column:
+        name = H.tag_name(token)
+        opens = (acc["inside"] == "") & _in_code_face(token)
+        ends = (acc["inside"] != "") & token.startswith("</") & (name == acc["inside"])
+        shown = F.when(opens, "<pre>").when(ends, "</pre>").otherwise(token)
+        inside = F.when(opens, name).when(ends, "").otherwise(acc["inside"])
+        return F.struct(inside.alias("inside"), F.array_append(acc["out"], shown).alias("out"))
+
+    start = F.struct(F.lit("").alias("inside"), F.expr("cast(array() as array<string>)").alias("out"))
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
+
+
 def _tokens(rows: DataFrame, key: str, html: str) -> DataFrame:
     text = _prepared(F.coalesce(F.col(html), F.lit("")))
+    repaired = let(text, lambda t: let(H.repair(H.tokens(t)), lambda found: F.when(
+        F.rlike(t, F.lit("(?i)" + "|".join(_CODE_FACES))), _code_blocks(found)).otherwise(found)))
     # The empty token at the end keeps a row for a document without any.
-    found = F.concat(let(text, lambda t: H.repair(H.tokens(t))), F.array(F.lit("")))
+    found = F.concat(repaired, F.array(F.lit("")))
     rows = spread_by(rows.select(F.col(key).alias("doc"), F.col(html)), "doc")
     rows = rows.select("doc", F.posexplode(found).alias("pos", "token"))
     tag = H.is_tag(F.col("token")) & ~H.is_raw(F.col("token"))
@@ -141,6 +158,10 @@ def _fragment() -> Column:
         F.lit("!["), F.coalesce(H.attribute(token, "alt"), F.lit("")), F.lit("]("),
         F.coalesce(H.attribute(token, "src"), F.lit("")), F.lit(")"),
     )
+    # An embedded object is known by its id alone.
+    embedded = F.concat(F.lit("![attachment](attachment:"), F.coalesce(H.attribute(token, "id"), F.lit("unknown")), F.lit(")"))
+    state = F.lower(F.coalesce(H.attribute(token, "class"), F.lit("")))
+    box = F.when(end, "").when(state == "checked", "[x] ").when(state == "unchecked", "[ ] ").otherwise("")
     code = F.when(end, _CODE[1]).otherwise(_CODE[0])
     cell = F.when(end, "").when(name == "th", _HEAD).otherwise(_CELL)
     return (
@@ -149,6 +170,8 @@ def _fragment() -> Column:
         .when(name.isin(*_CODE_TAGS), code)
         .when(name == "a", link)
         .when(name == "img", image)
+        .when(name == "object", F.when(end, "").otherwise(embedded))
+        .when(name == "li", box)
         .when(name.isin("td", "th"), cell)
         .when((F.col("tables") > 0) & name.isin("br", *H.BLOCK_TAGS), " ")
         .when(name == "br", _BREAK)
@@ -190,15 +213,22 @@ def _lines(rows: DataFrame) -> DataFrame:
         F.max("in_heading").alias("in_heading"),
         F.max("heading").alias("heading"),
         F.max_by("marker", "pos").alias("marker"),
-        F.max(F.when((F.col("name") == "pre") & ~F.col("end"), H.attribute(F.col("token"), "lang"))).alias("lang"),
+        F.max(F.when((F.col("name") == "pre") & ~F.col("end"), H.attribute(F.col("token"), "lang"))).alias("given_lang"),
+        F.max(F.when((F.col("name") == "code") & ~F.col("end"), H.attribute(F.col("token"), "class"))).alias("code_class"),
         F.max((F.col("name") == "hr").cast("int")).alias("rule"),
         F.max((F.col("name") == "li").cast("int") * (~F.col("end")).cast("int")).alias("starts"),
     )
+    # The language of a block is named by the class of the code in it, or by the block itself.
+    named = F.when(F.col("code_class").startswith("language-"), F.substring("code_class", F.lit(10), F.length("code_class")))
+    grouped = grouped.withColumn("lang", F.coalesce(F.nullif(named, F.lit("")), "given_lang"))
     raw = F.regexp_replace("raw", r"\A\n|\n\z", "")
     text = F.when(F.col("pre") > 0, raw).when((F.col("tables") > 0), F.col("raw")).otherwise(_inline(F.col("raw")))
     lines = grouped.withColumn("text", text)
     has_cell = F.rlike("raw", F.lit(f"[{_CELL}{_HEAD}]"))
     kept = F.when(F.col("tables") > 0, has_cell).when(F.col("pre") > 0, F.col("raw") != "").otherwise(F.col("text") != "")
+    # A line that holds nothing but an object without an id says nothing.
+    bare = (F.col("lists") == 0) & (F.col("quotes") == 0) & (F.col("in_heading") == 0) & (F.col("pre") == 0)
+    kept = kept & ~(bare & (F.col("text") == UNKNOWN_ATTACHMENT))
     last = Window.partitionBy("doc").orderBy("line")
     # The first line of an item with any text carries the marker.
     lines = lines.withColumn("kept", kept).withColumn("item_no", F.when(F.col("lists") > 0, F.col("items")))
@@ -266,5 +296,4 @@ def html_to_markdown(rows: DataFrame, key: str, html: str) -> DataFrame:
     whole = lines.groupBy("doc").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "").alias("markdown")
     )
-    tidy = F.regexp_replace("markdown", r"(?m)^!\[attachment\]\(attachment:unknown\)\s*$\n?", "")
-    return whole.select(F.col("doc").alias(key), strip(F.regexp_replace(tidy, r"\n{3,}", "\n\n")).alias("markdown"))
+    return whole.select(F.col("doc").alias(key), strip(F.regexp_replace("markdown", r"\n{3,}", "\n\n")).alias("markdown"))

@@ -13,8 +13,7 @@ from marginalia.functions.exprs import let
 from marginalia.functions.html import escape
 from marginalia.sources.layout import spread_by
 
-# What makes a line of each kind. The task pattern wins over the list pattern.
-TASK = r"^(\s*)- \[([ xX])\] (.*)$"
+# What makes a line of each kind. A task wins over a list item.
 FENCE = r"^\s{0,3}```"
 HEADING = r"^(#{1,6})\s*(.*?)\s*#*\s*$"
 RULE = r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
@@ -27,6 +26,23 @@ _CODE = ("\ue010", "\ue011")
 _STAR, _UNDER = "\ue012", "\ue013"
 
 
+def _after_margin(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+", "")
+
+
+def _is_task(line: Column) -> Column:
+    """A dash, a blank, and a box with nothing or an x in it, then a blank."""
+    bare = _after_margin(line)
+    return bare.startswith("- [") & F.substring(bare, 4, 1).isin(" ", "x", "X") & (F.substring(bare, 5, 2) == "] ")
+
+
+def _task_html(line: Column) -> Column:
+    bare = _after_margin(line)
+    state = F.when(F.substring(bare, 4, 1) == " ", "unchecked").otherwise("checked")
+    label = F.substring(bare, F.lit(7), F.length(bare))
+    return F.concat(F.lit('<li class="'), state, F.lit('">'), escape(label), F.lit("</li>"))
+
+
 def _code_escaped(text: Column) -> Column:
     """Inside code nothing is formatted, so its stars and underscores are hidden."""
     return F.translate(escape(text), "*_", _STAR + _UNDER)
@@ -89,7 +105,7 @@ def _classified(rows: DataFrame, key: str, markdown: str) -> DataFrame:
     blank = F.trim("line") == ""
     is_table = F.contains("line", F.lit("|")) & F.rlike("following", F.lit(TABLE_RULE)) & F.contains("following", F.lit("-"))
     kind = (
-        F.when(F.col("coded"), "code").when(blank, "blank").when(F.rlike("line", F.lit(TASK)), "task")
+        F.when(F.col("coded"), "code").when(blank, "blank").when(_is_task(F.col("line")), "task")
         .when(F.rlike("line", F.lit(HEADING)), "heading").when(F.rlike("line", F.lit(RULE)), "rule")
         .when(F.rlike("line", F.lit(QUOTE)), "quote").when(F.rlike("line", F.lit(ITEM)), "item")
         .when(F.coalesce(is_table, F.lit(False)), "table").otherwise("text")
@@ -184,9 +200,7 @@ def _block_html(kind: Column, lines: Column, text: Column, items: Column) -> Col
     heading = F.concat(F.lit("<"), name, F.lit(">"), title, F.lit("</"), name, F.lit(">"))
     code = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 2)), "\n")
     quoted = inline(F.trim(F.regexp_replace(text, r"(?m)^ {0,3}> ?", "")))
-    tasks = F.transform(lines, lambda t: F.concat(
-        F.when(F.lower(F.regexp_extract(t, TASK, 2)) == "x", '<li class="checked">').otherwise('<li class="unchecked">'),
-        escape(F.regexp_extract(t, TASK, 3)), F.lit("</li>")))
+    tasks = F.transform(lines, _task_html)
     block_level = F.rlike(text, F.lit(r"(?i)^<(?:div|ul|ol|table|pre|h[1-6]|blockquote|p|hr)\b"))
     return (
         F.when(kind == "heading", heading)
@@ -229,9 +243,14 @@ def markdown_to_html(rows: DataFrame, key: str, markdown: str) -> DataFrame:
     block = _block_html(F.col("kind"), F.col("lines"), F.col("text"), F.col("items"))
     blocks = blocks.withColumn("html", F.when(F.col("kind") == "blank", "").otherwise(block))
     whole = blocks.groupBy("doc").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "kind", "html"))), lambda b: b["html"]), "\n").alias("html")
-    )
-    # Two lists of different kinds in a row need something between them.
-    apart = F.regexp_replace("html", r"</ul>\s*(<ol\b[^>]*>)", "</ul><div><br></div>$1")
-    apart = F.regexp_replace(apart, r"</ol>\s*(<ul\b[^>]*>)", "</ol><div><br></div>$1")
-    return whole.select(F.col("doc").alias(key), F.trim(F.regexp_replace(apart, r"\A\s+|\s+\z", "")).alias("html"))
+        F.transform(F.array_sort(F.collect_list(F.struct("block", "html"))), lambda b: b["html"]).alias("parts"))
+
+    def placed(part: Column, i: Column) -> Column:
+        """A block after what stands between it and the one before: two lists of different kinds must not run together."""
+        before = F.coalesce(F.get("parts", i - 1), F.lit(""))
+        apart = (before.endswith("</ul>") & part.startswith("<ol")) | (before.endswith("</ol>") & part.startswith("<ul"))
+        between = F.when(i == 0, "").when(apart, "<div><br></div>").otherwise("\n")
+        return F.concat(between, part)
+
+    joined = F.array_join(F.transform("parts", placed), "")
+    return whole.select(F.col("doc").alias(key), F.trim(F.regexp_replace(joined, r"\A\s+|\s+\z", "")).alias("html"))
