@@ -123,10 +123,12 @@ def _placed(rows: DataFrame) -> DataFrame:
     # The list a token belongs to is the one opened last at its depth.
     at_depth = Window.partitionBy("doc", "lists").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opens = name.isin("ul", "ol") & ~end
-    rows = rows.withColumn("list", F.max(F.when(opens, F.struct("pos", "name"))).over(at_depth))
+    first = F.coalesce(F.regexp_extract(H.attribute(F.col("token"), "start"), r"^\s*(\d{1,9})\s*$", 1).try_cast("int"), F.lit(1))
+    rows = rows.withColumn("list", F.max(F.when(opens, F.struct("pos", "name", first.alias("first")))).over(at_depth))
     in_list = Window.partitionBy("doc", "lists", "list.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("number", F.sum(F.when((name == "li") & ~end, 1).otherwise(0)).over(in_list))
-    marker = F.when(F.col("list.name") == "ol", F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- ")
+    shown = (F.col("number") + F.coalesce("list.first", F.lit(1)) - 1).cast("string")
+    marker = F.when(F.col("list.name") == "ol", F.concat(shown, F.lit(". "))).otherwise("- ")
     rows = rows.withColumn("marker", marker)
     width = F.when(name == "li", delta * F.length("marker")).otherwise(0)
     breaks = (F.col("pre") == 0) & (F.col("tables") == 0) & name.isin(*_LINE_BREAKERS)
@@ -152,8 +154,11 @@ def _fragment() -> Column:
     span = F.lit("")
     for tag, (start, stop) in _SPANS.items():
         span = F.when(name == tag, F.when(end, stop).otherwise(start)).otherwise(span)
-    href = H.attribute(token, "href")
-    link = F.when(end, _LINK[1]).otherwise(F.concat(F.lit(_LINK[0]), F.coalesce(href, F.lit("")), F.lit(_HREF_END)))
+    href = F.coalesce(H.attribute(token, "href"), F.lit(""))
+    title = F.nullif(H.attribute(token, "title"), F.lit(""))
+    titled = F.when((href != "") & title.isNotNull(), F.concat(
+        href, F.lit(' "'), F.replace(title, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(href)
+    link = F.when(end, _LINK[1]).otherwise(F.concat(F.lit(_LINK[0]), titled, F.lit(_HREF_END)))
     image = F.concat(
         F.lit("!["), F.coalesce(H.attribute(token, "alt"), F.lit("")), F.lit("]("),
         F.coalesce(H.attribute(token, "src"), F.lit("")), F.lit(")"),

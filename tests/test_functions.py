@@ -163,6 +163,12 @@ SANITIZED = {
     "  ": "",
 }
 HTML_TO_MD = {
+    '<ol start="3"><li>a</li><li>b</li></ol>': "3. a\n4. b",
+    '<a href="u" title="T">x</a>': '[x](u "T")',
+    '<div style="font-family: Menlo">a<br>b</div>': "```\na\nb\n```",
+    '<ul><li class="checked">a</li><li class="unchecked">b</li></ul>': "- [x] a\n- [ ] b",
+    'x <object id="A1"></object> y': "x ![attachment](attachment:A1) y",
+    '<pre><code class="language-sql">q</code></pre>': "```sql\nq\n```",
     '<div><b><span style="font-size: 24px">Big</span></b></div>': "# Big",
     '<div><b><span style="font-size:18px">Mid</span></b></div>': "## Mid",
     "<div><b>Lone</b></div>": "### Lone",
