@@ -73,8 +73,10 @@ def _strings(data: bytes) -> Iterator[str]:
             text = value.decode()
         except UnicodeDecodeError:
             text = ""
-        shown = sum(c.isprintable() or c in "\n\r\t" for c in text)
-        if text and shown / len(text) > MIN_PRINTABLE:
+        bare = text.replace("\n", "").replace("\r", "").replace("\t", "")
+        # Most texts hold nothing else, which one call tells.
+        odd = 0 if bare.isprintable() else sum(not c.isprintable() for c in bare)
+        if text and (len(text) - odd) / len(text) > MIN_PRINTABLE:
             yield text
         else:
             yield from _strings(value)
