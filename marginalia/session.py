@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
         root = tempfile.mkdtemp(prefix="marginalia-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
