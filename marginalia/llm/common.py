@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only in a local session that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="marginalia-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+from marginalia.session import checkpoint_root
 
 
 def written(rows: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and the table survives a lost executor."""
     spark = rows.sparkSession
-    path = f"{shared_root(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/llm-{label}-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
