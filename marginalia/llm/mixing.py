@@ -44,31 +44,38 @@ def rake(
 ) -> tuple[DataFrame, int]:
     """``cells`` (the dimensions and tokens) with ``factor``, and the number of sweeps.
 
-    ``targets`` gives value and target share for each dimension. A value without a target has share 0: its factor becomes 0.
-    Cells without tokens keep factor 1. Sweeps end when every share is within ``tolerance`` of its target.
+    ``targets`` gives value and target share for each dimension; shares of values that no cell with tokens has are dealt to the
+    others in proportion. A value without a target has share 0: its factor becomes 0. Cells without tokens weigh nothing, and
+    are scaled with their values. Sweeps end when every share is within ``tolerance`` of its target.
     """
-    held = cells.withColumn("factor", F.lit(1.0))
+    total = cells.agg(F.sum("tokens").alias("all"))
+    held = cells.join(total).withColumns({
+        "factor": F.lit(1.0), "weight": F.coalesce(F.try_divide("tokens", "all"), F.lit(0.0))}).drop("all")
+    for d, wanted in targets.items():
+        present = cells.where("tokens > 0").select(F.col(d).alias("value")).distinct()
+        found = wanted.join(present, "value", "left_semi")
+        shares = found.join(found.agg(F.sum("target").alias("all"))).select(
+            F.col("value").alias(d), F.coalesce(F.try_divide("target", "all"), F.lit(0.0)).alias(f"target_{d}"))
+        held = held.join(shares, d, "left")
+    held = written(held.fillna(0.0, [f"target_{d}" for d in targets]), "raked")
     sweeps = 0
     while sweeps < most_sweeps:
-        off = None
+        off = F.lit(0.0)
         for d in targets:
-            mass = F.sum(F.col("tokens") * F.col("factor"))
-            sums = held.groupBy(F.col(d).alias("value")).agg(mass.alias("mass"))
-            total = held.agg(mass.alias("all"))
-            scale = sums.join(total).join(targets[d], "value", "left").select(
-                "value", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce(F.try_divide("mass", "all"), F.lit(0.0)).alias("share"))
-            scale = scale.select(
-                F.col("value").alias(d), F.abs(F.col("share") - F.col("target")).alias(f"off_{d}"),
-                F.coalesce(F.try_divide("target", "share"), F.lit(1.0)).alias("by"))
-            held = held.join(scale, d).withColumn("factor", F.col("factor") * F.col("by")).drop("by")
-            off = F.col(f"off_{d}") if off is None else F.greatest(off, F.col(f"off_{d}"))
-        held = written(held.withColumn("off", off).drop(*[f"off_{d}" for d in targets]), "raked")
+            # After this step the mass of each value is its target, and that of all cells 1.
+            mass = held.groupBy(d).agg(F.sum(F.col("weight") * F.col("factor")).alias("mass"))
+            by = F.coalesce(F.try_divide(F.col(f"target_{d}"), F.col("mass")), F.lit(1.0))
+            held = held.join(mass, d).withColumn("factor", F.col("factor") * by)
+            off = F.greatest(off, F.abs(F.col("mass") - F.col(f"target_{d}")))
+            held = held.withColumn("off", off).drop("mass")
+            off = F.col("off")
+        held = written(held, "raked")
         sweeps += 1
         worst = held.agg(F.max("off")).first()[0]
         held = held.drop("off")
         if worst is None or worst <= tolerance:
             break
-    return held, sweeps
+    return held.select(*cells.columns, "factor"), sweeps
 
 
 def mixed(
