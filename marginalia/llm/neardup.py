@@ -4,8 +4,8 @@
 2. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples from the weights of each document; documents that
    agree on all samples of a band are candidates. Documents with equal words are one node from here on.
 3. The candidate graph links each bucket's members to its first; its components are families. Each text goes once to its
-   family's task, where pairs are compared until the components within the family are known. A family too large for one
-   task is dealt out in parts; then the best-linked member of each component, in rounds, meets the members outside.
+   family's task, where pairs that share a band are compared until the components within the family are known. A family
+   too large for one task is dealt out in parts; then members of the components meet the members outside, in rounds.
 4. Components of the verified links are the classes.
 """
 
@@ -37,7 +37,7 @@ RARE = 0.05
 #: Documents and bytes of text that one task compares.
 PART_DOCS, PART_BYTES = 600, 8 << 20
 #: Members of a family in parts that meet all others, in the first round.
-PIVOTS = 8
+PIVOTS = 32
 #: What stands between words.
 BETWEEN = r"[^\pL\pM\pN_]+"
 
@@ -201,22 +201,19 @@ class Family:
         both = float(np.minimum(a[1][same], b[1][at[same]]).sum())
         return both >= self.similar * (a[2] + b[2] - both)
 
-    def links(self, texts: list) -> list[tuple[int, int]]:
-        """A link for each step that joins two components; every pair of components is compared until one is found."""
-        groups: list[list[int]] = []
+    def links(self, texts: list, bands: np.ndarray) -> list[tuple[int, int]]:
+        """A link for each step that joins two components; candidates share a band and are compared until one is found."""
+        label = np.arange(len(texts))
+        degree = np.zeros(len(texts), dtype=np.int64)
         out = []
-        for i, text in enumerate(texts):
-            merged = [i]
-            rest = []
-            for group in groups:
-                hit = next((j for j in group if self.alike(text, texts[j])), None)
-                if hit is None:
-                    rest.append(group)
-                else:
-                    out.append((i, hit))
-                    # Best-linked members first, so that the next text is likely to meet its match at once.
-                    merged = [hit, *[j for j in group if j != hit], *merged]
-            groups = [merged, *rest]
+        for i in range(1, len(texts)):
+            near = np.flatnonzero((bands[:i] == bands[i]).any(axis=1))
+            # Best-linked members first, so that a text is likely to meet its match at once.
+            for j in near[np.argsort(-degree[near], kind="stable")].tolist():
+                if label[j] != label[i] and self.alike(texts[i], texts[j]):
+                    out.append((i, j))
+                    degree[[i, j]] += 1
+                    label[label == label[j]] = label[i]
         return out
 
 
@@ -246,32 +243,33 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     families = components(candidates)
 
     # Size of each family decides into how many parts it is dealt; a part is compared within one task.
-    sized = written(families.join(nodes.select("node", "size"), "node"), "members")
+    sized = written(families.join(nodes.select("node", "size", "bands"), "node"), "members")
     parts = written(
         sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).select(
             "root", F.ceil(F.greatest(F.col("n") / PART_DOCS, F.col("chars") / PART_BYTES)).cast("int").alias("parts")),
         "parts")
     dealt = sized.join(parts, "root").select(
-        "node", "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+        "node", "root", "parts", "bands", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     packed = texts.mapInArrow(_packed, "_row long, text binary")
     members = written(
-        dealt.join(packed, dealt.node == packed._row).select("node", "root", "parts", "part", "text"), "families")
+        dealt.join(packed, dealt.node == packed._row).select("node", "root", "parts", "part", "bands", "text"), "families")
 
     family = Family(table, similar)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
         nodes_here = group["node"].tolist()
-        found = family.links(family.load(group["text"]))
+        found = family.links(family.load(group["text"]), np.stack(group["bands"].to_numpy()))
         return pd.DataFrame({"a": [nodes_here[i] for i, _ in found], "b": [nodes_here[j] for _, j in found]}, dtype="int64")
 
     # Comparing costs more than the bytes tell, hence a number of tasks of our own.
     spread_out = members.repartition(4 * parallelism(texts.sparkSession), "root", "part")
     links = written(spread_out.groupBy("root", "part").applyInPandas(compare, "a long, b long"), "links")
 
-    # Families in parts: the best-linked members of the largest components meet all members outside their component. Few
-    # do at first, which mostly leaves one component; twice as many in each later round, until each component has had its
-    # turn. A round costs a comparison for each member and pivot, so that a family is never compared with itself.
+    # Families in parts: members meet all that share a band with them in the other components. The best-linked member of each component
+    # comes first, of large components before small ones, which mostly leaves one component; then those still outside
+    # the largest component, sixteen times as many each round. Once all of these have had their turn, any link between two
+    # components would have been found, as one of its ends is outside the largest.
     large = members.where("parts > 1")
     tried: DataFrame | None = None
     pivots_now = PIVOTS
@@ -280,40 +278,55 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
         labels = components(links)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
         now = written(
-            large.select("node", F.col("root").alias("family"), "part").join(labels, "node", "left")
-            .select("node", "family", "part", F.coalesce("root", "node").alias("class")), "now")
-        ranked = now.join(degree, "node").groupBy("family", "class").agg(
-            F.count("*").alias("members"), F.max(F.struct("n", (-F.col("node")).alias("back"))).alias("top"))
-        heads = ranked.select("family", "class", "members", (-F.col("top.back")).alias("pivot"))
+            large.select("node", F.col("root").alias("family"), "part").join(labels, "node", "left").join(degree, "node", "left")
+            .select("node", "family", "part", F.coalesce("root", "node").alias("class"), F.coalesce("n", F.lit(0)).alias("n")), "now")
+        classes_now = written(
+            now.groupBy("family", "class").agg(
+                F.count("*").alias("members"), F.max(F.struct("n", (-F.col("node")).alias("back"))).alias("top"))
+            .select("family", "class", "members", (-F.col("top.back")).alias("head")), "classes")
+        biggest = classes_now.groupBy("family").agg(F.max(F.struct("members", "class")).alias("big")).select(
+            "family", F.col("big.class").alias("largest"))
+        heads = classes_now.select("family", "class", "members", F.col("head").alias("pivot"), F.lit(0).alias("turn"))
+        others = now.join(classes_now.drop("family"), "class").join(biggest, "family").where("class <> largest and node <> head").select(
+            "family", "class", "members", F.col("node").alias("pivot"), F.lit(1).alias("turn"))
+        waiting = heads.unionByName(others)
         if tried is not None:
-            heads = heads.join(tried, "pivot", "left_anti")
-        largest = Window.partitionBy("family").orderBy(F.desc("members"), "pivot")
-        pivots = written(heads.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= pivots_now), "pivots")
+            waiting = waiting.join(tried, "pivot", "left_anti")
+        order = Window.partitionBy("family").orderBy("turn", F.desc("members"), "pivot")
+        pivots = written(waiting.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots_now), "pivots")
         if not pivots.limit(1).count():
             break
         tried = written(pivots.select("pivot") if tried is None else tried.union(pivots.select("pivot")), "tried")
-        texts_of = large.select(F.col("node").alias("pivot"), F.col("text").alias("p_text"))
+        texts_of = large.select(F.col("node").alias("pivot"), F.col("text").alias("p_text"), F.col("bands").alias("p_bands"))
         spread = pivots.select("family", F.col("class").alias("p_class"), "pivot").join(texts_of, "pivot").join(
             parts.select(F.col("root").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "family"
-        ).select("family", "part", "pivot", "p_class", "p_text").toDF("to_family", "to_part", "pivot", "p_class", "p_text")
-        outside = large.select("node", "text").join(now, "node").select("family", "part", "node", "class", "text")
+        ).select("family", "part", "pivot", "p_class", "p_bands", "p_text").toDF(
+            "to_family", "to_part", "pivot", "p_class", "p_bands", "p_text")
+        outside = large.select("node", "bands", "text").join(now, "node").select("family", "part", "node", "class", "bands", "text")
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            heads_here = list(zip(right["pivot"], right["p_class"], family.load(right["p_text"]), strict=True))
             out = []
-            for node, cls, own in zip(left["node"], left["class"], family.load(left["text"]), strict=True):
-                known = {cls}
-                for p, c, head in heads_here:
-                    if c not in known and family.alike(own, head):
-                        known.add(c)
-                        out.append((node, p))
+            if len(left) and len(right):
+                bands = np.stack(right["p_bands"].to_numpy())
+                nodes_here, classes_here = right["pivot"].tolist(), right["p_class"].to_numpy()
+                loaded: dict[int, tuple] = {}
+                for node, cls, own_bands, text in zip(left["node"], left["class"], left["bands"], left["text"], strict=True):
+                    near = np.flatnonzero((bands == own_bands).any(axis=1) & (classes_here != cls)).tolist()
+                    own, known = family.load([text])[0] if near else None, {cls}
+                    for k in near:
+                        if classes_here[k] not in known:
+                            if k not in loaded:
+                                loaded[k] = family.load([right["p_text"].iloc[k]])[0]
+                            if family.alike(own, loaded[k]):
+                                known.add(classes_here[k])
+                                out.append((node, nodes_here[k]))
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         found = written(
             outside.groupBy("family", "part").cogroup(spread.groupBy("to_family", "to_part")).applyInPandas(meet, "a long, b long"),
             "found")
         links = written(links.union(found), "links")
-        pivots_now *= 2
+        pivots_now *= 16
 
     labels = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
@@ -351,5 +364,6 @@ def one_of_each(docs: DataFrame, text_col: str = "text", similar: float = SIMILA
     inner, names = shielded(docs)
     held = numbered(inner, "docs")
     found = classes_of(held.select("_row", F.coalesce(F.col(names[text_col]), F.lit("")).alias("text")), similar)
-    later = found.where("_row <> class_row").select("_row")
+    # The merge keeps to one plan at every size: what goes grows with the table.
+    later = found.where("_row <> class_row").select("_row").hint("merge")
     return unshielded(held.join(later, "_row", "left_anti"), names, {})

@@ -127,6 +127,18 @@ def test_family_in_parts(spark, monkeypatch):
     assert classes(rows) == [list(range(121)), *[[i] for i in range(121, 131)]]
 
 
+def test_chain_over_parts(spark, monkeypatch):
+    """Each text is alike only to the one before and the one after, and nearly each is in a part of its own."""
+    rng = random.Random(12)
+    chain = [words(rng, 200)]
+    for _ in range(25):
+        chain.append(edited(rng, chain[-1], 3))
+    monkeypatch.setattr(neardup, "PART_DOCS", 1)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    rows = neardup.class_ids(documents(spark, [" ".join(c) for c in chain])).collect()
+    assert classes(rows) == [list(range(26))]
+
+
 def test_near_query_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     sets = {d["doc_id"]: set(h.tolist()) for d, (h, _, _) in zip(docs, neardup.shingles([d["text"] or "" for d in docs]), strict=True)}
