@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import numbered, parallelism, shielded, slices, unshielded, written
+from marginalia.llm.common import numbered, parallelism, shielded, slices, unshielded, written, written_small
 from marginalia.llm.graph import components
 
 GRAM = 5
@@ -238,13 +238,13 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
         signed.groupBy("key").agg(F.min(F.struct("_row", "size", "bands")).alias("first"))
         .select("key", F.col("first._row").alias("node"), "first.size", "first.bands"), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "code"))
-    stars = written(buckets.groupBy("band", "code").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "stars")
+    stars = written_small(buckets.groupBy("band", "code").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "stars")
     candidates = buckets.join(stars, ["band", "code"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     families = components(candidates)
 
     # Size of each family decides into how many parts it is dealt; a part is compared within one task.
     sized = written(families.join(nodes.select("node", "size", "bands"), "node"), "members")
-    parts = written(
+    parts = written_small(
         sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).select(
             "root", F.ceil(F.greatest(F.col("n") / PART_DOCS, F.col("chars") / PART_BYTES)).cast("int").alias("parts")),
         "parts")
@@ -277,10 +277,10 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     while more:
         labels = components(links)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-        now = written(
+        now = written_small(
             large.select("node", F.col("root").alias("family"), "part").join(labels, "node", "left").join(degree, "node", "left")
             .select("node", "family", "part", F.coalesce("root", "node").alias("class"), F.coalesce("n", F.lit(0)).alias("n")), "now")
-        classes_now = written(
+        classes_now = written_small(
             now.groupBy("family", "class").agg(
                 F.count("*").alias("members"), F.max(F.struct("n", (-F.col("node")).alias("back"))).alias("top"))
             .select("family", "class", "members", (-F.col("top.back")).alias("head")), "classes")
@@ -293,10 +293,10 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
         if tried is not None:
             waiting = waiting.join(tried, "pivot", "left_anti")
         order = Window.partitionBy("family").orderBy("turn", F.desc("members"), "pivot")
-        pivots = written(waiting.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots_now), "pivots")
+        pivots = written_small(waiting.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots_now), "pivots")
         if not pivots.limit(1).count():
             break
-        tried = written(pivots.select("pivot") if tried is None else tried.union(pivots.select("pivot")), "tried")
+        tried = written_small(pivots.select("pivot") if tried is None else tried.union(pivots.select("pivot")), "tried")
         texts_of = large.select(F.col("node").alias("pivot"), F.col("text").alias("p_text"), F.col("bands").alias("p_bands"))
         spread = pivots.select("family", F.col("class").alias("p_class"), "pivot").join(texts_of, "pivot").join(
             parts.select(F.col("root").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "family"
@@ -330,7 +330,7 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     labels = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    classes = written(
+    classes = written_small(
         nodes.select("key", "node").join(labels, "node", "left").join(counts, "node", "left").select(
             "key", F.coalesce("root", "node").alias("class_row"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     return written(signed.select("_row", "key").join(classes, "key").select("_row", "class_row", "links"), "rows")
