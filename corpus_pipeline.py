@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.bpe import encode_decode
 from marginalia.llm.common import written
 from marginalia.llm.linededup import line_dedup
-from marginalia.llm.mixing import mixed
+from marginalia.llm.mixing import BUDGET, mixed
 from marginalia.llm.neardup import one_of_each
 from marginalia.llm.quality import keep_good
 from marginalia.llm.queries import table, token_digests, tokenizer_path
@@ -35,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A draw of documents that meets flattened shares of source, language and topic."""
-    return mixed(docs).where("drawn").select(docs.columns)
+    """A draw of ``BUDGET`` of the tokens towards flattened shares of source, language and topic; what is too rare stays whole."""
+    return mixed(docs, budget=BUDGET).where("drawn").select(docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

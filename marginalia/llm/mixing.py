@@ -1,13 +1,17 @@
 """Mix sources to target weights: rake token counts to source, language and topic shares, then draw documents.
 
 Iterative proportional fitting scales the cells of the source by language by topic table until the shares of each of the
-three meet their targets. A cell's factor, divided by the largest, is the probability of each of its documents, so no probability is cut
-off and the drawn tokens meet the targets in expectation. All of it is DataFrame operations; only one number per sweep, the
-largest deviation, reaches the driver.
+three meet their targets. The probability of a cell's documents is its factor times a scale, at most 1. The scale is solved for a
+budget, a share of all tokens: what is too rare for its target stays whole and leaves the rest of its budget to the others, in
+proportion to their factors. Without a budget the scale is one by the largest factor, so that no probability is cut off and
+the drawn tokens meet the targets in expectation; then the rarest cell decides how much is drawn. All of it is DataFrame
+operations; only the largest deviation of a sweep, or the sums of a step to the scale, reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from marginalia.llm.common import shielded, unshielded, written
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = ""
+#: Share of all tokens that the registered query and the pipeline draw in expectation.
+BUDGET = 0.7
 
 
 def topic_bucket(text: Column, buckets: int = 8) -> Column:
@@ -78,6 +84,27 @@ def rake(
     return held.select(*cells.columns, "factor"), sweeps
 
 
+def scale_for(raked: DataFrame, budget: float) -> float:
+    """The scale c with which the tokens times min(1, c * factor) come to ``budget`` of all tokens.
+
+    Infinite if the tokens of all cells with a factor are no more than that. Newton's steps on a concave function of
+    straight pieces come from below and end on the piece that holds the answer.
+    """
+    flow = F.col("tokens") * F.col("factor")
+    start = raked.agg(F.sum("tokens"), F.sum(flow), F.sum(F.when(F.col("factor") > 0, F.col("tokens")))).first()
+    wanted = budget * (start[0] or 0)
+    if not start[1] or wanted >= start[2]:
+        return math.inf
+    scale = wanted / start[1]
+    while True:
+        whole = F.col("factor") * scale >= 1
+        held, slope = raked.agg(
+            F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(flow))).first()
+        if not slope or (better := (wanted - held) / slope) <= scale * (1 + 1e-12):
+            return scale
+        scale = better
+
+
 def mixed(
     docs: DataFrame,
     targets: dict[str, DataFrame] | None = None,
@@ -86,13 +113,15 @@ def mixed(
     key_cols: tuple[str, ...] = ("doc_id",),
     seed: int = 7,
     power: float = 0.7,
+    budget: float | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` with topic, tokens, probability and drawn.
 
     ``docs`` has source and lang. Null values of a dimension are one value of their own, the empty string. The draw compares
     a hash of the key, the text and ``seed`` with the probability, so repeated rows share one fate and a retry draws the
     same. Documents without words weigh nothing and get the probability of their cell. Without ``targets``, each dimension
-    is flattened by ``power``. All columns stay, but for those that have the names of the results; a given column "topic"
+    is flattened by ``power``. With ``budget``, that share of all tokens is drawn in expectation, or all that the targets admit if
+    that is less; cells too rare for their targets are kept whole. All columns stay, but for those that have the names of the results; a given column "topic"
     can be passed as ``topic``. An empty table gives an empty result.
     """
     label = topic if topic is not None else topic_bucket(F.col(f"`{text_col}`"))
@@ -108,12 +137,15 @@ def mixed(
         marked.groupBy(*[F.col(c).alias(d) for d, c in inside.items()]).agg(F.sum("_tokens").alias("tokens")), "cells")
     wanted = targets or {d: written(flattened(cells, d, power), "targets") for d in DIMENSIONS}
     raked, _ = rake(cells, wanted)
-    largest = raked.agg(F.max("factor").alias("largest"))
+    if budget is None:
+        largest = raked.agg(F.max(F.when(F.col("tokens") > 0, F.col("factor"))).alias("largest"))
+        scaled = raked.join(largest).withColumn("scaled", F.coalesce(F.try_divide("factor", "largest"), F.lit(0.0)))
+    else:
+        scale = scale_for(raked, budget)
+        kept_whole = F.when(F.col("factor") > 0, 1.0).otherwise(0.0)
+        scaled = raked.withColumn("scaled", kept_whole if scale == math.inf else F.col("factor") * scale)
     chances = written(
-        raked.join(largest).select(
-            *[F.col(d).alias(c) for d, c in inside.items()],
-            F.coalesce(F.try_divide("factor", "largest"), F.lit(0.0)).alias("_probability")),
-        "chances")
+        scaled.select(*[F.col(d).alias(c) for d, c in inside.items()], F.least("scaled", F.lit(1.0)).alias("_probability")), "chances")
     draw = F.pmod(F.xxhash64(*[F.col(names[k]) for k in key_cols], text, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     return unshielded(marked.join(chances, list(inside.values())), names, {
         "topic": F.col("_topic"), "tokens": F.col("_tokens"), "probability": F.col("_probability"),

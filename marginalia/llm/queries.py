@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import encode_decode
 from marginalia.llm.linededup import line_dedup
-from marginalia.llm.mixing import mixed
+from marginalia.llm.mixing import BUDGET, mixed
 from marginalia.llm.neardup import class_ids
 from marginalia.llm.pii import BASE_KINDS as PII_KINDS
 from marginalia.llm.pii import pii_spans
@@ -131,7 +131,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixed(table(spark, sf_dir, "documents"))
+    rows = mixed(table(spark, sf_dir, "documents"), budget=BUDGET)
     return rows.select(
         "doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"),
         F.round("probability", 9).alias("probability"), F.col("drawn").alias("kept"),

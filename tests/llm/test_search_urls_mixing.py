@@ -185,7 +185,36 @@ def test_mixing_to_given_targets(spark):
     assert again == sum(r["drawn"] for r in rows)
 
 
+def test_mixing_to_a_budget(spark, tmp_path):
+    """One short row of an unseen language, or a cell without words, takes nothing from the others."""
+    rows = [(i, "a b c d e", ("en", "fr")[i % 4 == 0], f"s{i % 3}", 9) for i in range(600)]
+    rows += [(600, "rare words", "xx", "s0", 10), (601, "", "yy", "s9", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    out = entry.queries()["op7_mixing"](spark, str(tmp_path)).collect()
+    tokens = sum(r["n_tokens"] for r in out)
+    assert abs(sum(r["n_tokens"] * r["probability"] for r in out) - mixing.BUDGET * tokens) < 1e-6 * tokens
+    assert abs(sum(r["kept"] for r in out) / len(out) - mixing.BUDGET) < 0.08
+    chance = {r["lang"]: r["probability"] for r in out}
+    assert chance["xx"] == 1.0 and 1.0 >= chance["fr"] > chance["en"] > 0.5
+
+
+def test_budget_of_no_rows_or_words(spark):
+    assert mixing.mixed(documents(spark, []), budget=0.5).collect() == []
+    assert mixing.mixed(documents(spark, [None, "", " "]), budget=0.5).count() == 3
+
+
+def test_scale_for_a_budget(spark):
+    cells = [(100, 1.0), (50, 3.0), (7, 40.0), (0, 900.0), (30, 0.0), (11, 3.5)]
+    raked = spark.createDataFrame(cells, "tokens long, factor double")
+    for budget in (0.01, 0.3, 0.6, 0.8):
+        scale = mixing.scale_for(raked, budget)
+        assert abs(sum(n * min(1.0, scale * f) for n, f in cells) - budget * 198) < 1e-9
+    assert mixing.scale_for(raked, 0.9) == math.inf
+
+
 def test_mixing_of_no_rows_or_words(spark):
+
     assert mixing.mixed(documents(spark, [])).collect() == []
     assert mixing.mixed(documents(spark, [None, "", " "])).count() == 3
 
