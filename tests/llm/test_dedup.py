@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from helpers import clashing, documents, sha, without_repeats
@@ -71,6 +72,35 @@ def test_runs_resist_shifts():
     assert len(runs & {tuple(moved[x:y]) for x, y in linededup.runs_of(moved)}) >= len(runs) - 2
 
 
+def test_line_dedup_takes_whole_passages(spark):
+    """Repeated passages of two lines and more, and long single lines, between own lines; the truth knows nothing of runs."""
+    rng = random.Random(31)
+    line = lambda n=7: " ".join(words(rng, n))
+    passages = [[line() for _ in range(n)] for n in (2, 2, 2, 3, 5, 9)] + [[line(60)], [line(), "", "", "", "", line()]]
+    texts = []
+    for i in range(40):
+        parts = [[line()], *[p for p in rng.sample(passages, 3) for p in (p, [line()])]]
+        texts.append("\n".join(x for p in parts for x in p) if i != 7 else passages[6][0])
+    met, singles, want = set(), set(), []
+    for text in texts:
+        lines = text.split("\n")
+        gone = set()
+        for i, x in enumerate(lines):
+            if len(x.split()) > 50:
+                gone |= {i} if x in singles else set()
+                singles.add(x)
+            for j in range(i + 1, len(lines)):
+                if (x or lines[j]) and (j == i + 1 or x and lines[j] and not any(lines[i + 1 : j])):
+                    gone |= set(range(i, j + 1)) if tuple(lines[i : j + 1]) in met else set()
+                    met.add(tuple(lines[i : j + 1]))
+        want.append(sorted(gone))
+    rows = linededup.line_dedup(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r["removed"] for r in rows] == want
+    kept = Counter(x for r in rows for x in r["text"].split("\n"))
+    assert all(kept[x] == 1 for p in passages for x in p if x)
+    assert set(kept) >= {x for t in texts for x in t.split("\n") if x}
+
+
 def test_line_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = plain_lines([(d["doc_id"], d["text"]) for d in docs])
