@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import let
-from marginalia.llm.spans import find_all, labelled, merged
+from marginalia.llm.spans import CONTEXT, FOUND, find_all, labelled, merged
 
 # The lookbehinds stop a search from starting inside a run that the run's first character has already failed; \G admits
 # the place where the last match ended. Possessive quantifiers keep the matcher from recursing on long runs.
@@ -18,9 +18,19 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+# Only the start is matched, so that what follows can hold the next start; the group looks ahead at the rest and its surroundings.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11}(?s:.{0,100})))"
+IBAN_TAIL = r"^(?:\x20?[A-Z0-9]){11,30}"
 LOCAL = r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
+#: Countries by the length of their IBANs. Others may have from 15 to 34 characters.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 #: Words that raise the score of a kind when they stand nearby.
 CONTEXT_WORDS = {
     "email": r"(?i)\b(e-?mail|mail|contact|write)\b",
@@ -76,19 +86,52 @@ def _is_phone(value: Column) -> Column:
     return F.length(_digits(value)).between(10, 15)
 
 
-def _is_iban(value: Column) -> Column:
-    return let(F.replace(value, F.lit(" "), F.lit("")), lambda v: F.length(v).between(15, 34) & mod97(v))
+def _ibans(text: Column) -> Column:
+    """Matches of IBANs: of each start, the prefix that ends where letters and digits end and passes mod 97.
+
+    The length of the country comes first, then the longest. A start inside an IBAN found before it counts no more.
+    """
+    none = F.expr(f"cast(array() as {FOUND})")
+
+    def own_length(bare: Column) -> Column:
+        fits = F.lit(False)
+        for n, countries in IBAN_LENGTHS.items():
+            fits = fits | ((F.length(bare) == n) & F.left(bare, F.lit(2)).isin(*countries.split()))
+        return fits
+
+    def cut(hit: Column, rest: Column) -> Column:
+        def longest(tail: Column) -> Column:
+            ends = F.filter(
+                F.sequence(F.lit(11), F.length(tail)),
+                lambda n: (F.substr(tail, n, F.lit(1)) != " ") & ~F.substr(rest, n + 1, F.lit(1)).rlike("[A-Za-z0-9]"))
+            made = F.transform(ends, lambda n: F.struct(
+                n.alias("n"), F.replace(F.concat(hit["value"], F.left(tail, n)), F.lit(" "), F.lit("")).alias("bare")))
+            good = F.filter(made, lambda p: F.length(p["bare"]).between(15, 34) & mod97(p["bare"]))
+            return F.array_max(F.transform(good, lambda p: F.struct(own_length(p["bare"]).alias("own"), p["n"].alias("n"))))["n"]
+
+        return let(let(F.regexp_extract(rest, IBAN_TAIL, 0), longest), lambda n: F.struct(
+            hit["start"].alias("start"), (hit["end"] + n).alias("end"), F.concat(hit["value"], F.left(rest, n)).alias("value"),
+            hit["before"].alias("before"), F.substr(rest, n + 1, F.lit(CONTEXT)).alias("after")))
+
+    def step(acc: Column, hit: Column) -> Column:
+        return F.when(hit["start"] < acc["at"], acc).otherwise(
+            F.struct(hit["end"].alias("at"), F.array_append(acc["out"], hit).alias("out")))
+
+    starts = find_all(text, IBAN, r"[A-Z]{2}[0-9]{2}")
+    cuts = F.filter(F.zip_with(starts, F.regexp_extract_all(text, F.lit(IBAN), 1), cut), lambda hit: hit["end"].isNotNull())
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.when(text.rlike(IBAN), F.aggregate(cuts, zero, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def _spans(text: Column) -> Column:
-    def kind(name: str, order: int, pattern: str, needs: str, valid: Column | None = None) -> Column:
+    def kind(name: str, order: int, pattern: str, needs: str, valid: Column | None = None, found: Column | None = None) -> Column:
         low, high = SCORES[name]
 
         def score(hit: Column) -> Column:
             near = F.concat_ws(" ", hit["before"], hit["after"])
             return F.when(near.rlike(CONTEXT_WORDS[name]), F.lit(high)).otherwise(F.lit(low))
 
-        found = find_all(text, pattern, needs)
+        found = find_all(text, pattern, needs) if found is None else found
         if valid is not None:
             found = F.filter(found, lambda hit: valid(hit["value"]))
         return F.filter(labelled(found, name, order, score), lambda s: s["score"] >= THRESHOLD)
@@ -98,7 +141,7 @@ def _spans(text: Column) -> Column:
         kind("ip", 2, IP, r"[0-9]\.[0-9]", lambda v: F.forall(F.split(v, r"\."), _small)),
         kind("card", 3, CARD, r"(?:[0-9][\x20-]?){13}[0-9]", _is_card),
         kind("phone", 4, PHONE, r"\+[0-9]", _is_phone),
-        kind("iban", 5, IBAN, r"[A-Z]{2}[0-9]{2}", _is_iban),
+        kind("iban", 5, IBAN, r"[A-Z]{2}[0-9]{2}", found=_ibans(text)),
         kind("local", 6, LOCAL, r"[0-9]{3}[\x20.-][0-9]{4}"),
     ])
 

@@ -50,6 +50,16 @@ def test_added_spans(spark):
     assert found[4:] == [["entropy"], [], []]
 
 
+def test_ibans_beside_capitals_and_digits(spark):
+    iban, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{iban} BIC COBADEFF", f"{iban} 250", f"REF AB12 {iban} EUR 99", f"{iban} {other} {iban}", iban.replace(" ", "") + " X",
+             f"{iban}0", "é👍 " + iban, "NO93 8601 1117 947 AB12", f"{iban}. {iban[:-1]}1"]
+    want = [[iban], [iban], [iban], [iban, other, iban], [iban.replace(" ", "")], [], [iban], ["NO93 8601 1117 947"], [iban]]
+    rows = pii.pii_spans(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [[s["value"] for s in r["pii"] if s["kind"] == "iban"] for r in rows] == want
+    assert all(t[s["start"] : s["end"]] == s["value"] for t, r in zip(texts, rows, strict=True) for s in r["pii"])
+
+
 def test_window_entropy(spark):
     rng = random.Random(1)
     values = ["".join(rng.choice("abcdEF01") for _ in range(n)) for n in (1, 5, 20, 21, 90)] + ["a" * 50]
