@@ -38,6 +38,8 @@ RARE = 0.05
 PART_DOCS, PART_BYTES = 600, 8 << 20
 #: Members of a family in parts that meet all others, in the first round.
 PIVOTS = 32
+#: Blocks of ``PART_DOCS`` pivots that a later round has at most; a task holds one block and one part.
+BLOCKS = 16
 #: What stands between words.
 BETWEEN = r"[^\pL\pM\pN_]+"
 
@@ -249,10 +251,10 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
             "root", F.ceil(F.greatest(F.col("n") / PART_DOCS, F.col("chars") / PART_BYTES)).cast("int").alias("parts")),
         "parts")
     dealt = sized.join(parts, "root").select(
-        "node", "root", "parts", "bands", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+        "node", "root", "parts", "size", "bands", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     packed = texts.mapInArrow(_packed, "_row long, text binary")
     members = written(
-        dealt.join(packed, dealt.node == packed._row).select("node", "root", "parts", "part", "bands", "text"), "families")
+        dealt.join(packed, dealt.node == packed._row).select("node", "root", "parts", "part", "size", "bands", "text"), "families")
 
     family = Family(table, similar)
 
@@ -268,7 +270,8 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     # Families in parts: members meet all that share a band with them in the other components. The best-linked member of each component
     # comes first, of large components before small ones, which mostly leaves one component; then those still outside
-    # the largest component, sixteen times as many each round. Once all of these have had their turn, any link between two
+    # the largest component, sixteen times as many each round up to ``BLOCKS`` blocks. Pivots are dealt into blocks by number and
+    # bytes, and each part meets each block in a task of its own. Once all of these have had their turn, any link between two
     # components would have been found, as one of its ends is outside the largest.
     large = members.where("parts > 1")
     tried: DataFrame | None = None
@@ -278,31 +281,38 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
         labels = components(links)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
         now = written_small(
-            large.select("node", F.col("root").alias("family"), "part").join(labels, "node", "left").join(degree, "node", "left")
-            .select("node", "family", "part", F.coalesce("root", "node").alias("class"), F.coalesce("n", F.lit(0)).alias("n")), "now")
+            large.select("node", F.col("root").alias("family"), "part", "size").join(labels, "node", "left").join(degree, "node", "left")
+            .select("node", "family", "part", "size", F.coalesce("root", "node").alias("class"), F.coalesce("n", F.lit(0)).alias("n")),
+            "now")
         classes_now = written_small(
             now.groupBy("family", "class").agg(
-                F.count("*").alias("members"), F.max(F.struct("n", (-F.col("node")).alias("back"))).alias("top"))
-            .select("family", "class", "members", (-F.col("top.back")).alias("head")), "classes")
+                F.count("*").alias("members"), F.max(F.struct("n", (-F.col("node")).alias("back"), "size")).alias("top"))
+            .select("family", "class", "members", (-F.col("top.back")).alias("head"), F.col("top.size").alias("head_size")), "classes")
         biggest = classes_now.groupBy("family").agg(F.max(F.struct("members", "class")).alias("big")).select(
             "family", F.col("big.class").alias("largest"))
-        heads = classes_now.select("family", "class", "members", F.col("head").alias("pivot"), F.lit(0).alias("turn"))
-        others = now.join(classes_now.drop("family"), "class").join(biggest, "family").where("class <> largest and node <> head").select(
-            "family", "class", "members", F.col("node").alias("pivot"), F.lit(1).alias("turn"))
+        heads = classes_now.select("family", "class", "members", F.col("head").alias("pivot"), F.col("head_size").alias("size"), F.lit(0).alias("turn"))
+        others = now.join(classes_now.drop("family", "head_size"), "class").join(biggest, "family").where("class <> largest and node <> head").select(
+            "family", "class", "members", F.col("node").alias("pivot"), "size", F.lit(1).alias("turn"))
         waiting = heads.unionByName(others)
         if tried is not None:
             waiting = waiting.join(tried, "pivot", "left_anti")
         order = Window.partitionBy("family").orderBy("turn", F.desc("members"), "pivot")
-        pivots = written_small(waiting.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots_now), "pivots")
+        # Both parts of the sum only grow, so a block has the same of either: at most PART_DOCS pivots and PART_BYTES plus one text.
+        before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+        placed = waiting.withColumns({"place": F.row_number().over(order), "before": before}).where(F.col("place") <= pivots_now)
+        block = F.floor((F.col("place") - 1) / PART_DOCS) + F.floor(F.col("before") / PART_BYTES)
+        pivots = written_small(placed.withColumn("block", block.cast("int")), "pivots")
         if not pivots.limit(1).count():
             break
         tried = written_small(pivots.select("pivot") if tried is None else tried.union(pivots.select("pivot")), "tried")
         texts_of = large.select(F.col("node").alias("pivot"), F.col("text").alias("p_text"), F.col("bands").alias("p_bands"))
-        spread = pivots.select("family", F.col("class").alias("p_class"), "pivot").join(texts_of, "pivot").join(
+        spread = pivots.select("family", F.col("class").alias("p_class"), "pivot", "block").join(texts_of, "pivot").join(
             parts.select(F.col("root").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "family"
-        ).select("family", "part", "pivot", "p_class", "p_bands", "p_text").toDF(
-            "to_family", "to_part", "pivot", "p_class", "p_bands", "p_text")
-        outside = large.select("node", "bands", "text").join(now, "node").select("family", "part", "node", "class", "bands", "text")
+        ).select("family", "part", "block", "pivot", "p_class", "p_bands", "p_text").toDF(
+            "to_family", "to_part", "to_block", "pivot", "p_class", "p_bands", "p_text")
+        blocks = pivots.select("family", "block").distinct()
+        outside = large.select("node", "bands", "text").join(now, "node").join(blocks, "family").select(
+            "family", "part", "block", "node", "class", "bands", "text")
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -323,10 +333,11 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         found = written(
-            outside.groupBy("family", "part").cogroup(spread.groupBy("to_family", "to_part")).applyInPandas(meet, "a long, b long"),
+            outside.groupBy("family", "part", "block").cogroup(spread.groupBy("to_family", "to_part", "to_block")).applyInPandas(
+                meet, "a long, b long"),
             "found")
         links = written(links.union(found), "links")
-        pivots_now *= 16
+        pivots_now = max(PIVOTS, min(16 * pivots_now, BLOCKS * PART_DOCS))
 
     labels = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

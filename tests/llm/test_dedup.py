@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 import random
+import uuid
 from collections import Counter
 
 import pytest
 from helpers import clashing, documents, sha, without_repeats
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 import __spark_entry__ as entry
 from marginalia.llm import linededup, neardup, suffixes
@@ -157,6 +159,29 @@ def test_family_in_parts(spark, monkeypatch):
     assert classes(rows) == [list(range(121)), *[[i] for i in range(121, 131)]]
 
 
+def test_tasks_of_rounds_are_bounded(spark, monkeypatch, tmp_path):
+    """Pages of one template, alike enough for bands but not for one class: the pivots of a round come to a task in blocks."""
+    rng = random.Random(14)
+    base = words(rng, 200)
+    texts = [" ".join(edited(rng, base, 8)) for _ in range(40)] + [" ".join(base)]
+    monkeypatch.setattr(neardup, "PART_DOCS", 8)
+    apply = PandasCogroupedOps.applyInPandas
+
+    def counted(self, meet, schema):
+        def noted(left, right):
+            (tmp_path / uuid.uuid4().hex).write_text(f"{len(left)} {len(right)}")
+            return meet(left, right)
+
+        return apply(self, noted, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", counted)
+    rows = neardup.class_ids(documents(spark, texts)).collect()
+    seen = [tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir()]
+    assert seen and max(right for _, right in seen) <= 8
+    monkeypatch.undo()
+    assert classes(rows) == classes(neardup.class_ids(documents(spark, texts)).collect())
+
+
 def test_chain_over_parts(spark, monkeypatch):
     """Each text is alike only to the one before and the one after, and nearly each is in a part of its own."""
     rng = random.Random(12)
