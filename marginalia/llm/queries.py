@@ -16,6 +16,7 @@ from marginalia.llm.pii import pii_spans
 from marginalia.llm.quality import judged, statistics_table
 from marginalia.llm.secrets import BASE_KINDS as SECRET_KINDS
 from marginalia.llm.secrets import secret_spans
+from marginalia.llm.sharding import LAW, sharded, size_of
 from marginalia.llm.spans import digest_text
 from marginalia.llm.suffixes import remove_repeats
 from marginalia.llm.topk import top_k
@@ -171,3 +172,13 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")), "secrets", SECRET_KINDS)
+
+
+@query()
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", size_of(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("key"))
+    rows = sharded(docs, F.col("size"), F.col("key"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
