@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import encode_decode
+from marginalia.llm.clustering import CENTROIDS, ROUNDS, clustered, with_inertia
 from marginalia.llm.linededup import line_dedup
 from marginalia.llm.mixing import BUDGET, mixed
 from marginalia.llm.neardup import class_ids
+from marginalia.llm.negatives import hard_negatives
 from marginalia.llm.pii import BASE_KINDS as PII_KINDS
 from marginalia.llm.pii import pii_spans
 from marginalia.llm.quality import judged, statistics_table
@@ -174,6 +176,67 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")), "secrets", SECRET_KINDS)
 
 
+@query("""
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), fits AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM fits WHERE rank <= 5
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def _cluster_sql() -> str:
+    """One table of distances, assignments and means a round."""
+    gap = "CAST(list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    parts = [f"""
+vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS c FROM (
+    SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM vectors ORDER BY h, v LIMIT {CENTROIDS})
+)"""]
+    for i in range(ROUNDS + 1):
+        parts.append(f"""
+a{i} AS (
+  SELECT v.vec_id, v.v, c.cluster, {gap} AS distance FROM vectors v, c{i} c
+  QUALIFY row_number() OVER (PARTITION BY v.vec_id, v.v ORDER BY distance, c.cluster) = 1
+)""")
+        if i < ROUNDS:
+            parts.append(f"""
+m{i} AS (
+  SELECT cluster, list(CAST(floor(s / n) AS BIGINT) ORDER BY d) AS c FROM (
+    SELECT cluster, d, CAST(sum(v[d]) AS DOUBLE) AS s, count(*) AS n FROM a{i}, range(1, 65) t(d) GROUP BY ALL) GROUP BY cluster
+), c{i + 1} AS (SELECT k.cluster, coalesce(m.c, k.c) AS c FROM c{i} k LEFT JOIN m{i} m USING (cluster))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} USING (cluster)"""
+
+
+@query(_cluster_sql())
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*clustered(table(spark, sf_dir, "embeddings")))
+
+
 @query()
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
