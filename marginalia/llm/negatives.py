@@ -119,7 +119,8 @@ def best_within(candidates: DataFrame, questions: DataFrame, same: bool, k: int,
     copies = blocks.toDF("block", "ask", "q_row", "q_label", "low", "high", "q_cells").withColumn(
         "slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     n_blocks = F.explode(F.sequence(F.lit(0), F.lit(questions.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0])))
-    pairs = candidates.withColumn("block", n_blocks).join(copies, ["block", "slot"])
+    # Sizes of binary columns are guessed too low by far, so the kind of join is named.
+    pairs = candidates.withColumn("block", n_blocks).join(copies.hint("merge"), ["block", "slot"])
 
     def meet(r, bests: _Bests) -> None:
         ids, rows, labels = _numbers(r.ids), _numbers(r.rows), _numbers(r.labels)
