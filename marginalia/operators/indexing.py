@@ -24,6 +24,14 @@ STATS = (
 )
 
 
+#: What a later segment can replace of a note: its own row; its chunks and postings; its failures.
+PARTS = ("node", "text", "failure")
+#: States of chunks whose vector is known: in its place, or elsewhere in the note.
+REUSED = ("kept", "moved")
+#: Segments that readers put together at most; a pass that would leave more folds them into one.
+MAX_SEGMENTS = 16
+
+
 class DimensionMismatch(ValueError):
     """The stored vectors have another width than the provider's."""
 
@@ -39,10 +47,14 @@ def to_nodes(source: DataFrame) -> DataFrame:
     return hashed.select("id", "z_pk", "title", "folder", "modified_at", "locked", "pinned", "content_hash", "body")
 
 
+def _stand_in(title: Column, folder: Column) -> Column:
+    named = F.when(F.coalesce(folder, F.lit("")) != "", F.concat(F.lit("folder: "), folder))
+    return F.concat_ws("\n", title, named)
+
+
 def _fallback() -> Column:
     """A note that yields no chunk stays findable by its title and folder."""
-    named = F.when(F.coalesce(F.col("folder"), F.lit("")) != "", F.concat(F.lit("folder: "), F.col("folder")))
-    content = F.concat_ws("\n", "title", named)
+    content = _stand_in(F.col("title"), F.col("folder"))
     return F.array(
         F.struct(
             F.lit(0).alias("chunk_index"),
@@ -74,19 +86,41 @@ def diff_chunks(current: DataFrame, previous: DataFrame) -> DataFrame:
     return rows.withColumn("embedding", F.when(F.col("state") == "kept", F.col("embedding"))).drop("_old")
 
 
-def unchanged_nodes(nodes: DataFrame, previous: DataFrame, failed: DataFrame) -> DataFrame:
-    """Keys of nodes whose text, title and lock are as before and of which no chunk failed: their chunks stand."""
-    before = previous.select("id", F.col("title").alias("_title"), F.col("content_hash").alias("_hash"), F.col("locked").alias("_locked"))
-    same = (F.col("_hash") == F.col("content_hash")) & (F.col("_title") == F.col("title")) & (F.col("_locked") == F.col("locked"))
-    hits = nodes.select("id", "title", "content_hash", "locked").join(before, "id").where(same).select("id")
-    return hits.join(failed.select(F.col("node_id").alias("id")), "id", "left_anti")
+def reused_vectors(diffed: DataFrame, previous: DataFrame) -> DataFrame:
+    """Chunks whose text stood elsewhere in the same note before take its vector, with the state ``moved``."""
+    old = previous.groupBy("node_id", "content_hash").agg(F.first("embedding").alias("_vector"))
+    rows = diffed.join(old, ["node_id", "content_hash"], "left")
+    moved = F.col("state").isin("new", "changed") & F.col("_vector").isNotNull()
+    return rows.select(*[
+        F.when(moved, F.col("_vector")).otherwise(F.col("embedding")).alias(c) if c == "embedding"
+        else F.when(moved, "moved").otherwise(F.col("state")).alias(c) if c == "state" else F.col(c)
+        for c in diffed.columns])
+
 
+def changed_nodes(nodes: DataFrame, previous: DataFrame, failed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The nodes that differ from the stored ones, with ``texts`` and ``known``.
 
-def carried_chunks(previous: DataFrame, same: DataFrame) -> DataFrame:
-    """Stored chunks of unchanged nodes as attempts that need nothing."""
-    rows = previous.join(same.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
-    nothing = F.lit(None).cast("string")
-    return rows.withColumns({"state": F.lit("kept"), "reason": nothing, "error": nothing})
+    ``texts`` says that chunks and postings have to be made again: text, title or lock differ, a chunk failed, or the note moved and its only
+    chunk is the stand-in that names its folder. Otherwise only the node's own row changed. ``known`` says that a row is stored.
+    """
+    own = ("title", "content_hash", "locked", "folder", "modified_at", "pinned", "z_pk")
+    old = previous.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in own], F.col("words").alias("_words"))
+    again = failed.where("reason <> 'locked'").select(F.col("node_id").alias("_failed")).distinct()
+    rows = nodes.join(old, nodes.id == F.col("_id"), "left").join(again, nodes.id == F.col("_failed"), "left")
+
+    def differs(*names: str) -> Column:
+        out = F.lit(False)
+        for c in names:
+            out = out | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return out
+
+    anew = F.col("_id").isNull() | differs("title", "content_hash", "locked") | F.col("_failed").isNotNull()
+    some = rows.withColumn("texts", anew).where(anew | differs("folder", "modified_at", "pinned", "z_pk"))
+    moved = some.where(~F.col("texts") & differs("folder")).select("id", _stand_in(F.col("_title"), F.col("_folder")).alias("_stand_in"))
+    named = chunks.select("node_id", "content").join(moved, (chunks.node_id == moved.id) & (F.col("content") == F.col("_stand_in")))
+    named = named.select(F.col("node_id").alias("_named")).distinct()
+    rows = some.join(named, F.col("id") == F.col("_named"), "left")
+    return rows.select(*nodes.columns, (F.col("texts") | F.col("_named").isNotNull()).alias("texts"), F.col("_id").isNotNull().alias("known"), F.col("_words").alias("old_words"))
 
 
 def stale_chunks(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -101,9 +135,9 @@ def tombstones(previous_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def embed_chunks(diffed: DataFrame, embedder: Embedder) -> DataFrame:
     """Vectors for new and changed chunks; of kept chunks the provider sees a null and does nothing."""
-    wanted = F.when(F.col("state") != "kept", embedding_text(F.col("heading"), F.col("content")))
+    kept = F.col("state").isin(*REUSED)
+    wanted = F.when(~kept, embedding_text(F.col("heading"), F.col("content")))
     rows = diffed.withColumn("_r", embed(wanted, embedder))
-    kept = F.col("state") == "kept"
     return rows.withColumns({
         "embedding": F.when(kept, F.col("embedding")).otherwise(F.col("_r.vector")),
         "reason": F.when(~kept, F.col("_r.reason")), "error": F.when(~kept, F.col("_r.error")),
@@ -126,8 +160,9 @@ def failures(attempts: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
 
 def pass_stats(attempts: DataFrame, stale: DataFrame, nodes: DataFrame, gone: DataFrame) -> DataFrame:
     """Counters of one pass in one row; per note, removals are set against skips but not below zero."""
-    kept = F.count(F.when(F.col("state") == "kept", 1))
-    tried = F.col("state") != "kept"
+    reused = F.col("state").isin(*REUSED)
+    kept = F.count(F.when(reused, 1))
+    tried = ~reused
     per_note = attempts.groupBy("node_id").agg(
         kept.alias("kept"),
         F.count(F.when(tried & F.col("reason").isNull(), 1)).alias("embedded"),
@@ -154,99 +189,150 @@ def pass_stats(attempts: DataFrame, stale: DataFrame, nodes: DataFrame, gone: Da
 
 @dataclass
 class Index:
-    """An index stored as snapshots under ``root``; with ``version``, that one only."""
+    """An index stored in segments under ``root``; with ``version``, that one only."""
 
     spark: SparkSession
     root: str
     version: int | None = None
+    max_segments: int = MAX_SEGMENTS
 
     def __post_init__(self):
         self.store = Snapshots(self.spark, self.root)
 
     def pinned(self) -> Index:
         """The index as it stands now: all its tables are of one version, whatever is published meanwhile."""
-        return Index(self.spark, self.root, self.store.current())
+        return Index(self.spark, self.root, self.store.current(), self.max_segments)
+
+    def _stored_nodes(self) -> DataFrame:
+        return self.store.merged("nodes", "id", "node", f"{schema.NODES}, words bigint", self.version)
 
     def nodes(self) -> DataFrame:
-        return self.store.read("nodes", schema.NODES, self.version)
+        return self._stored_nodes().drop("words")
 
     def chunks(self) -> DataFrame:
-        return self.store.read("chunks", schema.CHUNKS, self.version)
+        return self.store.merged("chunks", "node_id", "text", schema.CHUNKS, self.version)
 
     def failed(self) -> DataFrame:
-        return self.store.read("failed_chunks", schema.FAILED, self.version)
+        return self.store.merged("failed_chunks", "node_id", "failure", schema.FAILED, self.version)
 
     def postings(self) -> DataFrame:
-        return self.store.read("postings", version=self.version)
+        return self.store.merged("postings", "node_id", "text", schema.POSTINGS, self.version)
 
     def stats(self) -> DataFrame:
-        return self.store.read("corpus", version=self.version)
+        """Number of notes and their mean length, from totals that every pass carries on."""
+        totals = self.store.read("corpus", version=self.version)
+        return totals.select("notes", (F.col("words") / F.when(F.col("notes") > 0, F.col("notes"))).alias("mean_length"))
 
     def metadata(self) -> dict[str, str]:
         rows = self.store.read("metadata", schema.METADATA, self.version)
         latest = rows.groupBy("key").agg(F.max_by("value", "updated_at").alias("value"))
         return {r["key"]: r["value"] for r in latest.collect()}
 
-    def reindex(self, source: DataFrame, embedder: Embedder, config: ChunkerConfig = ChunkerConfig()) -> dict:
-        """One pass over the whole source; publishes a new snapshot and returns its counters.
+    def reindex(
+        self, source: DataFrame, embedder: Embedder, config: ChunkerConfig = ChunkerConfig(), keys: DataFrame | None = None,
+        force: bool = False,
+    ) -> dict:
+        """One pass; publishes a new version and returns its counters.
 
-        A change of provider drops the stored vectors. Chunks that failed are not stored, so the next
-        pass tries them again.
+        The pass writes one segment: rows of changed notes, and the keys whose earlier rows it replaces. With ``keys`` (a column
+        ``id``) only these notes are compared, and those of them that the source lacks are taken for deleted; the counters are of these
+        notes then. ``force``, a change of provider or of the chunker makes all rows anew, in one segment. Chunks that failed are not
+        stored, so the next pass over their note tries them again.
         """
         now = int(time.time())
         version = self.store.begin()
-        known = self.metadata()
-        self._check_width(known, embedder)
-        previous, old_nodes = self.chunks(), self.nodes()
-        reusable = previous if known.get("embedder") in (None, embedder.identity) else previous.where(F.lit(False))
-
-        nodes = self.store.write(to_nodes(spread(source)), version, "nodes")
-        same = unchanged_nodes(nodes, old_nodes, self.failed()) if known.get("chunker") == repr(config) else nodes.limit(0).select("id")
-        same = self.store.write(same, version, "unchanged")
-        kept = carried_chunks(reusable, same)
-        # A provider that changed leaves nothing to carry, so all notes are chunked again.
-        dirty = nodes if known.get("embedder") not in (None, embedder.identity) else nodes.join(same, "id", "left_anti")
-        diffed = diff_chunks(to_chunks(dirty, config), reusable)
+        # The pass builds on what is current now; if another one publishes meanwhile, this one does not.
+        here = self.pinned()
+        known = here.metadata()
+        here._check_width(known, embedder)
+        same_provider = known.get("embedder") in (None, embedder.identity)
+        anew = force or here.version is None or not same_provider or known.get("chunker") != repr(config)
+        old_nodes, previous = here._stored_nodes(), here.chunks()
+        reusable = previous if same_provider and not force else previous.where(F.lit(False))
+        rows = to_nodes(spread(source))
+        if keys is not None and not anew:
+            asked = keys.select("id").distinct()
+            rows, old_nodes = (t.join(asked, "id", "left_semi") for t in (rows, old_nodes))
+
+        if anew:
+            changed = rows.withColumns({"texts": F.lit(True), "known": F.lit(False), "old_words": F.lit(None).cast("bigint")})
+        else:
+            changed = changed_nodes(rows, old_nodes, here.failed(), previous)
+        words = F.size(fulltext.words(F.col("title"))) + F.size(fulltext.words(F.col("body")))
+        changed = self.store.write(changed.withColumn("words", words.cast("bigint")), version, "changed")
+        gone = self.store.write(tombstones(old_nodes, rows).select("id", "words"), version, "gone")
+        texts = changed.where("texts")
+
+        self.store.write(changed.drop("texts", "known", "old_words"), version, "nodes")
+        before = [] if anew else self.store.segments(here.version)
+        replaced = changed.where("known").select("id", F.explode(F.when(F.col("texts"), F.array(*map(F.lit, PARTS))).otherwise(F.array(F.lit("node")))).alias("part"))
+        # What a note that is gone left in the table of failures stays there.
+        lost = gone.select("id", F.explode(F.array(F.lit("node"), F.lit("text"))).alias("part"))
+        self.store.write(replaced.unionByName(lost), version, "replaced")
+
+        touched = texts.select(F.col("id").alias("node_id"))
+        stored = reusable.join(touched, "node_id", "left_semi")
+        # The chunker is one large expression: what is planned on top of it starts from a table.
+        pieces = self.store.write(to_chunks(texts, config), version, "pieces")
+        diffed = reused_vectors(diff_chunks(pieces, stored), stored)
         # Every later table reads the stored attempts, so each chunk is embedded once.
-        attempts = self.store.write(embed_chunks(diffed, embedder).unionByName(kept), version, "attempts")
-        gone = tombstones(old_nodes, nodes)
+        attempts = self.store.write(embed_chunks(diffed, embedder), version, "attempts")
         self.store.write(_stored(attempts), version, "chunks")
-        lingering = self.failed().join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti")
-        self.store.write(failures(attempts, nodes, now).unionByName(lingering), version, "failed_chunks")
-        self._write_fulltext(nodes, old_nodes, version)
+        failed = failures(attempts, texts, now)
+        if anew:
+            failed = failed.unionByName(here.failed().join(rows.select(F.col("id").alias("node_id")), "node_id", "left_anti"))
+        self.store.write(failed, version, "failed_chunks")
+        self._write_postings(fulltext.build_postings(texts), version)
+        self._write_totals(None if anew else here, changed, gone, version)
         settings = [
             ("embedder", embedder.identity), ("dim", str(embedder.dim)), ("indexed_at", str(now)), ("chunker", repr(config))]
         self.store.write(self.spark.createDataFrame([(k, v, now) for k, v in settings], schema.METADATA), version, "metadata")
 
-        stale = stale_chunks(previous.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi"), attempts)
-        counters = pass_stats(attempts, stale, nodes, gone).first().asDict()
+        counters = pass_stats(attempts, stale_chunks(stored, attempts), rows, gone).first().asDict()
+        if keys is None and not anew:
+            # Chunks of notes that were not touched.
+            left = previous.join(touched.unionByName(gone.select(F.col("id").alias("node_id"))), "node_id", "left_anti")
+            counters["chunks_skipped"] += left.count()
         # All of them, with whole messages, as a table.
         counters["failures"] = attempts.where(F.col("reason").isNotNull()).select(F.col("id").alias("chunk_id"), "reason", "error")
-        self.store.publish(version)
+        self.store.publish(version, before)
+        if len(before) >= self.max_segments:
+            self.compact()
         return counters
 
+    def compact(self) -> None:
+        """Fold all segments of the current version into one."""
+        here = self.pinned()
+        version = self.store.begin()
+        self.store.write(here._stored_nodes(), version, "nodes")
+        self.store.write(here.chunks(), version, "chunks")
+        self.store.write(here.failed(), version, "failed_chunks")
+        self._write_postings(here.postings(), version)
+        self.store.write(self.store.read("corpus", version=here.version), version, "corpus")
+        self.store.write(self.store.read("metadata", schema.METADATA, here.version), version, "metadata")
+        self.store.publish(version)
+
     def _check_width(self, known: dict[str, str], embedder: Embedder) -> None:
         same_provider = known.get("embedder") == embedder.identity
         if same_provider and known.get("dim") not in (None, str(embedder.dim)) and not self.chunks().isEmpty():
             raise DimensionMismatch(f"index holds {known['dim']} dimensions, provider gives {embedder.dim}")
 
-    def _write_fulltext(self, nodes: DataFrame, old_nodes: DataFrame, version: int) -> None:
-        """Carry over the postings of unchanged nodes and build those of the rest.
-
-        Ranges over (term, node) keep the scan of a term narrow, and split a term that many notes hold.
-        """
-        if self.store.current() is None:
-            postings = fulltext.build_postings(nodes)
+    def _write_postings(self, postings: DataFrame, version: int) -> None:
+        """Ranges over (term, node) keep the scan of a term narrow, and split a term that many notes hold."""
+        columns = [F.col(c) for c in ("term", "node_id", "length", "title_at", "body_at")]
+        self.store.write(postings.select(*columns).repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id"), version, "postings")
+
+    def _write_totals(self, here: Index | None, changed: DataFrame, gone: DataFrame, version: int) -> None:
+        """Notes and words of the whole index: what was before, plus new rows, minus those they replace and those gone."""
+        sums = changed.agg(
+            (F.count("*") - F.count_if("known")).alias("notes"),
+            (F.coalesce(F.sum("words"), F.lit(0)) - F.coalesce(F.sum("old_words"), F.lit(0))).alias("words"))
+        parts = sums.unionByName(gone.agg((-F.count("*")).alias("notes"), (-F.coalesce(F.sum("words"), F.lit(0))).alias("words")))
+        if here is not None:
+            parts = parts.unionByName(self.store.read("corpus", version=here.version))
         else:
-            before = old_nodes.select("id", F.col("title").alias("_title"), F.col("content_hash").alias("_hash"))
-            same = nodes.join(before, "id").where((F.col("_hash") == F.col("content_hash")) & (F.col("_title") == F.col("title")))
-            same = same.select(F.col("id").alias("node_id"))
-            carried = self.postings().join(same, "node_id", "left_semi")
-            fresh = nodes.join(same.withColumnRenamed("node_id", "id"), "id", "left_anti")
-            postings = carried.unionByName(fulltext.build_postings(fresh))
-        ordered = postings.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id")
-        self.store.write(ordered, version, "postings")
-        self.store.write(fulltext.build_stats(nodes), version, "corpus")
+            parts = sums
+        self.store.write(parts.agg(F.sum("notes").alias("notes"), F.sum("words").alias("words")), version, "corpus")
 
     def status(self) -> dict:
         here = self.pinned()

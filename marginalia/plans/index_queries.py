@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from marginalia.operators import catalog as cat
 from marginalia.operators import indexing as ix
 from marginalia.operators import mutations as mu
 from marginalia.operators import overlays as ov
+from marginalia.operators.embedding import HashedEmbedder
 from marginalia.plans import corpus
 from marginalia.plans.registry import NOTES, query
+from marginalia.session import checkpoint_root
 
 # Two states of one chunk table: since the first, users' turns changed, late turns came, early ones went.
 _STATES = """
@@ -108,6 +111,50 @@ def index_nodes(spark, sf_dir):
     return ix.to_nodes(source).select("id", "title", "locked", "content_hash")
 
 
+# The two states as notes, a conversation each, which two passes of one index see.
+_NOTE_STATES = f"""{_STATES},
+now AS (SELECT 'c' || node_id AS id, 'Talk ' || node_id AS title, string_agg(body, chr(10) ORDER BY turn) AS body FROM cur GROUP BY node_id),
+old AS (SELECT 'c' || node_id AS id, string_agg(body, chr(10) ORDER BY turn) AS body FROM prev GROUP BY node_id)"""
+
+
+def _talks(spark, sf_dir, current: bool):
+    turns = _state(spark, sf_dir, current).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("turns"))
+    return turns.select(
+        F.concat(F.lit("c"), "node_id").alias("id"), F.col("node_id").cast("bigint").alias("z_pk"),
+        F.concat(F.lit("Talk "), "node_id").alias("title"), F.lit("Talks").alias("folder"), F.lit(0).cast("bigint").alias("modified_at"),
+        F.lit(False).alias("locked"), F.lit(False).alias("pinned"), F.array_join("turns.content", "\n").alias("body"))
+
+
+def _indexed(spark, sf_dir):
+    """An index of the first state after a pass over the second."""
+    index = ix.Index(spark, f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}")
+    for current in (False, True):
+        index.reindex(_talks(spark, sf_dir, current), HashedEmbedder(8))
+    return index
+
+
+@query(f"""WITH {_NOTE_STATES}
+SELECT id, substr(sha256(title || chr(10) || chr(10) || body), 1, 32) AS content_hash,
+  CAST(len(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) + len(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) AS BIGINT) AS words
+FROM now""")
+def index_merge_read(spark, sf_dir):
+    """What readers see of two segments: each note once, as it is now, and the words its postings hold."""
+    index = _indexed(spark, sf_dir)
+    words = index.postings().groupBy("node_id").agg(F.sum(F.size("title_at") + F.size("body_at")).cast("bigint").alias("words"))
+    return index.nodes().select("id", "content_hash").join(words.withColumnRenamed("node_id", "id"), "id", "left").fillna(0, ["words"])
+
+
+@query(f"""WITH {_NOTE_STATES}
+SELECT coalesce(n.id, o.id) AS id, n.id IS NOT NULL AS written, o.id IS NOT NULL AS replaced
+FROM now n FULL JOIN old o ON n.id = o.id WHERE n.body IS DISTINCT FROM o.body""")
+def index_pass_changed(spark, sf_dir):
+    """What the second pass wrote: rows of changed notes, and keys whose rows no longer count."""
+    index = _indexed(spark, sf_dir)
+    rows = index.store.read("nodes").select("id", F.lit(True).alias("written"))
+    keys = index.store.read("replaced").where("part = 'text'").select("id", F.lit(True).alias("replaced"))
+    return rows.join(keys, "id", "full").select("id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("written", "replaced")])
+
+
 # -- overlays ------------------------------------------------------------------
 
 _NOON = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)

@@ -18,6 +18,7 @@ CHUNKS = (
     "id string, node_id string, chunk_index int, heading string, heading_level int, content string, "
     "content_hash string, start_line int, end_line int, embedding array<float>"
 )
+POSTINGS = "term string, node_id string, length int, title_at array<int>, body_at array<int>"
 FAILED = "chunk_id string, node_id string, reason string, error_message string, failed_at bigint"
 METADATA = "key string, value string, updated_at bigint"
 

@@ -1,7 +1,13 @@
-"""Versioned table sets: a pass writes a new folder, then one manifest row makes it current."""
+"""Versioned tables in segments: a pass writes a new folder, then one manifest file makes it current.
+
+A version is a list of segments, oldest first. Each segment holds the rows of what changed in its pass and a table ``replaced`` of the
+keys whose earlier rows no longer count, so a pass writes as much as changed. Readers take all segments together; :meth:`merged`
+leaves out what a later segment has replaced.
+"""
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -9,7 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "version bigint, created_at bigint, folder string"
+MANIFEST = "version bigint, created_at bigint, folder string, segments array<string>"
+REPLACED = "id string, part string"
 
 
 class PassOvertaken(RuntimeError):
@@ -17,33 +24,39 @@ class PassOvertaken(RuntimeError):
 
 
 class Snapshots:
-    """Parquet tables under ``root/<folder of a version>``; readers see the last version in the manifest.
+    """Parquet tables under ``root/<folder of a segment>``; readers see the last version in the manifest.
 
     Every pass writes to a folder with a name of its own, so that nothing is ever overwritten: neither what is being read nor
-    what another writer makes. A pass that dies leaves no manifest row, so its folder is ignored.
+    what another writer makes. A pass that dies leaves no manifest file, so its folder is ignored.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._begun: dict[int, str] = {}
 
-    def _last(self) -> tuple[int, str] | None:
-        """Version and folder of the last manifest row. Only a missing manifest means that there is none."""
+    def _manifest(self) -> DataFrame | None:
+        """All versions. Only a missing manifest means that there is none."""
         try:
-            rows = self.spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{self.root}/manifest")
+            return self.spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{self.root}/manifest")
         except AnalysisException as exc:
             if exc.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        # The row with the highest version; of two, the earlier one was first to publish.
-        row = rows.agg(F.max_by(F.struct("version", "folder"), F.struct("version", -F.col("created_at"), "folder")).alias("last")).first()[0]
+
+    def _entry(self, version: int | None = None):
+        rows = self._manifest()
+        if rows is None:
+            return None
+        if version is not None:
+            rows = rows.where(F.col("version") == version)
+        row = rows.agg(F.max_by(F.struct(*rows.columns), "version").alias("last")).first()[0]
         if row is None or row["version"] is None:
-            raise ValueError(f"the manifest under {self.root} holds no version")
-        return row["version"], row["folder"]
+            raise ValueError(f"the manifest under {self.root} holds no {'version' if version is None else f'version {version}'}")
+        return row
 
     def current(self) -> int | None:
-        last = self._last()
-        return last[0] if last else None
+        last = self._entry()
+        return last["version"] if last else None
 
     def begin(self) -> int:
         """Number of a new version, with a folder that nobody else writes to."""
@@ -51,35 +64,77 @@ class Snapshots:
         self._begun[version] = f"v={version}-{uuid.uuid4().hex[:12]}"
         return version
 
+    def segments(self, version: int | None = None) -> list[str]:
+        """Folders of a version's segments, oldest first; none before the first pass."""
+        entry = self._entry(version)
+        return [] if entry is None else entry["segments"] or [entry["folder"]]
+
     def _folder(self, version: int) -> str:
-        if version in self._begun:
-            return self._begun[version]
-        last = self._last()
-        if last and last[0] == version:
-            return last[1]
-        rows = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest").where(F.col("version") == version)
-        return rows.orderBy("created_at").first()["folder"]
+        return self._begun[version] if version in self._begun else self._entry(version)["folder"]
 
     def path(self, version: int, table: str) -> str:
         return f"{self.root}/{self._folder(version)}/{table}"
 
+    def _parquet(self, folder: str, table: str, schema: str | None) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.root}/{folder}/{table}")
+
     def read(self, table: str, schema: str | None = None, version: int | None = None) -> DataFrame:
-        """Table of a version, the current one by default; empty before the first pass."""
+        """Table of a version's own segment, of the current one by default; empty before the first pass."""
         version = self.current() if version is None else version
         if version is None:
             if schema is None:
                 raise ValueError(f"no version of {table!r} has been published under {self.root}")
             return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(self.path(version, table))
+        return self._parquet(self._folder(version), table, schema)
+
+    def merged(self, table: str, key: str, part: str, schema: str, version: int | None = None) -> DataFrame:
+        """Table of all segments of a version, without rows whose ``key`` a later segment has replaced in ``part``."""
+        folders = self.segments(version)
+        if len(folders) < 2:
+            return self._parquet(folders[0], table, schema) if folders else self.spark.createDataFrame([], schema)
+        rows, gone = None, None
+        for i, folder in enumerate(folders):
+            own = self._parquet(folder, table, schema).withColumn("_at", F.lit(i))
+            rows = own if rows is None else rows.unionByName(own)
+            if i:
+                keys = self._parquet(folder, "replaced", REPLACED).where(F.col("part") == part).select(F.col("id").alias("_gone"), F.lit(i).alias("_since"))
+                gone = keys if gone is None else gone.unionByName(keys)
+        return rows.join(gone, (F.col(key) == F.col("_gone")) & (F.col("_at") < F.col("_since")), "left_anti").drop("_at")
 
     def write(self, rows: DataFrame, version: int, table: str) -> DataFrame:
         """Write one table of a version that was begun here and read it back."""
         rows.write.parquet(self.path(version, table))
-        return self.spark.read.parquet(self.path(version, table))
+        return self.spark.read.schema(rows.schema).parquet(self.path(version, table))
+
+    def publish(self, version: int, before: list[str] | None = None) -> None:
+        """Make a version current: the segments of ``before``, then its own.
 
-    def publish(self, version: int) -> None:
-        if (self.current() or 0) >= version:
+        Its manifest file is named after the version and created only if there is none, so that of two passes one is told.
+        """
+        folder = self._begun[version]
+        line = json.dumps({"version": version, "created_at": int(time.time() * 1000), "folder": folder, "segments": [*(before or []), folder]})
+        if (self.current() or 0) >= version or not self._created(f"{self.root}/manifest/{version:012d}.json", line):
             raise PassOvertaken(f"version {version} has been published by another pass")
-        row = self.spark.createDataFrame([(version, int(time.time() * 1000), self._begun[version])], MANIFEST)
-        row.coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+
+    def _created(self, path: str, line: str) -> bool:
+        """Write a file that must not exist; false if it does. The pass that finds its own line there has won."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(conf)
+        # A file in full under a name of its own first: what readers see is never half a line.
+        draft = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.drafts/{uuid.uuid4().hex}")
+        out = files.create(draft, False)
+        out.write(bytearray(line.encode()))
+        out.close()
+        files.mkdirs(target.getParent())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else files.getUri(), conf)
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(files.makeQualified(draft), files.makeQualified(target), none)
+            return True
+        except Exception as exc:
+            files.delete(draft, False)
+            if files.exists(target):
+                return False
+            raise exc

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marginalia import schema
@@ -31,13 +32,21 @@ def watch(
 ) -> StreamingQuery:
     """Run an index pass for every micro-batch that holds a change.
 
-    The stream's offset advances only after the pass has published its snapshot, so a failed pass is
+    Where all changes are of notes, the pass compares these notes only; a change of a folder or an account may touch any note, so the
+    whole source is compared. The stream's offset advances only after the pass has published its version, so a failed pass is
     repeated for the same changes. Without an interval the query drains the feed and stops.
     """
 
     def on_batch(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            index.reindex(source(), embedder, config)
+        kinds = [r["entity"] for r in batch.select("entity").distinct().collect()]
+        if not kinds:
+            return
+        rows, keys = source(), None
+        if kinds == [schema.ENTITY_NOTE]:
+            named = batch.select(F.col("entity_pk").alias("z_pk")).distinct()
+            # Deleted notes are known to the index alone.
+            keys = rows.select("id", "z_pk").unionByName(index.pinned().nodes().select("id", "z_pk")).join(named, "z_pk", "left_semi").select("id")
+        index.reindex(rows, embedder, config, keys)
 
     writer = feed.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     if interval_s is None:
