@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import Column
@@ -78,6 +79,24 @@ def encode_cursor(offset: int) -> str:
     return base64.urlsafe_b64encode(str(offset).encode()).decode()
 
 
+def encode_state(**state: int | str | None) -> str:
+    """A cursor that carries more than an offset."""
+    return base64.urlsafe_b64encode(json.dumps(state, sort_keys=True).encode()).decode()
+
+
+def decode_state(cursor: str | None, *names: str) -> dict | None:
+    """What :func:`encode_state` was given, which must be exactly ``names``; nothing for the first page."""
+    if cursor is None:
+        return None
+    try:
+        state = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+    except (binascii.Error, UnicodeError, ValueError):
+        raise ValueError(f"invalid cursor: {cursor!r}") from None
+    if not isinstance(state, dict) or sorted(state) != sorted(names):
+        raise ValueError(f"invalid cursor: {cursor!r}")
+    return state
+
+
 def decode_cursor(cursor: str | None) -> int:
     if cursor is None:
         return 0

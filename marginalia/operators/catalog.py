@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia import schema
 from marginalia.functions import ids
-from marginalia.session import settled
+from marginalia.operators import closure
 
 
 # -- folders -----------------------------------------------------------------
@@ -68,38 +68,14 @@ def folder_is_shared(folders: DataFrame) -> DataFrame:
     return folders.where(F.coalesce(F.col("shared"), F.lit(False)))
 
 
-def climbed(tree: DataFrame, with_path: bool = False) -> DataFrame:
-    """``pk, top, depth`` (and ``path``) of every folder of ``pk, parent_pk, name`` that hangs from a root.
-
-    A folder whose parent is not in ``tree`` is a root. Each step joins a folder's stretch of ancestors to the stretch of its
-    topmost one, so that the number of joins is the logarithm of the depth, whatever it is, and the source is read once. What has
-    no root after as many steps as the number of folders allows is on or below a cycle and left out.
-    """
-    tree = settled(tree.select("pk", "parent_pk", "name"))
-    known = tree.select(F.col("pk").alias("_known"))
-    start = tree.join(known, F.col("parent_pk") == F.col("_known"), "left")
-    stretch = settled(start.select("pk", F.col("_known").alias("up"), F.col("pk").alias("top"), F.lit(0).alias("depth"), F.col("name").alias("path")))
-    steps = max(1, stretch.count()).bit_length() + 1
-    if with_path:
-        # Paths are only built where they end, as those within a cycle would double in length at each step.
-        stretch = settled(stretch.join(climbed(tree).select("pk"), "pk", "left_semi"))
-    while steps and stretch.where(F.col("up").isNotNull()).limit(1).count():
-        above = stretch.select(
-            F.col("pk").alias("_pk"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-        rows = stretch.join(above, F.col("up") == F.col("_pk"), "left")
-        stretch = settled(rows.select(
-            "pk", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"),
-            (F.col("depth") + F.coalesce(F.col("_depth") + 1, F.lit(0))).alias("depth"),
-            (F.concat_ws("/", "_path", "path") if with_path else F.lit("")).alias("path"),
-        ))
-        steps -= 1
-    rooted = stretch.where(F.col("up").isNull())
-    return rooted.select("pk", "top", "depth", *(["path"] if with_path else []))
+def climbed(tree: DataFrame) -> DataFrame:
+    """``pk, top, depth`` of every folder of ``pk, parent_pk, name`` that hangs from a root; see :func:`closure.folder_tree`."""
+    return closure.folder_tree(tree).select("pk", F.element_at("keys", 1).alias("top"), (F.size("keys") - 1).alias("depth"))
 
 
 def folder_paths(folders: DataFrame) -> DataFrame:
     """``pk, path, depth`` of every folder that hangs from a root; see :func:`cyclic_folders` for the others."""
-    return climbed(folders, with_path=True).select("pk", "path", "depth")
+    return closure.paths(closure.folder_tree(folders))
 
 
 def cyclic_folders(folders: DataFrame, paths: DataFrame) -> DataFrame:
@@ -122,10 +98,15 @@ def list_folders(
     accounts: DataFrame | None = None,
     changes: DataFrame | None = None,
     include_trash: bool = False,
+    tree: DataFrame | None = None,
 ) -> DataFrame:
-    """Visible folders with full path, owner account and, given ``notes``, direct counts."""
+    """Visible folders with full path, owner account and, given ``notes``, direct counts.
+
+    ``tree`` is the closure of the visible folders where it is kept; without it, it is made.
+    """
     visible = visible_folders(folders, changes)
-    rows = visible.join(folder_paths(visible), "pk", "left").withColumn(
+    paths = closure.paths(closure.folder_tree(visible) if tree is None else tree)
+    rows = visible.join(paths, "pk", "left").withColumn(
         "is_trash", F.coalesce(F.col("folder_type") == schema.FOLDER_TYPE_TRASH, F.lit(False))
     )
     if not include_trash:

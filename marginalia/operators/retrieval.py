@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import cosine_similarity, l2_distance
 from marginalia.operators import fulltext
+from marginalia.session import stored
 
 RRF_K = 60
+#: Places of either list that a hybrid search fuses.
+HYBRID_DEPTH = 1000
 EXCERPT_CHARS = 200
 NOTE_ONLY = "_note_only::"
 UNIQUE = ("notes", "chunks")
@@ -64,7 +67,7 @@ def best_per_note(hits: DataFrame) -> DataFrame:
 
 def _checked(unique: str) -> None:
     if unique not in UNIQUE:
-        raise ValueError(f"invalid unique: {unique!r}. Supported: 'notes', 'chunks'.")
+        raise ValueError(f"unique={unique!r}: results are unique by one of {', '.join(UNIQUE)}")
 
 
 def semantic(chunks: DataFrame, vector: Sequence[float], limit: int, unique: str = "notes", offset: int = 0) -> DataFrame:
@@ -130,16 +133,15 @@ def hybrid(
     query: str,
     limit: int,
     unique: str = "notes",
-    depth: int | None = None,
+    depth: int = HYBRID_DEPTH,
     offset: int = 0,
 ) -> DataFrame:
     """Semantic and full-text results fused by rank, with the score of either source per note.
 
     ``depth`` is the number of places of each list that take part: notes of both lists, or chunks of the semantic one with
-    ``unique="chunks"``. By default it is four times what is asked for, 20 at least; a deeper fusion may change the order.
+    ``unique="chunks"``. It does not depend on the page, so all pages are cut from one fused list; another depth may change the order.
     """
-    depth = max(4 * (offset + limit), 20) if depth is None else depth
-    near = held(semantic(chunks, vector, depth, unique).select("rank", "id", "node_id", "score"))
-    found = held(fulltext.top(fulltext.search(postings, stats, query), depth))
+    near = stored(semantic(chunks, vector, depth, unique).select("rank", "id", "node_id", "score"), "near")
+    found = stored(fulltext.top(fulltext.search(postings, stats, query), depth), "words")
     words = ranked(found, *fulltext.best_first())
     return hybrid_lists(near, words, limit, unique, offset)

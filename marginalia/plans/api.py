@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.config import EngineConfig
 from marginalia.functions import ids
 from marginalia.operators import catalog as cat
-from marginalia.operators import fulltext, lexical, mutations, overlays, retrieval
+from marginalia.operators import closure, fulltext, lexical, mutations, overlays, retrieval
 from marginalia.operators.embedding import Embedder, create_embedder, embed_query
 from marginalia.operators.indexing import Index
 from marginalia.operators.rendering import FORMATS, plain_html, render_bodies
@@ -63,6 +63,8 @@ class NotesEngine:
     _base: DataFrame | None = field(default=None, init=False, repr=False)
     _edits: DataFrame | None = field(default=None, init=False, repr=False)
     _merged: DataFrame | None = field(default=None, init=False, repr=False)
+    _tree: DataFrame | None = field(default=None, init=False, repr=False)
+    _tree_of: tuple | None = field(default=None, init=False, repr=False)
 
     def _provider(self) -> Embedder:
         """The given embedder or the configured one; there is none by default."""
@@ -74,13 +76,22 @@ class NotesEngine:
     def folder_frame(self, include_counts: bool = False) -> DataFrame:
         """All visible folders, the trash included, with overlays applied."""
         rows = cat.list_folders(
-            self.folders, self.notes if include_counts else None, self.accounts, self.changes, include_trash=True
+            self.folders, self.notes if include_counts else None, self.accounts, self.changes, include_trash=True, tree=self.tree()
         )
         if self.overlay is None:
             return rows
         alive = overlays.active(self.overlay, self.clock())
         return overlays.apply_renames(overlays.without_removed(rows, alive), alive)
 
+    def tree(self) -> DataFrame:
+        """The closure of the visible folders. It is walked once; edits of folders made here change its rows."""
+        if self._tree_of is None or self._tree_of[0] is not self.folders or self._tree_of[1] is not self.changes:
+            self._keep_tree(closure.folder_tree(cat.visible_folders(self.folders, self.changes)))
+        return self._tree
+
+    def _keep_tree(self, tree: DataFrame) -> None:
+        self._tree, self._tree_of = stored(tree, "tree"), (self.folders, self.changes)
+
     def list_folders(self, include_counts: bool = False, include_trash: bool = False) -> list[dict]:
         rows = self.folder_frame(include_counts)
         rows = rows if include_trash else rows.where(~F.col("is_trash"))
@@ -251,21 +262,25 @@ class NotesEngine:
         return _page([r.asDict() for r in shown.orderBy(*fulltext.best_first()).collect()], limit, offset)
 
     def hybrid_search(
-        self, query: str, limit: int = 20, unique: str = "notes", cursor: str | None = None, depth: int | None = None
+        self, query: str, limit: int = 20, unique: str = "notes", cursor: str | None = None, depth: int = retrieval.HYBRID_DEPTH
     ) -> Page:
-        """Fused results; pages agree with each other if they are asked for with one ``depth``, see ``retrieval.hybrid``."""
+        """Fused results of the first ``depth`` places of both lists. The cursor carries the depth of the first page to the others."""
         if not query.strip():
             return Page(total_estimate=0)
-        limit, offset = _counted("limit", limit), ids.decode_cursor(cursor)
+        state = ids.decode_state(cursor, "offset", "depth") or {"offset": 0, "depth": _counted("depth", depth)}
+        limit, offset, depth = _counted("limit", limit), _counted("offset", state["offset"], 0), _counted("depth", state["depth"])
         index, vector = self.index.pinned(), embed_query(self._provider(), query)
         fused = retrieval.hybrid(
             index.chunks(), index.postings(), index.stats(), vector, query, limit + 1, unique, depth, offset)
-        page = retrieval.held(fused)
+        page = stored(fused, "page")
         chunks = index.chunks().select(
             F.col("id").alias("chunk_id"), "heading", "start_line", "end_line",
             F.substring("content", 1, retrieval.EXCERPT_CHARS).alias("excerpt"),
         )
-        return _page(self._enriched(index, page.join(chunks, "chunk_id", "left")), limit, offset)
+        found = _page(self._enriched(index, page.join(chunks, "chunk_id", "left")), limit, offset)
+        if found.has_more:
+            found.next_cursor = ids.encode_state(offset=offset + limit, depth=depth)
+        return found
 
     # -- edits ---------------------------------------------------------------
 
@@ -334,18 +349,28 @@ class NotesEngine:
         return self._apply(change)
 
     def create_folder(self, name: str, parent_folder_path: str | None = None) -> dict:
+        tree = self.tree()
         folders, pk = mutations.create_folder(self.folders, self.folder_frame(), name, parent_folder_path)
         self.folders = stored(folders, "folders")
+        parent = self.folders.where(F.col("pk") == pk).first()["parent_pk"]
+        self._keep_tree(closure.added(tree, pk, name, parent))
         return {"id": f"f{pk}", "action": "created", "error": None}
 
     def rename_folder(self, folder_id: str, new_name: str) -> dict:
+        tree = self.tree()
         self.folders = stored(mutations.rename_folder(self.folders, self.folder_frame(), folder_id, new_name), "folders")
+        self._keep_tree(closure.renamed(tree, ids.parse_id(folder_id)[1], new_name))
         return {"id": folder_id, "action": "renamed", "error": None}
 
     def delete_folder(self, folder_id: str, **options) -> dict:
+        tree = self.tree()
         if self.overlay is not None:
             options.setdefault("count_changes", overlays.count_deltas(self.overlay, self.clock()))
         folders, _, moved = mutations.delete_folder(self.folders, self.notes, self.folder_frame(), folder_id, **options)
         self._keep(moved)
         self.folders = stored(folders, "folders")
+        tree = closure.removed(tree, ids.parse_id(folder_id)[1], options.get("recursive", False))
+        # What hung below a hidden folder goes with it, too.
+        left = cat.visible_folders(self.folders, self.changes).select("pk")
+        self._keep_tree(tree.join(left, "pk", "left_semi"))
         return {"id": folder_id, "action": "deleted", "error": None}

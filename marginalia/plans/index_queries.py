@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import ids
 from marginalia.operators import catalog as cat
+from marginalia.operators import closure
 from marginalia.operators import indexing as ix
 from marginalia.operators import mutations as mu
 from marginalia.operators import overlays as ov
@@ -350,3 +351,28 @@ SELECT pk, depth FROM down
 """)
 def folder_subtree(spark, sf_dir):
     return mu.subtree(corpus.world_folders(spark, sf_dir), 3)
+
+
+@query("""
+WITH RECURSIVE base AS (
+  SELECT CAST(r_regionkey + 1 AS BIGINT) AS pk, CAST(NULL AS BIGINT) AS parent_pk, CASE WHEN r_regionkey = 2 THEN 'East' ELSE r_name END AS name
+  FROM region
+  UNION ALL SELECT n_nationkey + 1000, n_regionkey + 1, n_name FROM nation WHERE n_regionkey <> 3
+  UNION ALL SELECT s_suppkey + 1000000, CASE WHEN n_regionkey = 3 THEN NULL ELSE s_nationkey + 1000 END, s_name
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 1
+  UNION ALL SELECT CAST(7 AS BIGINT), CAST(3 AS BIGINT), 'Fresh'
+), tree AS (
+  SELECT pk, name AS path, 0 AS depth FROM base WHERE parent_pk IS NULL
+  UNION ALL SELECT b.pk, t.path || '/' || b.name, t.depth + 1 FROM base b JOIN tree t ON b.parent_pk = t.pk
+)
+SELECT pk, path, depth FROM tree WHERE pk <> 2 AND pk NOT IN (SELECT n_nationkey + 1000 FROM nation WHERE n_regionkey = 1)
+""")
+def folder_tree_edits(spark, sf_dir):
+    """A renamed region, a new folder in it, one region gone with all below, and the nations of another gone without their suppliers."""
+    nations = corpus.table(spark, sf_dir, "nation").where("n_regionkey = 3").select("n_nationkey").collect()
+    tree = closure.folder_tree(corpus.world_folders(spark, sf_dir))
+    tree = closure.added(closure.renamed(tree, 3, "East"), 7, "Fresh", 3)
+    tree = closure.removed(tree, 2)
+    for nation in nations:
+        tree = closure.removed(tree, nation["n_nationkey"] + 1000, recursive=False)
+    return closure.paths(tree)

@@ -100,7 +100,7 @@ def _hybrid(spark, sf_dir, unique):
     nodes = corpus.notes(spark, sf_dir).select("id", "title", "body")
     rows = rt.hybrid(
         _chunks(spark, sf_dir), ft.postings_for(nodes, _WORDS), ft.build_stats(nodes),
-        _probe(spark, sf_dir), _WORDS, 20, unique,
+        _probe(spark, sf_dir), _WORDS, 20, unique, 80,
     )
     return rows.select("node_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("score", "semantic_score", "lexical_score")])
 
