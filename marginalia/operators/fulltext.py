@@ -251,11 +251,11 @@ def top(scored: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 def with_excerpts(hits: DataFrame, nodes: DataFrame, query: str, limit: int) -> DataFrame:
     """Add ``excerpt`` to at most ``limit`` hits: the 40 words of the body that show most of the query.
 
-    The hits are a page, so their number bounds the broadcast.
+    How the hits meet the notes is left to Spark, which knows their size.
     """
     spark = hits.sparkSession
     phrases = parse_query(spark, query)
-    page = F.broadcast(hits.limit(limit))
+    page = hits.limit(limit)
     texts = nodes.select(F.col("id").alias("node_id"), "title", "body").join(page, "node_id")
     local = build_postings(texts.select(F.col("node_id").alias("id"), "title", "body"))
     spans = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marginalia import schema
 from marginalia.config import ChunkerConfig
 from marginalia.functions import ids
-from marginalia.operators import fulltext
+from marginalia.operators import blockmax, fulltext
 from marginalia.operators.chunking import chunk_array, embedding_text
 from marginalia.operators.embedding import Embedder, embed
 from marginalia.sources.layout import spread
@@ -218,6 +218,17 @@ class Index:
     def postings(self) -> DataFrame:
         return self.store.merged("postings", "node_id", "text", schema.POSTINGS, self.version)
 
+    def top_words(self, terms: list[str], k: int) -> blockmax.Found:
+        """The best notes that hold all terms; see :func:`blockmax.top_words`. Cells are those of each segment."""
+        here = self.pinned() if self.version is None else self
+        postings = here.store.merged("postings", "node_id", "text", f"{schema.POSTINGS}, cell bigint", here.version, "segment")
+        tables = here.store.each("blocks", blockmax.SCHEMA.replace("segment int, ", ""), here.version, "segment")
+        hits = None
+        if len(here.store.segments(here.version)) > 1:
+            # Blocks also count what later segments have replaced.
+            hits = postings.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("hits"))
+        return blockmax.top_words(postings, tables, here.stats(), terms, k, hits)
+
     def stats(self) -> DataFrame:
         """Number of notes and their mean length, from totals that every pass carries on."""
         totals = self.store.read("corpus", version=self.version)
@@ -318,9 +329,12 @@ class Index:
             raise DimensionMismatch(f"index holds {known['dim']} dimensions, provider gives {embedder.dim}")
 
     def _write_postings(self, postings: DataFrame, version: int) -> None:
-        """Ranges over (term, node) keep the scan of a term narrow, and split a term that many notes hold."""
+        """Ranges over (term, cell, node) keep the scan of a term narrow, and split a term that many notes hold."""
+        notes = self.spark.read.parquet(self.store.path(version, "nodes")).count()
         columns = [F.col(c) for c in ("term", "node_id", "length", "title_at", "body_at")]
-        self.store.write(postings.select(*columns).repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id"), version, "postings")
+        order = ("term", "cell", "node_id")
+        rows = blockmax.in_cells(postings.select(*columns), notes).repartitionByRange(*order).sortWithinPartitions(*order)
+        self.store.write(blockmax.blocks(self.store.write(rows, version, "postings")).repartitionByRange("term").sortWithinPartitions("term"), version, "blocks")
 
     def _write_totals(self, here: Index | None, changed: DataFrame, gone: DataFrame, version: int) -> None:
         """Notes and words of the whole index: what was before, plus new rows, minus those they replace and those gone."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.config import EngineConfig
 from marginalia.functions import ids
 from marginalia.operators import catalog as cat
-from marginalia.operators import closure, fulltext, lexical, mutations, overlays, retrieval
+from marginalia.operators import blockmax, closure, fulltext, lexical, mutations, overlays, retrieval
 from marginalia.operators.embedding import Embedder, create_embedder, embed_query
 from marginalia.operators.indexing import Index
 from marginalia.operators.rendering import FORMATS, plain_html, render_bodies
@@ -254,8 +254,13 @@ class NotesEngine:
     def fulltext_search(self, query: str, limit: int = 20, cursor: str | None = None) -> Page:
         limit, offset = _counted("limit", limit), ids.decode_cursor(cursor)
         index = self.index.pinned()
-        found = fulltext.search(index.postings(), index.stats(), query)
-        page = retrieval.held(fulltext.top(found, limit + 1, offset))
+        terms = blockmax.words_of(self.spark, query)
+        if terms:
+            # Whole words: only blocks of notes that can reach the page are scored.
+            found = index.top_words(terms, offset + limit + 1).hits
+        else:
+            found = fulltext.search(index.postings(), index.stats(), query)
+        page = stored(fulltext.top(found, limit + 1, offset), "page")
         if page.isEmpty():
             return Page()
         shown = fulltext.with_excerpts(page, index.nodes(), query, limit + 1)

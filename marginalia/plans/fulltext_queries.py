@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.functions.terms import STEP_2, STEP_3, STEP_4
+from marginalia.operators import blockmax
 from marginalia.operators import fulltext as ft
 from marginalia.plans import corpus
 from marginalia.plans.registry import NOTES, query
+from marginalia.session import stored
 
 # -- the SQL side: words, then one CTE per step of the suffix stripper ---------
 
+# The suffixes of the steps 2, 3 and 4 of the Porter stemmer, as published; the SQL has its own.
+_SUFFIX_2 = (
+    "ational ate, tional tion, enci ence, anci ance, izer ize, bli ble, alli al, entli ent, eli e, ousli ous, ization ize, ation ate, "
+    "ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble, logi log"
+)
+_SUFFIX_3 = "icate ic, ative, alize al, iciti ic, ical ic, ful, ness"
+_SUFFIX_4 = "al, ance, ence, er, ic, able, ible, ant, ement, ment, ent, ion, ou, ism, ate, iti, ous, ive, ize"
+
+
+def _rules(text: str) -> dict[str, str]:
+    pairs = (rule.split(" ") for rule in text.split(", "))
+    return {p[0]: p[1] if len(p) > 1 else "" for p in pairs}
+
+
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
 _M1, _M2 = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}"
 _EQ1, _VOWEL, _SHORT = f"^({_C})?{_V}{_C}({_V})?$", f"^({_C})?[aeiouy]", f"^{_C}[aeiouy][^aeiouwxy]$"
@@ -44,9 +59,9 @@ _STEPS = [
       WHEN regexp_matches(v, '{_SHORT}') THEN v || 'e' ELSE v END AS w
     FROM (SELECT *, rtrim(w, chr(1)) AS v FROM {{prev}})""",
     _case(f"WHEN w LIKE '%y' AND regexp_matches({_cut(1)}, '{_VOWEL}') THEN {_cut(1)} || 'i'"),
-    _rule(_M1, STEP_2),
-    _rule(_M1, STEP_3),
-    _rule(_M2, dict.fromkeys(STEP_4, "")),
+    _rule(_M1, _rules(_SUFFIX_2)),
+    _rule(_M1, _rules(_SUFFIX_3)),
+    _rule(_M2, _rules(_SUFFIX_4)),
     _case(f"""WHEN w LIKE '%e' AND (regexp_matches({_cut(1)}, '{_M2}') OR
       (regexp_matches({_cut(1)}, '{_EQ1}') AND NOT regexp_matches({_cut(1)}, '{_SHORT}'))) THEN {_cut(1)}"""),
     _case(f"WHEN w LIKE '%ll' AND regexp_matches({_cut(1)}, '{_M2}') THEN {_cut(1)}"),
@@ -126,8 +141,57 @@ def bm25_prefix(spark, sf_dir):
     return _scores(spark, sf_dir, "thin* of")
 
 
-@query()
+_THREE = "SELECT id, length, term AS phrase, col FROM tokens WHERE term IN ('er', 'thing', 'ing')"
+
+
+@query(f"""SELECT * FROM ({_bm25_sql(_THREE, 3).replace('round(sum(', '(sum(').replace('), 6) AS score', ')) AS score')})
+ORDER BY round(score, 12) DESC, node_id LIMIT 20""".replace("SELECT *", "SELECT node_id, round(score, 6) AS score", 1))
+def bm25_top_words(spark, sf_dir):
+    """The best notes by blocks and bounds."""
+    nodes = _nodes(spark, sf_dir)
+    postings = stored(blockmax.in_cells(ft.build_postings(nodes), nodes.count()).withColumn("segment", F.lit(0)), "postings")
+    tables = blockmax.blocks(postings).withColumn("segment", F.lit(0))
+    found = blockmax.top_words(postings, tables, ft.build_stats(nodes), blockmax.words_of(spark, "eres THINGS ing"), 20)
+    return found.hits.select("node_id", F.round("score", 6).alias("score"))
+
+
+def _page_sql() -> str:
+    """Of each hit, the windows of 40 words that begin at a match or its sentence; the one that shows most, with its matches marked."""
+    word = r"'[\p{L}\p{N}\p{Co}]+'"
+    score = "len(list_filter(spans, lambda x: x.s >= {0} AND x.s < {0} + 40)) + 999 * len(list_distinct(list_transform(list_filter(spans, lambda x: x.s >= {0} AND x.s < {0} + 40), lambda x: x.p)))"
+    scored = _bm25_sql(_THREE, 3).replace("round(sum(", "(sum(").replace("), 6) AS score", ")) AS score")
+    return f"""WITH page AS (SELECT * FROM ({scored}) ORDER BY round(score, 12) DESC, node_id LIMIT 20),
+{_terms_sql()}, matches AS (
+  SELECT id, list({{'s': spot, 'p': term}} ORDER BY spot, term) AS spans FROM tokens WHERE col = 1 AND term IN ('er', 'thing', 'ing') GROUP BY id
+), shown AS (
+  SELECT node_id, score, title, regexp_extract_all(body, {word}) AS w, string_split_regex(body, {word}) AS g, coalesce(spans, []) AS spans
+  FROM page JOIN notes ON notes.id = node_id LEFT JOIN matches ON matches.id = node_id
+), sized AS (
+  SELECT *, len(w) AS total, list_filter(range(0, len(w)), lambda i: i = 0 OR regexp_matches(g[i + 1], '[.:][ \t\n\r]+$')) AS heads FROM shown
+), starts AS (
+  SELECT *, i, spans[i + 1].s AS s, list_max(list_filter(heads, lambda h: h <= spans[i + 1].s)) AS head,
+    list_max(list_transform(list_filter(spans, lambda x: x.s >= spans[i + 1].s AND x.s < spans[i + 1].s + 40), lambda x: x.s)) AS last
+  FROM sized, unnest(range(0, len(spans))) t(i)
+), options AS (
+  SELECT node_id, {score.format('s')} AS points, 2 * i AS turn, greatest(0, least(s - greatest(0, (40 - (last + 1 - s)) // 2), total - 40)) AS begin FROM starts
+  UNION ALL
+  SELECT node_id, {score.format('head')} + CASE WHEN head = 0 THEN 120 ELSE 100 END, 2 * i + 1, head FROM starts WHERE total > 40 AND head < s
+), best AS (
+  SELECT node_id, begin FROM options QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY points DESC, turn) = 1
+), windows AS (
+  SELECT z.*, coalesce(begin, 0) AS b, least(coalesce(begin, 0) + 40, total) AS e, list_transform(spans, lambda x: x.s) AS lit FROM sized z LEFT JOIN best USING (node_id)
+)
+SELECT node_id, title, round(score, 6) AS score, CASE WHEN total = 0 THEN '' ELSE
+  CASE WHEN b > 0 THEN '...' ELSE '' END
+  || array_to_string(list_transform(range(b, e), lambda k: CASE WHEN k > b OR b = 0 THEN g[k + 1] ELSE '' END
+    || CASE WHEN list_contains(lit, k) THEN '>>>' || w[k + 1] || '<<<' ELSE w[k + 1] END), '')
+  || CASE WHEN e < total THEN '...' ELSE g[total + 1] END END AS excerpt
+FROM windows"""
+
+
+@query(_page_sql())
 def fulltext_page(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
     found = ft.search(ft.postings_for(nodes, "eres things ing"), ft.build_stats(nodes), "eres things ing")
-    return ft.with_excerpts(ft.top(found, 20), nodes, "eres things ing", 20)
+    page = ft.with_excerpts(stored(ft.top(found, 20), "page"), nodes, "eres things ing", 20)
+    return page.select("node_id", "title", F.round("score", 6).alias("score"), "excerpt")

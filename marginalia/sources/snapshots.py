@@ -88,19 +88,27 @@ class Snapshots:
             return self.spark.createDataFrame([], schema)
         return self._parquet(self._folder(version), table, schema)
 
-    def merged(self, table: str, key: str, part: str, schema: str, version: int | None = None) -> DataFrame:
+    def each(self, table: str, schema: str, version: int | None = None, number: str = "_at") -> DataFrame:
+        """Table of all segments of a version, with the ``number`` of the segment."""
+        rows = self.spark.createDataFrame([], schema).withColumn(number, F.lit(0))
+        for i, folder in enumerate(self.segments(version)):
+            own = self._parquet(folder, table, schema).withColumn(number, F.lit(i))
+            rows = rows.unionByName(own) if i else own
+        return rows
+
+    def merged(
+        self, table: str, key: str, part: str, schema: str, version: int | None = None, number: str | None = None
+    ) -> DataFrame:
         """Table of all segments of a version, without rows whose ``key`` a later segment has replaced in ``part``."""
-        folders = self.segments(version)
-        if len(folders) < 2:
-            return self._parquet(folders[0], table, schema) if folders else self.spark.createDataFrame([], schema)
-        rows, gone = None, None
+        rows, folders, at = self.each(table, schema, version, number or "_at"), self.segments(version), number or "_at"
+        gone = None
         for i, folder in enumerate(folders):
-            own = self._parquet(folder, table, schema).withColumn("_at", F.lit(i))
-            rows = own if rows is None else rows.unionByName(own)
             if i:
                 keys = self._parquet(folder, "replaced", REPLACED).where(F.col("part") == part).select(F.col("id").alias("_gone"), F.lit(i).alias("_since"))
                 gone = keys if gone is None else gone.unionByName(keys)
-        return rows.join(gone, (F.col(key) == F.col("_gone")) & (F.col("_at") < F.col("_since")), "left_anti").drop("_at")
+        if gone is not None:
+            rows = rows.join(gone, (F.col(key) == F.col("_gone")) & (F.col(at) < F.col("_since")), "left_anti")
+        return rows if number else rows.drop("_at")
 
     def write(self, rows: DataFrame, version: int, table: str) -> DataFrame:
         """Write one table of a version that was begun here and read it back."""

@@ -29,11 +29,12 @@ def watch(
     checkpoint: str,
     config: ChunkerConfig = ChunkerConfig(),
     interval_s: float | None = None,
+    keyed: bool = False,
 ) -> StreamingQuery:
     """Run an index pass for every micro-batch that holds a change.
 
-    Where all changes are of notes, the pass compares these notes only; a change of a folder or an account may touch any note, so the
-    whole source is compared. The stream's offset advances only after the pass has published its version, so a failed pass is
+    The pass compares the whole source. With ``keyed``, for feeds that name every note that changed, it compares the notes of the batch
+    only, unless a folder or an account changed, which may touch any note. The stream's offset advances only after the pass has published its version, so a failed pass is
     repeated for the same changes. Without an interval the query drains the feed and stops.
     """
 
@@ -42,7 +43,7 @@ def watch(
         if not kinds:
             return
         rows, keys = source(), None
-        if kinds == [schema.ENTITY_NOTE]:
+        if keyed and kinds == [schema.ENTITY_NOTE]:
             named = batch.select(F.col("entity_pk").alias("z_pk")).distinct()
             # Deleted notes are known to the index alone.
             keys = rows.select("id", "z_pk").unionByName(index.pinned().nodes().select("id", "z_pk")).join(named, "z_pk", "left_semi").select("id")

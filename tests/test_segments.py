@@ -124,7 +124,7 @@ def test_a_feed_of_notes_compares_these_alone(spark, tmp_path):
 
     def drain(changes):
         spark.createDataFrame(changes, schema.CHANGES).write.mode("append").parquet(feed)
-        watch(change_feed(spark, feed), lambda: source(spark, rows), index, HashedEmbedder(8), str(tmp_path / "c"), CONFIG).awaitTermination()
+        watch(change_feed(spark, feed), lambda: source(spark, rows), index, HashedEmbedder(8), str(tmp_path / "c"), CONFIG, keyed=True).awaitTermination()
 
     drain([(12, 0, 1)])
     assert index.nodes().count() == 6
