@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,22 @@ def written_small(rows: DataFrame, label: str) -> DataFrame:
     return written(rows.coalesce(max(1, parallelism(rows.sparkSession) // 16)), label)
 
 
+#: Bytes of rows that go to a Python worker at a time, where texts are among them.
+BATCH_BYTES = "8m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written meanwhile send texts to Python in small batches: both ends hold each one several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def numbered(rows: DataFrame, label: str, column: str = "_row") -> DataFrame:
     """A written copy in which every row, repeated ones too, has a number that no retry can change."""
     return written(rows.withColumn(column, F.monotonically_increasing_id()), label)

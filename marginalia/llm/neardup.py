@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import numbered, parallelism, shielded, slices, unshielded, written, written_small
+from marginalia.llm.common import numbered, parallelism, shielded, slices, small_batches, unshielded, written, written_small
 from marginalia.llm.graph import components
 
 GRAM = 5
@@ -48,10 +48,11 @@ _PLACES = 14
 _r = _rng.gamma(2.0, 1.0, 1 << _PLACES)
 _beta = _rng.random(1 << _PLACES)
 _log_c = np.log(_rng.gamma(2.0, 1.0, 1 << _PLACES))
-#: For each place, the parts of a consistent weighted sample that do not depend on the weight: 1 / r, beta, r, and
-#: ln c - r + r beta. A shingle finds its places by multiplication with the odd numbers of ``_TURN``.
-_DRAWS = np.stack([1 / _r, _beta, _r, _log_c - _r + _r * _beta], axis=1).astype(np.float32)
-_TURN = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: For each place, the parts of a consistent weighted sample that do not depend on the weight: 1 / r, beta, r; the value at level 0,
+#: ln c - r + r beta; and the logarithm of the weight from which the level is 1 or more, r - r beta. A shingle finds its places by
+#: multiplication with the odd numbers of ``_TURN``.
+_RATE, _BETA, _R, _BASE, _STEP = (x.astype(np.float32) for x in (1 / _r, _beta, _r, _log_c - _r + _r * _beta, _r - _r * _beta))
+_TURN = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -95,30 +96,45 @@ def _weights(hashes: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.nd
     return counts * table[hashes & np.uint64(len(table) - 1)]
 
 
-def _sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """One 64-bit code for each consistent weighted sample: the shingle drawn and its level."""
-    log_w = np.log(weights).astype(np.float32)
-    at = (hashes[None, :] * _TURN[:, None]) >> np.uint64(64 - _PLACES)
-    draws = _DRAWS[at.astype(np.int32)]
-    level = np.floor(log_w * draws[:, :, 0] + draws[:, :, 1])
-    # Of equal values the smallest hash is drawn, as the hashes are sorted.
-    best = np.argmin(draws[:, :, 3] - draws[:, :, 2] * level, axis=1)
-    return hashes[best] ^ _mixed(level[np.arange(len(_TURN)), best].astype(np.int64).astype(np.uint64))
+def _drawn(places: np.ndarray, log_w: np.ndarray) -> np.ndarray:
+    """Value of each draw. Most weights are near 1 and stay at level 0, so only the others compute their level."""
+    values = _BASE[places]
+    at = np.flatnonzero(np.broadcast_to(log_w, places.shape) >= _STEP[places])
+    if len(at):
+        own = places.reshape(-1)[at]
+        values.reshape(-1)[at] -= _R[own] * _level(own, np.broadcast_to(log_w, places.shape).reshape(-1)[at])
+    return values
+
+
+def _level(places: np.ndarray, log_w: np.ndarray) -> np.ndarray:
+    return np.floor(log_w * _RATE[places] + _BETA[places])
+
+
+def _places(half: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    return ((half * turn) >> np.uint32(32 - _PLACES)).astype(np.int32)
+
+
+#: Shingles whose draws are held at a time.
+_BLOCK = 4096
 
 
 def _draw(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """``_sample`` for texts of any length: the best of each block, then the best of those."""
-    block = 4096
-    if len(hashes) <= block:
-        return _sample(hashes, weights)
+    """One 64-bit code for each consistent weighted sample of a text: the shingle drawn and its level."""
     log_w = np.log(weights).astype(np.float32)
-    out = np.empty(len(_TURN), dtype=np.uint64)
-    for k, turn in enumerate(_TURN):
-        draws = _DRAWS[((hashes * turn) >> np.uint64(64 - _PLACES)).astype(np.int32)]
-        level = np.floor(log_w * draws[:, 0] + draws[:, 1])
-        best = int(np.argmin(draws[:, 3] - draws[:, 2] * level))
-        out[k] = hashes[best] ^ _mixed(level[best : best + 1].astype(np.int64).astype(np.uint64))[0]
-    return out
+    half = (hashes >> np.uint64(32)).astype(np.uint32)
+    least, best = np.full(len(_TURN), np.inf, np.float32), np.zeros(len(_TURN), np.int64)
+    for start in range(0, len(hashes), _BLOCK):
+        own = slice(start, start + _BLOCK)
+        places = _places(half[own], _TURN[:, None])
+        values = _drawn(places, log_w[own])
+        # Of equal values the smallest hash is drawn, as the hashes are sorted.
+        first = np.argmin(values, axis=1)
+        value = values[np.arange(len(_TURN)), first]
+        closer = value < least
+        least[closer], best[closer] = value[closer], start + first[closer]
+    places = _places(half[best], _TURN)
+    level = np.where(log_w[best] >= _STEP[places], _level(places, log_w[best]), 0)
+    return hashes[best] ^ _mixed(level.astype(np.int64).astype(np.uint64))
 
 
 def _bands(samples: np.ndarray) -> list[int]:
@@ -231,6 +247,11 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     ``texts`` has _row and text, neither of them null.
     """
+    with small_batches(texts.sparkSession):
+        return _classes_of(texts, similar)
+
+
+def _classes_of(texts: DataFrame, similar: float) -> DataFrame:
     table = document_frequencies(texts)
     signed = written(
         texts.mapInArrow(_signatures(table), "_row long, key binary, size long, bands array<long>"), "signatures")
@@ -319,17 +340,20 @@ def classes_of(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
             if len(left) and len(right):
                 bands = np.stack(right["p_bands"].to_numpy())
                 nodes_here, classes_here = right["pivot"].tolist(), right["p_class"].to_numpy()
-                loaded: dict[int, tuple] = {}
-                for node, cls, own_bands, text in zip(left["node"], left["class"], left["bands"], left["text"], strict=True):
-                    near = np.flatnonzero((bands == own_bands).any(axis=1) & (classes_here != cls)).tolist()
-                    own, known = family.load([text])[0] if near else None, {cls}
-                    for k in near:
-                        if classes_here[k] not in known:
-                            if k not in loaded:
-                                loaded[k] = family.load([right["p_text"].iloc[k]])[0]
-                            if family.alike(own, loaded[k]):
-                                known.add(classes_here[k])
-                                out.append((node, nodes_here[k]))
+                near_of = [
+                    np.flatnonzero((bands == own).any(axis=1) & (classes_here != cls)).tolist()
+                    for own, cls in zip(left["bands"], left["class"], strict=True)]
+                # Both sides are bounded by a part and a block; texts that nothing meets are not opened.
+                asked = [i for i, near in enumerate(near_of) if near]
+                met = sorted({k for near in near_of for k in near})
+                ours = dict(zip(asked, family.load(left["text"].iloc[asked]), strict=True))
+                theirs = dict(zip(met, family.load(right["p_text"].iloc[met]), strict=True))
+                for i in asked:
+                    known = {left["class"].iloc[i]}
+                    for k in near_of[i]:
+                        if classes_here[k] not in known and family.alike(ours[i], theirs[k]):
+                            known.add(classes_here[k])
+                            out.append((left["node"].iloc[i], nodes_here[k]))
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         found = written(
@@ -370,11 +394,18 @@ def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return found.join(names, "class_row").select(F.col("id").alias(id_col), "class_id", "links")
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """The first row of each class, with the columns of ``docs``."""
+def one_of_each(docs: DataFrame, text_col: str = "text", similar: float = SIMILAR, blanks_apart: bool = True) -> DataFrame:
+    """The first row of each class, with the columns of ``docs``.
+
+    Texts without words are classes of their own; without ``blanks_apart`` they are one class.
+    """
     inner, names = shielded(docs)
     held = numbered(inner, "docs")
     found = classes_of(held.select("_row", F.coalesce(F.col(names[text_col]), F.lit("")).alias("text")), similar)
     # The merge keeps to one plan at every size: what goes grows with the table.
-    later = found.where("_row <> class_row").select("_row").hint("merge")
-    return unshielded(held.join(later, "_row", "left_anti"), names, {})
+    later = found.where("_row <> class_row").select("_row")
+    if not blanks_apart:
+        blank = held.select("_row").join(found.select("_row").hint("merge"), "_row", "left_anti")
+        first = blank.agg(F.min("_row")).first()[0]
+        later = later.unionByName(blank.where(F.col("_row") > F.lit(first)))
+    return unshielded(held.join(later.hint("merge"), "_row", "left_anti"), names, {})

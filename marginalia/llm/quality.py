@@ -21,6 +21,8 @@ from marginalia.llm.common import written
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 GRAM = 8
+#: Labelled rows that a list is learned from, at most.
+MAX_LABELLED = 200_000
 
 #: The statistics that rules may use; all are shares or means, so that long and short texts compare.
 FEATURES = {
@@ -150,7 +152,7 @@ def learn_rules(
     labelled: DataFrame,
     label_col: str = "bad",
     key_col: str = "doc_id",
-    max_labelled: int = 200_000,
+    max_labelled: int = MAX_LABELLED,
     bins: int = 32,
     max_rules: int = 12,
     max_conditions: int = 4,
@@ -271,9 +273,18 @@ def judged(stats: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, D
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, that neither the base rules nor the learned list reject.
 
-    Null and empty texts fail the base rules. Repeated rows share one fate. An empty table gives an empty one.
+    Null and empty texts fail the base rules. Repeated rows share one fate. An empty table gives an empty one. The list is learned first,
+    from the statistics of labelled documents alone; at most about ``max_labelled`` (200,000) labels are used, chosen by a hash.
     """
-    _, learned = judged(statistics_table(docs, id_col, text_col), labels, **options)
+    most = options.get("max_labelled", MAX_LABELLED)
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    total = known.count()
+    if total > most:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * most / total))
+    # Their number is bounded, so the texts need no exchange.
+    named = F.broadcast(known.select(F.col("doc_id").alias("_labelled")).distinct())
+    labelled = docs.join(named, F.col(f"`{id_col}`") == F.col("_labelled"), "left_semi")
+    _, learned = judged(statistics_table(labelled, id_col, text_col), known, **options)
     stats = _statistics(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
     def good(s: Column) -> Column:
