@@ -55,6 +55,8 @@ def has_fulltext(path: str) -> bool:
 
 @dataclass
 class RowRange(InputPartition):
+    """Row ids from ``low`` to ``high``, both included."""
+
     low: int
     high: int
 
@@ -64,21 +66,27 @@ class SqliteReader(DataSourceReader):
         self.path, self.table, self.schema = path, table, schema
 
     def partitions(self) -> list[RowRange]:
+        """Ranges of so many rows each. Their number follows the rows, however far apart their ids lie."""
         con = _connect(self.path)
         try:
-            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            last = con.execute(f'SELECT max(rowid) FROM "{self.table}"').fetchone()[0]
+            low = con.execute(f'SELECT min(rowid) FROM "{self.table}"').fetchone()[0]
+            ranges = []
+            while low is not None:
+                after = con.execute(
+                    f'SELECT rowid FROM "{self.table}" WHERE rowid >= ? ORDER BY rowid LIMIT 1 OFFSET ?', (low, ROWS_PER_PARTITION)).fetchone()
+                ranges.append(RowRange(low, after[0] - 1 if after else last))
+                low = after[0] if after else None
         finally:
             con.close()
-        if low is None:
-            return [RowRange(0, 0)]
-        return [RowRange(at, at + ROWS_PER_PARTITION) for at in range(low, high + 1, ROWS_PER_PARTITION)]
+        return ranges or [RowRange(1, 0)]
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
         names = ", ".join(f'"{f.name}"' for f in self.schema.fields)
         casts = [_coerce(f.dataType) for f in self.schema.fields]
         con = _connect(self.path)
         try:
-            query = f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?'
+            query = f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?'
             for row in con.execute(query, (partition.low, partition.high)):
                 yield tuple(None if v is None else cast(v) for cast, v in zip(casts, row))
         finally:
