@@ -1,14 +1,15 @@
-"""Repeated byte strings by sparse suffix order and longest-previous-factor tests.
+"""Repeated byte strings by arrays of longest previous factors over a sparse suffix order.
 
-Every string of ``LENGTH`` bytes has an anchor: the position with the smallest hash of ``GRAM`` bytes in it, which depends on
-nothing outside the string. Equal strings therefore have equal anchors, and only suffixes of texts with an equal anchor can
-share ``LENGTH`` bytes. Such suffixes are brought together and put in suffix order, as far as ``LENGTH`` bytes decide it:
-by a hash of that prefix, then by position. In that order the previous and the next smaller position of a suffix are its
-neighbours with an equal prefix; its longest previous factor reaches ``LENGTH`` if there is a previous one, and with the
-next one the string is known to occur again later.
+Only matches of ``LEAST`` bytes or more matter. Every string of that length has an anchor: the position with the smallest hash
+of ``GRAM`` bytes in it, which depends on nothing outside the string. Suffixes that share ``LEAST`` bytes therefore stand at the
+same distance before equal anchors, so the suffixes of one anchor are put in lexicographic order among themselves, with no
+order of the whole corpus: first the suffixes that start at the anchor, then, byte by byte to the left, those that start
+before it, each order sorted from the last one by one byte. Common prefixes of neighbours follow from the last ones by minima
+over ranges. In that order the previous and the next smaller position of a suffix, found with a stack, give its longest
+previous factor; its neighbours give the longest match anywhere. Matches are measured up to ``LENGTH`` bytes.
 
 Most suffixes never leave their text. The strings of one anchor in one text form a context; equal contexts are settled by
-counting, and only differing contexts of one anchor are compared string by string.
+counting, and only differing contexts of one anchor are put in order.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 
 from marginalia.llm.common import numbered, written
 
-LENGTH, GRAM = 400, 128
+LENGTH, LEAST, GRAM = 400, 256, 48
+#: A repeated stretch of more words than this is a passage.
+WORDS = 50
 #: An anchor with more differing contexts than this is compared by grouped counts of its strings, not within one task.
 CROWDED = 500
 #: Bytes of contexts that are put in order at a time.
@@ -51,13 +54,13 @@ def gram_hashes(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return h
 
 
-def contexts_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last start of the strings of each anchor, in order; each start belongs to one anchor."""
+def contexts_of(data: np.ndarray, length: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first and last start of the strings of each anchor, in order, and the bytes from the first start to the anchor."""
     h = gram_hashes(data, gram)
     width = length - gram + 1
     if len(h) < width:
         none = np.array([], dtype=np.int64)
-        return none, none, none
+        return none, none, none, none
     least = ((h >> np.uint64(_PLACE)) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     n = 1
     while n < width:
@@ -67,25 +70,25 @@ def contexts_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tup
     at = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     last = np.append(first[1:], len(at)) - 1
-    return h[at[first]].astype(np.int64), first, last
+    return h[at[first]].astype(np.int64), first, last, at[first] - first
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts: list[tuple] = []
             for row, text in zip(b["_row"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
                 body = text.as_py()
-                anchors, first, last = contexts_of(np.frombuffer(body, np.uint8), length, gram)
+                anchors, first, last, lead = contexts_of(np.frombuffer(body, np.uint8), least, gram)
                 if len(anchors):
                     digest = [
                         int.from_bytes(hashlib.blake2b(body[i : j + length], digest_size=8).digest(), "little", signed=True)
                         for i, j in zip(first.tolist(), last.tolist(), strict=True)]
-                    parts.append((np.full(len(anchors), row), anchors, np.array(digest, np.int64), first, last))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.array([], np.int64)] * 5
+                    parts.append((np.full(len(anchors), row), anchors, np.array(digest, np.int64), first, last, lead))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.array([], np.int64)] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(k)) for c, k in zip(columns, ("i8", "i8", "i8", "i4", "i4"), strict=True)],
-                ["_row", "anchor", "context", "first", "last"])
+                [pa.array(c.astype(k)) for c, k in zip(columns, ("i8", "i8", "i8", "i4", "i4", "i4"), strict=True)],
+                ["_row", "anchor", "context", "first", "last", "lead"])
 
     return run
 
@@ -106,170 +109,289 @@ def _context_rows(length: int):
             for row, text, own in zip(b["_row"].to_pylist(), b["text"].to_pylist(), b["own"].to_pylist(), strict=True):
                 body = zstandard.decompress(text)
                 rows += [
-                    (o["anchor"], o["crowded"], o["n"], row, o["first"], zstandard.compress(body[o["first"] : o["last"] + length], 3))
+                    (o["anchor"], o["crowded"], o["n"], row, o["first"], o["last"], o["lead"],
+                     zstandard.compress(body[o["first"] : o["last"] + length], 3))
                     for o in own]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "crowded", "n", "_row", "first", "bytes"])
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["anchor", "crowded", "n", "_row", "first", "last", "lead", "bytes"])
 
     return run
 
 
-def _strings(group: list[tuple], length: int) -> tuple[np.ndarray, ...]:
-    """Key of each string of the contexts, its row, its start, and whether its context occurs once."""
-    keys, rows, starts, once = [], [], [], []
-    for anchor, n, row, first, packed in group:
-        h = gram_hashes(np.frombuffer(zstandard.decompress(packed), np.uint8), length, seed=3)
-        keys.append(_mix(h + np.uint64(anchor & 0xFFFF_FFFF_FFFF_FFFF)))
-        rows.append(np.full(len(h), row))
-        starts.append(first + np.arange(len(h)))
-        once.append(np.full(len(h), n == 1))
-    return tuple(map(np.concatenate, (keys, rows, starts, once)))
-
-
-def _runs(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """Starts, sorted by row, as intervals of consecutive ones."""
-    if not len(rows):
-        new = np.array([], dtype=np.int64)
-        end = new
-    else:
-        new = np.flatnonzero(np.append(True, (np.diff(rows) != 0) | (np.diff(starts) != 1)))
-        end = np.append(new[1:], len(rows)) - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[new].astype(np.int64)), pa.array(starts[new].astype(np.int32)), pa.array(starts[end].astype(np.int32))],
-        ["_row", "first", "last"])
-
-
-def _repeats(group: list[tuple], length: int, keep_first: bool) -> pa.RecordBatch:
-    """Strings of whole anchors that occur before (and, unless the first is to stay, after) in suffix order."""
-    keys, rows, starts, once = _strings(group, length)
-    order = np.lexsort((starts, rows, keys))
-    same = keys[order[1:]] == keys[order[:-1]]
-    before, after = np.append(False, same), np.append(same, False)
-    hit = np.zeros(len(keys), dtype=bool)
-    hit[order] = before if keep_first else (before | after)
-    if not keep_first:
-        hit &= once  # strings of a context that occurs again are known already
-    return _runs(rows[hit], starts[hit])
+_BODY = ("anchor", "n", "_row", "first", "last", "lead", "bytes")
+
+
+def _bodies(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*[batch[c].to_pylist() for c in _BODY], strict=True)
 
 
-def _ordered(length: int, keep_first: bool):
+def previous_factors(place: list[int], lcp: list[int]) -> list[int]:
+    """Longest previous factor of each suffix, in suffix order: its longest prefix that also starts at a smaller place.
+
+    ``lcp`` holds the common prefix of each suffix with the one before it. The stack holds suffixes with growing places, each with
+    its common prefix with the one below, which is its previous smaller place; whatever takes it off is its next smaller one.
+    """
+    out = [0] * len(place)
+    stack: list[tuple[int, int]] = []
+    for k in range(len(place) + 1):
+        here, common = (place[k], lcp[k]) if k < len(place) else (-1, 0)
+        while stack and place[stack[-1][0]] > here:
+            j, below = stack.pop()
+            out[j] = max(below, common)
+            common = min(below, common)
+        stack.append((k, common if stack else 0))
+    return out
+
+
+def _range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Least of ``values`` from each ``first`` to its ``last``, both included."""
+    span = last - first + 1
+    level = np.log2(span).astype(np.int64) if len(span) else span
+    out = np.empty(len(first), dtype=values.dtype)
+    table = values
+    for n in range(int(level.max(initial=0)) + 1):
+        if n:
+            half = 1 << (n - 1)
+            table = np.minimum(table[:-half], table[half:])
+        at = np.flatnonzero(level == n)
+        out[at] = np.minimum(table[first[at]], table[last[at] - (1 << n) + 1])
+    return out
+
+
+def suffix_orders(group: list[tuple], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each distance before the anchor: the contexts in the order of their suffixes from there, and the common prefixes.
+
+    Contexts of several anchors may come at once; suffixes of different anchors count as sharing nothing. Contexts drop out once no
+    suffix of theirs can share ``least`` bytes with another one.
+    """
+    texts = [zstandard.decompress(g[6]) for g in group]
+    lead = np.array([g[5] for g in group])
+    anchor = np.unique(np.array([g[0] for g in group]), return_inverse=True)[1]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    at = np.cumsum(sizes) - sizes + lead  # of the anchor's first byte
+    rights = [t[g[5] :] for t, g in zip(texts, group, strict=True)]
+    order = np.array(sorted(range(len(group)), key=lambda i: (anchor[i], rights[i])), dtype=np.int64)
+    length = (sizes - lead)[order]
+    lcp = np.zeros(len(order), dtype=np.int64)
+    open_ = 1 + np.flatnonzero(anchor[order[1:]] == anchor[order[:-1]])
+    reach, n = np.minimum(length[1:], length[:-1]), 0
+    while len(open_):
+        open_ = open_[n < reach[open_ - 1]]
+        same = flat[at[order[open_]] + n] == flat[at[order[open_ - 1]] + n]
+        open_, n = open_[same], n + 1
+        lcp[open_] = n
+    distance = 0
+    while len(order):
+        yield distance, order, lcp
+        distance += 1
+        longest = np.maximum(lcp, np.append(lcp[1:], 0))
+        left = lead[order] - distance
+        stay = np.flatnonzero((left >= 0) & (longest + 1 + left >= least))
+        if not len(stay):
+            return
+        who = order[stay]
+        key = anchor[who] * 256 + flat[at[who] - distance]
+        turn = np.argsort(key, kind="stable")
+        who, key, old = who[turn], key[turn], stay[turn]
+        lower = 1 + np.flatnonzero(key[1:] == key[:-1])
+        grown = np.zeros(len(who), dtype=np.int64)
+        grown[lower] = 1 + _range_minima(lcp, old[lower - 1] + 1, old[lower])
+        order, lcp = who, grown
+
+
+def _factors(order: np.ndarray, lcp: np.ndarray, place: np.ndarray, least: int, keep_first: bool) -> np.ndarray:
+    """Length of each suffix's longest match at a smaller place, or at any other one; 0 where it is below ``least``."""
+    if not keep_first:
+        longest = np.maximum(lcp, np.append(lcp[1:], 0))
+        return np.where(longest >= least, longest, 0)
+    out = np.zeros(len(order), dtype=np.int64)
+    tied = np.append(lcp >= least, False)
+    members = np.flatnonzero(tied[:-1] | tied[1:])
+    if len(members):
+        common = np.where(lcp[members] >= least, lcp[members], 0)
+        out[members] = previous_factors(place[order[members]].tolist(), common.tolist())
+    return out
+
+
+def _runs(rows: np.ndarray, starts: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+    """Starts as intervals of consecutive ones that are long, or that are not."""
+    by = np.lexsort((starts, rows))
+    rows, starts, long = rows[by], starts[by], long[by]
+    new = np.flatnonzero(np.append(True, (np.diff(rows) != 0) | (np.diff(starts) != 1) | (long[1:] != long[:-1]))[: len(rows)])
+    end = np.append(new[1:], len(rows))[: len(new)] - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[new].astype(np.int64)), pa.array(starts[new].astype(np.int32)), pa.array(starts[end].astype(np.int32)), pa.array(long[new])],
+        ["_row", "first", "last", "long"])
+
+
+def _repeats(group: list[tuple], length: int, least: int, keep_first: bool) -> pa.RecordBatch:
+    """Starts of the strings of whole anchors that occur before (or, unless the first is to stay, anywhere else)."""
+    row, first, lead = (np.array([g[i] for g in group]) for i in (2, 3, 5))
+    last = np.array([g[4] for g in group])
+    once = np.array([g[1] == 1 for g in group])
+    place = np.empty(len(group), dtype=np.int64)
+    place[np.lexsort((first + lead, row))] = np.arange(len(group))
+    found: list[tuple] = []
+    for distance, order, lcp in suffix_orders(group, least):
+        factor = _factors(order, lcp, place, least, keep_first)
+        hit = np.flatnonzero(factor)
+        who = order[hit]
+        start = first[who] + lead[who] - distance
+        own = start <= last[who]
+        if not keep_first:
+            own &= once[who]  # strings of a context that occurs again are known already
+        found.append((row[who[own]], start[own], factor[hit[own]] >= length))
+    return _runs(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def _ordered(length: int, least: int, keep_first: bool):
     """Contexts arrive sorted by anchor; whole anchors are gathered to batches of about ``BATCH`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, current = 0, None
         for b in batches:
-            for anchor, n, row, first, packed in zip(*[b[c].to_pylist() for c in ("anchor", "n", "_row", "first", "bytes")], strict=True):
-                if anchor != current and size > BATCH:
-                    yield _repeats(held, length, keep_first)
+            for body in _bodies(b):
+                if body[0] != current and size > BATCH:
+                    yield _repeats(held, length, least, keep_first)
                     held, size = [], 0
-                current = anchor
-                held.append((anchor, n, row, first, packed))
+                current = body[0]
+                held.append(body)
                 size += 2 * length
         if held:
-            yield _repeats(held, length, keep_first)
+            yield _repeats(held, length, least, keep_first)
 
     return run
 
 
-def _string_rows(length: int):
+def _string_rows(length: int, least: int):
+    """Key of each string of ``length`` bytes and of each one of ``least`` bytes that the contexts hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                group = list(zip(*[part[c].to_pylist() for c in ("anchor", "n", "_row", "first", "bytes")], strict=True))
-                keys, rows, starts, once = _strings(group, length)
+                parts: list[tuple] = []
+                for anchor, n, row, first, last, _, packed in _bodies(b.slice(i, 200)):
+                    data = np.frombuffer(zstandard.decompress(packed), np.uint8)
+                    for long, size, seed in ((False, least, 5), (True, length, 3)):
+                        h = gram_hashes(data, size, seed=seed)[: last - first + 1]
+                        if len(h) and not (long and length == least):
+                            key = _mix(h + np.uint64(anchor & 0xFFFF_FFFF_FFFF_FFFF)).astype(np.int64)
+                            parts.append((key, np.full(len(h), row), first + np.arange(len(h)), np.full(len(h), n == 1), np.full(len(h), long or length == least)))
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.astype(np.int64)), pa.array(rows.astype(np.int64)), pa.array(starts.astype(np.int32)), pa.array(once)],
-                    ["key", "_row", "first", "once"])
+                    [pa.array(c.astype(k)) for c, k in zip(columns, ("i8", "i8", "i4", "?", "?"), strict=True)],
+                    ["key", "_row", "first", "once", "long"])
 
     return run
 
 
-def _cut(text: bytes | None, runs: list | None, length: int) -> tuple[bytes, list[tuple[int, int]], int]:
-    """What is left of a text, the spans removed, and its length."""
-    body = b"" if text is None else zstandard.decompress(text)
+def _merged(starts: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans of bytes, given first start and end, joined where they touch."""
     spans: list[list[int]] = []
-    for first, last in sorted((r["first"], r["last"]) for r in runs or ()):
-        if spans and first <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], last + length)
+    for a, z in sorted(starts):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], z)
         else:
-            spans.append([first, last + length])
+            spans.append([a, z])
+    return spans
+
+
+def _cut(text: bytes | None, runs: list | None, length: int, least: int) -> tuple[bytes, list, list, int]:
+    """What is left of a text, the spans removed, the repeated passages, and its length."""
+    body = b"" if text is None else zstandard.decompress(text)
+    runs = [(r["first"], r["last"], min(r["last"], len(body) - length) if r["long"] else -1) for r in runs or ()]
+    spans = _merged([(a, z + length) for a, _, z in runs if z >= a])
     kept, at = [], 0
     for a, z in spans:
         kept.append(body[at:a])
         at = z
     kept.append(body[at:])
-    return b"".join(kept), [(a, z) for a, z in spans], len(body)
+    covered = _merged([(a, max(z + least, long + length)) for a, z, long in runs])
+    passages = [(a, z) for a, z in covered if len(body[a:z].split()) > WORDS]
+    return b"".join(kept), spans, passages, len(body)
 
 
-def _cut_rows(length: int):
+def _cut_rows(length: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                done = [_cut(t, r, length) for t, r in zip(b["text"].to_pylist(), b["runs"].to_pylist(), strict=True)]
-                pairs = [[{"start": a, "end": z} for a, z in spans] for _, spans, _ in done]
+                done = [_cut(t, r, length, least) for t, r in zip(b["text"].to_pylist(), b["runs"].to_pylist(), strict=True)]
+                spans, passages = ([[{"start": a, "end": z} for a, z in d[k]] for d in done] for k in (1, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [b["id"], pa.array([n for _, _, n in done], pa.int64()), pa.array([k for k, _, _ in done], pa.binary()),
-                     pa.array(pairs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    ["id", "n_bytes", "kept", "spans"])
+                    [b["id"], pa.array([d[3] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary()),
+                     pa.array(spans, kind), pa.array(passages, kind)],
+                    ["id", "n_bytes", "kept", "spans", "passages"])
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = True,
+    least: int = LEAST,
 ) -> DataFrame:
-    """One row per document: its id, n_bytes, kept (the bytes that remain) and spans (removed start and end, in bytes).
+    """One row per document: its id, n_bytes, kept (the bytes that remain), spans (removed start and end, in bytes), passages.
 
     A byte goes if a string of ``length`` bytes over it also starts at an earlier place (a smaller row of ``docs``, or further
     left in the same text); with ``keep_first=False``, at any other place. Matches lie within one text; overlapping ones count;
     all are judged on the input. A null text counts as empty. Texts shorter than ``length`` lose nothing. Repeated rows are
-    copies of each other; ids may repeat or be null. An empty table gives an empty result.
+    copies of each other; ids may repeat or be null. An empty table gives an empty result. ``passages`` are stretches of more than
+    ``WORDS`` words that strings of ``least`` bytes cover which occur likewise; they are reported, not removed. ``least`` is at most
+    ``length`` and at least ``gram``.
     """
+    least = min(least, length)
     held = numbered(docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), "texts")
     anchors = written(
         held.select("_row", "text").mapInArrow(
-            _anchor_rows(length, gram), "_row long, anchor long, context long, first int, last int"), "anchors")
+            _anchor_rows(length, least, gram), "_row long, anchor long, context long, first int, last int, lead int"), "anchors")
     contexts = written(
-        anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("_row", "first", "last")).alias("at")), "contexts")
+        anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("_row", "first", "last", "lead")).alias("at")), "contexts")
 
     # Contexts that occur again, as wholes.
     again = contexts.where("n > 1").select("anchor", "context", F.col("at._row").alias("at"), F.col("at.first").alias("at_first"))
     equal = anchors.join(again, ["anchor", "context"])
     if keep_first:
         equal = equal.where("not (_row = at and first = at_first)")
-    equal = equal.select("_row", "first", "last")
+    # Starts from which a text holds fewer than ``length`` bytes are set apart where the text is at hand.
+    equal = equal.select("_row", "first", "last", F.lit(True).alias("long"))
 
     # Anchors with differing contexts: one copy of each is compared.
     several = written(
         contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
         .select("anchor", (F.col("kinds") > CROWDED).alias("crowded")), "several")
     owners = contexts.join(several, "anchor").groupBy(F.col("at._row").alias("_row")).agg(F.collect_list(F.struct(
-        "anchor", "crowded", "n", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("own"))
+        "anchor", "crowded", "n", *[F.col(f"at.{c}").alias(c) for c in ("first", "last", "lead")])).alias("own"))
     packed = held.mapInArrow(_packed, T.StructType([
         T.StructField("id", held.schema["id"].dataType), T.StructField("text", T.BinaryType()),
         T.StructField("_row", T.LongType(), False)]))
     bodies = written(
         packed.join(owners.hint("merge"), "_row").mapInArrow(
-            _context_rows(length), "anchor long, crowded boolean, n long, _row long, first int, bytes binary"), "bodies")
-    span = "_row long, first int, last int"
-    apart = bodies.where("not crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_ordered(length, keep_first), span)
+            _context_rows(length),
+            "anchor long, crowded boolean, n long, _row long, first int, last int, lead int, bytes binary"), "bodies")
+    span = "_row long, first int, last int, long boolean"
+    apart = bodies.where("not crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+        _ordered(length, least, keep_first), span)
 
-    # Crowded anchors: equal strings are counted, without bringing them together.
+    # Crowded anchors: equal strings of either length are counted, without bringing them together.
     strings = written(
-        bodies.where("crowded").mapInArrow(_string_rows(length), "key long, _row long, first int, once boolean"), "strings")
+        bodies.where("crowded").mapInArrow(
+            _string_rows(length, least), "key long, _row long, first int, once boolean, long boolean"), "strings")
     common = written(
         strings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_row", "first")).alias("at")).where("n > 1")
         .select("key", F.col("at._row").alias("at"), F.col("at.first").alias("at_first")), "common")
     crowded = strings.join(common, "key")
     crowded = crowded.where("not (_row = at and first = at_first)") if keep_first else crowded.where("once")
-    crowded = crowded.select("_row", "first", F.col("first").alias("last"))
+    crowded = crowded.select("_row", "first", F.col("first").alias("last"), "long")
 
-    runs = equal.unionByName(apart).unionByName(crowded).groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = equal.unionByName(apart).unionByName(crowded).groupBy("_row").agg(F.collect_list(F.struct("first", "last", "long")).alias("runs"))
+    kind = held.schema["id"].dataType.simpleString()
+    pairs = "array<struct<start:int,end:int>>"
     return packed.join(runs.hint("merge"), "_row", "left").select("id", "text", "runs").mapInArrow(
-        _cut_rows(length), f"id {held.schema['id'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start:int,end:int>>"
+        _cut_rows(length, least), f"id {kind}, n_bytes long, kept binary, spans {pairs}, passages {pairs}"
     ).withColumnRenamed("id", id_col)

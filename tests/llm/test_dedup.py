@@ -8,6 +8,7 @@ import uuid
 from collections import Counter
 
 import pytest
+import zstandard
 from helpers import clashing, documents, sha, without_repeats
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
@@ -239,6 +240,47 @@ def test_repeats(spark, monkeypatch, keep_first, crowded):
     assert [r["n_bytes"] for r in rows] == [len((t or "").encode()) for t in texts]
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+@pytest.mark.parametrize("crowded", [500, 3])
+def test_shorter_passages(spark, monkeypatch, keep_first, crowded):
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
+    monkeypatch.setattr(suffixes, "WORDS", 4)
+    texts = string_texts(random.Random(12), 60)
+    bodies = [(t or "").encode() for t in texts]
+    rows = suffixes.remove_repeats(
+        documents(spark, texts).coalesce(1), length=60, gram=12, keep_first=keep_first, least=30).orderBy("doc_id").collect()
+    assert [(bytes(r["kept"]), [(s["start"], s["end"]) for s in r["spans"]]) for r in rows] == without_repeats(bodies, 60, keep_first)
+    shorter = [[(a, z) for a, z in spans if len(b[a:z].split()) > 4] for b, (_, spans) in zip(bodies, without_repeats(bodies, 30, keep_first), strict=True)]
+    assert any(shorter)
+    assert [[(s["start"], s["end"]) for s in r["passages"]] for r in rows] == shorter
+
+
+def common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_longest_previous_factors_position_by_position():
+    rng = random.Random(5)
+    for text in [*("".join(rng.choice("ab") for _ in range(n)) for n in (1, 2, 3, 17, 60, 90)), "a" * 30, "abc" * 12]:
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        lcp = [0] + [common(text[i:], text[j:]) for i, j in itertools.pairwise(order)]
+        got = dict(zip(order, suffixes.previous_factors(order, lcp), strict=True))
+        assert got == {i: max((common(text[i:], text[j:]) for j in range(i)), default=0) for i in range(len(text))}
+
+
+def test_suffix_orders_of_one_anchor():
+    rng = random.Random(6)
+    bodies = ["".join(rng.choice("ab") for _ in range(14)) + "X" + "".join(rng.choice("ab") for _ in range(9)) for _ in range(40)]
+    group = [(1, 1, i, 0, 14, 14, zstandard.compress(b.encode())) for i, b in enumerate(bodies)]
+    met = 0
+    for distance, order, lcp in suffixes.suffix_orders(group, 3):
+        tails = [bodies[i][14 - distance :] for i in order]
+        assert tails == sorted(tails)
+        assert lcp.tolist()[1:] == [common(a, b) for a, b in itertools.pairwise(tails)]
+        met += 1
+    assert met > 5
+
+
 def test_repeats_of_no_rows_and_null_ids(spark):
     assert suffixes.remove_repeats(documents(spark, [])).collect() == []
     rows = suffixes.remove_repeats(documents(spark, ["q" * 300 + "w" * 300] * 2, [None, None]), keep_first=False).collect()
@@ -253,3 +295,7 @@ def test_repeat_query(spark):
     for d, (kept, spans) in zip(docs, want, strict=True):
         r = rows[d["doc_id"]]
         assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == (sum(b - a for a, b in spans), len(spans), sha(kept))
+    shorter = without_repeats([(d["text"] or "").encode() for d in docs], 256, False)
+    for d, (_, spans) in zip(docs, shorter, strict=True):
+        body = (d["text"] or "").encode()
+        assert rows[d["doc_id"]]["n_passages"] == sum(len(body[a:z].split()) > 50 for a, z in spans)
