@@ -34,6 +34,8 @@ class TooLong(ValueError):
 class Embedder(Protocol):
     identity: str
     dim: int
+    #: Tokens that the provider says it takes; None, or no such attribute, if it does not say.
+    max_tokens: int | None
 
     def open(self):
         """Runs once per task and returns ``embed(list of texts) -> list of vectors or exceptions``."""
@@ -51,6 +53,7 @@ class HashedEmbedder:
     dim: int = 384
     max_chars: int | None = None
     identity: str = "hashed"
+    max_tokens: int | None = None
 
     def open(self):
         def one(text: str):
@@ -117,6 +120,10 @@ class OllamaEmbedder:
     def identity(self) -> str:
         return f"ollama:{self.model}"
 
+    @property
+    def max_tokens(self) -> int:
+        return self.context
+
     def _post(self, path: str, payload: dict) -> dict:
         request = urllib.request.Request(
             self.base_url.rstrip("/") + path, json.dumps(payload).encode(), {"Content-Type": "application/json"}

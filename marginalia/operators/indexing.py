@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia import schema
-from marginalia.config import ChunkerConfig
+from marginalia.config import CHARS_PER_TOKEN, ChunkerConfig
 from marginalia.functions import ids
-from marginalia.operators import blockmax, fulltext
+from marginalia.operators import blockmax, capacity, fulltext
 from marginalia.operators.chunking import chunk_array, embedding_text
 from marginalia.operators.embedding import Embedder, embed
 from marginalia.sources.layout import spread
@@ -234,6 +234,10 @@ class Index:
         totals = self.store.read("corpus", version=self.version)
         return totals.select("notes", (F.col("words") / F.when(F.col("notes") > 0, F.col("notes"))).alias("mean_length"))
 
+    def capacity(self) -> DataFrame:
+        """What is known of each provider's capacity; see :mod:`marginalia.operators.capacity`."""
+        return self.store.read("capacity", schema.CAPACITY, self.version)
+
     def metadata(self) -> dict[str, str]:
         rows = self.store.read("metadata", schema.METADATA, self.version)
         latest = rows.groupBy("key").agg(F.max_by("value", "updated_at").alias("value"))
@@ -247,7 +251,8 @@ class Index:
 
         The pass writes one segment: rows of changed notes, and the keys whose earlier rows it replaces. With ``keys`` (a column
         ``id``) only these notes are compared, and those of them that the source lacks are taken for deleted; the counters are of these
-        notes then. ``force``, a change of provider or of the chunker makes all rows anew, in one segment. Chunks that failed are not
+        notes then. Chunks are no longer than the provider is known to take. Notes with a chunk that it refuses as too long are cut anew, to
+        what it was seen to take and then to the least that is ever learned, before a chunk counts as failed. ``force``, a change of provider or of the chunker makes all rows anew, in one segment. Chunks that failed are not
         stored, so the next pass over their note tries them again.
         """
         now = int(time.time())
@@ -281,13 +286,21 @@ class Index:
         lost = gone.select("id", F.explode(F.array(F.lit("node"), F.lit("text"))).alias("part"))
         self.store.write(replaced.unionByName(lost), version, "replaced")
 
+        asked_of = capacity.advertised_tokens(
+            self.spark.createDataFrame([(embedder.identity, getattr(embedder, "max_tokens", None))], "provider string, advertised int"), now)
+        nothing = self.spark.createDataFrame([], "provider string, learned int")
+        capacities = self.store.write(capacity.upserted(here.capacity(), asked_of, nothing, now).coalesce(1), version, "advertised")
+        fitting = capacity.within(config, capacities, embedder.identity)
+
         touched = texts.select(F.col("id").alias("node_id"))
         stored = reusable.join(touched, "node_id", "left_semi")
         # The chunker is one large expression: what is planned on top of it starts from a table.
-        pieces = self.store.write(to_chunks(texts, config), version, "pieces")
+        pieces = self.store.write(to_chunks(texts, fitting), version, "pieces")
         diffed = reused_vectors(diff_chunks(pieces, stored), stored)
         # Every later table reads the stored attempts, so each chunk is embedded once.
         attempts = self.store.write(embed_chunks(diffed, embedder), version, "attempts")
+        attempts, learned = self._tried_again(attempts, texts, stored, embedder, fitting, version)
+        self.store.write(capacity.upserted(capacities, asked_of, learned, now).coalesce(1), version, "capacity")
         self.store.write(_stored(attempts), version, "chunks")
         failed = failures(attempts, texts, now)
         if anew:
@@ -311,6 +324,38 @@ class Index:
             self.compact()
         return counters
 
+    def _tried_again(
+        self, attempts: DataFrame, texts: DataFrame, stored: DataFrame, embedder: Embedder, config: ChunkerConfig, version: int
+    ) -> tuple[DataFrame, DataFrame]:
+        """The attempts, with those of notes that had a chunk refused made anew from shorter chunks; and what was learned."""
+        learned = self._learned(attempts, embedder, version, 0)
+        for again in (1, 2):
+            row = learned.first()
+            if row is None:
+                break
+            chars = capacity.FLOOR_CHARS if again == 2 else int(row["learned"] * CHARS_PER_TOKEN)
+            shorter = capacity.shortened(config, chars)
+            if shorter == config:
+                continue
+            refused = self.store.write(attempts.where("reason = 'too-long'").select("node_id").distinct(), version, f"refused_{again}")
+            if refused.isEmpty():
+                break
+            notes = texts.join(refused.withColumnRenamed("node_id", "id"), "id", "left_semi")
+            pieces = self.store.write(to_chunks(notes, shorter), version, f"pieces_{again}")
+            tried = embed_chunks(reused_vectors(diff_chunks(pieces, stored), stored), embedder)
+            # One table, so that each chunk is embedded once.
+            tried = self.store.write(tried, version, f"tried_{again}")
+            attempts = attempts.join(refused, "node_id", "left_anti").select(*tried.columns).unionByName(tried)
+            learned = self._learned(tried, embedder, version, again, learned)
+        return attempts, learned
+
+    def _learned(self, attempts: DataFrame, embedder: Embedder, version: int, again: int, before: DataFrame | None = None) -> DataFrame:
+        """One row, if anything was refused: the provider and the tokens learned so far."""
+        rows = capacity.refused_tokens(attempts.withColumn("provider", F.lit(embedder.identity)))
+        if before is not None:
+            rows = rows.unionByName(before).groupBy("provider").agg(F.min("learned").alias("learned"))
+        return self.store.write(rows.coalesce(1), version, f"learned_{again}")
+
     def compact(self) -> None:
         """Fold all segments of the current version into one."""
         here = self.pinned()
@@ -321,6 +366,7 @@ class Index:
         self._write_postings(here.postings(), version)
         self.store.write(self.store.read("corpus", version=here.version), version, "corpus")
         self.store.write(self.store.read("metadata", schema.METADATA, here.version), version, "metadata")
+        self.store.write(here.capacity(), version, "capacity")
         self.store.publish(version)
 
     def _check_width(self, known: dict[str, str], embedder: Embedder) -> None:
@@ -355,8 +401,10 @@ class Index:
             for name, frame in (("nodes", here.nodes()), ("chunks", here.chunks()), ("failed_chunks", here.failed()))
         }
         known = here.metadata()
+        taken = here.capacity().where(F.col("provider") == known.get("embedder")).select(capacity.effective()).first()
         return {
             **counts,
+            "max_tokens": taken[0] if taken else None,
             "last_indexed_at": int(known["indexed_at"]) if "indexed_at" in known else None,
             "embedder": known.get("embedder"),
             "dim": int(known["dim"]) if "dim" in known else None,

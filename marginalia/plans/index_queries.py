@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from marginalia.functions import ids
+from marginalia.operators import capacity
 from marginalia.operators import catalog as cat
 from marginalia.operators import closure
 from marginalia.operators import indexing as ix
@@ -376,3 +377,33 @@ def folder_tree_edits(spark, sf_dir):
     for nation in nations:
         tree = closure.removed(tree, nation["n_nationkey"] + 1000, recursive=False)
     return closure.paths(tree)
+
+
+# Longest texts that the providers take in each of three passes; each language stands for a provider.
+_LIMITS = (1500, 700, 2500)
+
+
+@query("""
+WITH texts AS (SELECT lang AS provider, length(text) AS n FROM documents WHERE lang IS NOT NULL
+), learned AS (
+  SELECT provider, n, greatest(256, CAST(floor(greatest(1, floor(n / CAST(2.5 AS DOUBLE) * CAST(1.1 AS DOUBLE))) * CAST(0.9 AS DOUBLE)) AS INTEGER)) AS t
+  FROM texts
+), passes AS (
+  SELECT provider, min(t) FILTER (n > 1500) AS a, min(t) FILTER (n > 700) AS b, min(t) FILTER (n > 2500) AS c
+  FROM learned GROUP BY provider
+)
+SELECT provider, 512 AS advertised, least(a, b, c) AS discovered,
+  CAST(CASE WHEN c < coalesce(least(a, b), c + 1) THEN 3 WHEN b < coalesce(a, b + 1) THEN 2 WHEN a IS NOT NULL THEN 1 END AS BIGINT) AS discovered_at,
+  coalesce(least(512, a, b, c), 512) AS max_tokens, CAST(floor(coalesce(least(512, a, b, c), 512) * 2.5) AS INTEGER) AS chunk_chars
+FROM passes
+""")
+def capacity_table(spark, sf_dir):
+    texts = corpus.table(spark, sf_dir, "documents").where("lang is not null").select(
+        F.col("lang").alias("provider"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("content"))
+    asked = capacity.advertised_tokens(texts.select("provider", F.lit(512).alias("advertised")).distinct(), 0)
+    table = asked
+    for at, limit in enumerate(_LIMITS, 1):
+        attempts = texts.withColumn("reason", F.when(F.length("content") > limit, "too-long"))
+        table = capacity.upserted(table, asked, capacity.refused_tokens(attempts), at)
+    return table.select(
+        "provider", "advertised", "discovered", "discovered_at", capacity.effective().alias("max_tokens"), capacity.budget().alias("chunk_chars"))

@@ -20,6 +20,7 @@ CHUNKS = (
 )
 POSTINGS = "term string, node_id string, length int, title_at array<int>, body_at array<int>"
 FAILED = "chunk_id string, node_id string, reason string, error_message string, failed_at bigint"
+CAPACITY = "provider string, advertised int, discovered int, discovered_at bigint, fetched_at bigint"
 METADATA = "key string, value string, updated_at bigint"
 
 # Element of the array the chunker returns.
