@@ -29,8 +29,8 @@ from marginalia.llm.common import numbered, written
 LENGTH, LEAST, GRAM = 400, 256, 48
 #: A repeated stretch of more words than this is a passage.
 WORDS = 50
-#: An anchor with more differing contexts than this (some 12 MB) is compared by grouped counts of its strings, not within one task.
-CROWDED = 20_000
+#: An anchor with more differing contexts than this is compared by grouped counts of its strings, not within one task.
+CROWDED = 500
 #: Bytes of contexts that are put in order at a time.
 BATCH = 2 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
