@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import json
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,6 +137,11 @@ def parse_instant(raw: str | None) -> datetime | None:
     return value if value.tzinfo else value.replace(tzinfo=timezone.utc)
 
 
+def micros(at: datetime) -> int:
+    """Microseconds since 1970, without the rounding of a float."""
+    return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
 def content_hash(head: Column, content: Column) -> Column:
     """First 32 hex digits of sha256 over head, a blank line and content."""
     payload = F.concat(F.coalesce(head, F.lit("")), F.lit("\n\n"), content)

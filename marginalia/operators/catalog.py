@@ -180,6 +180,19 @@ def within(notes: DataFrame, after: datetime | None = None, before: datetime | N
     return notes
 
 
+def homes(
+    folders: DataFrame, changes: DataFrame | None = None, scope: DataFrame | None = None, include_trash: bool = False
+) -> DataFrame:
+    """Keys of the folders whose notes are listed.
+
+    ``scope`` is a frame of folder keys; an explicit scope reaches into the trash without ``include_trash``.
+    """
+    live = live_folders(folders, changes).select("pk")
+    if scope is not None:
+        return live.join(scope.select("pk"), "pk", "left_semi")
+    return live if include_trash else live.join(trash_folders(folders), "pk", "left_anti")
+
+
 def select_notes(
     notes: DataFrame,
     folders: DataFrame,
@@ -189,19 +202,11 @@ def select_notes(
     after: datetime | None = None,
     before: datetime | None = None,
 ) -> DataFrame:
-    """Notes under the listing rules.
-
-    ``scope`` is a frame of folder keys; an explicit scope reaches into the trash without
-    ``include_trash``.
-    """
+    """Notes under the listing rules; ``scope`` as for :func:`homes`."""
     # All that depends on the folder is settled among folders first, which leaves one join for the notes.
-    homes = live_folders(folders, changes).select("pk")
-    if scope is not None:
-        homes = homes.join(scope.select("pk"), "pk", "left_semi")
-    elif not include_trash:
-        homes = homes.join(trash_folders(folders), "pk", "left_anti")
+    own = homes(folders, changes, scope, include_trash)
     titled = within(notes, after, before).where(F.col("title").isNotNull() & not_marked())
-    return titled.join(homes.withColumnRenamed("pk", "folder_pk"), "folder_pk", "left_semi")
+    return titled.join(own.withColumnRenamed("pk", "folder_pk"), "folder_pk", "left_semi")
 
 
 def with_path(notes: DataFrame, paths: DataFrame) -> DataFrame:

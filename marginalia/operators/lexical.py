@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
+from marginalia.operators import listing
 
 MODES = ("substring", "regex")
 # Fixed value: what a locked hit shows instead of a snippet.
@@ -85,6 +86,12 @@ def ranking() -> list[Column]:
     return [F.col("score").desc(), F.col("modified").desc_nulls_last(), F.col("pk")]
 
 
+def after(hits: DataFrame, last: dict | None) -> DataFrame:
+    """Hits that come after ``last`` in the ranking, with its key (``worse, late, pk``) as columns; all of them without one."""
+    keyed = hits.withColumn("worse", -F.col("score").cast("double")).withColumn("late", listing.late())
+    return keyed.where(listing.behind(last, "worse", "late", "pk"))
+
+
 def with_snippets(rows: DataFrame, search_body: bool = True) -> DataFrame:
     """Highlighted windows; meant for a page of results, so it comes after the limit."""
     body = _readable(search_body)

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from marginalia.config import EngineConfig
 from marginalia.functions import ids
 from marginalia.operators import catalog as cat
-from marginalia.operators import blockmax, closure, fulltext, lexical, mutations, overlays, retrieval
+from marginalia.operators import blockmax, closure, fulltext, lexical, listing, mutations, overlays, retrieval
 from marginalia.operators.embedding import Embedder, create_embedder, embed_query
 from marginalia.operators.indexing import Index
 from marginalia.operators.rendering import FORMATS, plain_html, render_bodies
 from marginalia.session import stored
 from marginalia.sources.notestore import decoded_bodies
+from marginalia.sources.sorted_files import ROWS_PER_FILE
 
 RECENT = 50
 # Fixed value: what stands for the body of a locked note.
@@ -65,6 +66,9 @@ class NotesEngine:
     _merged: DataFrame | None = field(default=None, init=False, repr=False)
     _tree: DataFrame | None = field(default=None, init=False, repr=False)
     _tree_of: tuple | None = field(default=None, init=False, repr=False)
+    _layout: listing.Layout | None = field(default=None, init=False, repr=False)
+    _laid: DataFrame | None = field(default=None, init=False, repr=False)
+    _hidden: DataFrame | None = field(default=None, init=False, repr=False)
 
     def _provider(self) -> Embedder:
         """The given embedder or the configured one; there is none by default."""
@@ -118,25 +122,71 @@ class NotesEngine:
             ids.display_time(F.col("modified")).alias("modified"), "pinned", "locked", "shared", *extra,
         )
 
+    def lay_out(self, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+        """Write the notes to ``path`` in the order of listings; from now on these are the base, and pages and totals read what they need.
+
+        Edits are kept beside the layout. Call it again, with another path, to take in many of them.
+        """
+        self._layout = listing.Layout.written(self.notes, path, rows_per_file)
+        self.notes = self._laid = self._layout.notes
+        self._hidden = None
+
+    def _laid_out(self) -> bool:
+        """Whether the notes are those of the layout, with or without edits made here."""
+        return self._layout is not None and (self.notes is self._laid or (self.notes is self._merged and self._base is self._laid))
+
+    def _behind(self, cursor: str | None, *names: str) -> tuple[dict | None, int]:
+        """The last row of the page before, or an offset where the cursor holds a plain number."""
+        if cursor is None:
+            return None, 0
+        try:
+            row = ids.decode_state(cursor, *names)
+        except ValueError:
+            return None, ids.decode_cursor(cursor)
+        if not all(isinstance(v, (int, float)) for v in row.values()):
+            raise ValueError(f"invalid cursor: {cursor!r}")
+        return row, 0
+
+    def _listed(self, homes, after, before, limit, behind=None, offset=0, open_only=False) -> tuple[DataFrame, Callable[[], int]]:
+        """A page of notes with ``late`` and one row more, and what counts all of them."""
+        low, high = (None if t is None else -ids.micros(t) for t in (before, after))
+        if self._laid_out() and not offset:
+            edits, hidden = (self._edits, self._hidden) if self.notes is self._merged else (None, None)
+            page = self._layout.page(homes, limit, behind, edits, hidden, open_only, low, high)
+            return page, lambda: self._layout.total(homes, edits, hidden, low, high)
+        rows = cat.within(self.notes, after, before).where(F.col("title").isNotNull() & cat.not_marked())
+        rows = rows.join(homes.withColumnRenamed("pk", "folder_pk"), "folder_pk", "left_semi")
+        shown = (rows.where(~F.col("locked")) if open_only else rows).drop("body").withColumn("late", listing.late())
+        order = [F.col("late"), F.col("pk")]
+        return cat.page(shown.where(listing.behind(behind, "late", "pk")), order, limit, offset), rows.count
+
     def list_notes(
         self, folder_path: str | None = None, limit: int = 20, cursor: str | None = None, include_trash: bool = False,
         modified_after: str | None = None, modified_before: str | None = None,
     ) -> Page:
-        limit, offset = _counted("limit", limit), ids.decode_cursor(cursor)
+        """Notes by time, latest first. The cursor names the last note shown, so a page costs the same wherever it lies."""
+        limit, (behind, offset) = _counted("limit", limit), self._behind(cursor, "late", "pk")
         folders = self.folder_frame()
-        rows = self._selected(folders, folder_path, include_trash, modified_after, modified_before)
-        page = cat.page(rows.drop("body"), cat.recency(), limit, offset).withColumn("_order", F.struct(
-            -F.unix_micros(F.coalesce("modified", F.lit(datetime(1, 1, 1)))), "pk"))
-        found = [r.asDict() for r in self._summary(page, folders, "_order").orderBy("_order").drop("_order").collect()]
-        return _page(found, limit, offset, rows.count())
+        homes = cat.homes(self.folders, self.changes, self._scope(folders, folder_path), include_trash)
+        page, total = self._listed(homes, ids.parse_instant(modified_after), ids.parse_instant(modified_before), limit, behind, offset)
+        # Sorted anew by a column of its own: a second sort by the same columns is taken for redundant, though the join may reorder rows.
+        shown = self._summary(retrieval.ranked(page, F.col("late"), F.col("pk")), folders, "late", "pk", "rank").orderBy("rank")
+        return self._keyed_page([r.asDict() for r in shown.drop("rank").collect()], limit, ("late", "pk"), ("late", "pk"), total())
+
+    @staticmethod
+    def _keyed_page(rows: list[dict], limit: int, key: tuple, hide: tuple, total: int | None = None) -> Page:
+        """A page whose cursor holds the ``key`` of its last row; ``hide`` names columns for the cursor alone."""
+        more = len(rows) > limit
+        cursor = ids.encode_state(**{k: rows[limit - 1][k] for k in key}) if more else None
+        results = [{k: v for k, v in r.items() if k not in hide} for r in rows[:limit]]
+        return Page(results, len(results), more, cursor, total)
 
     def recent(self, limit: int = RECENT) -> list[dict]:
         """The latest readable notes."""
         folders = self.folder_frame()
-        rows = self._selected(folders, None, False, None, None).where(~F.col("locked")).drop("body")
-        page = rows.orderBy(*cat.recency()).limit(limit)
-        shown = self._summary(page, folders, "pk").orderBy(F.col("modified").desc(), "pk").drop("pk")
-        return [r.asDict() for r in shown.collect()]
+        page, _ = self._listed(cat.homes(self.folders, self.changes), None, None, limit, open_only=True)
+        shown = self._summary(retrieval.ranked(page, F.col("late"), F.col("pk")), folders, "rank")
+        return [r.asDict() for r in shown.where(F.col("rank") <= limit).orderBy("rank").drop("rank").collect()]
 
     # -- lexical search ------------------------------------------------------
 
@@ -152,10 +202,10 @@ class NotesEngine:
         """
         if not query.strip():
             return Page()
-        limit, offset = _counted("limit", limit), ids.decode_cursor(cursor)
+        limit, (behind, offset) = _counted("limit", limit), self._behind(cursor, "worse", "late", "pk")
         folders = self.folder_frame()
         rows = self._selected(folders, folder_path, include_trash, modified_after, modified_before)
-        hits = lexical.match_notes(rows, query, mode, fuzzy, search_body)
+        hits = lexical.after(lexical.match_notes(rows, query, mode, fuzzy, search_body), behind)
         page = lexical.with_snippets(cat.page(hits, lexical.ranking(), limit, offset), search_body)
         page = retrieval.ranked(page, *lexical.ranking())
         chars = _counted("max_body_chars", max_body_chars, 0)
@@ -163,9 +213,9 @@ class NotesEngine:
         if previews is not None:
             wanted = wanted & (F.col("rank") <= _counted("previews", previews, 0))
         page = page.withColumn("body_preview", F.when(wanted, F.substring("body", 1, chars)))
-        shown = self._summary(page, folders, "score", "match_count", "snippets", "body_preview", "rank")
+        shown = self._summary(page, folders, "score", "match_count", "snippets", "body_preview", "rank", "worse", "late", "pk")
         found = [r.asDict() for r in shown.orderBy("rank").drop("rank").collect()]
-        return _page(found, limit, offset)
+        return self._keyed_page(found, limit, ("worse", "late", "pk"), ("worse", "late", "pk"))
 
     # -- single notes --------------------------------------------------------
 
@@ -304,6 +354,8 @@ class NotesEngine:
         edits = changed if self._edits is None else mutations.overlaid(self._edits, changed)
         self._edits = stored(edits, "edits")
         self.notes = self._merged = mutations.overlaid(self._base, self._edits)
+        if self._layout is not None and self._base is self._laid:
+            self._hidden = stored(self._layout.hidden(self._edits), "hidden")
 
     def folded(self, path: str) -> None:
         """Write base and edits to ``path`` as one table, which is the base from now on."""

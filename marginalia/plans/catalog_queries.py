@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from marginalia.functions import ids
 from marginalia.operators import catalog as cat
+from marginalia.operators import listing
 from marginalia.plans import corpus
 from marginalia.plans.registry import NOTES, SHOWN_TIME, WORLD, query
+from marginalia.session import checkpoint_root
 
 _PATHS = """
 walk AS (
@@ -145,6 +148,46 @@ def trash_scope(spark, sf_dir):
     return rows.groupBy(F.lit(True).alias("in_trash")).agg(F.count("*").alias("notes"))
 
 
+_BOUNDS = "CAST(floor(max(modified - 1704067200) / 7200) AS BIGINT) * 3600 + 1704067200"
+
+
+def _laid_out(spark, sf_dir):
+    """The corpus in order of listing, in files of 500 rows, and the folders whose notes are listed."""
+    path = f"{checkpoint_root(spark)}/layout-{uuid.uuid4().hex}"
+    layout = listing.Layout.written(corpus.notes(spark, sf_dir), path, rows_per_file=500)
+    return layout, cat.homes(corpus.folders(spark, sf_dir))
+
+
+def _middle(layout):
+    """The whole hour that halves the time from the origin to the last note, as ``late``."""
+    last = -layout.notes.agg(F.min(listing.late())).first()[0] // 1_000_000
+    return -(((last - corpus.ORIGIN) // 7200) * 3600 + corpus.ORIGIN) * 1_000_000
+
+
+@query(f"""
+WITH {NOTES}, bound AS (SELECT {_BOUNDS} AS middle FROM notes)
+SELECT {_ROW} FROM notes, bound WHERE NOT in_trash AND notes.modified < middle ORDER BY notes.modified DESC, pk LIMIT 51
+""")
+def listing_page(spark, sf_dir):
+    """The page that follows the middle of the corpus, read from the files that hold it."""
+    layout, homes = _laid_out(spark, sf_dir)
+    page = layout.page(homes, 50, after={"late": _middle(layout), "pk": listing.NO_TIME})
+    return _listed(cat.with_path(page, _paths(spark, sf_dir)))
+
+
+@query(f"""
+WITH {NOTES}, bound AS (SELECT {_BOUNDS} AS middle FROM notes)
+SELECT count(*) FILTER (NOT in_trash) AS listed, count(*) FILTER (NOT in_trash AND modified >= middle) AS later,
+       count(*) FILTER (NOT in_trash AND modified <= middle) AS earlier FROM notes, bound
+""")
+def listing_totals(spark, sf_dir):
+    """Totals of the listing, whole and on either side of its middle, as sums of counts by file."""
+    layout, homes = _laid_out(spark, sf_dir)
+    middle = _middle(layout)
+    totals = (layout.total(homes), layout.total(homes, high=middle), layout.total(homes, low=middle))
+    return spark.createDataFrame([totals], "listed bigint, later bigint, earlier bigint")
+
+
 @query("SELECT l_orderkey AS note_pk, count(*) AS attachments FROM lineitem GROUP BY 1")
 def attachment_counts(spark, sf_dir):
     items = corpus.table(spark, sf_dir, "lineitem")
