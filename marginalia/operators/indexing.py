@@ -16,6 +16,7 @@ from marginalia.operators.chunking import chunk_array, embedding_text
 from marginalia.operators.embedding import Embedder, embed
 from marginalia.sources.layout import spread
 from marginalia.sources.snapshots import Snapshots
+from marginalia.sources.sorted_files import ROWS_PER_FILE
 
 # Fixed value: what the failure table says about a locked note.
 LOCKED_ERROR = "note is password-protected; body inaccessible"
@@ -195,13 +196,14 @@ class Index:
     root: str
     version: int | None = None
     max_segments: int = MAX_SEGMENTS
+    rows_per_file: int = ROWS_PER_FILE
 
     def __post_init__(self):
         self.store = Snapshots(self.spark, self.root)
 
     def pinned(self) -> Index:
         """The index as it stands now: all its tables are of one version, whatever is published meanwhile."""
-        return Index(self.spark, self.root, self.store.current(), self.max_segments)
+        return Index(self.spark, self.root, self.store.current(), self.max_segments, self.rows_per_file)
 
     def _stored_nodes(self) -> DataFrame:
         return self.store.merged("nodes", "id", "node", f"{schema.NODES}, words bigint", self.version)
@@ -212,6 +214,16 @@ class Index:
     def chunks(self) -> DataFrame:
         return self.store.merged("chunks", "node_id", "text", schema.CHUNKS, self.version)
 
+    def few_nodes(self, node_ids: list[str]) -> DataFrame:
+        """The rows of a page's notes, read from the files that hold them."""
+        wanted = {"id": node_ids}
+        return self.store.few("nodes", "id", "node", f"{schema.NODES}, words bigint", "id", wanted, self.version).drop("words")
+
+    def few_chunks(self, chunk_ids: list[str], node_ids: list[str]) -> DataFrame:
+        """The rows of a page's chunks, whose notes are ``node_ids``, read from the files that hold them."""
+        wanted = {"id": chunk_ids, "node_id": node_ids}
+        return self.store.few("chunks", "node_id", "text", schema.CHUNKS, "id", wanted, self.version)
+
     def failed(self) -> DataFrame:
         return self.store.merged("failed_chunks", "node_id", "failure", schema.FAILED, self.version)
 
@@ -279,7 +291,7 @@ class Index:
         gone = self.store.write(tombstones(old_nodes, rows).select("id", "words"), version, "gone")
         texts = changed.where("texts")
 
-        self.store.write(changed.drop("texts", "known", "old_words"), version, "nodes")
+        self.store.write_sorted(changed.drop("texts", "known", "old_words"), version, "nodes", "id", self.rows_per_file)
         before = [] if anew else self.store.segments(here.version)
         replaced = changed.where("known").select("id", F.explode(F.when(F.col("texts"), F.array(*map(F.lit, PARTS))).otherwise(F.array(F.lit("node")))).alias("part"))
         # What a note that is gone left in the table of failures stays there.
@@ -301,7 +313,7 @@ class Index:
         attempts = self.store.write(embed_chunks(diffed, embedder), version, "attempts")
         attempts, learned = self._tried_again(attempts, texts, stored, embedder, fitting, version)
         self.store.write(capacity.upserted(capacities, asked_of, learned, now).coalesce(1), version, "capacity")
-        self.store.write(_stored(attempts), version, "chunks")
+        self.store.write_sorted(_stored(attempts), version, "chunks", "id", self.rows_per_file)
         failed = failures(attempts, texts, now)
         if anew:
             failed = failed.unionByName(here.failed().join(rows.select(F.col("id").alias("node_id")), "node_id", "left_anti"))
@@ -360,8 +372,8 @@ class Index:
         """Fold all segments of the current version into one."""
         here = self.pinned()
         version = self.store.begin()
-        self.store.write(here._stored_nodes(), version, "nodes")
-        self.store.write(here.chunks(), version, "chunks")
+        self.store.write_sorted(here._stored_nodes(), version, "nodes", "id", self.rows_per_file)
+        self.store.write_sorted(here.chunks(), version, "chunks", "id", self.rows_per_file)
         self.store.write(here.failed(), version, "failed_chunks")
         self._write_postings(here.postings(), version)
         self.store.write(self.store.read("corpus", version=here.version), version, "corpus")

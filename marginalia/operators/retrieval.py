@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,28 +25,42 @@ def distances(chunks: DataFrame, vector: Sequence[float], embedding: str = "embe
     return rows.withColumn("distance", l2_distance(F.col(embedding), vector)).withColumn("score", 1 - F.col("distance"))
 
 
-def _page_of(chunks: DataFrame, near: DataFrame, vector: Sequence[float]) -> DataFrame:
-    """The stored columns of the few chunks in ``near`` (id, distance, score), and their true cosine."""
+#: Reads the rows of a few chunks, given their ids and those of their notes.
+Fetch = Callable[[list[str], list[str]], DataFrame]
+
+
+def _page_of(chunks: DataFrame, near: DataFrame, vector: Sequence[float], fetch: Fetch | None = None) -> DataFrame:
+    """The stored columns of the few chunks in ``near`` (id, distance, score), and their true cosine.
+
+    With ``fetch`` they are read by key, which takes a column ``node_id``; the page itself passes through the driver.
+    """
+    if fetch is not None:
+        near = held(near)
+        keys = near.select("id", "node_id").collect()
+        chunks = fetch([r["id"] for r in keys], [r["node_id"] for r in keys])
     rows = chunks.join(near.select("id", "distance", "score"), "id")
     shown = rows.withColumn("cosine", cosine_similarity(F.col("embedding"), vector)).drop("embedding")
     return shown.orderBy("distance", "id")
 
 
-def knn(chunks: DataFrame, vector: Sequence[float], limit: int, offset: int = 0) -> DataFrame:
+def knn(chunks: DataFrame, vector: Sequence[float], limit: int, offset: int = 0, fetch: Fetch | None = None) -> DataFrame:
     """The ``limit`` nearest chunks with their true cosine; ties go to the lower id.
 
     Only ids and vectors are read to find them; the other columns follow for the page alone.
     """
-    slim = distances(chunks.select("id", "embedding"), vector).drop("embedding")
+    keys = ["id"] if fetch is None else ["id", "node_id"]
+    slim = distances(chunks.select(*keys, "embedding"), vector).drop("embedding")
     near = slim.orderBy("distance", "id").offset(offset).limit(limit)
-    return _page_of(chunks, near, vector)
+    return _page_of(chunks, near, vector, fetch)
 
 
-def nearest_notes(chunks: DataFrame, vector: Sequence[float], limit: int, offset: int = 0) -> DataFrame:
+def nearest_notes(
+    chunks: DataFrame, vector: Sequence[float], limit: int, offset: int = 0, fetch: Fetch | None = None
+) -> DataFrame:
     """The ``limit`` nearest notes, each with its nearest chunk, among all chunks."""
     slim = distances(chunks.select("id", "node_id", "embedding"), vector).drop("embedding")
-    best = slim.groupBy("node_id").agg(F.min(F.struct("distance", "id", "score")).alias("best")).select("best.*")
-    return _page_of(chunks, best.orderBy("distance", "id").offset(offset).limit(limit), vector)
+    best = slim.groupBy("node_id").agg(F.min(F.struct("distance", "id", "score")).alias("best")).select("node_id", "best.*")
+    return _page_of(chunks, best.orderBy("distance", "id").offset(offset).limit(limit), vector, fetch)
 
 
 def held(page: DataFrame) -> DataFrame:
@@ -70,10 +84,12 @@ def _checked(unique: str) -> None:
         raise ValueError(f"unique={unique!r}: results are unique by one of {', '.join(UNIQUE)}")
 
 
-def semantic(chunks: DataFrame, vector: Sequence[float], limit: int, unique: str = "notes", offset: int = 0) -> DataFrame:
+def semantic(
+    chunks: DataFrame, vector: Sequence[float], limit: int, unique: str = "notes", offset: int = 0, fetch: Fetch | None = None
+) -> DataFrame:
     """The nearest chunks, or the nearest notes by their nearest chunk; ``rank`` counts from 1 on every page."""
     _checked(unique)
-    found = (nearest_notes if unique == "notes" else knn)(chunks, vector, limit, offset)
+    found = (nearest_notes if unique == "notes" else knn)(chunks, vector, limit, offset, fetch)
     hits = ranked(found, F.col("distance"), F.col("id"))
     return hits.withColumn("excerpt", F.substring("content", 1, EXCERPT_CHARS))
 

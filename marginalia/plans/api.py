@@ -285,7 +285,8 @@ class NotesEngine:
 
     def _enriched(self, index: Index, hits: DataFrame) -> list[dict]:
         """A page of hits with the fields of their notes, in order of ``rank``."""
-        nodes = index.nodes().select(
+        hits = retrieval.held(hits)
+        nodes = index.few_nodes([r["node_id"] for r in hits.select("node_id").collect()]).select(
             F.col("id").alias("node_id"), "title", "folder", "pinned", "locked",
             ids.display_time(F.timestamp_seconds("modified_at")).alias("modified"),
         )
@@ -297,7 +298,7 @@ class NotesEngine:
             return Page(total_estimate=0)
         limit, offset = _counted("limit", limit), ids.decode_cursor(cursor)
         index, vector = self.index.pinned(), embed_query(self._provider(), query)
-        hits = retrieval.semantic(index.chunks(), vector, limit + 1, unique, offset)
+        hits = retrieval.semantic(index.chunks(), vector, limit + 1, unique, offset, index.few_chunks)
         shown = hits.select("node_id", F.col("id").alias("chunk_id"), "heading", "start_line", "end_line", "excerpt", "score", "distance", "cosine", "rank")
         return _page(self._enriched(index, shown), limit, offset)
 
@@ -310,10 +311,11 @@ class NotesEngine:
             found = index.top_words(terms, offset + limit + 1).hits
         else:
             found = fulltext.search(index.postings(), index.stats(), query)
-        page = stored(fulltext.top(found, limit + 1, offset), "page")
+        page = retrieval.held(fulltext.top(found, limit + 1, offset))
         if page.isEmpty():
             return Page()
-        shown = fulltext.with_excerpts(page, index.nodes(), query, limit + 1)
+        nodes = index.few_nodes([r["node_id"] for r in page.select("node_id").collect()])
+        shown = fulltext.with_excerpts(page, nodes, query, limit + 1)
         return _page([r.asDict() for r in shown.orderBy(*fulltext.best_first()).collect()], limit, offset)
 
     def hybrid_search(
@@ -327,8 +329,9 @@ class NotesEngine:
         index, vector = self.index.pinned(), embed_query(self._provider(), query)
         fused = retrieval.hybrid(
             index.chunks(), index.postings(), index.stats(), vector, query, limit + 1, unique, depth, offset)
-        page = stored(fused, "page")
-        chunks = index.chunks().select(
+        page = retrieval.held(fused)
+        keys = page.select("chunk_id", "node_id").where(F.col("chunk_id").isNotNull()).collect()
+        chunks = index.few_chunks([r["chunk_id"] for r in keys], [r["node_id"] for r in keys]).select(
             F.col("id").alias("chunk_id"), "heading", "start_line", "end_line",
             F.substring("content", 1, retrieval.EXCERPT_CHARS).alias("excerpt"),
         )

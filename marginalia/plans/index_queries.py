@@ -146,6 +146,15 @@ def index_merge_read(spark, sf_dir):
     return index.nodes().select("id", "content_hash").join(words.withColumnRenamed("node_id", "id"), "id", "left").fillna(0, ["words"])
 
 
+@query(f"""WITH {_NOTE_STATES}
+SELECT id, title, substr(sha256(title || chr(10) || chr(10) || body), 1, 32) AS content_hash FROM now ORDER BY md5(id), id LIMIT 20""")
+def index_few_rows(spark, sf_dir):
+    """The rows of a page of 20 notes, read from the files of two segments that hold them."""
+    index = _indexed(spark, sf_dir).pinned()
+    page = index.nodes().select("id").orderBy(F.md5("id"), "id").limit(20)
+    return index.few_nodes([r["id"] for r in page.collect()]).select("id", "title", "content_hash")
+
+
 @query(f"""WITH {_NOTE_STATES}
 SELECT coalesce(n.id, o.id) AS id, n.id IS NOT NULL AS written, o.id IS NOT NULL AS replaced
 FROM now n FULL JOIN old o ON n.id = o.id WHERE n.body IS DISTINCT FROM o.body""")

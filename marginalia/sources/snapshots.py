@@ -15,6 +15,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.sources.sorted_files import ROWS_PER_FILE, holding, read_files, write_sorted
+
+#: What the table of file ranges is called, after the name of its table.
+RANGES = "_ranges"
 MANIFEST = "version bigint, created_at bigint, folder string, segments array<string>"
 REPLACED = "id string, part string"
 
@@ -110,6 +114,48 @@ class Snapshots:
             rows = rows.join(gone, (F.col(key) == F.col("_gone")) & (F.col(at) < F.col("_since")), "left_anti")
         return rows if number else rows.drop("_at")
 
+    def write_sorted(self, rows: DataFrame, version: int, table: str, key: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+        """Write one table in order of ``key``, with the range of each file, so that :meth:`few` finds rows without a scan."""
+        path = self.path(version, table)
+        return write_sorted(rows, path, f"{path}{RANGES}", key, rows_per_file=rows_per_file)
+
+    def few(
+        self, table: str, key: str, part: str, schema: str, at: str, wanted: dict[str, list], version: int | None = None
+    ) -> DataFrame:
+        """What :meth:`merged` holds for the keys ``wanted[at]`` of a table sorted by ``at``, from the files whose range takes them in.
+
+        ``wanted`` gives keys of other columns, too, where they are known: with those of ``key``, only their replacements are looked up.
+        """
+        rows, gone = self.spark.createDataFrame([], schema).withColumn("_at", F.lit(0)), None
+        for i, folder in enumerate(self.segments(version)):
+            own = self._holding(folder, table, schema, at, wanted[at]).where(F.col(at).isin(wanted[at])).withColumn("_at", F.lit(i))
+            rows = rows.unionByName(own)
+            if i:
+                keys = self._parquet(folder, "replaced", REPLACED).where(F.col("part") == part)
+                if key in wanted:
+                    keys = keys.where(F.col("id").isin(wanted[key]))
+                keys = keys.select(F.col("id").alias("_gone"), F.lit(i).alias("_since"))
+                gone = keys if gone is None else gone.unionByName(keys)
+        if gone is not None:
+            rows = rows.join(gone, (F.col(key) == F.col("_gone")) & (F.col("_at") < F.col("_since")), "left_anti")
+        return rows.drop("_at")
+
+    def files_of(self, folder: str, table: str, key: str, values: list) -> list[str] | None:
+        """Files of a segment's table that may hold ``values``; nothing is known of tables that were not written in order."""
+        try:
+            ranges = self.spark.read.parquet(f"{self.root}/{folder}/{table}{RANGES}")
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        return holding(ranges, key, values)
+
+    def _holding(self, folder: str, table: str, schema: str, key: str, values: list) -> DataFrame:
+        files = self.files_of(folder, table, key, values)
+        if files is None:
+            return self._parquet(folder, table, schema)
+        return read_files(self.spark, f"{self.root}/{folder}/{table}", files, schema)
+
     def write(self, rows: DataFrame, version: int, table: str) -> DataFrame:
         """Write one table of a version that was begun here and read it back."""
         rows.write.parquet(self.path(version, table))

@@ -135,3 +135,23 @@ def test_a_feed_of_notes_compares_these_alone(spark, tmp_path):
     assert titles["n1"] == "Changed" and titles["n2"] == "Title 2" and "n4" not in titles
     drain([(15, 3, 1)])
     assert {r["id"]: r["title"] for r in index.nodes().where(F.col("id") == "n2").collect()} == {"n2": "Changed too"}
+
+
+def test_few_rows_are_read_from_few_files(spark, tmp_path):
+    index, rows = Index(spark, str(tmp_path / "i"), rows_per_file=10), notes(300)
+    index.reindex(source(spark, rows), HashedEmbedder(8), CONFIG)
+    rows = [(k, t, f, "Another text." if k == 17 else b) for k, t, f, b in rows if k != 30]
+    index.reindex(source(spark, rows), HashedEmbedder(8), CONFIG)
+    index = index.pinned()
+    asked = [f"n{k}" for k in (17, 30, 31, 150, 299, 9999)]
+    found = sorted(map(str, index.few_nodes(asked).collect()))
+    assert found == sorted(map(str, index.nodes().where(F.col("id").isin(asked)).collect())) and len(found) == 4
+    chunks = [r["id"] for r in index.store.each("chunks", schema.CHUNKS).where(F.col("node_id").isin(asked)).select("id").collect()]
+    few = sorted(map(str, index.few_chunks(chunks, asked).collect()))
+    assert few == sorted(map(str, index.chunks().where(F.col("node_id").isin(asked)).collect())) and few
+    first, second = index.store.segments(index.version)
+    whole = [f for f in os.listdir(f"{index.root}/{first}/nodes") if f.endswith(".parquet")]
+    files = index.store.files_of(first, "nodes", "id", asked)
+    assert 1 <= len(files) <= len(asked) and len(whole) >= 30
+    # Nothing of the second segment is opened for notes that it does not hold.
+    assert index.store.files_of(second, "nodes", "id", ["n299"]) == [] and index.few_nodes([]).collect() == []
