@@ -162,6 +162,6 @@ def effective_tokens(advertised: Column, discovered: Column) -> Column:
 
 
 def ratcheted_tokens(discovered: Column, observed: Column) -> Column:
-    """Capacity after a chunk of ``observed`` tokens was refused; it never grows."""
+    """Capacity after a chunk of ``observed`` tokens was refused; it never grows. Without a refusal it stays."""
     reduced = F.greatest(F.lit(MIN_TOKENS), F.floor(observed * F.lit(0.9)).cast("int"))
-    return F.least(discovered, reduced)
+    return F.least(discovered, F.when(observed.isNotNull(), reduced))

@@ -275,7 +275,8 @@ SELECT user_id, CAST(min(least(512, coalesce(CASE WHEN event_type = 'error' THEN
 FROM events GROUP BY 1
 """)
 def capacity_ratchet(spark, sf_dir):
-    observed = F.when(F.col("event_type") == "error", F.col("value") * 10)
+    # A refusal of unknown size counts as the smallest.
+    observed = F.when(F.col("event_type") == "error", F.coalesce(F.col("value") * 10, F.lit(0.0)))
     after = ids.ratcheted_tokens(F.lit(512), observed)
     rows = corpus.table(spark, sf_dir, "events").select("user_id", after.alias("after"))
     return rows.groupBy("user_id").agg(ids.effective_tokens(F.lit(512), F.min("after")).alias("discovered"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia import schema
 from marginalia.config import ChunkerConfig
+from marginalia.functions import ids
 from marginalia.operators import capacity
 from marginalia.operators.embedding import HashedEmbedder
 from marginalia.operators.indexing import Index
@@ -68,3 +69,9 @@ def test_upsert_of_capacities(spark):
         ("a", 600, 400, 1, 7, 400), ("b", 512, 333, 7, 7, 333), ("c", None, 256, 7, 1, 256), ("d", 99, 98, 1, 1, 98), ("e", 128, 256, 7, 7, 128)]
     none = capacity.upserted(stored.limit(0), asked.limit(0), learned.limit(0), 7)
     assert none.collect() == [] and none.columns == stored.columns
+
+
+def test_without_a_refusal_capacity_stays(spark):
+    rows = spark.sql("select * from values (1, cast(null as int)), (2, 2000), (3, 300), (4, 1) t(k, observed)")
+    found = rows.select("k", ids.ratcheted_tokens(F.lit(512), F.col("observed")).alias("after")).collect()
+    assert {r["k"]: r["after"] for r in found} == {1: 512, 2: 512, 3: 270, 4: 256}
