@@ -391,7 +391,9 @@ class Index:
         notes = self.spark.read.parquet(self.store.path(version, "nodes")).count()
         columns = [F.col(c) for c in ("term", "node_id", "length", "title_at", "body_at")]
         order = ("term", "cell", "node_id")
-        rows = blockmax.in_cells(postings.select(*columns), notes).repartitionByRange(*order).sortWithinPartitions(*order)
+        # Ranges are drawn from a first reading of the rows, so what makes them must not run again for that.
+        found = self.store.write(blockmax.in_cells(postings.select(*columns), notes), version, "found")
+        rows = found.repartitionByRange(*order).sortWithinPartitions(*order)
         self.store.write(blockmax.blocks(self.store.write(rows, version, "postings")).repartitionByRange("term").sortWithinPartitions("term"), version, "blocks")
 
     def _write_totals(self, here: Index | None, changed: DataFrame, gone: DataFrame, version: int) -> None:
