@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.exprs import let
 from marginalia.functions.html import escape
-from marginalia.sources.layout import spread_by
+from marginalia.session import stored
 
 # What makes a line of each kind. A task wins over a list item.
 FENCE = r"^\s{0,3}```"
@@ -21,6 +21,9 @@ QUOTE = r"^ {0,3}>\s?"
 ITEM = r"^([ \t]*)([-*+]|\d+\.)\s+(.*)$"
 TABLE_RULE = r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$"
 
+#: Bytes of text, with ``LINE_COST`` for each line, that one task takes: sorted and grouped, its lines take some ten times as much memory.
+TASK_BYTES, LINE_COST = 64 << 20, 64
+
 # Private-use marks for code spans and protected signs while the rest of a line is formatted.
 _CODE = ("\ue010", "\ue011")
 _STAR, _UNDER = "\ue012", "\ue013"
@@ -86,10 +89,19 @@ def inline(text: Column) -> Column:
     return F.replace(F.replace(out, F.lit(_CODE[0]), F.lit("<code>")), F.lit(_CODE[1]), F.lit("</code>"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Documents (doc, text) by key over as many tasks as their lines need, which the size of what they were made from does not tell."""
+    rows = stored(rows, "markdown")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    size = rows.agg(F.sum(F.octet_length("text") + (breaks + 1) * LINE_COST)).first()[0] or 0
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-size // TASK_BYTES)), "doc")
+
+
 def _classified(rows: DataFrame, key: str, markdown: str) -> DataFrame:
     text = F.regexp_replace(F.coalesce(F.col(markdown), F.lit("")), "\r\n?", "\n")
-    rows = spread_by(rows.select(F.col(key).alias("doc"), F.col(markdown)), "doc")
-    rows = rows.select("doc", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    rows = _spread(rows.select(F.col(key).alias("doc"), text.alias("text")))
+    rows = rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     order = Window.partitionBy("doc").orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     fence = F.rlike("line", F.lit(FENCE))
@@ -218,9 +230,9 @@ def _block_html(kind: Column, lines: Column, text: Column, items: Column) -> Col
 def markdown_to_html(rows: DataFrame, key: str, markdown: str) -> DataFrame:
     """``key, html`` for documents with a unique key."""
     lines = _blocked(_classified(rows, key, markdown))
-    # A wrapped line of an item belongs to the item before it.
-    own = F.when(F.col("kind") == "item", F.sum(F.when(F.col("lazy"), 0).otherwise(1)).over(
-        Window.partitionBy("doc", "block").orderBy("pos"))).otherwise(F.lit(0))
+    # A wrapped line of an item belongs to the item before it. Items are counted through the document, in the order its lines have.
+    items = F.sum(F.when((F.col("kind") == "item") & ~F.col("lazy"), 1).otherwise(0)).over(Window.partitionBy("doc").orderBy("pos"))
+    own = F.when(F.col("kind") == "item", items).otherwise(F.lit(0))
     lines = lines.withColumn("entry", own)
     content = F.when(F.col("lazy") | (F.col("kind") != "item"), F.col("line")).otherwise(F.regexp_extract("line", ITEM, 3))
     lines = lines.withColumn("content", F.when(F.col("kind") == "item", F.trim(content)).otherwise(content))
