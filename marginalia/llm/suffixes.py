@@ -10,6 +10,11 @@ previous factor; its neighbours give the longest match anywhere. Matches are mea
 
 Most suffixes never leave their text. The strings of one anchor in one text form a context; equal contexts are settled by
 counting, and only differing contexts of one anchor are put in order.
+
+An anchor with very many differing contexts is dealt out in pieces, by what follows it. Each piece is put in suffix order like a
+whole anchor. Whatever else has the same anchor shares no more with a context than the ends of its piece do, and no more to the
+left than its neighbours in the order of what precedes the anchor. Only strings within both bounds can occur in two pieces; each
+piece names such a string once, and these are counted.
 """
 
 from __future__ import annotations
@@ -29,9 +34,9 @@ from marginalia.llm.common import numbered, written
 LENGTH, LEAST, GRAM = 400, 256, 48
 #: A repeated stretch of more words than this is a passage.
 WORDS = 50
-#: An anchor with more differing contexts than this is compared by grouped counts of its strings, not within one task.
+#: An anchor with more differing contexts than this is put in order in pieces.
 CROWDED = 500
-#: Bytes of contexts that are put in order at a time.
+#: Bytes of contexts that are put in order at a time; no piece of a crowded anchor holds more.
 BATCH = 2 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = 28  # bits of a position beside its hash; texts may have 256 MB
@@ -100,23 +105,25 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(i, pa.field("text", pa.binary()), pa.array([pack(t.as_buffer()) for t in b["text"].cast(pa.binary())], pa.binary()))
 
 
-def _context_rows(length: int):
-    """The bytes of the contexts that a text stands for."""
+def _context_rows(length: int, least: int):
+    """The bytes of the contexts that a text stands for; for crowded anchors also what precedes them, reversed, and what follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for row, text, own in zip(b["_row"].to_pylist(), b["text"].to_pylist(), b["own"].to_pylist(), strict=True):
                 body = zstandard.decompress(text)
-                rows += [
-                    (o["anchor"], o["crowded"], o["n"], row, o["first"], o["last"], o["lead"],
-                     zstandard.compress(body[o["first"] : o["last"] + length], 3))
-                    for o in own]
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                for o in own:
+                    at = o["first"] + o["lead"]
+                    rows.append((
+                        o["anchor"], o["crowded"], o["n"], row, o["first"], o["last"], o["lead"],
+                        zstandard.compress(body[o["first"] : o["last"] + length], 3),
+                        body[o["first"] : at][::-1] if o["crowded"] else None, body[at : at + least] if o["crowded"] else None))
+            columns = list(zip(*rows, strict=True)) or [[]] * 10
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["anchor", "crowded", "n", "_row", "first", "last", "lead", "bytes"])
+                ["anchor", "crowded", "n", "_row", "first", "last", "lead", "bytes", "left", "right"])
 
     return run
 
@@ -124,8 +131,8 @@ def _context_rows(length: int):
 _BODY = ("anchor", "n", "_row", "first", "last", "lead", "bytes")
 
 
-def _bodies(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*[batch[c].to_pylist() for c in _BODY], strict=True)
+def _bodies(batch: pa.RecordBatch, more: tuple[str, ...] = ()) -> Iterator[tuple]:
+    return zip(*[batch[c].to_pylist() for c in _BODY + more], strict=True)
 
 
 def previous_factors(place: list[int], lcp: list[int]) -> list[int]:
@@ -228,24 +235,113 @@ def _runs(rows: np.ndarray, starts: np.ndarray, long: np.ndarray) -> pa.RecordBa
         ["_row", "first", "last", "long"])
 
 
-def _repeats(group: list[tuple], length: int, least: int, keep_first: bool) -> pa.RecordBatch:
-    """Starts of the strings of whole anchors that occur before (or, unless the first is to stay, anywhere else)."""
-    row, first, lead = (np.array([g[i] for g in group]) for i in (2, 3, 5))
-    last = np.array([g[4] for g in group])
-    once = np.array([g[1] == 1 for g in group])
+def _longest(group: list[tuple], least: int, keep_first: bool, anywhere: bool) -> tuple[np.ndarray, ...]:
+    """Row and start of all strings, context by context, with their longest match at a smaller place and their longest one anywhere.
+
+    Either is 0 where it is below ``least``, and where it is not asked for.
+    """
+    row, first, last, lead = (np.array([g[i] for g in group]) for i in (2, 3, 4, 5))
     place = np.empty(len(group), dtype=np.int64)
     place[np.lexsort((first + lead, row))] = np.arange(len(group))
-    found: list[tuple] = []
+    size = last - first + 1
+    at = np.cumsum(size) - size
+    found = np.zeros((2, size.sum()), dtype=np.int64)
     for distance, order, lcp in suffix_orders(group, least):
-        factor = _factors(order, lcp, place, least, keep_first)
-        hit = np.flatnonzero(factor)
-        who = order[hit]
-        start = first[who] + lead[who] - distance
-        own = start <= last[who]
-        if not keep_first:
-            own &= once[who]  # strings of a context that occurs again are known already
-        found.append((row[who[own]], start[own], factor[hit[own]] >= length))
-    return _runs(*map(np.concatenate, zip(*found, strict=True)))
+        start = lead[order] - distance
+        own = np.flatnonzero(start < size[order])
+        to = at[order[own]] + start[own]
+        for k, wanted in enumerate((keep_first, anywhere)):
+            if wanted:
+                found[k, to] = _factors(order, lcp, place, least, k == 0)[own]
+    return np.repeat(row, size), np.arange(size.sum()) - np.repeat(at - first, size), found[0], found[1]
+
+
+def _repeats(group: list[tuple], length: int, least: int, keep_first: bool) -> pa.RecordBatch:
+    """Starts of the strings of whole anchors that occur before (or, unless the first is to stay, anywhere else)."""
+    rows, starts, earlier, anywhere = _longest(group, least, keep_first, not keep_first)
+    hit = np.flatnonzero(earlier if keep_first else anywhere * _once(group))
+    return _runs(rows[hit], starts[hit], (earlier if keep_first else anywhere)[hit] >= length)
+
+
+def _once(group: list[tuple]) -> np.ndarray:
+    """Whether each string's context occurs once; strings of one that occurs again are known already."""
+    return np.repeat(np.array([g[1] == 1 for g in group]), [g[4] - g[3] + 1 for g in group])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def _reach_rows(least: int):
+    """How much each context can share with others to the left. They arrive sorted by anchor and reversed left side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last context, whose next one is still to come
+        before = least  # nothing is known of what precedes the first one
+        for b in batches:
+            rows = []
+            for own in zip(*[b[c].to_pylist() for c in ("anchor", "left", "_row", "first")], strict=True):
+                if held is not None:
+                    shared = _common(held[1], own[1]) if held[0] == own[0] else 0
+                    rows.append((*held[2:], max(before, shared)))
+                    before = shared
+                held = own
+            yield _reach_batch(rows)
+        if held is not None:
+            yield _reach_batch([(*held[2:], least)])
+
+    return run
+
+
+def _reach_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["_row", "first", "reach"])
+
+
+def shared_outside(group: list[tuple[int, bytes]], most: int) -> np.ndarray:
+    """How much of what follows its anchor each context of a piece can share with those of other pieces, given anchors and these bytes in order."""
+    near = [_common(x[1], y[1]) if x[0] == y[0] else 0 for x, y in zip(group[:-1], group[1:], strict=True)]
+    return np.maximum(np.minimum.accumulate([most, *near]), np.minimum.accumulate([most, *near[::-1]])[::-1])
+
+
+def _piece(group: list[tuple], length: int, least: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
+    """As ``_repeats`` for a piece of crowded anchors; then, by key, each string that may occur in other pieces, at its first place here."""
+    rows, starts, earlier, anywhere = _longest(group, least, True, not keep_first)
+    once = _once(group)
+    factor = earlier if keep_first else anywhere * once
+    hit = np.flatnonzero(factor)
+    runs = _runs(rows[hit], starts[hit], factor[hit] >= length)
+    yield pa.RecordBatch.from_arrays(
+        [pa.nulls(runs.num_rows, pa.int64()), runs["_row"], runs["first"], runs["last"], pa.array(np.zeros(runs.num_rows, bool)), runs["long"]], _PIECE)
+    outside = shared_outside([(g[0], g[7]) for g in group], least)
+    parts: list[tuple] = []
+    at = 0
+    for g, most in zip(group, outside.tolist(), strict=True):
+        here = np.arange(at, at + g[4] - g[3] + 1)
+        distance = g[5] - np.arange(len(here))
+        at += len(here)
+        open_ = (least - distance <= most) & (distance <= g[8])
+        if not open_.any():
+            continue
+        data = np.frombuffer(zstandard.decompress(g[6]), np.uint8)
+        for size, seed in ((least, 5), (length, 3)) if least < length else ((length, 3),):
+            h = gram_hashes(data, size, seed=seed)[: len(here)]
+            named = np.flatnonzero(open_[: len(h)] & (earlier[here[: len(h)]] < size))
+            key = _mix(h[named] + np.uint64(g[0] & 0xFFFF_FFFF_FFFF_FFFF)).astype(np.int64)
+            which = here[named]
+            parts.append((key, rows[which], starts[which], once[which] & (anywhere[which] < size), np.full(len(named), size == length)))
+    if parts:
+        key, row, start, alone, long = (np.concatenate(c) for c in zip(*parts, strict=True))
+        start = pa.array(start.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), start, start, pa.array(alone), pa.array(long)], _PIECE)
+
+
+_PIECE = ["key", "_row", "first", "last", "alone", "long"]
 
 
 def _ordered(length: int, least: int, keep_first: bool):
@@ -268,24 +364,19 @@ def _ordered(length: int, least: int, keep_first: bool):
     return run
 
 
-def _string_rows(length: int, least: int):
-    """Key of each string of ``length`` bytes and of each one of ``least`` bytes that the contexts hold."""
+def _pieces(length: int, least: int, keep_first: bool):
+    """Contexts arrive sorted by anchor and by what follows it; every ``BATCH`` bytes of them are a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                parts: list[tuple] = []
-                for anchor, n, row, first, last, _, packed in _bodies(b.slice(i, 200)):
-                    data = np.frombuffer(zstandard.decompress(packed), np.uint8)
-                    for long, size, seed in ((False, least, 5), (True, length, 3)):
-                        h = gram_hashes(data, size, seed=seed)[: last - first + 1]
-                        if len(h) and not (long and length == least):
-                            key = _mix(h + np.uint64(anchor & 0xFFFF_FFFF_FFFF_FFFF)).astype(np.int64)
-                            parts.append((key, np.full(len(h), row), first + np.arange(len(h)), np.full(len(h), n == 1), np.full(len(h), long or length == least)))
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(k)) for c, k in zip(columns, ("i8", "i8", "i4", "?", "?"), strict=True)],
-                    ["key", "_row", "first", "once", "long"])
+            for body in _bodies(b, ("right", "reach")):
+                held.append(body)
+                if 2 * length * len(held) > BATCH:
+                    yield from _piece(held, length, least, keep_first)
+                    held = []
+        if held:
+            yield from _piece(held, length, least, keep_first)
 
     return run
 
@@ -372,24 +463,33 @@ def remove_repeats(
         T.StructField("_row", T.LongType(), False)]))
     bodies = written(
         packed.join(owners.hint("merge"), "_row").mapInArrow(
-            _context_rows(length),
-            "anchor long, crowded boolean, n long, _row long, first int, last int, lead int, bytes binary"), "bodies")
+            _context_rows(length, least),
+            "anchor long, crowded boolean, n long, _row long, first int, last int, lead int, bytes binary, left binary, right binary"), "bodies")
     span = "_row long, first int, last int, long boolean"
-    apart = bodies.where("not crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+    apart = bodies.where("not crowded").drop("left", "right").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         _ordered(length, least, keep_first), span)
 
-    # Crowded anchors: equal strings of either length are counted, without bringing them together.
-    strings = written(
-        bodies.where("crowded").mapInArrow(
-            _string_rows(length, least), "key long, _row long, first int, once boolean, long boolean"), "strings")
+    # Crowded anchors: pieces are put in order; the strings that several pieces may hold are counted, one of each from a piece.
+    crowd = bodies.where("crowded")
+    reach = written(
+        crowd.select("anchor", "left", "_row", "first").repartitionByRange("anchor", "left", "_row")
+        .sortWithinPartitions("anchor", "left", "_row").mapInArrow(_reach_rows(least), "_row long, first int, reach int"), "reach")
+    pieces = written(
+        crowd.drop("left").join(reach, ["_row", "first"]).repartitionByRange("anchor", "right", "_row")
+        .sortWithinPartitions("anchor", "right", "_row").mapInArrow(
+            _pieces(length, least, keep_first), "key long, _row long, first int, last int, alone boolean, long boolean"), "pieces")
+    within = pieces.where("key is null").select("_row", "first", "last", "long")
+    strings = pieces.where("key is not null")
     common = written(
         strings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_row", "first")).alias("at")).where("n > 1")
         .select("key", F.col("at._row").alias("at"), F.col("at.first").alias("at_first")), "common")
-    crowded = strings.join(common, "key")
-    crowded = crowded.where("not (_row = at and first = at_first)") if keep_first else crowded.where("once")
-    crowded = crowded.select("_row", "first", F.col("first").alias("last"), "long")
+    across = strings if keep_first else strings.where("alone")  # the others are known from their piece
+    across = across.join(common, "key")
+    if keep_first:
+        across = across.where("not (_row = at and first = at_first)")
+    across = across.select("_row", "first", "last", "long")
 
-    runs = equal.unionByName(apart).unionByName(crowded).groupBy("_row").agg(F.collect_list(F.struct("first", "last", "long")).alias("runs"))
+    runs = equal.unionByName(apart).unionByName(within).unionByName(across).groupBy("_row").agg(F.collect_list(F.struct("first", "last", "long")).alias("runs"))
     kind = held.schema["id"].dataType.simpleString()
     pairs = "array<struct<start:int,end:int>>"
     return packed.join(runs.hint("merge"), "_row", "left").select("id", "text", "runs").mapInArrow(

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 import __spark_entry__ as entry
 from marginalia.llm import linededup, neardup, suffixes
+from marginalia.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -281,6 +282,55 @@ def test_suffix_orders_of_one_anchor():
     assert met > 5
 
 
+def test_what_contexts_share_outside_their_piece():
+    rng = random.Random(15)
+    every = sorted((rng.randint(0, 3), "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))).encode()) for _ in range(60))
+    for first, end in ((0, 60), (0, 20), (20, 41), (41, 60), (30, 31)):
+        outside = suffixes.shared_outside(every[first:end], 9)
+        for (anchor, right), most in zip(every[first:end], outside.tolist(), strict=True):
+            assert most >= max((common(right, r) for a, r in every[:first] + every[end:] if a == anchor), default=0)
+    assert (suffixes.shared_outside(every, 9)[1:-1] < 9).any()
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_repeats_across_pieces(spark, monkeypatch, keep_first):
+    monkeypatch.setattr(suffixes, "CROWDED", 3)
+    monkeypatch.setattr(suffixes, "BATCH", 2 * 60 * 4)
+    monkeypatch.setattr(suffixes, "WORDS", 4)
+    texts = string_texts(random.Random(13), 60)
+    bodies = [(t or "").encode() for t in texts]
+    rows = suffixes.remove_repeats(
+        documents(spark, texts).repartition(3), length=60, gram=12, keep_first=False, least=30).orderBy("doc_id").collect()
+    want = without_repeats(bodies, 60, False)
+    assert [(bytes(r["kept"]), [(s["start"], s["end"]) for s in r["spans"]]) for r in rows] == want
+    rows = suffixes.remove_repeats(
+        documents(spark, texts).coalesce(1), length=60, gram=12, keep_first=keep_first, least=30).orderBy("doc_id").collect()
+    assert [(bytes(r["kept"]), [(s["start"], s["end"]) for s in r["spans"]]) for r in rows] == without_repeats(bodies, 60, keep_first)
+    shorter = [[(a, z) for a, z in spans if len(b[a:z].split()) > 4] for b, (_, spans) in zip(bodies, without_repeats(bodies, 30, keep_first), strict=True)]
+    assert [[(s["start"], s["end"]) for s in r["passages"]] for r in rows] == shorter
+
+
+def test_a_crowded_passage_makes_few_rows(spark, monkeypatch):
+    """What is written beyond the contexts follows the texts, not the strings of each copy."""
+    rows_of = {}
+
+    def counted(rows, label):
+        out = written(rows, label)
+        rows_of[label] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "CROWDED", 50)
+    monkeypatch.setattr(suffixes, "written", counted)
+    rng = random.Random(14)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(450)
+    texts = [letters(rng.randint(60, 90)) + passage + letters(rng.randint(450, 500)) for _ in range(300)]
+    rows = suffixes.remove_repeats(documents(spark, texts), keep_first=False).orderBy("doc_id").collect()
+    assert [(bytes(r["kept"]), [(s["start"], s["end"]) for s in r["spans"]]) for r in rows] == without_repeats([t.encode() for t in texts], 400, False)
+    later = {k: n for k, n in rows_of.items() if k not in ("anchors", "contexts", "bodies")}
+    assert max(later.values()) <= 20 * len(texts)
+
+
 def test_repeats_of_no_rows_and_null_ids(spark):
     assert suffixes.remove_repeats(documents(spark, [])).collect() == []
     rows = suffixes.remove_repeats(documents(spark, ["q" * 300 + "w" * 300] * 2, [None, None]), keep_first=False).collect()
