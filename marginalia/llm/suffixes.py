@@ -12,9 +12,9 @@ Most suffixes never leave their text. The strings of one anchor in one text form
 counting, and only differing contexts of one anchor are put in order.
 
 An anchor with very many differing contexts is dealt out in pieces, by what follows it. Each piece is put in suffix order like a
-whole anchor. Whatever else has the same anchor shares no more with a context than the ends of its piece do, and no more to the
-left than its neighbours in the order of what precedes the anchor. Only strings within both bounds can occur in two pieces; each
-piece names such a string once, and these are counted.
+whole anchor. What other pieces hold of the anchor shares no more with a context than the ends of its own piece do, and no more
+than the context's neighbours in the orders of what precedes the anchor and of what follows. Only strings within these bounds
+can occur in two pieces; each piece names such a string once, and these are counted.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,7 +105,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(i, pa.field("text", pa.binary()), pa.array([pack(t.as_buffer()) for t in b["text"].cast(pa.binary())], pa.binary()))
 
 
-def _context_rows(length: int, least: int):
+def _context_rows(length: int):
     """The bytes of the contexts that a text stands for; for crowded anchors also what precedes them, reversed, and what follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def _context_rows(length: int, least: int):
                     rows.append((
                         o["anchor"], o["crowded"], o["n"], row, o["first"], o["last"], o["lead"],
                         zstandard.compress(body[o["first"] : o["last"] + length], 3),
-                        body[o["first"] : at][::-1] if o["crowded"] else None, body[at : at + least] if o["crowded"] else None))
+                        body[o["first"] : at][::-1] if o["crowded"] else None, body[at : at + length] if o["crowded"] else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 10
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -276,31 +276,48 @@ def _common(a: bytes, b: bytes) -> int:
     return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
 
 
-def _reach_rows(least: int):
-    """How much each context can share with others to the left. They arrive sorted by anchor and reversed left side."""
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How much of one side each context shares with its neighbours, sorted by anchor and side; a task's ends keep their side, as they have more."""
+    held, before = None, None  # the last context, whose next one is still to come, and what it shares with the one before
+    for b in batches:
+        rows = []
+        for own in zip(*[b[c].to_pylist() for c in ("anchor", "_row", "first", "side")], strict=True):
+            if held is not None:
+                shared = _common(held[3], own[3]) if held[0] == own[0] else 0
+                rows.append((*held[:3], shared, held[3]) if before is None else (*held[:3], max(before, shared), None))
+                before = shared
+            held = own
+        yield _near_batch(rows)
+    if held is not None:
+        yield _near_batch([(*held[:3], before or 0, held[3])])
+
+
+def _near_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "_row", "first", "reach", "side"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last context, whose next one is still to come
-        before = least  # nothing is known of what precedes the first one
-        for b in batches:
-            rows = []
-            for own in zip(*[b[c].to_pylist() for c in ("anchor", "left", "_row", "first")], strict=True):
-                if held is not None:
-                    shared = _common(held[1], own[1]) if held[0] == own[0] else 0
-                    rows.append((*held[2:], max(before, shared)))
-                    before = shared
-                held = own
-            yield _reach_batch(rows)
-        if held is not None:
-            yield _reach_batch([(*held[2:], least)])
 
-    return run
+def _end_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends of tasks with what they share with the ends of the tasks beside theirs."""
+    for b in batches:
+        sides = zip(*[b[c].to_pylist() for c in ("reach", "side", "before", "after")], strict=True)
+        reach = [max(n, *(0 if x is None else _common(own, x) for x in near)) for n, own, *near in sides]
+        yield pa.RecordBatch.from_arrays([b["_row"], b["first"], pa.array(reach, pa.int32())], ["_row", "first", "reach"])
 
 
-def _reach_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 3
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["_row", "first", "reach"])
+def _reach(crowd: DataFrame, side: str) -> DataFrame:
+    """The most that each context shares with any other one of its anchor, on one side of it."""
+    near = written(
+        crowd.select("anchor", "_row", "first", F.col(side).alias("side")).repartitionByRange("anchor", "side", "_row")
+        .sortWithinPartitions("anchor", "side", "_row")
+        .mapInArrow(_near_rows, "anchor long, _row long, first int, reach int, side binary"), side)
+    order = Window.partitionBy("anchor").orderBy("side", "_row")
+    ends = near.where("side is not null").select(
+        "_row", "first", "reach", "side", F.lag("side").over(order).alias("before"), F.lead("side").over(order).alias("after"))
+    return near.where("side is null").select("_row", "first", "reach").unionByName(
+        ends.mapInArrow(_end_rows, "_row long, first int, reach int"))
 
 
 def shared_outside(group: list[tuple[int, bytes]], most: int) -> np.ndarray:
@@ -318,20 +335,19 @@ def _piece(group: list[tuple], length: int, least: int, keep_first: bool) -> Ite
     runs = _runs(rows[hit], starts[hit], factor[hit] >= length)
     yield pa.RecordBatch.from_arrays(
         [pa.nulls(runs.num_rows, pa.int64()), runs["_row"], runs["first"], runs["last"], pa.array(np.zeros(runs.num_rows, bool)), runs["long"]], _PIECE)
-    outside = shared_outside([(g[0], g[7]) for g in group], least)
+    outside = shared_outside([(g[0], g[7]) for g in group], length)
     parts: list[tuple] = []
     at = 0
     for g, most in zip(group, outside.tolist(), strict=True):
         here = np.arange(at, at + g[4] - g[3] + 1)
         distance = g[5] - np.arange(len(here))
         at += len(here)
-        open_ = (least - distance <= most) & (distance <= g[8])
-        if not open_.any():
-            continue
-        data = np.frombuffer(zstandard.decompress(g[6]), np.uint8)
         for size, seed in ((least, 5), (length, 3)) if least < length else ((length, 3),):
-            h = gram_hashes(data, size, seed=seed)[: len(here)]
-            named = np.flatnonzero(open_[: len(h)] & (earlier[here[: len(h)]] < size))
+            named = np.flatnonzero((size - distance <= min(most, g[9])) & (distance <= g[8]) & (earlier[here] < size))
+            if not len(named):
+                continue
+            h = gram_hashes(np.frombuffer(zstandard.decompress(g[6]), np.uint8), size, seed=seed)
+            named = named[named < len(h)]
             key = _mix(h[named] + np.uint64(g[0] & 0xFFFF_FFFF_FFFF_FFFF)).astype(np.int64)
             which = here[named]
             parts.append((key, rows[which], starts[which], once[which] & (anywhere[which] < size), np.full(len(named), size == length)))
@@ -370,7 +386,7 @@ def _pieces(length: int, least: int, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            for body in _bodies(b, ("right", "reach")):
+            for body in _bodies(b, ("right", "before", "after")):
                 held.append(body)
                 if 2 * length * len(held) > BATCH:
                     yield from _piece(held, length, least, keep_first)
@@ -463,7 +479,7 @@ def remove_repeats(
         T.StructField("_row", T.LongType(), False)]))
     bodies = written(
         packed.join(owners.hint("merge"), "_row").mapInArrow(
-            _context_rows(length, least),
+            _context_rows(length),
             "anchor long, crowded boolean, n long, _row long, first int, last int, lead int, bytes binary, left binary, right binary"), "bodies")
     span = "_row long, first int, last int, long boolean"
     apart = bodies.where("not crowded").drop("left", "right").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
@@ -471,11 +487,9 @@ def remove_repeats(
 
     # Crowded anchors: pieces are put in order; the strings that several pieces may hold are counted, one of each from a piece.
     crowd = bodies.where("crowded")
-    reach = written(
-        crowd.select("anchor", "left", "_row", "first").repartitionByRange("anchor", "left", "_row")
-        .sortWithinPartitions("anchor", "left", "_row").mapInArrow(_reach_rows(least), "_row long, first int, reach int"), "reach")
+    before, after = (_reach(crowd, side).withColumnRenamed("reach", name) for side, name in (("left", "before"), ("right", "after")))
     pieces = written(
-        crowd.drop("left").join(reach, ["_row", "first"]).repartitionByRange("anchor", "right", "_row")
+        crowd.drop("left").join(before, ["_row", "first"]).join(after, ["_row", "first"]).repartitionByRange("anchor", "right", "_row")
         .sortWithinPartitions("anchor", "right", "_row").mapInArrow(
             _pieces(length, least, keep_first), "key long, _row long, first int, last int, alone boolean, long boolean"), "pieces")
     within = pieces.where("key is null").select("_row", "first", "last", "long")
