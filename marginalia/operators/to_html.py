@@ -1,49 +1,108 @@
-"""Markdown to HTML as running windows over each document's lines.
+"""Markdown to HTML within the row: one pattern cuts a document into its blocks, each becomes HTML by its kind.
 
-A document is spread by its key once. Every line is classified by patterns, running sums find the
-fence, block and list it lies in, lines group into blocks and blocks into the document.
+Nothing is spread by line, so no line is sorted or exchanged. The patterns run through a document once, without going back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.exprs import let
 from marginalia.functions.html import escape
 from marginalia.session import stored
 
-# What makes a line of each kind. A task wins over a list item.
-FENCE = r"^\s{0,3}```"
+# The parts of a heading and of a list item, as patterns of one line.
 HEADING = r"^(#{1,6})\s*(.*?)\s*#*\s*$"
-RULE = r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
-QUOTE = r"^ {0,3}>\s?"
 ITEM = r"^([ \t]*)([-*+]|\d+\.)\s+(.*)$"
-TABLE_RULE = r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$"
+
+# Within a document a line is what follows a line end; a return before the line end says that the next line has the same number.
+# White space, what a dot finds, the rest of a line, and what a dollar finds. Where a class of characters may not go back it stands in a
+# group: Java walks through that faster than through a possessive class. The signs stand for themselves to keep the pattern short, as
+# Spark compares it with the last one for each document.
+_SPACE, _ANY, _REST = "[ \t\x0b\x0c]", "(?>.*)", "(?>[^\n]*)"
+_END = "(?=\n|\\z|[\r\u0085\u2028\u2029]\r?+(?:\n|\\z))"
+
+# What a line of each kind begins with.
+_FENCE = rf"{_SPACE}{{0,3}}+```"
+_BLANK = r" *+(?=\r?+(?:\n|\z))"
+_TASK = rf"{_SPACE}*+- \[[ xX]\] "
+_HEADING = rf"#{_ANY}{_END}"
+_RULE = rf" {{0,3}}+(?:(?:\*[ \t]*+){{3,}}+|(?:-[ \t]*+){{3,}}+|(?:_[ \t]*+){{3,}}+){_END}"
+_QUOTE = r" {0,3}+>"
+_AFTER = rf"{_SPACE}++{_ANY}{_END}"
+_ITEM = rf"[ \t]*+(?:[-*+]|\d++\.){_AFTER}"
+_DEEP = r"(?= {0,3}+\t| {4})"
+# Columns are divided by a line of dashes; the line before it holds a bar.
+_TABLE_RULE = rf"{_SPACE}*+(?:\|{_SPACE}*+)?+:?+-++:?+{_SPACE}*+(?:\|{_SPACE}*+:?+-++:?+{_SPACE}*+)*+(?:\|{_SPACE}*+)?+{_END}"
+_TABLE = rf"(?=(?>[^\n|]*)\|{_REST}\n{_TABLE_RULE})"
+# A fence that never closes is ordinary text.
+_CODE_BLOCK = rf"{_FENCE}{_REST}(?:\n(?!{_FENCE}){_REST})*+\n{_FENCE}{_REST}"
+# A line of a table or of text; a task or a rule wins over a list item.
+_OTHER = rf"(?!{_CODE_BLOCK}|{_BLANK}|{_TASK}|{_HEADING}|{_RULE}|{_QUOTE}|{_ITEM}){_REST}"
+_TEXT = rf"(?!{_TABLE}){_OTHER}"
+
+
+def _list_block() -> str:
+    """Items with their wrapped lines. Blank lines do not end a list if an item follows; an item of the other kind does,
+    unless it or the item before it is indented. A wrapped line counts as one of an unordered item."""
+
+    def line(start: str) -> str:
+        return rf"(?!{_TASK}|{_RULE}){start}{_REST}"
+
+    gap = rf"(?:\n{_BLANK}\r?+)*+\n"
+    bullet, number = line(rf" {{0,3}}+[-*+]{_AFTER}"), line(rf" {{0,3}}+\d++\.{_AFTER}")
+    deep = line(rf"{_DEEP}{_ITEM}")
+    bullets = rf"(?:\n{_TEXT}|{gap}{bullet})*+"
+    numbers = rf"(?:{gap}{number})*+(?:\n{_TEXT}{bullets})?+"
+    after_deep = rf"(?:\n{_TEXT}{bullets}|{gap}{bullet}{bullets}|{gap}{number}{numbers})?+"
+    return rf"(?:\n{bullet}{bullets}|\n{number}{numbers}|(?=\n{deep}))(?:{gap}{deep}{after_deep})*+"
+
+
+# Blocks of a document that begins with a line end; blank lines belong to none. Tables are the first group.
+BLOCK = (
+    rf"\n(?:{_CODE_BLOCK}|{_TASK}{_REST}(?:\n{_TASK}{_REST})*+|{_HEADING}{_REST}|{_RULE}{_REST}|{_QUOTE}{_REST}(?:\n(?:{_QUOTE}{_REST}|{_TEXT}))*+)"
+    rf"|{_list_block()}|\n(?:({_TABLE}{_OTHER}(?:\n{_OTHER})*+)|{_TEXT}(?:\n{_TEXT})*+)"
+)
+# A table whose line of dashes is a rule or an item, and so no part of it.
+_BARE_TABLE = rf"\|[^\n|]*+\n(?={_TABLE_RULE})(?:{_RULE}|{_ITEM})"
+# An item with its wrapped lines, in a list.
+_ENTRY = rf"\n{_ITEM}{_REST}(?:\n(?!{_BLANK}|{_ITEM}){_REST}|(?<=\r)\n{_ITEM}{_REST})*+"
 
 #: Bytes of text, with ``LINE_COST`` for each line, that one task takes: sorted and grouped, its lines take some ten times as much memory.
 TASK_BYTES, LINE_COST = 64 << 20, 64
 
+# A length beyond that of any text.
+_ALL = (1 << 31) - 1
+
 # Private-use marks for code spans and protected signs while the rest of a line is formatted.
 _CODE = ("\ue010", "\ue011")
 _STAR, _UNDER = "\ue012", "\ue013"
+# Text without any of these has no spans; only with the first ones can it hold more than stressed words.
+_MARKS = rf"[{_CODE[0]}-{_UNDER}]"
+_SIGNS = rf"[`&<\\\[~{_CODE[0]}-{_UNDER}]"
+_STRESSED = r"[*_\n]"
 
 
-def _after_margin(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+", "")
 
+def _given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times; a fold over nothing, as taking an element of an array would ask for the type of the whole body each time."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda given, _: given, body)
 
-def _is_task(line: Column) -> Column:
-    """A dash, a blank, and a box with nothing or an x in it, then a blank."""
-    bare = _after_margin(line)
-    return bare.startswith("- [") & F.substring(bare, 4, 1).isin(" ", "x", "X") & (F.substring(bare, 5, 2) == "] ")
+
+def _either(test: Column, first: Column, second: Column) -> Column:
+    """One of two values, without the list of cases that ``when`` walks through for each text."""
+    return F.call_function("if", test, first, second)
 
 
 def _task_html(line: Column) -> Column:
-    bare = _after_margin(line)
-    state = F.when(F.substring(bare, 4, 1) == " ", "unchecked").otherwise("checked")
-    label = F.substring(bare, F.lit(7), F.length(bare))
-    return F.concat(F.lit('<li class="'), state, F.lit('">'), escape(label), F.lit("</li>"))
+    def built(bare: Column) -> Column:
+        state = _either(F.substring(bare, 4, 1) == " ", F.lit("unchecked"), F.lit("checked"))
+        return F.concat(F.lit('<li class="'), state, F.lit('">'), escape(F.substring(bare, 7, _ALL)), F.lit("</li>"))
+
+    return _given(F.regexp_replace(line, r"^\s+", ""), built)
 
 
 def _code_escaped(text: Column) -> Column:
@@ -51,10 +110,22 @@ def _code_escaped(text: Column) -> Column:
     return F.translate(escape(text), "*_", _STAR + _UNDER)
 
 
-def inline(text: Column) -> Column:
-    """Spans of one block: code, images, links, bold, italic, strike; stray & and < become entities."""
+def _where(sign: str) -> Callable[[Callable[[Column], Column]], Callable[[Column], Column]]:
+    """Makes a step pass texts as they are that do not hold the sign it looks for."""
+    return lambda step: lambda text: _given(text, lambda t: _either(F.contains(t, F.lit(sign)), step(t), t))
+
+
+def _replaced(sign: str, *rules: tuple[str, str]) -> Callable[[Column], Column]:
+    return _where(sign)(lambda text: reduce(lambda out, rule: F.regexp_replace(out, *rule), rules, text))
+
+
+def _in_turn(*steps: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda text: reduce(lambda out, step: step(out), steps, text)
+
+
+def _spans_of_code(text: Column) -> Column:
     parts = F.regexp_extract_all(text, F.lit("`[^`]+`|[^`]+|`"), F.lit(0))
-    coded = F.array_join(
+    return F.array_join(
         F.transform(
             parts,
             lambda p: F.when(
@@ -64,29 +135,55 @@ def inline(text: Column) -> Column:
         ),
         "",
     )
-    out = F.regexp_replace(coded, r"&(?!#?\w+;)", "&amp;")
-    out = F.regexp_replace(out, r"<(?![a-zA-Z/!])", "&lt;")
-    # Escaped stars and underscores must survive the emphasis rules.
-    out = F.replace(F.replace(out, F.lit("\\*"), F.lit(_STAR)), F.lit("\\_"), F.lit(_UNDER))
-    for pattern, replacement in (
-        (r"<((?:https?|ftp)://[^\s>]+)>", '<a href="$1">$1</a>'),
-        (r"!\[([^\]]*)\]\(([^)\s]*)\)", '<img alt="$1" src="$2" />'),
-        (r"\[([^\]]*)\]\(([^)\s]*)\)", '<a href="$2">$1</a>'),
-        (r"~~(.+?)~~", "<strike>$1</strike>"),
-        (r"\\([\\`*_{}\[\]()#+.!-])", "$1"),
-    ):
-        out = F.regexp_replace(out, pattern, replacement)
-    for pattern, replacement in (
-        (r"(?s)\*\*\*(?=\S)(.+?)(?<=\S)\*\*\*", "<b><i>$1</i></b>"),
-        (r"(?s)\*\*(?=\S)(.+?)(?<=\S)\*\*", "<b>$1</b>"),
-        (r"(?s)(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)", "<b>$1</b>"),
-        (r"(?s)\*(?=[^\s*])(.+?)(?<=[^\s*])\*", "<i>$1</i>"),
-        (r"(?s)(?<!\w)_(?=\S)(.+?)(?<=\S)_(?!\w)", "<i>$1</i>"),
-        (r" {2,}\n", "<br />\n"),
-    ):
-        out = F.regexp_replace(out, pattern, replacement)
-    out = F.translate(out, _STAR + _UNDER, "*_")
-    return F.replace(F.replace(out, F.lit(_CODE[0]), F.lit("<code>")), F.lit(_CODE[1]), F.lit("</code>"))
+
+
+def _shown(text: Column) -> Column:
+    """Marks back to what they stand for."""
+
+    def shown(marked: Column) -> Column:
+        out = F.translate(marked, _STAR + _UNDER, "*_")
+        return F.replace(F.replace(out, F.lit(_CODE[0]), F.lit("<code>")), F.lit(_CODE[1]), F.lit("</code>"))
+
+    return _given(text, lambda t: _either(F.rlike(t, F.lit(_MARKS)), shown(t), t))
+
+
+@_where("\\")
+def _escaped(text: Column) -> Column:
+    """Escaped stars and underscores must survive the emphasis rules."""
+    return F.replace(F.replace(text, F.lit("\\*"), F.lit(_STAR)), F.lit("\\_"), F.lit(_UNDER))
+
+
+_marked = _in_turn(
+    _where("`")(_spans_of_code),
+    _replaced("&", (r"&(?!#?\w+;)", "&amp;")),
+    _replaced("<", (r"<(?![a-zA-Z/!])", "&lt;")),
+    _escaped,
+    _replaced("<", (r"<((?:https?|ftp)://[^\s>]+)>", '<a href="$1">$1</a>')),
+    _replaced("](", (r"!\[([^\]]*)\]\(([^)\s]*)\)", '<img alt="$1" src="$2" />'), (r"\[([^\]]*)\]\(([^)\s]*)\)", '<a href="$2">$1</a>')),
+    _replaced("~~", (r"~~(.+?)~~", "<strike>$1</strike>")),
+    _replaced("\\", (r"\\([\\`*_{}\[\]()#+.!-])", "$1")),
+)
+_stressed = _in_turn(
+    _replaced("***", (r"(?s)\*\*\*(?=\S)(.+?)(?<=\S)\*\*\*", "<b><i>$1</i></b>")),
+    _replaced("**", (r"(?s)\*\*(?=\S)(.+?)(?<=\S)\*\*", "<b>$1</b>")),
+    _replaced("__", (r"(?s)(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)", "<b>$1</b>")),
+    _replaced("*", (r"(?s)\*(?=[^\s*])(.+?)(?<=[^\s*])\*", "<i>$1</i>")),
+    _replaced("_", (r"(?s)(?<!\w)_(?=\S)(.+?)(?<=\S)_(?!\w)", "<i>$1</i>")),
+    _replaced("  \n", (r" {2,}\n", "<br />\n")),
+)
+
+
+def inline(text: Column) -> Column:
+    """Spans of one block: code, images, links, bold, italic, strike; stray & and < become entities."""
+
+    def formatted(text: Column) -> Column:
+        # Nothing but a word or number as code is common in tables.
+        only_code = text.startswith("`") & F.rlike(text, F.lit(r"\A`[\w .,:;/()+=-]+`\z"))
+        code = F.concat(F.lit("<code>"), F.substring(text, F.lit(2), F.length(text) - 2), F.lit("</code>"))
+        return _either(only_code, code, _in_turn(_marked, _stressed, _shown)(text))
+
+    stressed = lambda t: _either(F.rlike(t, F.lit(_STRESSED)), _stressed(t), t)
+    return _given(text, lambda t: _either(F.rlike(t, F.lit(_SIGNS)), formatted(t), stressed(t)))
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -98,66 +195,31 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(least, -(-size // TASK_BYTES)), "doc")
 
 
-def _classified(rows: DataFrame, key: str, markdown: str) -> DataFrame:
-    text = F.regexp_replace(F.coalesce(F.col(markdown), F.lit("")), "\r\n?", "\n")
-    rows = _spread(rows.select(F.col(key).alias("doc"), text.alias("text")))
-    rows = rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    order = Window.partitionBy("doc").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.rlike("line", F.lit(FENCE))
-    # A fence that never closes is ordinary text: the last one of an odd number.
-    rows = rows.withColumn("fence", fence).withColumn("fences", F.sum(fence.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    total = Window.partitionBy("doc")
-    rows = rows.withColumn("all_fences", F.sum(F.col("fence").cast("int")).over(total))
-    valid = F.col("fences") <= F.col("all_fences") - F.col("all_fences") % 2
-    rows = rows.withColumn("fence", F.col("fence") & valid)
-    inside = F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1
-    rows = rows.withColumn("coded", inside | F.col("fence"))
-    rows = rows.withColumn("following", F.lead("line").over(order))
-    blank = F.trim("line") == ""
-    is_table = F.contains("line", F.lit("|")) & F.rlike("following", F.lit(TABLE_RULE)) & F.contains("following", F.lit("-"))
-    kind = (
-        F.when(F.col("coded"), "code").when(blank, "blank").when(_is_task(F.col("line")), "task")
-        .when(F.rlike("line", F.lit(HEADING)), "heading").when(F.rlike("line", F.lit(RULE)), "rule")
-        .when(F.rlike("line", F.lit(QUOTE)), "quote").when(F.rlike("line", F.lit(ITEM)), "item")
-        .when(F.coalesce(is_table, F.lit(False)), "table").otherwise("text")
-    )
-    return rows.withColumn("kind", kind)
-
-
-def _blocked(rows: DataFrame) -> DataFrame:
-    """Number the blocks: a block ends where the kind of line changes, with lazy continuation of items."""
-    order = Window.partitionBy("doc").orderBy("pos")
-    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Rows of a table and wrapped lines of an item or quote look like text until the next blank line.
-    start = F.max(F.when(~F.col("kind").isin("text"), F.struct("pos", "kind"))).over(sofar)
-    rows = rows.withColumn("since", start["kind"])
-    lazy = (F.col("kind") == "text") & F.col("since").isin("table", "item", "quote")
-    rows = rows.withColumn("lazy", lazy)
-    rows = rows.withColumn("kind", F.when(F.col("lazy"), F.col("since")).otherwise(F.col("kind")))
-    ordered = F.rlike(F.regexp_extract("line", ITEM, 2), F.lit(r"\d"))
-    depth = F.when((F.col("kind") == "item") & ~F.col("lazy"), F.floor(F.length(F.regexp_replace(
-        F.regexp_extract("line", ITEM, 1), "\t", "    ")) / 4).cast("int"))
-    rows = rows.withColumns({"ordered": ordered, "depth": depth})
-    # Blank lines do not end a list or a run of items; the next line that has text decides.
-    solid = F.last(F.when(F.col("kind") != "blank", F.struct("kind", "ordered", "depth")), ignorenulls=True)
-    rows = rows.withColumn("prev", solid.over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("gap", F.coalesce(F.lag("kind").over(order) == "blank", F.lit(False)))
-    same_list = (F.col("kind") == "item") & (F.col("prev.kind") == "item") & (
-        F.col("lazy") | (F.col("depth") > 0) | (F.col("prev.depth") > 0) | (F.col("ordered") == F.col("prev.ordered")))
-    same = F.col("kind") == F.col("prev.kind")
-    fence_starts = (F.col("kind") == "code") & F.col("fence") & (F.col("fences") % 2 == 1)
-    fresh = (
-        F.when(F.col("kind") == "blank", False).when(F.col("kind") == "item", ~same_list)
-        .when(F.col("kind").isin("heading", "rule"), True).when(F.col("kind") == "code", fence_starts)
-        .otherwise(~same | F.col("gap"))
-    )
-    rows = rows.withColumn("block", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(sofar))
-    return rows.where((F.col("kind") != "blank") | F.col("coded") | (F.col("pos") == 0))
+def _text(block: Column) -> Column:
+    return F.replace(F.substring(block, 2, _ALL), F.lit("\r"), F.lit(""))
+
+
+def _lines(block: Column) -> Column:
+    return F.split(_text(block), "\n", -1)
+
+
+def _item(entry: Column) -> Column:
+    """``depth, ordered, text`` of an item with its wrapped lines."""
+    indent = F.replace(F.regexp_extract(entry, r"\A\n([ \t]*)", 1), F.lit("\t"), F.lit("    "))
+    depth = F.when(F.rlike(entry, F.lit(rf"\A\n{_DEEP}")), F.floor(F.length(indent) / 4).cast("int")).otherwise(0)
+
+    def content(line: Column) -> Column:
+        return F.trim(F.when(F.rlike(line, F.lit(ITEM)), F.regexp_extract(line, ITEM, 3)).otherwise(line))
+
+    def joined(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("\n")), F.array_join(F.transform(F.split(text, "\n", -1), content), "\n")).otherwise(F.trim(F.regexp_extract(text, ITEM, 3)))
+
+    ordered = F.rlike(entry, F.lit(r"\A\n[ \t]*+\d"))
+    return F.struct(depth.alias("depth"), ordered.alias("ordered"), inline(_given(_text(entry), joined)).alias("text"))
 
 
 def _list_html(items: Column) -> Column:
-    """Nested lists from ``(depth, ordered, text)``; a list opens and closes where the depth changes."""
+    """Lists from ``(depth, ordered, text)``; where the depth changes, a list opens or closes."""
 
     def tag(ordered: Column) -> Column:
         return F.when(ordered, "ol").otherwise("ul")
@@ -176,93 +238,130 @@ def _list_html(items: Column) -> Column:
         stack = F.when(deeper, F.concat(acc["stack"], F.array(tag(item["ordered"])))).otherwise(F.slice(acc["stack"], F.lit(1), level))
         return F.struct(stack.alias("stack"), html.alias("html"))
 
+    def flat(items: Column) -> Column:
+        kind = tag(items[0]["ordered"])
+        texts = F.array_join(F.transform(items, lambda item: item["text"]), "</li>\n<li>")
+        return F.concat(F.lit("<"), kind, F.lit(">\n<li>"), texts, F.lit("</li>\n</"), kind, F.lit(">"))
+
     start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit("").alias("html"))
-    return F.aggregate(
+    nested = F.aggregate(
         items, start, step, lambda acc: F.regexp_replace(F.concat(acc["html"], close(acc["stack"], F.lit(0))), r"\s+\z", "")
     )
+    return F.when(F.exists(items, lambda item: item["depth"] > 0), nested).otherwise(flat(items))
 
 
 def _cells(row: Column) -> Column:
-    trimmed = F.regexp_replace(F.trim(row), r"^\||(?<!\\)\|$", "")
-    return F.transform(F.split(trimmed, r"(?<!\\)\|", -1), lambda c: inline(F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))))
+    def bare(row: Column) -> Column:
+        barred = row.startswith("|") & row.endswith("|") & (F.length(row) > 1) & ~F.contains(row, F.lit("\\"))
+        return _either(barred, F.substring(row, F.lit(2), F.length(row) - 2), F.regexp_replace(row, r"^\||(?<!\\)\|$", ""))
+
+    def cut(bare: Column) -> Column:
+        # A pattern of one sign is not compiled again for each row.
+        return _either(F.contains(bare, F.lit("\\")), F.split(bare, r"(?<!\\)\|", -1), F.split(bare, r"\|", -1))
+
+    return F.transform(_given(_given(F.trim(row), bare), cut), lambda c: inline(F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))))
 
 
 def _row_html(cells: Column, tag: str, width: Column) -> Column:
     # Short rows are filled up, long ones cut, to the width of the header.
-    even = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(cells, i), F.lit("")))
-    body = F.array_join(F.transform(even, lambda c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))), "\n")
-    return F.concat(F.lit("<tr>\n"), body, F.lit("\n</tr>"))
+    filled = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(cells, i), F.lit("")))
+    even = _either(F.size(cells) == width, cells, filled)
+    return F.concat(F.lit(f"<tr>\n<{tag}>"), F.array_join(even, f"</{tag}>\n<{tag}>"), F.lit(f"</{tag}>\n</tr>"))
 
 
 def _table_html(lines: Column) -> Column:
     def built(head: Column) -> Column:
         width = F.size(head)
-        rows = F.transform(F.slice(lines, F.lit(3), F.size(lines)), lambda r: _row_html(_cells(r), "td", width))
-        body = F.when(F.size(rows) > 0, F.concat(F.lit("<tbody>\n"), F.array_join(rows, "\n"), F.lit("\n</tbody>\n"))).otherwise("")
+        rows = F.transform(F.slice(lines, F.lit(3), F.size(lines)), lambda r: _given(_cells(r), lambda cells: _row_html(cells, "td", width)))
+        body = F.when(F.size(lines) > 2, F.concat(F.lit("<tbody>\n"), F.array_join(rows, "\n"), F.lit("\n</tbody>\n"))).otherwise("")
         return F.concat(F.lit("<table>\n<thead>\n"), _row_html(head, "th", width), F.lit("\n</thead>\n"), body, F.lit("</table>"))
 
-    return let(_cells(F.get(lines, F.lit(0))), built)
+    return _given(_cells(F.get(lines, F.lit(0))), built)
 
 
-def _block_html(kind: Column, lines: Column, text: Column, items: Column) -> Column:
-    level = F.length(F.regexp_extract(text, HEADING, 1))
+def _heading_html(text: Column) -> Column:
     title = inline(F.regexp_extract(text, HEADING, 2))
-    sized = F.concat(F.lit("h"), level.cast("string"))
-    name = F.when(level > 3, "div").otherwise(sized)
-    heading = F.concat(F.lit("<"), name, F.lit(">"), title, F.lit("</"), name, F.lit(">"))
-    code = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 2)), "\n")
-    quoted = inline(F.trim(F.regexp_replace(text, r"(?m)^ {0,3}> ?", "")))
-    tasks = F.transform(lines, _task_html)
+
+    def built(level: Column) -> Column:
+        name = F.when(level > 3, "div").otherwise(F.concat(F.lit("h"), level.cast("string")))
+        return F.concat(F.lit("<"), name, F.lit(">"), title, F.lit("</"), name, F.lit(">"))
+
+    return _given(F.length(F.regexp_extract(text, HEADING, 1)), built)
+
+
+def _code_html(lines: Column) -> Column:
+    code = F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n")
+    return _given(code, lambda c: F.concat(F.lit("<pre><code>"), escape(c), F.when(c == "", "").otherwise("\n"), F.lit("</code></pre>")))
+
+
+def _text_html(text: Column) -> Column:
     block_level = F.rlike(text, F.lit(r"(?i)^<(?:div|ul|ol|table|pre|h[1-6]|blockquote|p|hr)\b"))
+    return F.when(block_level, text).otherwise(F.concat(F.lit("<div>"), inline(F.trim(text)), F.lit("</div>")))
+
+
+def _block_html(block: Column, is_table: Column) -> Column:
+    """HTML of a block, which begins with a line end and is of the first kind that its first line fits."""
+    text = _text(block)
+
+    def starts(pattern: str, sign: str = "") -> Column:
+        """Whether the first line fits; a sign without which it cannot is quicker to look for."""
+        fits = F.rlike(block, F.lit(rf"\A\n{pattern}"))
+        return F.contains(block, F.lit(sign)) & fits if sign else fits
+
+    quoted = inline(F.trim(F.regexp_replace(text, r"(?m)^ {0,3}> ?", "")))
     return (
-        F.when(kind == "heading", heading)
-        .when(kind == "rule", "<hr />")
-        .when(kind == "code", F.concat(F.lit("<pre><code>"), escape(code), F.when(code == "", "").otherwise("\n"), F.lit("</code></pre>")))
-        .when(kind == "quote", F.concat(F.lit("<blockquote>\n<div>"), quoted, F.lit("</div>\n</blockquote>")))
-        .when(kind == "task", F.concat(F.lit('<ul class="checklist">'), F.array_join(tasks, ""), F.lit("</ul>")))
-        .when(kind == "table", _table_html(lines))
-        .when(kind == "item", _list_html(items))
-        .when(block_level, text)
-        .otherwise(F.concat(F.lit("<div>"), inline(F.trim(text)), F.lit("</div>")))
+        F.when(starts(_CODE_BLOCK, "```"), _given(_lines(block), _code_html))
+        .when(starts(_TASK, "- ["), F.concat(F.lit('<ul class="checklist">'), F.array_join(F.transform(_lines(block), _task_html), ""), F.lit("</ul>")))
+        .when(starts(_HEADING, "\n#"), _heading_html(text))
+        .when(starts(_RULE), "<hr />")
+        .when(starts(_QUOTE, ">"), F.concat(F.lit("<blockquote>\n<div>"), quoted, F.lit("</div>\n</blockquote>")))
+        .when(starts(_ITEM), _given(F.transform(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(0)), _item), _list_html))
+        .when(starts(_TABLE, "|") | is_table, _given(_lines(block), _table_html))
+        .otherwise(_text_html(text))
     )
 
 
-def markdown_to_html(rows: DataFrame, key: str, markdown: str) -> DataFrame:
-    """``key, html`` for documents with a unique key."""
-    lines = _blocked(_classified(rows, key, markdown))
-    # A wrapped line of an item belongs to the item before it. Items are counted through the document, in the order its lines have.
-    items = F.sum(F.when((F.col("kind") == "item") & ~F.col("lazy"), 1).otherwise(0)).over(Window.partitionBy("doc").orderBy("pos"))
-    own = F.when(F.col("kind") == "item", items).otherwise(F.lit(0))
-    lines = lines.withColumn("entry", own)
-    content = F.when(F.col("lazy") | (F.col("kind") != "item"), F.col("line")).otherwise(F.regexp_extract("line", ITEM, 3))
-    lines = lines.withColumn("content", F.when(F.col("kind") == "item", F.trim(content)).otherwise(content))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "content")))
-    entries = lines.groupBy("doc", "block", "kind", "entry").agg(
-        F.transform(ordered, lambda x: x["content"]).alias("lines"),
-        F.max("depth").alias("depth"),
-        F.min_by("ordered", "pos").alias("ordered"),
-    )
-    item = F.struct(
-        "entry",
-        F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.col("ordered"),
-        F.when(F.col("kind") == "item", inline(F.array_join("lines", "\n"))).alias("text"),
-        "lines",
-    )
-    blocks = entries.groupBy("doc", "block", "kind").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    blocks = blocks.withColumn("lines", F.flatten(F.transform("items", lambda i: i["lines"])))
-    blocks = blocks.withColumn("text", F.array_join("lines", "\n"))
-    block = _block_html(F.col("kind"), F.col("lines"), F.col("text"), F.col("items"))
-    blocks = blocks.withColumn("html", F.when(F.col("kind") == "blank", "").otherwise(block))
-    whole = blocks.groupBy("doc").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("block", "html"))), lambda b: b["html"]).alias("parts"))
+def _placed(parts: Column) -> Column:
+    """Each block after what stands between it and the one before: two lists of different kinds must not run together."""
 
     def placed(part: Column, i: Column) -> Column:
-        """A block after what stands between it and the one before: two lists of different kinds must not run together."""
-        before = F.coalesce(F.get("parts", i - 1), F.lit(""))
+        before = F.coalesce(F.get(parts, i - 1), F.lit(""))
         apart = (before.endswith("</ul>") & part.startswith("<ol")) | (before.endswith("</ol>") & part.startswith("<ul"))
         between = F.when(i == 0, "").when(apart, "<div><br></div>").otherwise("\n")
         return F.concat(between, part)
 
-    joined = F.array_join(F.transform("parts", placed), "")
-    return whole.select(F.col("doc").alias(key), F.trim(F.regexp_replace(joined, r"\A\s+|\s+\z", "")).alias("html"))
+    ordered = F.exists(parts, lambda part: part.startswith("<ol") | part.endswith("</ol>"))
+    return F.when(ordered, F.array_join(F.transform(parts, placed), "")).otherwise(F.array_join(parts, "\n"))
+
+
+def _merged(texts: Column) -> Column:
+    """Texts of one key as one: the first lines of all, then the second ones. Lines of one number are told by a return."""
+
+    def dealt(texts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.array_max(F.transform(texts, F.size)) - 1)
+        return F.transform(numbers, lambda i: F.array_join(F.array_sort(F.transform(texts, lambda t: F.get(t, i))), "\r\n"))
+
+    lines = F.transform(texts, lambda t: F.split(t, "\n", -1))
+    return F.when(F.size(texts) == 1, texts[0]).otherwise(F.array_join(_given(lines, dealt), "\n"))
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Documents (doc, text) with one row a key; rows that are sorted by key already, as after a join, are not sorted again."""
+    same = Window.partitionBy("doc")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("doc", "row", F.collect_list("text").over(same).alias("texts"), F.min("row").over(same).alias("first"))
+    return rows.where(F.col("row") == F.col("first")).select("doc", _merged(F.col("texts")).alias("text"))
+
+
+def markdown_to_html(rows: DataFrame, key: str, markdown: str) -> DataFrame:
+    """``key, html`` for documents with a unique key."""
+    text = F.coalesce(F.col(markdown), F.lit(""))
+    text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    rows = _by_key(rows.select(F.col(key).alias("doc"), text.alias("text")))
+    rows = rows.select("doc", F.concat(F.lit("\n"), "text").alias("text"))
+    blocks = F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0))
+    tables = F.when(F.rlike("text", F.lit(_BARE_TABLE)), F.regexp_extract_all("text", F.lit(BLOCK), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    parts = _given(tables, lambda tables: F.transform(blocks, lambda block, i: _block_html(block, F.coalesce(F.get(tables, i) != "", F.lit(False)))))
+    # Only markup that stood in the text as it is can end otherwise.
+    trimmed = _given(_given(parts, _placed), lambda html: F.when(html.endswith(">"), html).otherwise(F.trim(F.regexp_replace(html, r"\A\s+|\s+\z", ""))))
+    return rows.select(F.col("doc").alias(key), trimmed.alias("html"))
