@@ -270,23 +270,14 @@ def _row_html(cells: Column, tag: str, width: Column) -> Column:
 
 
 def _table_html(lines: Column) -> Column:
-    def built(head: Column) -> Column:
-        width = F.size(head)
-        rows = F.transform(F.slice(lines, F.lit(3), F.size(lines)), lambda r: _given(_cells(r), lambda cells: _row_html(cells, "td", width)))
-        body = F.when(F.size(lines) > 2, F.concat(F.lit("<tbody>\n"), F.array_join(rows, "\n"), F.lit("\n</tbody>\n"))).otherwise("")
-        return F.concat(F.lit("<table>\n<thead>\n"), _row_html(head, "th", width), F.lit("\n</thead>\n"), body, F.lit("</table>"))
+    def built(rows: Column) -> Column:
+        width = F.size(rows[0])
+        shown = F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda cells: _row_html(cells, "td", width))
+        body = _either(F.size(rows) > 1, F.concat(F.lit("<tbody>\n"), F.array_join(shown, "\n"), F.lit("\n</tbody>\n")), F.lit(""))
+        return F.concat(F.lit("<table>\n<thead>\n"), _row_html(rows[0], "th", width), F.lit("\n</thead>\n"), body, F.lit("</table>"))
 
-    return _given(_cells(F.get(lines, F.lit(0))), built)
-
-
-def _heading_html(text: Column) -> Column:
-    title = inline(F.regexp_extract(text, HEADING, 2))
-
-    def built(level: Column) -> Column:
-        name = F.when(level > 3, "div").otherwise(F.concat(F.lit("h"), level.cast("string")))
-        return F.concat(F.lit("<"), name, F.lit(">"), title, F.lit("</"), name, F.lit(">"))
-
-    return _given(F.length(F.regexp_extract(text, HEADING, 1)), built)
+    # The second line only divides.
+    return _given(F.transform(F.filter(lines, lambda _, i: i != 1), _cells), built)
 
 
 def _code_html(lines: Column) -> Column:
@@ -294,11 +285,6 @@ def _code_html(lines: Column) -> Column:
     return _given(code, lambda c: F.concat(F.lit("<pre><code>"), escape(c), F.when(c == "", "").otherwise("\n"), F.lit("</code></pre>")))
 
 
-def _text_html(text: Column) -> Column:
-    block_level = F.rlike(text, F.lit(r"(?i)^<(?:div|ul|ol|table|pre|h[1-6]|blockquote|p|hr)\b"))
-    return F.when(block_level, text).otherwise(F.concat(F.lit("<div>"), inline(F.trim(text)), F.lit("</div>")))
-
-
 def _block_html(block: Column, is_table: Column) -> Column:
     """HTML of a block, which begins with a line end and is of the first kind that its first line fits."""
     text = _text(block)
@@ -308,16 +294,27 @@ def _block_html(block: Column, is_table: Column) -> Column:
         fits = F.rlike(block, F.lit(rf"\A\n{pattern}"))
         return F.contains(block, F.lit(sign)) & fits if sign else fits
 
-    quoted = inline(F.trim(F.regexp_replace(text, r"(?m)^ {0,3}> ?", "")))
+    def worded(title: Column) -> Column:
+        """A heading, a quote or text around its spans."""
+        level = F.length(F.regexp_extract(text, HEADING, 1))
+        heading = _given(level, lambda n: F.when(n > 3, "div").otherwise(F.concat(F.lit("h"), n.cast("string"))))
+        tag = _either(is_heading, heading, F.lit("div"))
+        shown = _given(tag, lambda tag: F.concat(F.lit("<"), tag, F.lit(">"), title, F.lit("</"), tag, F.lit(">")))
+        return _either(is_quote, F.concat(F.lit("<blockquote>\n"), shown, F.lit("\n</blockquote>")), shown)
+
+    is_heading, is_quote = starts(_HEADING, "\n#"), starts(_QUOTE, ">")
+    words = (
+        F.when(is_heading, F.regexp_extract(text, HEADING, 2)).when(is_quote, F.trim(F.regexp_replace(text, r"(?m)^ {0,3}> ?", ""))).otherwise(F.trim(text))
+    )
+    block_level = F.rlike(text, F.lit(r"(?i)^<(?:div|ul|ol|table|pre|h[1-6]|blockquote|p|hr)\b"))
     return (
         F.when(starts(_CODE_BLOCK, "```"), _given(_lines(block), _code_html))
         .when(starts(_TASK, "- ["), F.concat(F.lit('<ul class="checklist">'), F.array_join(F.transform(_lines(block), _task_html), ""), F.lit("</ul>")))
-        .when(starts(_HEADING, "\n#"), _heading_html(text))
-        .when(starts(_RULE), "<hr />")
-        .when(starts(_QUOTE, ">"), F.concat(F.lit("<blockquote>\n<div>"), quoted, F.lit("</div>\n</blockquote>")))
-        .when(starts(_ITEM), _given(F.transform(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(0)), _item), _list_html))
-        .when(starts(_TABLE, "|") | is_table, _given(_lines(block), _table_html))
-        .otherwise(_text_html(text))
+        .when(~is_heading & starts(_RULE), "<hr />")
+        .when(~is_heading & ~is_quote & starts(_ITEM), _given(F.transform(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(0)), _item), _list_html))
+        .when(~is_heading & ~is_quote & (starts(_TABLE, "|") | is_table), _given(_lines(block), _table_html))
+        .when(block_level, text)
+        .otherwise(_given(inline(words), worded))
     )
 
 
