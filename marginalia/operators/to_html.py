@@ -187,7 +187,7 @@ def inline(text: Column) -> Column:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Documents (doc, text) by key over as many tasks as their lines need, which the size of what they were made from does not tell."""
+    """Documents (doc, text) by key over as many tasks as their lines need, for work that makes rows of lines; the conversion makes none."""
     rows = stored(rows, "markdown")
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
     size = rows.agg(F.sum(F.octet_length("text") + (breaks + 1) * LINE_COST)).first()[0] or 0
